@@ -15,22 +15,29 @@ from regimekit.functions.scalar import safe_log_ratio
 from regimekit.operators.panel import date_filter, log_returns
 from regimekit.params import FeatureParams
 
-W_ENTITY = Window.partitionBy("entity")
-W_ORDERED = Window.partitionBy("entity").orderBy("ts")
+
+
+def w_entity() -> Window:
+    return Window.partitionBy("entity")
+
+
+def w_ordered() -> Window:
+    return Window.partitionBy("entity").orderBy("ts")
+
 
 VOL_NORMS = ("zscore", "minmax", "log", "none")
 PROXY_MODES = ("raw", "smoothed", "returns", "zscore")
 
 
-def rolling(col: str, n: int, fn, spec: Window = W_ORDERED) -> Column:
+def rolling(col: str, n: int, fn, spec: Window | None = None) -> Column:
     """Count-gated trailing window: NULL until ``n`` non-null values are in the frame (pandas ``rolling(n)``)."""
-    frame = spec.rowsBetween(-(n - 1), 0)
+    frame = (spec or w_ordered()).rowsBetween(-(n - 1), 0)
     return F.when(F.count(col).over(frame) == n, fn(col).over(frame))
 
 
 def normalized_returns(returns: DataFrame) -> DataFrame:
     """``ret - mean(ret)`` per entity over its full history (centred, not scaled)."""
-    return returns.withColumn("normalized_returns", F.col("ret") - F.avg("ret").over(W_ENTITY))
+    return returns.withColumn("normalized_returns", F.col("ret") - F.avg("ret").over(w_entity()))
 
 
 def mean_returns(returns: DataFrame) -> DataFrame:
@@ -43,9 +50,10 @@ def rolling_vol(returns: DataFrame, windows=(5, 10, 20)) -> DataFrame:
     return returns.select("*", *[rolling("ret", w, F.stddev_samp).alias(f"vol_{w}") for w in windows])
 
 
-def normalize(col: str, method: str, spec: Window = W_ENTITY) -> Column:
+def normalize(col: str, method: str, spec: Window | None = None) -> Column:
     """Normalise a series over the entity's full history (NULLs ignored)."""
     c = F.col(col)
+    spec = spec or w_entity()
     if method == "zscore":
         return F.try_divide(c - F.avg(c).over(spec), F.stddev_samp(c).over(spec))
     if method == "minmax":
