@@ -133,9 +133,17 @@ def features_ctes(params: FeatureParams, proxy: str = "^MKT") -> list[tuple[str,
     ]
 
 
+MATERIALIZE = {"features", "em", "emx", "vit", "fwd", "bwd", "path", "states", "labeled"}
+
+
 def with_ctes(ctes: list[tuple[str, str]], final: str, recursive: bool = False) -> str:
     head = "WITH RECURSIVE " if recursive else "WITH "
-    return head + ",\n".join(f"{name} AS ({body})" for name, body in ctes) + "\n" + final
+
+    def one(name: str, body: str) -> str:
+        mat = " MATERIALIZED" if name in MATERIALIZE else ""
+        return f"{name} AS{mat} ({body})"
+
+    return head + ",\n".join(one(n, b) for n, b in ctes) + "\n" + final
 
 
 def feature_pipeline(panel: str, params: FeatureParams = FeatureParams()) -> list[tuple[str, str]]:
@@ -244,3 +252,278 @@ ORACLES["features_dated"] = with_ctes(
     f"SELECT entity, ts, {_FEAT_COLS} FROM features",
 )
 ORACLES["features_weekly"] = with_ctes(_pipe("priority_week"), f"SELECT entity, ts, {_FEAT_COLS} FROM features")
+
+
+# ---------------------------------------------------------------- given-model decode (recursive CTEs)
+
+
+def D(x: float) -> str:
+    """A DOUBLE literal (DuckDB reads bare decimals as DECIMAL)."""
+    return f"CAST({x!r} AS DOUBLE)"
+
+
+# Fixed model of the oracle-checked decode: 2 states on vol_5 (same values as the Spark catalog).
+G_PI = (0.5, 0.5)
+G_A = ((0.95, 0.05), (0.05, 0.95))
+G_MU = (-0.5, 1.0)
+G_VAR = (0.5, 2.0)
+G_FEATURE = "vol_5"
+
+
+def given_ctes() -> list[tuple[str, str]]:
+    lb = [
+        f"-0.5 * (ln(2 * pi()) + ln({D(G_VAR[k])}) + (x - {D(G_MU[k])}) * (x - {D(G_MU[k])}) / {D(G_VAR[k])})"
+        for k in range(2)
+    ]
+    la = [[f"ln({D(G_A[i][j])})" for j in range(2)] for i in range(2)]
+    lp = [f"ln({D(G_PI[k])})" for k in range(2)]
+    a = [[D(G_A[i][j]) for j in range(2)] for i in range(2)]
+    p = [D(G_PI[k]) for k in range(2)]
+    return [
+        (
+            "seq",
+            f"SELECT entity, ts, {G_FEATURE} AS x, row_number() OVER (PARTITION BY entity ORDER BY ts) AS t, "
+            "count(*) OVER (PARTITION BY entity) AS n FROM features",
+        ),
+        ("em", f"SELECT entity, ts, t, n, x, {lb[0]} AS lb0, {lb[1]} AS lb1 FROM seq"),
+        (
+            "vit",
+            f"SELECT entity, t, {lp[0]} + lb0 AS d0, {lp[1]} + lb1 AS d1, 0 AS bp0, 0 AS bp1 FROM em WHERE t = 1 "
+            "UNION ALL SELECT e.entity, e.t, "
+            f"greatest(v.d0 + {la[0][0]}, v.d1 + {la[1][0]}) + e.lb0, "
+            f"greatest(v.d0 + {la[0][1]}, v.d1 + {la[1][1]}) + e.lb1, "
+            f"CASE WHEN v.d0 + {la[0][0]} >= v.d1 + {la[1][0]} THEN 0 ELSE 1 END, "
+            f"CASE WHEN v.d0 + {la[0][1]} >= v.d1 + {la[1][1]} THEN 0 ELSE 1 END "
+            "FROM vit v JOIN em e ON e.entity = v.entity AND e.t = v.t + 1",
+        ),
+        (
+            "path",
+            "SELECT v.entity, v.t, CASE WHEN v.d0 >= v.d1 THEN 0 ELSE 1 END AS s FROM vit v "
+            "JOIN (SELECT DISTINCT entity, n FROM em) l ON v.entity = l.entity AND v.t = l.n "
+            "UNION ALL SELECT p.entity, p.t - 1, CASE WHEN p.s = 0 THEN v.bp0 ELSE v.bp1 END "
+            "FROM path p JOIN vit v ON v.entity = p.entity AND v.t = p.t WHERE p.t > 1",
+        ),
+        (
+            "states",
+            "SELECT e.entity, e.ts, e.t, e.n, e.x, CAST(p.s AS INTEGER) AS raw_state FROM em e "
+            "JOIN path p ON e.entity = p.entity AND e.t = p.t",
+        ),
+        ("rvol", "SELECT entity, raw_state, stddev_pop(x) AS vol FROM states GROUP BY 1, 2"),
+        (
+            "allst",
+            "SELECT e.entity, CAST(v.s AS INTEGER) AS raw_state FROM (SELECT DISTINCT entity FROM em) e "
+            "CROSS JOIN (VALUES (0), (1)) v(s)",
+        ),
+        (
+            "rmap",
+            "SELECT a.entity, a.raw_state, CAST(row_number() OVER (PARTITION BY a.entity "
+            "ORDER BY r.vol ASC NULLS LAST, a.raw_state) - 1 AS INTEGER) AS state, r.vol "
+            "FROM allst a LEFT JOIN rvol r ON a.entity = r.entity AND a.raw_state = r.raw_state",
+        ),
+        (
+            "labeled",
+            "SELECT f.*, m.state FROM features f LEFT JOIN states s ON f.entity = s.entity AND f.ts = s.ts "
+            "LEFT JOIN rmap m ON s.entity = m.entity AND s.raw_state = m.raw_state",
+        ),
+        (
+            "emx",
+            "SELECT *, greatest(lb0, lb1) AS m, exp(lb0 - greatest(lb0, lb1)) AS b0, "
+            "exp(lb1 - greatest(lb0, lb1)) AS b1 FROM em",
+        ),
+        (
+            "fwd",
+            f"SELECT entity, t, {p[0]} * b0 / ({p[0]} * b0 + {p[1]} * b1) AS a0, "
+            f"{p[1]} * b1 / ({p[0]} * b0 + {p[1]} * b1) AS a1, {p[0]} * b0 + {p[1]} * b1 AS c, "
+            f"ln({p[0]} * b0 + {p[1]} * b1) + m AS lc FROM emx WHERE t = 1 "
+            "UNION ALL SELECT entity, t, u0 / (u0 + u1), u1 / (u0 + u1), u0 + u1, lc + ln(u0 + u1) + m FROM ("
+            f"SELECT e.entity, e.t, e.m, f.lc, (f.a0 * {a[0][0]} + f.a1 * {a[1][0]}) * e.b0 AS u0, "
+            f"(f.a0 * {a[0][1]} + f.a1 * {a[1][1]}) * e.b1 AS u1 "
+            "FROM fwd f JOIN emx e ON e.entity = f.entity AND e.t = f.t + 1)",
+        ),
+        (
+            "bwd",
+            "SELECT entity, t, CAST(1 AS DOUBLE) AS z0, CAST(1 AS DOUBLE) AS z1 FROM emx WHERE t = n "
+            "UNION ALL SELECT w.entity, w.t - 1, "
+            f"({a[0][0]} * (e.b0 * w.z0) + {a[0][1]} * (e.b1 * w.z1)) / f.c, "
+            f"({a[1][0]} * (e.b0 * w.z0) + {a[1][1]} * (e.b1 * w.z1)) / f.c "
+            "FROM bwd w JOIN emx e ON e.entity = w.entity AND e.t = w.t "
+            "JOIN fwd f ON f.entity = w.entity AND f.t = w.t WHERE w.t > 1",
+        ),
+    ]
+
+
+def _given(final: str, panel: str = MAIN) -> str:
+    return with_ctes(_pipe(panel) + given_ctes(), final, recursive=True)
+
+
+def _unpivot(src: str, keep: str, measures=("vol_5", "vol_10", "vol_20", "market_vola")) -> str:
+    return " UNION ALL ".join(f"SELECT {keep}, '{m}' AS measure, {m} AS value FROM {src}" for m in measures)
+
+
+ORACLES["train_val_split"] = with_ctes(
+    _pipe(MAIN) + given_ctes()[:1],
+    "SELECT entity, ts, CAST(t AS INTEGER) AS t, CAST(n AS BIGINT) AS n, "
+    "CASE WHEN t <= floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'validate' END AS split FROM seq",
+)
+ORACLES["min_length_guard"] = with_ctes(
+    _pipe(GAP),
+    "SELECT entity, count(*) AS n_rows, CASE WHEN count(*) < 450 THEN 'skipped' ELSE 'ok' END AS status "
+    "FROM features GROUP BY entity",
+)
+
+
+def _init_sql() -> str:
+    ks, seeds = (2, 3), (0, 1, 7)
+    qcols = []
+    for k in ks:
+        for j in range(k):
+            qcols.append(f"quantile_cont(v, {D((j + 0.5) / k)}) AS q{k}_{j}")
+    grid = ", ".join(f"({k}, {s}, {j})" for k in ks for s in seeds for j in range(k))
+    qpick = "CASE " + " ".join(f"WHEN g.k = {k} AND g.j = {j} THEN s.q{k}_{j}" for k in ks for j in range(k)) + " END"
+    perturb = (
+        f"({D(0.5)} * sqrt(s.var)) * (CAST((g.seed * 7919 + g.j * 104729 + s.d * 1299709 + g.k * 15485863) % 10007 "
+        f"AS DOUBLE) / {D(10007.0)} - {D(0.5)})"
+    )
+    cols = ", ".join(_BASE.feature_columns)
+    return with_ctes(
+        _pipe(MAIN)
+        + [
+            (
+                "tr",
+                f"SELECT entity, [{cols}] AS x FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY ts) AS t, "
+                "count(*) OVER (PARTITION BY entity) AS n FROM features) WHERE t <= floor(n * CAST(0.8 AS DOUBLE))",
+            ),
+            ("lng", "SELECT entity, CAST(r.d AS INTEGER) AS d, x[r.d + 1] AS v FROM tr CROSS JOIN range(0, 5) r(d)"),
+            ("s", "SELECT entity, d, var_samp(v) AS var, " + ", ".join(qcols) + " FROM lng GROUP BY 1, 2"),
+            ("g", f"SELECT * FROM (VALUES {grid}) g(k, seed, j)"),
+        ],
+        "SELECT s.entity, CAST(g.k AS INTEGER) AS k, CAST(g.seed AS INTEGER) AS seed, CAST(g.j AS INTEGER) AS state, "
+        f"s.d, round({qpick} + {perturb}, 6) AS mean FROM s CROSS JOIN g",
+    )
+
+
+ORACLES["hmm_init"] = _init_sql()
+ORACLES["emission_logpdf"] = _given(f"SELECT entity, ts, {rnd('lb0', 'lb_0')}, {rnd('lb1', 'lb_1')} FROM em")
+ORACLES["hier_decode_rowwise"] = _given(
+    f"SELECT entity, ts, CASE WHEN ln({D(G_PI[0])}) + lb0 >= ln({D(G_PI[1])}) + lb1 THEN 0 ELSE 1 END AS sub_state FROM em"
+)
+ORACLES["hmm_viterbi"] = _given("SELECT entity, ts, raw_state FROM states")
+ORACLES["hmm_score"] = _given("SELECT entity, round(lc, 4) AS loglik, CAST(t AS BIGINT) AS n FROM fwd JOIN (SELECT DISTINCT entity, n FROM em) USING (entity) WHERE t = n")
+ORACLES["hmm_posterior"] = _given(
+    "SELECT e.entity, e.ts, "
+    + rnd("f.a0 * b.z0 / (f.a0 * b.z0 + f.a1 * b.z1)", "post_0")
+    + ", "
+    + rnd("f.a1 * b.z1 / (f.a0 * b.z0 + f.a1 * b.z1)", "post_1")
+    + " FROM em e JOIN fwd f ON e.entity = f.entity AND e.t = f.t JOIN bwd b ON e.entity = b.entity AND e.t = b.t"
+)
+ORACLES["state_volatility"] = _given(f"SELECT entity, raw_state, {rnd('vol', 'vol')} FROM rvol")
+ORACLES["relabel_states"] = _given(f"SELECT entity, raw_state, state, {rnd('vol', 'vol')} FROM rmap")
+ORACLES["state_labeled"] = _given(f"SELECT entity, ts, {_FEAT_COLS}, state FROM labeled")
+_USAGE = (
+    "SELECT a.entity, a.raw_state AS state, CAST(coalesce(c.cnt, 0) AS BIGINT) AS cnt FROM allst a LEFT JOIN "
+    "(SELECT entity, {col} AS st, count(*) AS cnt FROM {src} GROUP BY 1, 2) c ON a.entity = c.entity AND a.raw_state = c.st"
+)
+ORACLES["state_usage"] = _given(
+    f"SELECT entity, state, cnt, {rnd('cnt / sum(cnt) OVER (PARTITION BY entity)', 'share')} FROM ("
+    + _USAGE.format(col="state", src="labeled")
+    + ")"
+)
+ORACLES["state_entropy"] = _given(
+    f"SELECT entity, {rnd('sum(-share * ln(share + 1e-10))', 'entropy')} FROM (SELECT entity, "
+    "cnt / sum(cnt) OVER (PARTITION BY entity) AS share FROM (" + _USAGE.format(col="state", src="labeled") + ")) GROUP BY entity"
+)
+_SCORE = (
+    "SELECT u.entity, l.lc AS ll, l.n, u.entropy FROM (SELECT entity, sum(-share * ln(share + 1e-10)) AS entropy FROM ("
+    "SELECT entity, cnt / sum(cnt) OVER (PARTITION BY entity) AS share FROM ("
+    + _USAGE.format(col="raw_state", src="states")
+    + ")) GROUP BY entity) u JOIN (SELECT f.entity, f.lc, e.n FROM fwd f JOIN (SELECT DISTINCT entity, n FROM em) e "
+    "ON f.entity = e.entity AND f.t = e.n) l ON u.entity = l.entity"
+)
+ORACLES["entropy_score"] = _given(
+    f"SELECT entity, {rnd('ll / n', 'norm_ll')}, {rnd('entropy', 'entropy')}, "
+    f"{rnd('ll / n + CAST(4 AS DOUBLE) * entropy', 'score')} FROM ({_SCORE})"
+)
+ORACLES["bic"] = _given(f"SELECT entity, round(-2 * ll + 7 * ln(n), 4) AS bic FROM ({_SCORE})")
+ORACLES["transition_matrix"] = _given(
+    "SELECT e.entity, 'VS0_' || f.i AS from_label, 'VS0_' || f.j AS to_label, round(f.p, 6) AS prob "
+    "FROM (SELECT DISTINCT entity FROM em) e CROSS JOIN (VALUES "
+    + ", ".join(f"({i}, {j}, {D(G_A[i][j])})" for i in range(2) for j in range(2))
+    + ") f(i, j, p)"
+)
+ORACLES["expected_steps"] = _given(
+    "SELECT e.entity, 'VS0_' || f.i AS state_label, round(1 / (1 - f.p + CAST(1e-10 AS DOUBLE)), 6) AS expected_steps "
+    "FROM (SELECT DISTINCT entity FROM em) e CROSS JOIN (VALUES "
+    + ", ".join(f"({i}, {D(G_A[i][i])})" for i in range(2))
+    + ") f(i, p)"
+)
+ORACLES["regime_return_means"] = _given(
+    f"SELECT entity, state, {rnd('avg(normalized_returns)', 'mean_return')} FROM labeled GROUP BY 1, 2"
+)
+ORACLES["feature_means"] = _given(
+    f"SELECT entity, measure, state, {rnd('avg(value)', 'mean_value')} FROM ({_unpivot('labeled', 'entity, state')}) "
+    "GROUP BY 1, 2, 3"
+)
+ORACLES["regime_capture"] = _given(
+    "SELECT g.entity, g.measure, g.state, round(coalesce(s.share, 0), 6) AS share FROM ("
+    "SELECT DISTINCT a.entity, a.state, b.measure FROM sh a JOIN sh b ON a.entity = b.entity) g "
+    "LEFT JOIN sh s ON g.entity = s.entity AND g.measure = s.measure AND g.state = s.state"
+).replace(
+    "\nSELECT g.entity",
+    ",\nthr AS (SELECT *, quantile_cont(value, 0.95) OVER (PARTITION BY entity, measure) AS threshold FROM ("
+    + _unpivot("labeled", "entity, state")
+    + ")),\nhigh AS (SELECT entity, measure, state, count(*) AS cnt FROM thr WHERE value >= threshold GROUP BY 1, 2, 3),\n"
+    "sh AS (SELECT entity, measure, state, cnt / sum(cnt) OVER (PARTITION BY entity, measure) AS share FROM high)"
+    "\nSELECT g.entity",
+)
+ORACLES["state_vol_corr"] = _given(
+    f"SELECT entity, measure, {rnd('corr(value, CAST(state AS DOUBLE))', 'corr')} FROM ({_unpivot('labeled', 'entity, state')}) GROUP BY 1, 2"
+)
+ORACLES["vol_trend_by_state"] = _given(
+    f"SELECT entity, measure, state, {rnd('avg(trend)', 'avg_trend')} FROM ("
+    "SELECT *, ma - lag(ma) OVER (PARTITION BY entity, measure ORDER BY ts) AS trend FROM ("
+    "SELECT *, CASE WHEN count(value) OVER w3 = 3 THEN avg(value) OVER w3 END AS ma FROM ("
+    + _unpivot("labeled", "entity, ts, state")
+    + ") WINDOW w3 AS (PARTITION BY entity, measure ORDER BY ts ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))) "
+    "GROUP BY 1, 2, 3"
+)
+_BINS = "CAST(least(coalesce(floor((v - lo) * CAST(50 AS DOUBLE) / nullif(hi - lo, 0)), 0), 49) AS INTEGER)"
+ORACLES["returns_histogram"] = with_ctes(
+    _pipe(MAIN),
+    f"SELECT entity, bin, {rnd('lo + (hi - lo) * bin / CAST(50 AS DOUBLE)', 'bin_lo')}, count(*) AS cnt FROM ("
+    f"SELECT entity, lo, hi, {_BINS} AS bin FROM (SELECT entity, normalized_returns AS v, "
+    "min(normalized_returns) OVER (PARTITION BY entity) AS lo, max(normalized_returns) OVER (PARTITION BY entity) AS hi "
+    "FROM features WHERE normalized_returns IS NOT NULL)) GROUP BY entity, bin, lo, hi",
+)
+ORACLES["regime_histograms"] = _given(
+    f"SELECT entity, measure, state, bin, count(*) AS cnt FROM (SELECT entity, measure, state, {_BINS} AS bin FROM ("
+    "SELECT entity, measure, state, value AS v, min(value) OVER (PARTITION BY entity, measure) AS lo, "
+    "max(value) OVER (PARTITION BY entity, measure) AS hi FROM ("
+    + _unpivot("labeled", "entity, state", ("normalized_returns", "vol_5", "vol_10", "vol_20", "market_vola"))
+    + ") WHERE value IS NOT NULL)) GROUP BY 1, 2, 3, 4"
+)
+ORACLES["anova_returns"] = _given(
+    "SELECT entity, CAST(k - 1 AS BIGINT) AS df_between, CAST(n - k AS BIGINT) AS df_within, "
+    f"{rnd('ssb', 'ssb')}, {rnd('ssw', 'ssw')}, {rnd('(ssb / (k - 1)) / nullif(ssw / (n - k), 0)', 'f_stat')} FROM ("
+    "SELECT entity, count(*) AS k, sum(n) AS n, sum(ssw_g) AS ssw, sum(n * (m - grand) * (m - grand)) AS ssb FROM ("
+    "SELECT *, sum(s) OVER (PARTITION BY entity) / sum(n) OVER (PARTITION BY entity) AS grand FROM ("
+    "SELECT entity, state, count(normalized_returns) AS n, sum(normalized_returns) AS s, avg(normalized_returns) AS m, "
+    "var_pop(normalized_returns) * count(normalized_returns) AS ssw_g FROM labeled "
+    "WHERE normalized_returns IS NOT NULL AND state IS NOT NULL GROUP BY 1, 2)) GROUP BY entity)"
+)
+ORACLES["regime_series"] = _given(
+    f"SELECT entity, ts, {rnd('normalized_returns', 'normalized_returns')}, state, CAST(state % 10 AS INTEGER) AS color_idx FROM labeled"
+)
+ORACLES["states_vs_vol"] = _given(
+    f"SELECT entity, measure, {rnd('quantile_cont(value, 0.95)', 'threshold')}, min(ts) AS ts_first, max(ts) AS ts_last "
+    f"FROM ({_unpivot('labeled', 'entity, ts')}) GROUP BY 1, 2"
+)
+ORACLES["vol_quantiles"] = with_ctes(
+    _pipe(MAIN),
+    f"SELECT entity, measure, {rnd('quantile_cont(value, 0.95)', 'threshold')} FROM ({_unpivot('features', 'entity')}) GROUP BY 1, 2",
+)
+ORACLES["vol_spikes"] = with_ctes(
+    _pipe(MAIN),
+    f"SELECT entity, ts, measure, {rnd('value', 'value')} FROM (SELECT *, quantile_cont(value, 0.95) OVER "
+    f"(PARTITION BY entity, measure) AS thr FROM ({_unpivot('features', 'entity, ts')}) WHERE value IS NOT NULL) "
+    "WHERE value > thr",
+)

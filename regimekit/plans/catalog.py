@@ -200,3 +200,257 @@ def q_features_weekly(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features(spark, sf_dir, "flag_week"))
+
+
+# ---------------------------------------------------------------- given-model decode and analytics
+
+from regimekit.functions import hmm_expr as HX  # noqa: E402
+from regimekit.functions.scalar import state_label  # noqa: E402
+from regimekit.operators import analytics as AN  # noqa: E402
+from regimekit.params import FitParams  # noqa: E402
+from regimekit.plans import hmm as H  # noqa: E402
+from regimekit.plans.fixed import GivenModel, attach_model  # noqa: E402
+
+# Fixed model of the oracle-checked decode: 2 states on the z-scored 5-step volatility.
+GIVEN_FEATURE = "vol_5"
+GIVEN = GivenModel(
+    startprob=(0.5, 0.5),
+    transmat=((0.95, 0.05), (0.05, 0.95)),
+    means=((-0.5,), (1.0,)),
+    covars=(((0.5,),), ((2.0,),)),
+)
+LL_DIGITS = 4
+
+
+def given_decode(spark, sf_dir, panel_name: str = MAIN_PANEL):
+    feats = features(spark, sf_dir, panel_name)
+    seq = H.sequences(feats, [GIVEN_FEATURE])
+    models = attach_model(feats, GIVEN)
+    states = H.decode(seq, models)
+    return feats, seq, models, states
+
+
+def labeled(spark, sf_dir, panel_name: str = MAIN_PANEL) -> DataFrame:
+    """Features left-joined with the relabelled regime of the given model."""
+    feats, seq, models, states = given_decode(spark, sf_dir, panel_name)
+    rel = H.relabel(states, seq, models)
+    return feats.join(rel.select("entity", "ts", "state"), ["entity", "ts"], "left")
+
+
+@query("train_val_split")
+def q_split(spark, sf_dir):
+    seq = H.sequences(features(spark, sf_dir), [GIVEN_FEATURE])
+    return seq.select("entity", "ts", "t", F.col("n").cast("bigint").alias("n"), "split")
+
+
+@query("min_length_guard")
+def q_guard(spark, sf_dir):
+    seq = H.sequences(features(spark, sf_dir, GAP_PANEL), [GIVEN_FEATURE])
+    return H.length_guard(seq, 450)
+
+
+@query("hmm_init")
+def q_init(spark, sf_dir):
+    feats = features(spark, sf_dir)
+    fit = FitParams(min_k=2, max_k=3)
+    seq = H.sequences(feats, fit_columns(), fit)
+    init = H.init_models(seq, fit, ks=[2, 3], seeds=[0, 1, 7])
+    m = init.select("entity", "k", "seed", F.posexplode("means").alias("state", "mu"))
+    m = m.select("entity", "k", "seed", "state", F.posexplode("mu").alias("d", "mean"))
+    return rounded(m.select("entity", "k", "seed", F.col("state").cast("int"), F.col("d").cast("int"), "mean"))
+
+
+def fit_columns() -> list[str]:
+    return FeatureParams().feature_columns
+
+
+@query("emission_logpdf")
+def q_emission(spark, sf_dir):
+    feats = features(spark, sf_dir)
+    seq = H.sequences(feats, [GIVEN_FEATURE])
+    models = HX.with_precision(attach_model(feats, GIVEN))
+    j = seq.join(models, "entity")
+    lb = HX.emission_logpdf(F.col("x"), F.col("means"), F.col("inv_chol"), F.col("logdet"))
+    return rounded(j.select("entity", "ts", lb[0].alias("lb_0"), lb[1].alias("lb_1")))
+
+
+@query("hier_decode_rowwise")
+def q_rowwise(spark, sf_dir):
+    feats = features(spark, sf_dir)
+    seq = H.sequences(feats, [GIVEN_FEATURE])
+    models = HX.with_precision(attach_model(feats, GIVEN))
+    j = seq.join(models, "entity")
+    st = HX.rowwise_state(F.col("x"), F.col("startprob"), F.col("means"), F.col("inv_chol"), F.col("logdet"))
+    return j.select("entity", "ts", st.alias("sub_state"))
+
+
+@query("hmm_viterbi")
+def q_viterbi(spark, sf_dir):
+    return given_decode(spark, sf_dir)[3].select("entity", "ts", "raw_state")
+
+
+@query("hmm_score")
+def q_score(spark, sf_dir):
+    st = given_decode(spark, sf_dir)[3]
+    return st.groupBy("entity").agg(
+        F.round(F.first("loglik"), LL_DIGITS).alias("loglik"), F.count("*").cast("bigint").alias("n")
+    )
+
+
+@query("hmm_posterior")
+def q_posterior(spark, sf_dir):
+    st = given_decode(spark, sf_dir)[3]
+    return rounded(st.select("entity", "ts", F.col("posterior")[0].alias("post_0"), F.col("posterior")[1].alias("post_1")))
+
+
+@query("state_volatility")
+def q_state_vol(spark, sf_dir):
+    _, seq, _, states = given_decode(spark, sf_dir)
+    return rounded(H.state_volatility(states, seq).select("entity", "raw_state", "vol"))
+
+
+@query("relabel_states")
+def q_relabel(spark, sf_dir):
+    _, seq, models, states = given_decode(spark, sf_dir)
+    return rounded(H.relabel_map(H.state_volatility(states, seq), models))
+
+
+@query("state_labeled")
+def q_state_labeled(spark, sf_dir):
+    return rounded(labeled(spark, sf_dir))
+
+
+@query("state_usage")
+def q_state_usage(spark, sf_dir):
+    lab = labeled(spark, sf_dir)
+    models = attach_model(lab, GIVEN)
+    return rounded(H.state_usage(lab, models))
+
+
+@query("state_entropy")
+def q_state_entropy(spark, sf_dir):
+    lab = labeled(spark, sf_dir)
+    return rounded(H.state_entropy(H.state_usage(lab, attach_model(lab, GIVEN))))
+
+
+def _score_frame(spark, sf_dir) -> DataFrame:
+    _, _, models, states = given_decode(spark, sf_dir)
+    usage = H.state_usage(states, models, state_col="raw_state")
+    ent = H.state_entropy(usage)
+    ll = states.groupBy("entity").agg(F.first("loglik").alias("val_loglik"), F.count("*").alias("n_val"))
+    return ll.join(ent, "entity").select(
+        "entity", "val_loglik", "n_val", F.col("entropy").alias("val_entropy"),
+        F.lit(GIVEN.k).alias("k"), F.lit(1).alias("d"),
+    )
+
+
+@query("entropy_score")
+def q_entropy_score(spark, sf_dir):
+    s = H.with_score(_score_frame(spark, sf_dir), H.entropy_score(4.0))
+    return rounded(
+        s.select(
+            "entity",
+            (F.col("val_loglik") / F.col("n_val")).alias("norm_ll"),
+            F.col("val_entropy").alias("entropy"),
+            "score",
+        )
+    )
+
+
+@query("bic")
+def q_bic(spark, sf_dir):
+    s = _score_frame(spark, sf_dir)
+    cols = {n: F.col(n) for n in s.columns}
+    return s.select("entity", F.round(H.bic(cols), LL_DIGITS).alias("bic"))
+
+
+@query("transition_matrix")
+def q_transitions(spark, sf_dir):
+    models = attach_model(features(spark, sf_dir), GIVEN)
+    t = H.transitions(models)
+    return rounded(
+        t.select(
+            "entity",
+            state_label(0, "from_state").alias("from_label"),
+            state_label(0, "to_state").alias("to_label"),
+            "prob",
+        )
+    )
+
+
+@query("expected_steps")
+def q_expected_steps(spark, sf_dir):
+    models = attach_model(features(spark, sf_dir), GIVEN)
+    e = H.expected_steps(models)
+    return rounded(e.select("entity", state_label(0, "state").alias("state_label"), "expected_steps"))
+
+
+@query("regime_return_means")
+def q_regime_return_means(spark, sf_dir):
+    return rounded(AN.regime_return_means(labeled(spark, sf_dir)))
+
+
+@query("feature_means")
+def q_feature_means(spark, sf_dir):
+    return rounded(AN.feature_means(labeled(spark, sf_dir)))
+
+
+@query("regime_capture")
+def q_regime_capture(spark, sf_dir):
+    return rounded(AN.regime_capture(labeled(spark, sf_dir)))
+
+
+@query("state_vol_corr")
+def q_state_vol_corr(spark, sf_dir):
+    return rounded(AN.state_vol_corr(labeled(spark, sf_dir)))
+
+
+@query("vol_trend_by_state")
+def q_vol_trend(spark, sf_dir):
+    return rounded(AN.vol_trend_by_state(labeled(spark, sf_dir)))
+
+
+@query("returns_histogram")
+def q_returns_histogram(spark, sf_dir):
+    return rounded(AN.returns_histogram(features(spark, sf_dir)))
+
+
+@query("regime_histograms")
+def q_regime_histograms(spark, sf_dir):
+    return AN.regime_histograms(labeled(spark, sf_dir))
+
+
+@query("anova_returns")
+def q_anova(spark, sf_dir):
+    a = AN.anova_returns(labeled(spark, sf_dir))
+    return rounded(a.select("entity", "df_between", "df_within", "ssb", "ssw", "f_stat"))
+
+
+@query("anova_pvalue")
+def q_anova_p(spark, sf_dir):
+    return rounded(AN.anova_returns(labeled(spark, sf_dir)).select("entity", "f_stat", "p_value"))
+
+
+@query("anova_report")
+def q_anova_report(spark, sf_dir):
+    return AN.anova_report(AN.anova_returns(labeled(spark, sf_dir)))
+
+
+@query("regime_series")
+def q_regime_series(spark, sf_dir):
+    return rounded(AN.regime_series(labeled(spark, sf_dir)))
+
+
+@query("states_vs_vol")
+def q_states_vs_vol(spark, sf_dir):
+    return rounded(AN.states_vs_vol(labeled(spark, sf_dir)))
+
+
+@query("vol_quantiles")
+def q_vol_quantiles(spark, sf_dir):
+    return rounded(AN.vol_quantiles(features(spark, sf_dir)))
+
+
+@query("vol_spikes")
+def q_vol_spikes(spark, sf_dir):
+    return rounded(AN.vol_spikes(features(spark, sf_dir)).select("entity", "ts", "measure", "value"))
