@@ -47,6 +47,9 @@ _precision = pandas_udf(_precision_impl, _PREC_TYPE)
 
 def with_precision(models: DataFrame) -> DataFrame:
     """Add ``inv_chol`` (K x D x D) and ``logdet`` (K) from ``covars``; runs once per model row."""
+    from regimekit.session import ship_package
+
+    ship_package(models.sparkSession)
     p = _precision(F.col("covars"))
     return models.withColumn("_prec", p).select("*", "_prec.inv_chol", "_prec.logdet").drop("_prec")
 

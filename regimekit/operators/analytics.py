@@ -148,6 +148,9 @@ def anova_returns(labeled: DataFrame, value: str = "normalized_returns") -> Data
         F.try_divide(F.col("ssw"), F.col("df_within").cast("double")),
     )
     out = out.withColumn("f_stat", f_stat)
+    from regimekit.session import ship_package
+
+    ship_package(labeled.sparkSession)
     return out.withColumn("p_value", f_pvalue(F.col("f_stat"), F.col("df_between"), F.col("df_within")))
 
 

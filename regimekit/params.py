@@ -56,7 +56,7 @@ class FitParams:
     split_seed: int = 13
     entropy_weight: float = 4.0
     min_rows: int = 20
-    seeds_per_task: int = 25
+    seeds_per_task: int = 25  # restarts batched per task (lowered to fit the task memory budget)
     split: str = "chronological"  # chronological | all (in-sample, used by sub-models)
 
 

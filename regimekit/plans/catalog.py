@@ -454,3 +454,66 @@ def q_vol_quantiles(spark, sf_dir):
 @query("vol_spikes")
 def q_vol_spikes(spark, sf_dir):
     return rounded(AN.vol_spikes(features(spark, sf_dir)).select("entity", "ts", "measure", "value"))
+
+
+# ---------------------------------------------------------------- fitted variants (property-checked, no SQL oracle)
+
+from regimekit.params import HierarchicalParams, LayeredParams  # noqa: E402
+from regimekit.plans.variants import HierarchicalModel, LayeredModel, PlainModel, state_labeled  # noqa: E402
+
+FIT = FitParams()  # the reference's settings: 100 restarts, 100 EM iterations, tol 1e-4, entropy weight 4
+
+
+def plain_result(spark, sf_dir, panel_name: str = MAIN_PANEL):
+    return PlainModel(fit_columns(), FIT).fit(features(spark, sf_dir, panel_name))
+
+
+def _fit_summary(fits: DataFrame) -> DataFrame:
+    return rounded(
+        fits.select("entity", "layer", "k", "seed", "status", "n_iter", "train_loglik", "val_loglik", "val_entropy", "score")
+    )
+
+
+@query("hmm_fit")
+def q_hmm_fit(spark, sf_dir):
+    return _fit_summary(plain_result(spark, sf_dir).fits)
+
+
+@query("select_best_model")
+def q_select_best(spark, sf_dir):
+    m = plain_result(spark, sf_dir).models
+    return rounded(m.select("entity", "layer", "k", "seed", "score", "val_entropy"))
+
+
+@query("regimes_plain")
+def q_regimes_plain(spark, sf_dir):
+    return plain_result(spark, sf_dir).states
+
+
+@query("fitted_transitions")
+def q_fitted_transitions(spark, sf_dir):
+    return rounded(plain_result(spark, sf_dir).transitions)
+
+
+@query("fitted_expected_steps")
+def q_fitted_expected_steps(spark, sf_dir):
+    return rounded(plain_result(spark, sf_dir).expected_steps())
+
+
+@query("regimes_layered")
+def q_regimes_layered(spark, sf_dir):
+    res = LayeredModel(fit_columns(), LayeredParams(fit=FIT)).fit(features(spark, sf_dir))
+    return res.states
+
+
+@query("regimes_hierarchical")
+def q_regimes_hierarchical(spark, sf_dir):
+    res = HierarchicalModel(fit_columns(), HierarchicalParams(fit=FIT)).fit(features(spark, sf_dir))
+    return res.states
+
+
+@query("fitted_state_labeled")
+def q_fitted_state_labeled(spark, sf_dir):
+    feats = features(spark, sf_dir)
+    res = PlainModel(fit_columns(), FIT).fit(feats)
+    return rounded(state_labeled(feats, res.states, ["regime_layer0"]))

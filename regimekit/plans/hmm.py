@@ -18,6 +18,7 @@ per (K, chunk of seeds), not once per seed.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 
 from regimekit.plans import hmm_kernels as K
 from regimekit.params import FitParams
+from regimekit.session import ship_package
 
 PARAM_DDL = (
     "startprob ARRAY<DOUBLE>, transmat ARRAY<ARRAY<DOUBLE>>, "
@@ -87,6 +89,43 @@ def train_rows(seq: DataFrame) -> DataFrame:
     return seq.where(F.col("split").isin("train", "all"))
 
 
+# Memory budget for the per-task EM arrays (restarts x states x steps x dims doubles).
+TASK_BYTES = 256 * 1024 * 1024
+
+
+def sequence_stats(seq: DataFrame, keys: list[str]) -> tuple[int, int, int]:
+    """(number of sequences, longest sequence, widest observation): one small aggregate."""
+    row = seq.agg(
+        F.count_distinct(*[F.col(k) for k in keys]).alias("n_seq"),
+        F.max("n").alias("max_n"),
+        F.max(F.size("x")).alias("max_d"),
+    ).first()
+    return int(row["n_seq"] or 0), int(row["max_n"] or 0), int(row["max_d"] or 0)
+
+
+def task_partitions(spark, n_groups: int) -> int:
+    """Partitions for a compute-bound grouped stage: about two per group, capped.
+
+    The rows feeding model fits are few but each group costs seconds of CPU,
+    so the stage must not be coalesced into a handful of tasks (AQE would do
+    that from the shuffle size).  An explicit count on both co-grouped sides
+    keeps them co-partitioned and is left as is by AQE.  The cap keeps the
+    task count sane when there are millions of sequences.
+    """
+    base = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return int(max(1, min(2 * n_groups, 64 * base)))
+
+
+def seeds_per_task(n_restarts: int, max_n: int, max_k: int, max_d: int) -> int:
+    """All restarts of a (sequence, K) in one task unless their arrays exceed ``TASK_BYTES``.
+
+    The EM time loop costs about the same per step for 1 or 100 batched
+    restarts, so packing restarts is nearly free; only memory bounds it.
+    """
+    per_seed = 8 * max(1, max_n) * max(1, max_k) * (max(1, max_d) + 4) * 6
+    return int(max(1, min(n_restarts, TASK_BYTES // per_seed)))
+
+
 # ---------------------------------------------------------------- init (M6)
 
 
@@ -256,10 +295,14 @@ def fit_grid(seq: DataFrame, fit: FitParams = FitParams(), keys: list[str] = ("e
     restarts stay in the output with ``status = 'failed'`` (M8).
     """
     keys = list(keys)
+    ship_package(seq.sparkSession)
     ks = list(ks) if ks is not None else list(range(fit.min_k, fit.max_k + 1))
     seeds = list(seeds) if seeds is not None else list(range(fit.n_restarts))
-    chunks = sorted({s // fit.seeds_per_task for s in seeds})
     seq = seq.where(F.col("n") >= fit.min_rows)
+    n_seq, max_n, max_d = sequence_stats(seq, keys)
+    per_task = min(fit.seeds_per_task, seeds_per_task(len(seeds), max_n, max(ks), max_d))
+    fit = replace(fit, seeds_per_task=per_task)
+    chunks = sorted({s // per_task for s in seeds})
     init = init_models(seq, fit, keys, ks, seeds)
     grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("chunk")) for k in ks for c in chunks]))
     rep = seq.select(*keys, "t", "x", "split", grid.alias("g")).select(*keys, "t", "x", "split", "g.k", "g.chunk")
@@ -270,6 +313,8 @@ def fit_grid(seq: DataFrame, fit: FitParams = FitParams(), keys: list[str] = ("e
     gk = [*keys, "k", "chunk"]
     # both sides descend from ``seq``: fresh column identities keep the co-group unambiguous
     rep, init = rep.toDF(*rep.columns).alias("seq_side"), init.toDF(*init.columns).alias("init_side")
+    parts = task_partitions(seq.sparkSession, n_seq * len(ks) * len(chunks))
+    rep, init = rep.repartition(parts, *gk), init.repartition(parts, *gk)
     return rep.groupBy(*gk).cogroup(init.groupBy(*gk)).applyInPandas(_fit_group(keys, fit), schema)
 
 
@@ -364,10 +409,13 @@ def decode(seq: DataFrame, models: DataFrame, keys: list[str] = ("entity",), wit
     both sides shuffle on the sequence key and no side is broadcast.
     """
     keys = list(keys)
+    ship_package(seq.sparkSession)
     schema = f"{_key_ddl(keys, seq)}, ts TIMESTAMP_NTZ, t INT, raw_state INT, posterior ARRAY<DOUBLE>, loglik DOUBLE"
     m = models.select(*keys, "startprob", "transmat", "means", "covars")
     s = seq.select(*keys, "ts", "t", "x")
     m, s = m.toDF(*m.columns).alias("model_side"), s.toDF(*s.columns).alias("seq_side")
+    parts = task_partitions(seq.sparkSession, sequence_stats(seq, keys)[0])
+    m, s = m.repartition(parts, *keys), s.repartition(parts, *keys)
     return s.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInPandas(_decode_group(keys, with_posterior), schema)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,11 @@ _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    # one BLAS thread per Python worker: tasks already use every core
+    "spark.executorEnv.OMP_NUM_THREADS": "1",
+    "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
+    "spark.executorEnv.MKL_NUM_THREADS": "1",
 }
 
 
@@ -29,9 +35,35 @@ def get_spark(master: str | None = None, app: str = "regimekit", **conf: str) ->
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make ``regimekit`` importable in Python workers (once per SparkContext).
+
+    Grouped Arrow functions are pickled by reference, so executors must be
+    able to import the package; this zips it and adds it like ``--py-files``.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_regimekit_shipped", False):
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="regimekit-pyfiles-")
+    archive = os.path.join(out_dir, "regimekit.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(archive)
+    sc._regimekit_shipped = True
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder, setting one only when none is configured.
 
@@ -51,14 +83,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` to the reliable checkpoint folder and return it.
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a parquet table under the shared checkpoint folder and read it back.
 
-    Used between iterative stages (layers, EM rounds) so that a lost executor
-    recomputes from the checkpoint, not from the raw scan.
+    Used between stages (panel, fits, layers) so that a lost executor
+    recomputes from the written table, not from the raw scan.  Unlike an RDD
+    checkpoint this computes the plan once, and the table carries size
+    statistics the planner uses for later joins.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = checkpoint_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:
