@@ -199,7 +199,12 @@ def q_features_weekly(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features(spark, sf_dir, "flag_week"))
+    """Weekly return-flag panel -> features -> plain regime model -> state-labelled table."""
+    from regimekit.plans.variants import PlainModel, state_labeled
+
+    feats = features(spark, sf_dir, "flag_week")
+    res = PlainModel(FeatureParams().feature_columns, FitParams()).fit(feats)
+    return rounded(state_labeled(feats, res.states, ["regime_layer0"]))
 
 
 # ---------------------------------------------------------------- given-model decode and analytics
