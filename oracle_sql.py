@@ -32,12 +32,14 @@ def panel_ctes(spec: PanelSpec) -> list[tuple[str, str]]:
             f"FROM {spec.table}"
         )
     bucket = f"CAST(date_trunc('{spec.period}', raw_ts) AS TIMESTAMP)"
+    # exact decimal sums (values carry 2 decimals), then one double division
+    mean = f"CAST(sum(CAST(value AS DECIMAL(18,{spec.value_scale}))) AS DOUBLE) / count(value)"
     return [
         ("obs", f"SELECT * FROM ({src}) WHERE entity IS NOT NULL AND raw_ts IS NOT NULL"),
         (
             "prices",
-            f"SELECT entity, {bucket} AS ts, avg(value) AS price FROM obs GROUP BY 1, 2 "
-            f"UNION ALL SELECT '{spec.proxy}' AS entity, {bucket} AS ts, avg(value) AS price FROM obs GROUP BY 2",
+            f"SELECT entity, {bucket} AS ts, {mean} AS price FROM obs GROUP BY 1, 2 "
+            f"UNION ALL SELECT '{spec.proxy}' AS entity, {bucket} AS ts, {mean} AS price FROM obs GROUP BY 2",
         ),
     ]
 
@@ -527,3 +529,56 @@ ORACLES["vol_spikes"] = with_ctes(
     f"(PARTITION BY entity, measure) AS thr FROM ({_unpivot('features', 'entity, ts')}) WHERE value IS NOT NULL) "
     "WHERE value > thr",
 )
+
+
+# ---------------------------------------------------------------- remaining inventory
+
+_POST = (
+    "SELECT e.entity, e.ts, e.t, e.x, f.a0 * b.z0 / (f.a0 * b.z0 + f.a1 * b.z1) AS g0, "
+    "f.a1 * b.z1 / (f.a0 * b.z0 + f.a1 * b.z1) AS g1 "
+    "FROM em e JOIN fwd f ON e.entity = f.entity AND e.t = f.t JOIN bwd b ON e.entity = b.entity AND e.t = b.t"
+)
+ORACLES["available_layers"] = _given(
+    "SELECT DISTINCT entity, 'regime_layer0' AS layer FROM em UNION SELECT DISTINCT entity, 'sub_level_state' FROM em"
+)
+ORACLES["layered_features"] = _given(
+    f"SELECT entity, ts, {rnd('x', 'x1_0')}, {rnd('g0', 'x1_1')}, {rnd('g1', 'x1_2')} FROM ({_POST})"
+)
+ORACLES["sub_partition"] = _given(
+    "SELECT entity, raw_state AS top_state, count(*) AS n_rows, count(*) >= 10 AS fit_sub FROM states GROUP BY 1, 2"
+)
+
+
+def _em_step_sql() -> str:
+    a = [[D(G_A[i][j]) for j in range(2)] for i in range(2)]
+    xi_cols = ", ".join(
+        f"p.a{i} * {a[i][j]} * e.b{j} * b.z{j} / f.c AS x{i}{j}" for i in range(2) for j in range(2)
+    )
+    xi = (
+        f"SELECT e.entity, {xi_cols} FROM emx e JOIN fwd p ON p.entity = e.entity AND p.t = e.t - 1 "
+        "JOIN bwd b ON b.entity = e.entity AND b.t = e.t JOIN fwd f ON f.entity = e.entity AND f.t = e.t"
+    )
+    trans = ", ".join(
+        rnd(f"sum(x{i}{j}) / (sum(x{i}0) + sum(x{i}1))", f"a_{i}{j}") for i in range(2) for j in range(2)
+    )
+    return _given(
+        "SELECT s.entity, "
+        + ", ".join(rnd(f"s.p{i}", f"pi_{i}") for i in range(2))
+        + ", "
+        + ", ".join(rnd(f"x.a_{i}{j}", f"a_{i}{j}") for i in range(2) for j in range(2))
+        + ", "
+        + ", ".join(rnd(f"s.mu{i}", f"mu_{i}") for i in range(2))
+        + ", "
+        + ", ".join(rnd(f"v.var{i}", f"var_{i}") for i in range(2))
+        + f" FROM (SELECT entity, sum(g0 * x) / sum(g0) AS mu0, sum(g1 * x) / sum(g1) AS mu1, "
+        "max(CASE WHEN t = 1 THEN g0 END) AS p0, max(CASE WHEN t = 1 THEN g1 END) AS p1 "
+        f"FROM ({_POST}) GROUP BY entity) s "
+        f"JOIN (SELECT entity, {trans.replace(', round', ', round')} FROM ({xi}) GROUP BY entity) x ON s.entity = x.entity "
+        "JOIN (SELECT q.entity, sum(q.g0 * (q.x - m.mu0) * (q.x - m.mu0)) / sum(q.g0) AS var0, "
+        "sum(q.g1 * (q.x - m.mu1) * (q.x - m.mu1)) / sum(q.g1) AS var1 "
+        f"FROM ({_POST}) q JOIN (SELECT entity, sum(g0 * x) / sum(g0) AS mu0, sum(g1 * x) / sum(g1) AS mu1 "
+        f"FROM ({_POST}) GROUP BY entity) m ON q.entity = m.entity GROUP BY q.entity) v ON s.entity = v.entity"
+    )
+
+
+ORACLES["hmm_em_step"] = _em_step_sql()

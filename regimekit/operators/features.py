@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regimekit.functions.scalar import safe_log_ratio
-from regimekit.operators.panel import date_filter, log_returns
+from regimekit.operators.panel import date_filter, log_returns, materialize_panel
 from regimekit.params import FeatureParams
 
 
@@ -129,8 +129,8 @@ def build_features(prices: DataFrame, params: FeatureParams = FeatureParams(), p
         raise ValueError(f"Unknown normalization method: {params.vol_norm}")
     if params.proxy_mode not in PROXY_MODES:
         raise ValueError(f"Unknown processing type: {params.proxy_mode}")
-    prices = date_filter(prices, params.start, params.end)
-    returns = log_returns(prices)
+    prices = materialize_panel(date_filter(prices, params.start, params.end))
+    returns = log_returns(prices, materialize=False)
     if not params.model_proxy:
         returns = returns.where(F.col("entity") != proxy_entity)
     feats = normalize_vols(rolling_vol(normalized_returns(returns), params.vol_windows), params.vol_windows, params.vol_norm)

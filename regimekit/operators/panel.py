@@ -98,8 +98,22 @@ def semi_join_calendar(df: DataFrame, calendar: DataFrame, max_rows: int = CALEN
     return df.join(side, "ts", "left_semi")
 
 
-def log_returns(prices: DataFrame, check_size: bool = True) -> DataFrame:
+def materialize_panel(prices: DataFrame) -> DataFrame:
+    """Write the (small) panel once to the shared checkpoint folder and read it back.
+
+    The panel is ``entities x periods`` rows; every later step (calendar,
+    returns, proxy, size checks) reads this table instead of re-scanning and
+    re-aggregating the raw fact table.
+    """
+    from regimekit.session import cut_lineage
+
+    return cut_lineage(prices, "panel")
+
+
+def log_returns(prices: DataFrame, check_size: bool = True, materialize: bool = True) -> DataFrame:
     """W1 + P2: ``(entity, ts, ret)`` on kept timestamps only."""
+    if materialize:
+        prices = materialize_panel(prices)
     base = with_prev(prices)
     kept = kept_calendar(prices)
     if check_size:

@@ -20,6 +20,9 @@ class PanelSpec:
     period: str
     dim: tuple[str, str, str] | None = None
     proxy: str = "^MKT"
+    # Decimal places of ``value``: sums are exact decimals, so a bar's average is
+    # the correctly rounded quotient whatever the partitioning; None = double sums.
+    value_scale: int | None = 2
 
 
 @dataclass(frozen=True)

@@ -228,7 +228,9 @@ LL_DIGITS = 4
 
 
 def given_decode(spark, sf_dir, panel_name: str = MAIN_PANEL):
-    feats = features(spark, sf_dir, panel_name)
+    from regimekit.session import cut_lineage
+
+    feats = cut_lineage(features(spark, sf_dir, panel_name), "features")
     seq = H.sequences(feats, [GIVEN_FEATURE])
     models = attach_model(feats, GIVEN)
     states = H.decode(seq, models)
@@ -522,3 +524,73 @@ def q_fitted_state_labeled(spark, sf_dir):
     feats = features(spark, sf_dir)
     res = PlainModel(fit_columns(), FIT).fit(feats)
     return rounded(state_labeled(feats, res.states, ["regime_layer0"]))
+
+
+# ---------------------------------------------------------------- remaining operators of the inventory
+
+
+@query("train_val_split_shuffled")
+def q_split_shuffled(spark, sf_dir):
+    seq = H.sequences(features(spark, sf_dir), [GIVEN_FEATURE], FitParams(shuffle=True))
+    return seq.select("entity", "ts", "t", F.col("n").cast("bigint").alias("n"), "split")
+
+
+def _given_rowwise(spark, sf_dir) -> DataFrame:
+    feats, seq, models, states = given_decode(spark, sf_dir)
+    pm = HX.with_precision(models)
+    j = seq.join(pm, "entity")
+    st = HX.rowwise_state(F.col("x"), F.col("startprob"), F.col("means"), F.col("inv_chol"), F.col("logdet"))
+    return j.select("entity", "ts", st.alias("state"))
+
+
+@query("available_layers")
+def q_available_layers(spark, sf_dir):
+    """P10 on a long states table holding a sequence decode and a row-wise decode."""
+    _, _, _, states = given_decode(spark, sf_dir)
+    long = states.select("entity", "ts", F.lit("regime_layer0").alias("layer"), F.col("raw_state").alias("state"))
+    long = long.unionByName(_given_rowwise(spark, sf_dir).withColumn("layer", F.lit("sub_level_state")))
+    return AN.available_layers(long)
+
+
+@query("layered_features")
+def q_layered_features(spark, sf_dir):
+    """Input of the next layer = original observation ++ posterior of this layer."""
+    _, seq, _, states = given_decode(spark, sf_dir)
+    nxt = seq.join(states.select("entity", "t", "posterior"), ["entity", "t"]).select(
+        "entity", "ts", F.concat("x", "posterior").alias("x1")
+    )
+    return rounded(nxt.select("entity", "ts", *[F.col("x1")[i].alias(f"x1_{i}") for i in range(1 + GIVEN.k)]))
+
+
+@query("sub_partition")
+def q_sub_partition(spark, sf_dir):
+    """Rows per (entity, top state) and whether the sub-model may be fitted (>= 10 rows)."""
+    _, _, _, states = given_decode(spark, sf_dir)
+    rows = states.select("entity", F.col("raw_state").alias("top_state"))
+    seq = rows.groupBy("entity", "top_state").agg(F.count("*").cast("bigint").alias("n_rows"))
+    return seq.withColumn("fit_sub", F.col("n_rows") >= 10)
+
+
+@query("hmm_em_step")
+def q_em_step(spark, sf_dir):
+    """M5: one Baum-Welch step from the given model on each whole sequence."""
+    from regimekit.plans import hmm_kernels as KN
+
+    feats, seq, models, _ = given_decode(spark, sf_dir)
+    one = FitParams(max_iter=1, split="all", min_rows=1, tol=-1.0)
+    init = models.select("entity", "k", "seed", F.lit(0).alias("chunk"), "startprob", "transmat", "means", "covars")
+    fits = H.fit_from_init(seq.withColumn("split", F.lit("all")), init, one, ["entity"])
+    return rounded(
+        fits.select(
+            "entity",
+            *[F.col("startprob")[i].alias(f"pi_{i}") for i in range(2)],
+            *[F.col("transmat")[i][j].alias(f"a_{i}{j}") for i in range(2) for j in range(2)],
+            *[F.col("means")[i][0].alias(f"mu_{i}") for i in range(2)],
+            *[F.col("covars")[i][0][0].alias(f"var_{i}") for i in range(2)],
+        )
+    )
+
+
+@query("best_score")
+def q_best_score(spark, sf_dir):
+    return rounded(plain_result(spark, sf_dir).best_score())

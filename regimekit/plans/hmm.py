@@ -304,7 +304,29 @@ def fit_grid(seq: DataFrame, fit: FitParams = FitParams(), keys: list[str] = ("e
     fit = replace(fit, seeds_per_task=per_task)
     chunks = sorted({s // per_task for s in seeds})
     init = init_models(seq, fit, keys, ks, seeds)
-    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("chunk")) for k in ks for c in chunks]))
+    return fit_from_init(seq, init, fit, keys, n_seq=n_seq, cells=[(k, c) for k in ks for c in chunks])
+
+
+def fit_from_init(
+    seq: DataFrame,
+    init: DataFrame,
+    fit: FitParams,
+    keys: list[str] = ("entity",),
+    n_seq: int | None = None,
+    cells: list[tuple[int, int]] | None = None,
+) -> DataFrame:
+    """M5: run EM from given start parameters ``init`` (keys, k, seed, chunk, parameters).
+
+    ``cells`` lists the (K, seed chunk) pairs; each sequence is replicated once per cell.
+    """
+    keys = list(keys)
+    ship_package(seq.sparkSession)
+    if n_seq is None:
+        n_seq = sequence_stats(seq, keys)[0]
+    kc = cells if cells is not None else [
+        (r["k"], r["chunk"]) for r in init.select("k", "chunk").distinct().collect()  # a handful of cells
+    ]
+    grid = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("chunk")) for k, c in sorted(kc)]))
     rep = seq.select(*keys, "t", "x", "split", grid.alias("g")).select(*keys, "t", "x", "split", "g.k", "g.chunk")
     schema = (
         f"{_key_ddl(keys, seq)}, k INT, seed INT, d INT, {PARAM_DDL}, cov_type STRING, train_loglik DOUBLE, "
@@ -313,7 +335,7 @@ def fit_grid(seq: DataFrame, fit: FitParams = FitParams(), keys: list[str] = ("e
     gk = [*keys, "k", "chunk"]
     # both sides descend from ``seq``: fresh column identities keep the co-group unambiguous
     rep, init = rep.toDF(*rep.columns).alias("seq_side"), init.toDF(*init.columns).alias("init_side")
-    parts = task_partitions(seq.sparkSession, n_seq * len(ks) * len(chunks))
+    parts = task_partitions(seq.sparkSession, n_seq * len(kc))
     rep, init = rep.repartition(parts, *gk), init.repartition(parts, *gk)
     return rep.groupBy(*gk).cogroup(init.groupBy(*gk)).applyInPandas(_fit_group(keys, fit), schema)
 

@@ -13,6 +13,7 @@ only at the sink (``state_labeled``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
@@ -55,6 +56,13 @@ def _fit_select(seq: DataFrame, fit: FitParams, metric, keys) -> tuple[DataFrame
     return fits, H.select_best(fits, keys)
 
 
+Splitter = Callable[[DataFrame], DataFrame]  # X2: sequences -> sequences with a ``split`` column
+
+
+def _split(seq: DataFrame, splitter: Splitter | None) -> DataFrame:
+    return splitter(seq) if splitter is not None else seq
+
+
 def _tag(df: DataFrame, layer: str) -> DataFrame:
     return df.withColumn("layer", F.lit(layer))
 
@@ -64,12 +72,12 @@ class PlainModel:
 
     name = "HMMModel"
 
-    def __init__(self, feature_cols: list[str], fit: FitParams = FitParams(), metric=None):
-        self.cols, self.fit_params = list(feature_cols), fit
+    def __init__(self, feature_cols: list[str], fit: FitParams = FitParams(), metric=None, splitter: Splitter | None = None):
+        self.cols, self.fit_params, self.splitter = list(feature_cols), fit, splitter
         self.metric = metric or H.entropy_score(fit.entropy_weight)
 
     def fit(self, features: DataFrame) -> RegimeResult:
-        seq = cut_lineage(H.sequences(features, self.cols, self.fit_params))
+        seq = cut_lineage(_split(H.sequences(features, self.cols, self.fit_params), self.splitter))
         fits, best = _fit_select(seq, self.fit_params, self.metric, ["entity"])
         decoded = H.decode(seq, best, with_posterior=False)
         states = H.relabel(decoded, seq, best).select("entity", "ts", "raw_state", "state")
@@ -88,12 +96,13 @@ class LayeredModel:
 
     name = "LayeredHMMModel"
 
-    def __init__(self, feature_cols: list[str], params: LayeredParams = LayeredParams(), metric=None):
-        self.cols, self.params = list(feature_cols), params
+    def __init__(self, feature_cols: list[str], params: LayeredParams = LayeredParams(), metric=None,
+                 splitter: Splitter | None = None):
+        self.cols, self.params, self.splitter = list(feature_cols), params, splitter
         self.metric = metric or H.entropy_score(params.fit.entropy_weight)
 
     def fit(self, features: DataFrame) -> RegimeResult:
-        base = cut_lineage(H.sequences(features, self.cols, self.params.fit))
+        base = cut_lineage(_split(H.sequences(features, self.cols, self.params.fit), self.splitter))
         seq = base
         all_fits, all_models, all_states, all_trans = [], [], [], []
         n_layers = len(self.params.layers)
@@ -122,13 +131,14 @@ class HierarchicalModel:
 
     name = "HierarchicalHMMModel"
 
-    def __init__(self, feature_cols: list[str], params: HierarchicalParams = HierarchicalParams(), metric=None):
-        self.cols, self.params = list(feature_cols), params
+    def __init__(self, feature_cols: list[str], params: HierarchicalParams = HierarchicalParams(), metric=None,
+                 splitter: Splitter | None = None):
+        self.cols, self.params, self.splitter = list(feature_cols), params, splitter
         self.metric = metric or H.entropy_score(params.fit.entropy_weight)
 
     def fit(self, features: DataFrame) -> RegimeResult:
         p = self.params
-        seq = cut_lineage(H.sequences(features, self.cols, p.fit))
+        seq = cut_lineage(_split(H.sequences(features, self.cols, p.fit), self.splitter))
         top_fit = _layer_fit(p.fit, p.top)
         top_fits, top_best = _fit_select(seq, top_fit, self.metric, ["entity"])
         top_states = cut_lineage(H.decode(seq, top_best, with_posterior=False).select("entity", "ts", "t", "raw_state"))

@@ -75,21 +75,29 @@ def price_bars(obs: DataFrame, period: str, how: str = "avg") -> DataFrame:
 
 
 def price_panel(spark: SparkSession, sf_dir: str, spec: PanelSpec | str, how: str = "avg") -> DataFrame:
-    """Long panel of all entities plus the market proxy (average over every row of the period)."""
+    """Long panel of all entities plus the market proxy (the same statistic over every row of the period).
+
+    One scan and one shuffle: each (entity, period) bar keeps its partial
+    sum and count (or its last value); the proxy is re-aggregated from those
+    bars, i.e. from ``entities x periods`` rows instead of the raw rows.
+    """
     if isinstance(spec, str):
         spec = PANELS[spec]
     obs = observations(spark, sf_dir, spec)
-    bars = price_bars(obs, spec.period, how)
+    bucket = period_start("raw_ts", spec.period).alias("ts")
     if how == "avg":
-        proxy_agg = F.avg("value")
+        v = F.col("value") if spec.value_scale is None else F.col("value").cast(f"decimal(18,{spec.value_scale})")
+        bars = obs.groupBy("entity", bucket).agg(F.sum(v).alias("_s"), F.count("value").alias("_c"))
+        ent = bars.select("entity", "ts", (F.col("_s").cast("double") / F.col("_c")).alias("price"))
+        proxy = bars.groupBy("ts").agg((F.sum("_s").cast("double") / F.sum("_c")).alias("price"))
+    elif how == "last":
+        last = F.max(F.struct("raw_ts", "value")).alias("_last")
+        bars = obs.groupBy("entity", bucket).agg(last)
+        ent = bars.select("entity", "ts", F.col("_last.value").alias("price"))
+        proxy = bars.groupBy("ts").agg(F.max("_last").alias("_last")).select("ts", F.col("_last.value").alias("price"))
     else:
-        proxy_agg = F.max_by("value", F.struct("raw_ts", "value"))
-    proxy = (
-        obs.groupBy(period_start("raw_ts", spec.period).alias("ts"))
-        .agg(proxy_agg.alias("price"))
-        .select(F.lit(spec.proxy).alias("entity"), "ts", "price")
-    )
-    return bars.unionByName(proxy)
+        raise ValueError(f"unknown bar aggregation: {how}")
+    return ent.unionByName(proxy.select(F.lit(spec.proxy).alias("entity"), "ts", "price"))
 
 
 def lookback_filter(prices: DataFrame, interval: str) -> DataFrame:

@@ -129,3 +129,19 @@ def test_transitions_and_expected_steps(spark):
     # golden: plain AAPL matrix of the reference results -> 66.249, 86.155
     assert steps[0] == pytest.approx(66.249, abs=1e-3)
     assert steps[1] == pytest.approx(86.155, abs=1e-3)
+
+
+def test_custom_metric_and_splitter(spark):
+    df = _synthetic(spark, n_entities=1, T=200, seed=9)
+
+    def last_half(seq):  # X2: train on the first half only
+        return seq.withColumn("split", F.when(F.col("t") <= F.col("n") / 2, "train").otherwise("validate"))
+
+    fit = FitParams(min_k=2, max_k=3, n_restarts=2, max_iter=30, seeds_per_task=2)
+    res = PlainModel(["f1"], fit, metric=H.neg_bic, splitter=last_half).fit(df)  # E4: BIC, negated
+    fits = res.fits.toPandas()
+    assert set(fits["n_val"]) == {100}
+    bic = -2 * fits["val_loglik"] + (fits["k"] * 1 + fits["k"] * 1 + fits["k"] * (fits["k"] - 1) + fits["k"] - 1) * np.log(100)
+    assert np.allclose(-bic, fits["score"])
+    best = res.models.first()
+    assert best["score"] == fits["score"].max()
