@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+The system this package re-implements has no stream source, watermark, time
+window, session or stateful operator; its only time logic is a batch date
+filter and row windows.  Every operator here is a batch DataFrame function,
+so nothing is built in this package.
+"""
