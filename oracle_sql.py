@@ -582,3 +582,8 @@ def _em_step_sql() -> str:
 
 
 ORACLES["hmm_em_step"] = _em_step_sql()
+
+# the chunk-parallel decode must reproduce the one-task decode exactly
+ORACLES["hmm_viterbi_chunked"] = ORACLES["hmm_viterbi"]
+ORACLES["hmm_posterior_chunked"] = ORACLES["hmm_posterior"]
+ORACLES["hmm_score_chunked"] = ORACLES["hmm_score"]

@@ -594,3 +594,35 @@ def q_em_step(spark, sf_dir):
 @query("best_score")
 def q_best_score(spark, sf_dir):
     return rounded(plain_result(spark, sf_dir).best_score())
+
+
+# chunk-parallel decode of long sequences: same results as the one-task decode (checked with the same oracles)
+CHUNK_LEN = 97
+
+
+@query("hmm_viterbi_chunked")
+def q_viterbi_chunked(spark, sf_dir):
+    from regimekit.plans.chunked import decode_chunked
+
+    _, seq, models, _ = given_decode(spark, sf_dir)
+    return decode_chunked(seq, models, chunk_len=CHUNK_LEN).select("entity", "ts", "raw_state")
+
+
+@query("hmm_posterior_chunked")
+def q_posterior_chunked(spark, sf_dir):
+    from regimekit.plans.chunked import decode_chunked
+
+    _, seq, models, _ = given_decode(spark, sf_dir)
+    st = decode_chunked(seq, models, chunk_len=CHUNK_LEN)
+    return rounded(st.select("entity", "ts", F.col("posterior")[0].alias("post_0"), F.col("posterior")[1].alias("post_1")))
+
+
+@query("hmm_score_chunked")
+def q_score_chunked(spark, sf_dir):
+    from regimekit.plans.chunked import decode_chunked
+
+    _, seq, models, _ = given_decode(spark, sf_dir)
+    st = decode_chunked(seq, models, chunk_len=CHUNK_LEN)
+    return st.groupBy("entity").agg(
+        F.round(F.first("loglik"), LL_DIGITS).alias("loglik"), F.count("*").cast("bigint").alias("n")
+    )

@@ -424,19 +424,31 @@ def _decode_group(keys: list[str], with_posterior: bool):
     return run
 
 
+# Sequences longer than this are decoded chunk-parallel (plans/chunked.py).
+LONG_SEQUENCE = 100_000
+DECODE_CHUNK = 10_000
+
+
 def decode(seq: DataFrame, models: DataFrame, keys: list[str] = ("entity",), with_posterior: bool = True) -> DataFrame:
     """M2-M4 on the whole sequence: Viterbi state, posterior and log-likelihood per step.
 
     The model table (one row per sequence) is co-grouped with the sequence, so
-    both sides shuffle on the sequence key and no side is broadcast.
+    both sides shuffle on the sequence key and no side is broadcast.  When a
+    sequence is longer than ``LONG_SEQUENCE`` steps the decode runs over time
+    chunks in separate tasks instead (same results).
     """
     keys = list(keys)
     ship_package(seq.sparkSession)
+    n_seq, max_n, _ = sequence_stats(seq, keys)
+    if max_n > LONG_SEQUENCE:
+        from regimekit.plans.chunked import decode_chunked
+
+        return decode_chunked(seq, models, keys, DECODE_CHUNK)
     schema = f"{_key_ddl(keys, seq)}, ts TIMESTAMP_NTZ, t INT, raw_state INT, posterior ARRAY<DOUBLE>, loglik DOUBLE"
     m = models.select(*keys, "startprob", "transmat", "means", "covars")
     s = seq.select(*keys, "ts", "t", "x")
     m, s = m.toDF(*m.columns).alias("model_side"), s.toDF(*s.columns).alias("seq_side")
-    parts = task_partitions(seq.sparkSession, sequence_stats(seq, keys)[0])
+    parts = task_partitions(seq.sparkSession, n_seq)
     m, s = m.repartition(parts, *keys), s.repartition(parts, *keys)
     return s.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInPandas(_decode_group(keys, with_posterior), schema)
 

@@ -145,3 +145,19 @@ def test_custom_metric_and_splitter(spark):
     assert np.allclose(-bic, fits["score"])
     best = res.models.first()
     assert best["score"] == fits["score"].max()
+
+
+@pytest.mark.parametrize("chunk_len", [1, 13, 1000])
+def test_chunked_decode_equals_single_task(spark, chunk_len):
+    from regimekit.plans.chunked import decode_chunked
+
+    df = _synthetic(spark, n_entities=2, T=150, seed=6)
+    seq = H.sequences(df, ["f1", "f2"])
+    model = GivenModel((0.6, 0.4), ((0.9, 0.1), (0.2, 0.8)), ((0.0, 0.0), (0.5, 0.5)),
+                       (((1.0, 0.2), (0.2, 1.0)), ((25.0, 0.0), (0.0, 25.0))))
+    models = attach_model(df, model)
+    a = H.decode(seq, models).toPandas().sort_values(["entity", "t"])
+    b = decode_chunked(seq, models, chunk_len=chunk_len).toPandas().sort_values(["entity", "t"])
+    assert (a["raw_state"].to_numpy() == b["raw_state"].to_numpy()).all()
+    assert np.abs(np.stack(a["posterior"].to_numpy()) - np.stack(b["posterior"].to_numpy())).max() < 1e-12
+    assert np.abs(a["loglik"].to_numpy() - b["loglik"].to_numpy()).max() < 1e-8
