@@ -89,8 +89,8 @@ def train_rows(seq: DataFrame) -> DataFrame:
     return seq.where(F.col("split").isin("train", "all"))
 
 
-# Memory budget for the per-task EM arrays (restarts x states x steps x dims doubles).
-TASK_BYTES = 256 * 1024 * 1024
+# Memory budget for the per-task EM arrays (models x states x steps x dims doubles).
+TASK_BYTES = 512 * 1024 * 1024
 
 
 def sequence_stats(seq: DataFrame, keys: list[str]) -> tuple[int, int, int]:
@@ -103,6 +103,21 @@ def sequence_stats(seq: DataFrame, keys: list[str]) -> tuple[int, int, int]:
     return int(row["n_seq"] or 0), int(row["max_n"] or 0), int(row["max_d"] or 0)
 
 
+def sequence_buckets(seq: DataFrame, keys: list[str], n_buckets: int) -> DataFrame:
+    """``(keys, bucket)``: sequences dealt round-robin into ``n_buckets`` equal buckets.
+
+    A dense index from ``zipWithIndex`` (per-partition counts + offsets; no
+    single-partition window) gives buckets whose sizes differ by at most one,
+    so the CPU-heavy fit tasks are balanced.
+    """
+    from pyspark.sql import types as T
+
+    distinct = seq.select(*keys).distinct()
+    schema = T.StructType([*distinct.schema.fields, T.StructField("bucket", T.IntegerType())])
+    rdd = distinct.rdd.zipWithIndex().map(lambda r: (*r[0], int(r[1] % n_buckets)))
+    return seq.sparkSession.createDataFrame(rdd, schema)
+
+
 def task_partitions(spark, n_groups: int) -> int:
     """Partitions for a compute-bound grouped stage: about two per group, capped.
 
@@ -224,70 +239,108 @@ def _to_diag(cov: np.ndarray) -> np.ndarray:
 
 
 def _fit_group(keys: list[str], fit: FitParams):
+    """Arrow task: EM for every (sequence, seed) of one bucket and one (K, seed chunk) cell.
+
+    Several sequences may share the task; they are padded to a common length
+    and masked, so all their restarts advance through one time loop.
+    """
     cov_type = fit.covariance_type
 
     def run(seq_pdf: pd.DataFrame, init_pdf: pd.DataFrame) -> pd.DataFrame:
         if seq_pdf.empty or init_pdf.empty:
             return pd.DataFrame(columns=[*keys, "k", "seed"])
-        seq_pdf = seq_pdf.sort_values("t")
-        X_all = np.stack(seq_pdf["x"].to_numpy()).astype(float)
-        split = seq_pdf["split"].to_numpy()
-        X_tr = X_all[np.isin(split, ["train", "all"])]
-        X_va = X_all[np.isin(split, ["validate", "all"])]
-        init_pdf = init_pdf.sort_values("seed")
-        sp = _stack(init_pdf["startprob"])
-        tm = _stack(init_pdf["transmat"])
-        mu = _stack(init_pdf["means"])
-        cv = np.stack([np.stack([np.stack(list(m)) for m in c]) for c in init_pdf["covars"]])
-        if cov_type == "diag":
-            cv = _to_diag(cv)
-        S, k = sp.shape
-        d = X_all.shape[1]
-        with np.errstate(all="ignore"):
-            sp, tm, mu, cv, ll, n_iter, status, error = K.em_fit(
-                X_tr, sp, tm, mu, cv, fit.max_iter, fit.tol, fit.min_covar, cov_type, fit.init_params
-            )
-            val_ll = np.full(S, np.nan)
-            entropy = np.full(S, np.nan)
-            good = np.flatnonzero(status != "failed")
-            if good.size and len(X_va):
-                try:
-                    logB = K.log_density(X_va, mu[good], cv[good], cov_type)
-                    val_ll[good] = K.forward(logB, sp[good], tm[good])[0]
-                    path, _ = K.viterbi(logB, sp[good], tm[good])
-                    for i, g in enumerate(good):
-                        p = np.bincount(path[i], minlength=k) / len(X_va)
-                        entropy[g] = float(-np.sum(p * np.log(p + 1e-10)))
-                except np.linalg.LinAlgError as exc:
-                    status[good] = "failed"
-                    error[good] = str(exc)
-        cv_full = K.full_covars(cv, cov_type)
-        out = pd.DataFrame(
-            {
-                "k": np.full(S, k, dtype=np.int32),
-                "seed": init_pdf["seed"].to_numpy().astype(np.int32),
-                "d": np.full(S, d, dtype=np.int32),
-                "startprob": list(sp.tolist()),
-                "transmat": list(tm.tolist()),
-                "means": list(mu.tolist()),
-                "covars": list(cv_full.tolist()),
-                "cov_type": cov_type,
-                "train_loglik": ll,
-                "n_iter": n_iter.astype(np.int32),
-                "status": status.astype(str),
-                "error": error.astype(str),
-                "val_loglik": val_ll,
-                "n_val": np.full(S, len(X_va), dtype=np.int32),
-                "val_entropy": entropy,
-            }
-        )
-        for key in reversed(keys):
-            out.insert(0, key, seq_pdf[key].iloc[0])
-        return out
+        seq_pdf = seq_pdf.sort_values([*keys, "t"])
+        data = {}
+        for key, g in seq_pdf.groupby(keys, sort=False):
+            key = key if isinstance(key, tuple) else (key,)
+            X = np.stack(g["x"].to_numpy()).astype(float)
+            split = g["split"].to_numpy()
+            data[key] = (X[np.isin(split, ["train", "all"])], X[np.isin(split, ["validate", "all"])])
+        init_pdf = init_pdf.sort_values([*keys, "seed"]).reset_index(drop=True)
+        init_keys = [tuple(r) for r in init_pdf[keys].itertuples(index=False, name=None)]
+        init_pdf = init_pdf[[k in data for k in init_keys]].reset_index(drop=True)
+        init_keys = [k for k in init_keys if k in data]
+        widths = np.array([data[k][0].shape[1] for k in init_keys])
+        frames = []
+        for d in sorted(set(widths.tolist())):
+            rows = np.flatnonzero(widths == d)
+            frames.append(_fit_batch(init_pdf.iloc[rows], [init_keys[i] for i in rows], data, keys, fit, cov_type))
+        return pd.concat(frames, ignore_index=True)
 
     return run
 
 
+def _pad(seqs: list[np.ndarray]):
+    """Stack sequences as (S, T_max, D) with their lengths; a shared one stays 2-D (no copy)."""
+    lengths = np.array([len(x) for x in seqs])
+    if all(x is seqs[0] for x in seqs):
+        return seqs[0], None, lengths
+    out = np.zeros((len(seqs), int(lengths.max()), seqs[0].shape[1]))
+    for i, x in enumerate(seqs):
+        out[i, : len(x)] = x
+    return out, lengths, lengths
+
+
+def _fit_batch(init_pdf, model_keys, data, keys, fit: FitParams, cov_type: str) -> pd.DataFrame:
+    sp = _stack(init_pdf["startprob"])
+    tm = _stack(init_pdf["transmat"])
+    mu = _stack(init_pdf["means"])
+    cv = np.stack([np.stack([np.stack(list(m)) for m in c]) for c in init_pdf["covars"]])
+    if cov_type == "diag":
+        cv = _to_diag(cv)
+    S, k = sp.shape
+    X_tr, len_tr, _ = _pad([data[key][0] for key in model_keys])
+    X_va, len_va, n_va = _pad([data[key][1] for key in model_keys])
+    d = X_tr.shape[-1]
+    with np.errstate(all="ignore"):
+        sp, tm, mu, cv, ll, n_iter, status, error = K.em_fit(
+            X_tr, sp, tm, mu, cv, fit.max_iter, fit.tol, fit.min_covar, cov_type, fit.init_params, lengths=len_tr
+        )
+        val_ll = np.full(S, np.nan)
+        entropy = np.full(S, np.nan)
+        good = np.flatnonzero(status != "failed")
+        if good.size and n_va.max() > 0:
+            try:
+                Xg = X_va if X_va.ndim == 2 else X_va[good]
+                logB = K.log_density(Xg, mu[good], cv[good], cov_type)
+                valid = None
+                if len_va is not None:
+                    valid = np.arange(X_va.shape[1])[None, :] < len_va[good][:, None]
+                    logB = np.where(valid[:, :, None], logB, 0.0)
+                val_ll[good] = K.forward(logB, sp[good], tm[good])[0]
+                path, _ = K.viterbi(logB, sp[good], tm[good], valid)
+                for i, g in enumerate(good):
+                    n = int(n_va[g])
+                    p = np.bincount(path[i, :n], minlength=k) / max(n, 1)
+                    entropy[g] = float(-np.sum(p * np.log(p + 1e-10)))
+            except np.linalg.LinAlgError as exc:
+                status[good] = "failed"
+                error[good] = str(exc)
+    cv_full = K.full_covars(cv, cov_type)
+    out = pd.DataFrame(
+        {
+            "k": np.full(S, k, dtype=np.int32),
+            "seed": init_pdf["seed"].to_numpy().astype(np.int32),
+            "d": np.full(S, d, dtype=np.int32),
+            "startprob": list(sp.tolist()),
+            "transmat": list(tm.tolist()),
+            "means": list(mu.tolist()),
+            "covars": list(cv_full.tolist()),
+            "cov_type": cov_type,
+            "train_loglik": ll,
+            "n_iter": n_iter.astype(np.int32),
+            "status": status.astype(str),
+            "error": error.astype(str),
+            "val_loglik": val_ll,
+            "n_val": n_va.astype(np.int32),
+            "val_entropy": entropy,
+        }
+    )
+    for pos, key in enumerate(keys):
+        out.insert(pos, key, [mk[pos] for mk in model_keys])
+    return out
+
+
 def fit_grid(seq: DataFrame, fit: FitParams = FitParams(), keys: list[str] = ("entity",), ks=None, seeds=None) -> DataFrame:
     """M7: fit every (sequence, K, seed) of the grid; one Arrow task per (sequence, K, seed chunk).
 
@@ -300,11 +353,13 @@ def fit_grid(seq: DataFrame, fit: FitParams = FitParams(), keys: list[str] = ("e
     seeds = list(seeds) if seeds is not None else list(range(fit.n_restarts))
     seq = seq.where(F.col("n") >= fit.min_rows)
     n_seq, max_n, max_d = sequence_stats(seq, keys)
-    per_task = min(fit.seeds_per_task, seeds_per_task(len(seeds), max_n, max(ks), max_d))
+    budget = seeds_per_task(10**9, max_n, max(ks), max_d)  # models that fit in one task's memory
+    per_task = min(fit.seeds_per_task, budget, len(seeds))
     fit = replace(fit, seeds_per_task=per_task)
     chunks = sorted({s // per_task for s in seeds})
+    cells = [(k, c) for k in ks for c in chunks]
     init = init_models(seq, fit, keys, ks, seeds)
-    return fit_from_init(seq, init, fit, keys, n_seq=n_seq, cells=[(k, c) for k in ks for c in chunks])
+    return fit_from_init(seq, init, fit, keys, n_seq=n_seq, cells=cells, seqs_per_task=max(1, budget // per_task))
 
 
 def fit_from_init(
@@ -314,10 +369,14 @@ def fit_from_init(
     keys: list[str] = ("entity",),
     n_seq: int | None = None,
     cells: list[tuple[int, int]] | None = None,
+    seqs_per_task: int = 1,
 ) -> DataFrame:
     """M5: run EM from given start parameters ``init`` (keys, k, seed, chunk, parameters).
 
-    ``cells`` lists the (K, seed chunk) pairs; each sequence is replicated once per cell.
+    ``cells`` lists the (K, seed chunk) pairs; each sequence is replicated once
+    per cell.  Sequences are dealt round-robin into buckets of about
+    ``seqs_per_task`` (fewer when that would leave cores idle); one task fits
+    one (bucket, K, chunk) group.
     """
     keys = list(keys)
     ship_package(seq.sparkSession)
@@ -332,10 +391,17 @@ def fit_from_init(
         f"{_key_ddl(keys, seq)}, k INT, seed INT, d INT, {PARAM_DDL}, cov_type STRING, train_loglik DOUBLE, "
         "n_iter INT, status STRING, error STRING, val_loglik DOUBLE, n_val INT, val_entropy DOUBLE"
     )
-    gk = [*keys, "k", "chunk"]
+    spark = seq.sparkSession
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    n_buckets = max(-(-n_seq // max(1, seqs_per_task)), -(-2 * cores // max(1, len(kc))))
+    n_buckets = int(max(1, min(n_seq, n_buckets)))
+    buckets = sequence_buckets(seq, keys, n_buckets)
+    rep = rep.join(buckets, keys)
+    init = init.join(buckets, keys)
+    gk = ["bucket", "k", "chunk"]
     # both sides descend from ``seq``: fresh column identities keep the co-group unambiguous
     rep, init = rep.toDF(*rep.columns).alias("seq_side"), init.toDF(*init.columns).alias("init_side")
-    parts = task_partitions(seq.sparkSession, n_seq * len(kc))
+    parts = task_partitions(spark, n_buckets * len(kc))
     rep, init = rep.repartition(parts, *gk), init.repartition(parts, *gk)
     return rep.groupBy(*gk).cogroup(init.groupBy(*gk)).applyInPandas(_fit_group(keys, fit), schema)
 

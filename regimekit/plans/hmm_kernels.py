@@ -24,9 +24,15 @@ def full_covars(covars: np.ndarray, cov_type: str) -> np.ndarray:
 
 
 def log_density(X: np.ndarray, means: np.ndarray, covars: np.ndarray, cov_type: str = "full") -> np.ndarray:
-    """M1: log N(x_t; mu_k, Sigma_k) for every model, time step and state -> ``(S, T, K)``."""
-    D = X.shape[1]
-    diff = X[None, None, :, :] - means[:, :, None, :]  # (S, K, T, D)
+    """M1: log N(x_t; mu_k, Sigma_k) for every model, time step and state -> ``(S, T, K)``.
+
+    ``X`` is one shared sequence ``(T, D)`` or one sequence per model ``(S, T, D)``.
+    """
+    D = X.shape[-1]
+    if X.ndim == 2:
+        diff = X[None, None, :, :] - means[:, :, None, :]  # (S, K, T, D)
+    else:
+        diff = X[:, None, :, :] - means[:, :, None, :]
     if cov_type == "diag":
         quad = np.sum(diff * diff / covars[:, :, None, :], axis=-1)
         logdet = np.sum(np.log(covars), axis=-1)
@@ -81,12 +87,16 @@ def posterior(logB: np.ndarray, startprob: np.ndarray, transmat: np.ndarray):
     return gamma, loglik
 
 
-def viterbi(logB: np.ndarray, startprob: np.ndarray, transmat: np.ndarray):
-    """M3: most likely path per model ``(S, T)`` and its log-probability; ties -> lowest state."""
+def viterbi(logB: np.ndarray, startprob: np.ndarray, transmat: np.ndarray, valid: np.ndarray | None = None):
+    """M3: most likely path per model ``(S, T)`` and its log-probability; ties -> lowest state.
+
+    ``valid (S, T)`` marks real steps of padded sequences; padded steps keep the state.
+    """
     S, T, K = logB.shape
     with np.errstate(divide="ignore"):
         log_a = np.log(transmat)
         log_pi = np.log(startprob)
+        log_eye = np.log(np.eye(K))
     delta = log_pi + logB[:, 0]
     back = np.empty((S, T, K), dtype=np.int64)
     back[:, 0] = 0
@@ -94,6 +104,8 @@ def viterbi(logB: np.ndarray, startprob: np.ndarray, transmat: np.ndarray):
     rows = np.arange(S)[:, None]
     for t in range(1, T):
         cand = delta[:, :, None] + log_a  # (S, from, to)
+        if valid is not None and not valid[:, t].all():
+            cand = np.where(valid[:, t, None, None], cand, delta[:, :, None] + log_eye)
         arg = cand.argmax(axis=1)
         back[:, t] = arg
         delta = cand[rows, arg, cols[None, :]] + logB[:, t]
@@ -109,15 +121,28 @@ def viterbi(logB: np.ndarray, startprob: np.ndarray, transmat: np.ndarray):
 BLOCKED_BELOW = 16
 
 
-def e_step(logB: np.ndarray, startprob: np.ndarray, transmat: np.ndarray):
-    """Log-likelihood, posteriors ``(S,T,K)`` and summed pairwise posteriors ``(S,K,K)``."""
+def e_step(logB: np.ndarray, startprob: np.ndarray, transmat: np.ndarray, valid: np.ndarray | None = None):
+    """Log-likelihood, posteriors ``(S,T,K)`` and summed pairwise posteriors ``(S,K,K)``.
+
+    ``valid (S, T)`` marks real steps when sequences of different lengths are
+    padded: padded steps get density 1 for every state (no effect on the
+    likelihood) and are left out of the posterior sums.
+    """
+    if valid is not None:
+        logB = np.where(valid[:, :, None], logB, 0.0)
     if logB.shape[0] < BLOCKED_BELOW:
-        return forward_backward_blocked(logB, startprob, transmat)
-    loglik, alpha, scale, B = forward(logB, startprob, transmat)
-    beta = backward(B, scale, transmat)
-    gamma = alpha * beta
-    gamma /= np.maximum(gamma.sum(axis=2, keepdims=True), TINY)
-    xi = transmat * np.matmul(np.swapaxes(alpha[:, :-1], 1, 2), B[:, 1:] * beta[:, 1:] / scale[:, 1:, None])
+        loglik, gamma, xi = forward_backward_blocked(logB, startprob, transmat, valid)
+    else:
+        loglik, alpha, scale, B = forward(logB, startprob, transmat)
+        beta = backward(B, scale, transmat)
+        gamma = alpha * beta
+        gamma /= np.maximum(gamma.sum(axis=2, keepdims=True), TINY)
+        nxt = B[:, 1:] * beta[:, 1:] / scale[:, 1:, None]
+        if valid is not None:
+            nxt = nxt * valid[:, 1:, None]
+        xi = transmat * np.matmul(np.swapaxes(alpha[:, :-1], 1, 2), nxt)
+    if valid is not None:
+        gamma = gamma * valid[:, :, None]
     return loglik, gamma, xi
 
 
@@ -144,8 +169,12 @@ def em_fit(
     min_covar: float = 1e-3,
     cov_type: str = "full",
     params: str = "stmc",
+    lengths: np.ndarray | None = None,
 ):
-    """M5: Baum-Welch for S restarts at once.
+    """M5: Baum-Welch for S models at once.
+
+    ``X`` is one sequence shared by all models ``(T, D)`` (restarts) or one
+    padded sequence per model ``(S, T, D)`` with true ``lengths (S,)``.
 
     Each restart stops on its own when the log-likelihood gain falls below
     ``tol``.  A restart whose numbers break (non-finite likelihood, singular
@@ -153,6 +182,10 @@ def em_fit(
     Returns parameters, final training log-likelihood, iterations, status.
     """
     S = startprob.shape[0]
+    per_model = X.ndim == 3
+    valid_all = None
+    if lengths is not None:
+        valid_all = np.arange(X.shape[-2])[None, :] < np.asarray(lengths)[:, None]
     sp, tm, mu, cv = startprob.copy(), transmat.copy(), means.copy(), covars.copy()
     prev = np.full(S, -np.inf)
     loglik = np.full(S, np.nan)
@@ -163,9 +196,11 @@ def em_fit(
         idx = np.flatnonzero(status == "running")
         if idx.size == 0:
             break
+        Xi = X[idx] if per_model else X
+        vi = valid_all[idx] if valid_all is not None else None
         try:
-            logB = log_density(X, mu[idx], cv[idx], cov_type)
-            ll, gamma_all, xi_all = e_step(logB, sp[idx], tm[idx])
+            logB = log_density(Xi, mu[idx], cv[idx], cov_type)
+            ll, gamma_all, xi_all = e_step(logB, sp[idx], tm[idx], vi)
         except np.linalg.LinAlgError as exc:  # isolate per restart below
             ll = np.full(idx.size, np.nan)
             gamma_all = xi_all = None
@@ -179,6 +214,7 @@ def em_fit(
             continue
         j = idx[ok]
         gamma, xi = gamma_all[ok], xi_all[ok]
+        Xj = Xi[ok] if per_model else X
         w = gamma.sum(axis=1)  # (s, K)
         used = w > 1e-10
         if "s" in params:
@@ -188,10 +224,10 @@ def em_fit(
             tm[j] = np.where(rows > 0, xi / np.maximum(rows, TINY), tm[j])
         if "m" in params or "c" in params:
             gT = np.swapaxes(gamma, 1, 2)  # (s, K, T)
-            new_mu = np.matmul(gT, X) / np.maximum(w, TINY)[..., None]
+            new_mu = np.matmul(gT, Xj) / np.maximum(w, TINY)[..., None]
             new_mu = np.where(used[..., None], new_mu, mu[j])
             if "c" in params:
-                diff = X[None, None, :, :] - new_mu[:, :, None, :]
+                diff = (Xj[:, None, :, :] if per_model else X[None, None, :, :]) - new_mu[:, :, None, :]
                 weighted = gT[..., None] * diff  # (s, K, T, D)
                 if cov_type == "diag":
                     cov = np.sum(weighted * diff, axis=2) / np.maximum(w, TINY)[..., None]
@@ -218,7 +254,7 @@ def n_parameters(k: int, d: int, cov_type: str = "full") -> float:
     return k * d + cov + k * (k - 1) + (k - 1)
 
 
-def forward_backward_blocked(logB: np.ndarray, startprob: np.ndarray, transmat: np.ndarray):
+def forward_backward_blocked(logB: np.ndarray, startprob: np.ndarray, transmat: np.ndarray, valid: np.ndarray | None = None):
     """E-step in about 6*sqrt(T) vectorised steps instead of 2*T.
 
     The T-1 transitions are cut into ``nb`` blocks of ``L`` steps (padded with
@@ -293,4 +329,6 @@ def forward_backward_blocked(logB: np.ndarray, startprob: np.ndarray, transmat:
     Mt = M.reshape(S, nb * L, K, K)[:, :n]
     xi = alpha[:, :-1, :, None] * Mt * beta[:, 1:, None, :]
     xi /= np.maximum(xi.sum(axis=(-2, -1), keepdims=True), TINY)
+    if valid is not None:
+        xi *= valid[:, 1:, None, None]
     return loglik, gamma, xi.sum(axis=1)
