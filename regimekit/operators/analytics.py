@@ -16,6 +16,15 @@ from regimekit.functions.stats import f_pvalue
 
 VOL_MEASURES = ("vol_5", "vol_10", "vol_20", "market_vola")
 N_BINS = 50
+APPROX_ACCURACY = 10_000
+
+
+def quantile(col: str, q: float, exact: bool = True) -> Column:
+    """A4: exact linear-interpolation quantile (NumPy's default), or the bounded-memory
+    ``percentile_approx`` (relative rank error 1/accuracy) for very long groups."""
+    if exact:
+        return F.percentile(col, q)
+    return F.percentile_approx(col, q, APPROX_ACCURACY)
 
 
 def unpivot_measures(df: DataFrame, measures=VOL_MEASURES, keep=("entity", "ts", "state")) -> DataFrame:
@@ -24,24 +33,24 @@ def unpivot_measures(df: DataFrame, measures=VOL_MEASURES, keep=("entity", "ts",
     return df.unpivot(keep, list(measures), "measure", "value")
 
 
-def vol_quantiles(labeled: DataFrame, q: float = 0.95, measures=VOL_MEASURES) -> DataFrame:
-    """A4: exact linearly interpolated quantile per (entity, measure)."""
+def vol_quantiles(labeled: DataFrame, q: float = 0.95, measures=VOL_MEASURES, exact: bool = True) -> DataFrame:
+    """A4: quantile per (entity, measure)."""
     return (
         unpivot_measures(labeled, measures, ("entity",))
         .groupBy("entity", "measure")
-        .agg(F.percentile("value", q).alias("threshold"))
+        .agg(quantile("value", q, exact).alias("threshold"))
     )
 
 
-def _with_threshold(long: DataFrame, q: float) -> DataFrame:
+def _with_threshold(long: DataFrame, q: float, exact: bool = True) -> DataFrame:
     w = Window.partitionBy("entity", "measure")
-    return long.withColumn("threshold", F.percentile("value", q).over(w))
+    return long.withColumn("threshold", quantile("value", q, exact).over(w))
 
 
-def vol_spikes(features: DataFrame, percentile: float = 95.0, measures=VOL_MEASURES) -> DataFrame:
+def vol_spikes(features: DataFrame, percentile: float = 95.0, measures=VOL_MEASURES, exact: bool = True) -> DataFrame:
     """Rows whose measure is strictly above its per-entity percentile (NULLs ignored)."""
     long = unpivot_measures(features, measures, ("entity", "ts")).where(F.col("value").isNotNull())
-    return _with_threshold(long, percentile / 100.0).where(F.col("value") > F.col("threshold"))
+    return _with_threshold(long, percentile / 100.0, exact).where(F.col("value") > F.col("threshold"))
 
 
 def regime_return_means(labeled: DataFrame) -> DataFrame:
@@ -55,13 +64,13 @@ def feature_means(labeled: DataFrame, measures=VOL_MEASURES) -> DataFrame:
     return long.groupBy("entity", "measure", "state").agg(F.avg("value").alias("mean_value"))
 
 
-def regime_capture(labeled: DataFrame, q: float = 0.95, measures=VOL_MEASURES) -> DataFrame:
+def regime_capture(labeled: DataFrame, q: float = 0.95, measures=VOL_MEASURES, exact: bool = True) -> DataFrame:
     """A9 (+P8): share of each regime among rows at or above the measure's q-quantile.
 
     The grid is every regime captured by some measure of the entity; a regime
     a measure does not capture gets share 0 (the reference's ``fillna(0)``).
     """
-    long = _with_threshold(unpivot_measures(labeled, measures, ("entity", "state")), q)
+    long = _with_threshold(unpivot_measures(labeled, measures, ("entity", "state")), q, exact)
     high = long.where(F.col("value") >= F.col("threshold"))
     counts = high.groupBy("entity", "measure", "state").agg(F.count("*").alias("cnt"))
     shares = counts.withColumn("share", F.col("cnt") / F.sum("cnt").over(Window.partitionBy("entity", "measure")))
@@ -178,11 +187,11 @@ def regime_series(labeled: DataFrame) -> DataFrame:
     return labeled.select("entity", "ts", "normalized_returns", "state", palette_index("state").alias("color_idx"))
 
 
-def states_vs_vol(labeled: DataFrame, q: float = 0.95, measures=VOL_MEASURES) -> DataFrame:
+def states_vs_vol(labeled: DataFrame, q: float = 0.95, measures=VOL_MEASURES, exact: bool = True) -> DataFrame:
     """C2 (W7): threshold line per measure from the first to the last timestamp of the entity."""
     long = unpivot_measures(labeled, measures, ("entity", "ts"))
     return long.groupBy("entity", "measure").agg(
-        F.percentile("value", q).alias("threshold"), F.min("ts").alias("ts_first"), F.max("ts").alias("ts_last")
+        quantile("value", q, exact).alias("threshold"), F.min("ts").alias("ts_first"), F.max("ts").alias("ts_last")
     )
 
 

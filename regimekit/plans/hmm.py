@@ -370,6 +370,7 @@ def fit_from_init(
     n_seq: int | None = None,
     cells: list[tuple[int, int]] | None = None,
     seqs_per_task: int = 1,
+    n_buckets: int | None = None,
 ) -> DataFrame:
     """M5: run EM from given start parameters ``init`` (keys, k, seed, chunk, parameters).
 
@@ -393,7 +394,8 @@ def fit_from_init(
     )
     spark = seq.sparkSession
     cores = max(1, spark.sparkContext.defaultParallelism)
-    n_buckets = max(-(-n_seq // max(1, seqs_per_task)), -(-2 * cores // max(1, len(kc))))
+    if n_buckets is None:
+        n_buckets = max(-(-n_seq // max(1, seqs_per_task)), -(-2 * cores // max(1, len(kc))))
     n_buckets = int(max(1, min(n_seq, n_buckets)))
     buckets = sequence_buckets(seq, keys, n_buckets)
     rep = rep.join(buckets, keys)

@@ -96,3 +96,12 @@ def test_spikes_and_layers(spark, labeled):
     assert [r.layer for r in AN.available_layers(long).select("layer").distinct().collect()] == ["regime_layer0"]
     with pytest.raises(ValueError, match="Available layers"):
         AN.select_layer(long, "regime_layer3")
+
+
+def test_approximate_quantile_close_to_exact(labeled):
+    df, _ = labeled
+    ex = {(r.entity, r.measure): r.threshold for r in AN.vol_quantiles(df).collect()}
+    ap = {(r.entity, r.measure): r.threshold for r in AN.vol_quantiles(df, exact=False).collect()}
+    assert ex.keys() == ap.keys()
+    for key in ex:
+        assert abs(ex[key] - ap[key]) < 0.05 * (1 + abs(ex[key]))

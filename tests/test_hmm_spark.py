@@ -161,3 +161,22 @@ def test_chunked_decode_equals_single_task(spark, chunk_len):
     assert (a["raw_state"].to_numpy() == b["raw_state"].to_numpy()).all()
     assert np.abs(np.stack(a["posterior"].to_numpy()) - np.stack(b["posterior"].to_numpy())).max() < 1e-12
     assert np.abs(a["loglik"].to_numpy() - b["loglik"].to_numpy()).max() < 1e-8
+
+
+def test_fit_unchanged_by_other_entities_in_the_batch(spark):
+    """Metamorphic: sequences sharing a task (padded, masked) fit exactly as when fitted alone."""
+    both = _synthetic(spark, n_entities=3, T=260, seed=12)
+    short = both.where("entity <> 'E2' OR ts < '2020-06-01'")  # E2 becomes shorter: padding is exercised
+    fit = FitParams(n_restarts=3, max_iter=25, seeds_per_task=3)
+    seq_all = H.sequences(short, ["f1", "f2"], fit)
+    together = H.fit_from_init(seq_all, H.init_models(seq_all, fit), fit, n_buckets=1).toPandas()
+    assert together["entity"].nunique() == 3
+    for e in ("E0", "E2"):
+        seq_one = H.sequences(short.where(F.col("entity") == e), ["f1", "f2"], fit)
+        alone = H.fit_from_init(seq_one, H.init_models(seq_one, fit), fit).toPandas()
+        a = together[together.entity == e].sort_values("seed")
+        b = alone.sort_values("seed")
+        assert list(a["n_iter"]) == list(b["n_iter"])
+        assert np.allclose(a["train_loglik"], b["train_loglik"], rtol=0, atol=1e-8)
+        assert np.allclose(a["val_loglik"], b["val_loglik"], rtol=0, atol=1e-8)
+        assert np.allclose(np.stack([np.stack(m) for m in a["means"]]), np.stack([np.stack(m) for m in b["means"]]), atol=1e-10)
