@@ -13,10 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regimekit.functions.scalar import sanitize_entity
+from regimekit.functions import hmm_expr as HX
+from regimekit.functions.scalar import sanitize_entity, state_label
+from regimekit.operators import analytics as AN
 from regimekit.operators import features as feat
 from regimekit.operators import panel as pnl
-from regimekit.params import FeatureParams
+from regimekit.params import FeatureParams, FitParams, HierarchicalParams, LayeredParams
+from regimekit.plans import hmm as H
+from regimekit.plans.fixed import GivenModel, attach_model
+from regimekit.plans.variants import HierarchicalModel, LayeredModel, PlainModel, state_labeled
 from regimekit.sources import panels as src
 
 R = 6
@@ -200,8 +205,6 @@ def q_features_weekly(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weekly return-flag panel -> features -> plain regime model -> state-labelled table."""
-    from regimekit.plans.variants import PlainModel, state_labeled
-
     feats = features(spark, sf_dir, "flag_week")
     res = PlainModel(FeatureParams().feature_columns, FitParams()).fit(feats)
     return rounded(state_labeled(feats, res.states, ["regime_layer0"]))
@@ -209,12 +212,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- given-model decode and analytics
 
-from regimekit.functions import hmm_expr as HX  # noqa: E402
-from regimekit.functions.scalar import state_label  # noqa: E402
-from regimekit.operators import analytics as AN  # noqa: E402
-from regimekit.params import FitParams  # noqa: E402
-from regimekit.plans import hmm as H  # noqa: E402
-from regimekit.plans.fixed import GivenModel, attach_model  # noqa: E402
 
 # Fixed model of the oracle-checked decode: 2 states on the z-scored 5-step volatility.
 GIVEN_FEATURE = "vol_5"
@@ -465,8 +462,6 @@ def q_vol_spikes(spark, sf_dir):
 
 # ---------------------------------------------------------------- fitted variants (property-checked, no SQL oracle)
 
-from regimekit.params import HierarchicalParams, LayeredParams  # noqa: E402
-from regimekit.plans.variants import HierarchicalModel, LayeredModel, PlainModel, state_labeled  # noqa: E402
 
 FIT = FitParams()  # the reference's settings: 100 restarts, 100 EM iterations, tol 1e-4, entropy weight 4
 

@@ -131,14 +131,14 @@ def task_partitions(spark, n_groups: int) -> int:
     return int(max(1, min(2 * n_groups, 64 * base)))
 
 
-def seeds_per_task(n_restarts: int, max_n: int, max_k: int, max_d: int) -> int:
-    """All restarts of a (sequence, K) in one task unless their arrays exceed ``TASK_BYTES``.
+def models_per_task(max_n: int, max_k: int, max_d: int) -> int:
+    """How many models (restarts x sequences) one task can fit within ``TASK_BYTES``.
 
-    The EM time loop costs about the same per step for 1 or 100 batched
-    restarts, so packing restarts is nearly free; only memory bounds it.
+    Batched models share the EM time loop, so packing them is cheap in CPU;
+    memory (steps x states x dims per model) is what bounds the batch.
     """
-    per_seed = 8 * max(1, max_n) * max(1, max_k) * (max(1, max_d) + 4) * 6
-    return int(max(1, min(n_restarts, TASK_BYTES // per_seed)))
+    per_model = 8 * max(1, max_n) * max(1, max_k) * (max(1, max_d) + 4) * 6
+    return int(max(1, TASK_BYTES // per_model))
 
 
 # ---------------------------------------------------------------- init (M6)
@@ -353,7 +353,7 @@ def fit_grid(seq: DataFrame, fit: FitParams = FitParams(), keys: list[str] = ("e
     seeds = list(seeds) if seeds is not None else list(range(fit.n_restarts))
     seq = seq.where(F.col("n") >= fit.min_rows)
     n_seq, max_n, max_d = sequence_stats(seq, keys)
-    budget = seeds_per_task(10**9, max_n, max(ks), max_d)  # models that fit in one task's memory
+    budget = models_per_task(max_n, max(ks), max_d)
     per_task = min(fit.seeds_per_task, budget, len(seeds))
     fit = replace(fit, seeds_per_task=per_task)
     chunks = sorted({s // per_task for s in seeds})
