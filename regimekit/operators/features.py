@@ -75,11 +75,11 @@ def normalize_vols(df: DataFrame, windows=(5, 10, 20), method: str = "zscore") -
 def proxy_transform(proxy_prices: DataFrame, mode: str = "zscore", window: int = 5) -> DataFrame:
     """processed proxy ``(ts, market_vola)`` from the proxy's own non-null price series.
 
-    The proxy is a single series (one row per period), so its window is one
-    partition holding the calendar.
+    ``smoothed`` and ``returns`` need the series in time order: one window over
+    the proxy's calendar (one row per period).  ``raw`` and ``zscore`` need no
+    ordering.
     """
     s = proxy_prices.where(F.col("price").isNotNull()).select("ts", "price")
-    w_all = Window.partitionBy(F.lit(1))
     w_ord = Window.partitionBy(F.lit(1)).orderBy("ts")
     if mode == "raw":
         out = s.select("ts", F.col("price").alias("market_vola"))
@@ -89,12 +89,10 @@ def proxy_transform(proxy_prices: DataFrame, mode: str = "zscore", window: int =
         out = s.select("ts", safe_log_ratio(F.col("price"), F.lag("price").over(w_ord)).alias("market_vola"))
         out = out.where(F.col("market_vola").isNotNull())
     elif mode == "zscore":
-        out = s.select(
-            "ts",
-            F.try_divide(F.col("price") - F.avg("price").over(w_all), F.stddev_samp("price").over(w_all)).alias(
-                "market_vola"
-            ),
-        )
+        # order-free: mean and std are scalar subqueries, not a single-partition window
+        mean = s.agg(F.avg("price")).scalar()
+        std = s.agg(F.stddev_samp("price")).scalar()
+        out = s.select("ts", F.try_divide(F.col("price") - mean, std).alias("market_vola"))
     else:
         raise ValueError(f"Unknown processing type: {mode}")
     return out
