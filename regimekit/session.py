@@ -39,20 +39,40 @@ def get_spark(master: str | None = None, app: str = "regimekit", **conf: str) ->
     return spark
 
 
+def _workers_can_import(spark: SparkSession) -> bool:
+    """Ask one Python worker whether ``regimekit`` is importable there (one-row job)."""
+
+    def probe(_):
+        import importlib.util
+
+        return importlib.util.find_spec("regimekit") is not None
+
+    try:
+        return bool(spark.sparkContext.parallelize([0], 1).map(probe).first())
+    except Exception:  # noqa: BLE001 - a failing probe means we ship the code
+        return False
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``regimekit`` importable in Python workers (once per SparkContext).
 
     Grouped Arrow functions are pickled by reference, so executors must be
-    able to import the package; this zips it and adds it like ``--py-files``.
+    able to import the package.  When they already can (installed on the
+    cluster, or passed with ``--py-files``) nothing is done; otherwise the
+    driver zips the package and adds it like ``--py-files`` (Spark serves the
+    archive to executors).
     """
     sc = spark.sparkContext
     if getattr(sc, "_regimekit_shipped", False):
         return
+    if _workers_can_import(spark):
+        sc._regimekit_shipped = True
+        return
     import zipfile
 
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg_dir)
-    out_dir = tempfile.mkdtemp(prefix="regimekit-pyfiles-")
+    out_dir = tempfile.mkdtemp(prefix="regimekit-pyfiles-")  # driver-side archive, served by Spark
     archive = os.path.join(out_dir, "regimekit.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as zf:
         for folder, _, files in os.walk(pkg_dir):
