@@ -137,7 +137,8 @@ def models_per_task(max_n: int, max_k: int, max_d: int) -> int:
     Batched models share the EM time loop, so packing them is cheap in CPU;
     memory (steps x states x dims per model) is what bounds the batch.
     """
-    per_model = 8 * max(1, max_n) * max(1, max_k) * (max(1, max_d) + 4) * 6
+    d = max(1, max_d)
+    per_model = 8 * max(1, max_n) * (max(1, max_k) * (d + 4) * 6 + d * d)
     return int(max(1, TASK_BYTES // per_model))
 
 

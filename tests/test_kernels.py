@@ -127,3 +127,17 @@ def test_bic_parameter_count():
     # means K*D + full covariances K*D(D+1)/2 + transitions K(K-1) + start K-1
     assert K.n_parameters(2, 5) == 2 * 5 + 2 * 15 + 2 + 1
     assert K.n_parameters(3, 1, "diag") == 3 + 3 + 6 + 2
+
+
+def test_gemm_density_equals_direct():
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(300, 4))
+    S, k = 5, 3
+    means = rng.normal(size=(S, k, 4))
+    A = rng.normal(size=(S, k, 4, 4))
+    cov = np.matmul(A, np.swapaxes(A, -1, -2)) + 0.5 * np.eye(4)
+    ref = K.log_density(X, means, cov)
+    assert np.abs(K.log_density_gemm(X, K.outer_terms(X), means, cov) - ref).max() < 1e-9
+    Xs = np.stack([X + i for i in range(S)])
+    ref2 = K.log_density(Xs, means, cov)
+    assert np.abs(K.log_density_gemm(Xs, K.outer_terms(Xs), means, cov) - ref2).max() < 1e-8
