@@ -28,8 +28,8 @@ from regimekit.session import cut_lineage
 @dataclass
 class RegimeResult:
     variant: str
-    fits: DataFrame  # every (entity, layer, K, seed) restart with score and status
-    models: DataFrame  # chosen model per (entity, layer[, parent_state])
+    fits: DataFrame | None  # every (entity, layer, K, seed) restart; None when models were reused
+    models: DataFrame  # chosen model per (entity, layer[, top_state])
     states: DataFrame  # long states
     transitions: DataFrame  # (entity, layer, from_state, to_state, prob), raw state order
 
@@ -52,7 +52,7 @@ def _layer_fit(fit: FitParams, layer: LayerParams) -> FitParams:
 
 
 def _fit_select(seq: DataFrame, fit: FitParams, metric, keys) -> tuple[DataFrame, DataFrame]:
-    fits = cut_lineage(H.with_score(H.fit_grid(seq, fit, keys), metric))
+    fits = cut_lineage(H.with_score(H.fit_grid(seq, fit, keys), metric), "fits")
     return fits, H.select_best(fits, keys)
 
 
@@ -67,31 +67,54 @@ def _tag(df: DataFrame, layer: str) -> DataFrame:
     return df.withColumn("layer", F.lit(layer))
 
 
-class PlainModel:
+def _layer_models(models: DataFrame, layer: str) -> DataFrame:
+    return models.where(F.col("layer") == layer).drop("layer")
+
+
+class _Variant:
+    """``run(features)`` fits and decodes; ``run(features, models)`` only decodes with given models."""
+
+    name = ""
+    layers: list[str] = []
+
+    def fit(self, features: DataFrame) -> RegimeResult:
+        return self.run(features)
+
+    def decode(self, features: DataFrame, models: DataFrame) -> RegimeResult:
+        return self.run(features, models)
+
+    def run(self, features: DataFrame, models: DataFrame | None = None) -> RegimeResult:  # pragma: no cover
+        raise NotImplementedError
+
+
+class PlainModel(_Variant):
     """M9: one Gaussian HMM per entity chosen over K x restarts; states relabelled by volatility."""
 
     name = "HMMModel"
+    layers = ["regime_layer0"]
 
     def __init__(self, feature_cols: list[str], fit: FitParams = FitParams(), metric=None, splitter: Splitter | None = None):
         self.cols, self.fit_params, self.splitter = list(feature_cols), fit, splitter
         self.metric = metric or H.entropy_score(fit.entropy_weight)
 
-    def fit(self, features: DataFrame) -> RegimeResult:
-        seq = cut_lineage(_split(H.sequences(features, self.cols, self.fit_params), self.splitter))
-        fits, best = _fit_select(seq, self.fit_params, self.metric, ["entity"])
+    def config(self) -> dict:
+        return {"variant": self.name, "cols": self.cols, "fit": self.fit_params}
+
+    def run(self, features: DataFrame, models: DataFrame | None = None) -> RegimeResult:
+        layer = self.layers[0]
+        seq = cut_lineage(_split(H.sequences(features, self.cols, self.fit_params), self.splitter), "seq")
+        fits = None
+        if models is None:
+            fits, best = _fit_select(seq, self.fit_params, self.metric, ["entity"])
+            fits = _tag(fits, layer)
+        else:
+            best = _layer_models(models, layer)
         decoded = H.decode(seq, best, with_posterior=False)
         states = H.relabel(decoded, seq, best).select("entity", "ts", "raw_state", "state")
-        layer = "regime_layer0"
-        return RegimeResult(
-            self.name,
-            _tag(fits, layer),
-            _tag(best, layer),
-            _tag(states, layer),
-            _tag(H.transitions(best), layer),
-        )
+        return RegimeResult(self.name, fits, _tag(best, layer), _tag(states, layer), _tag(H.transitions(best), layer))
 
 
-class LayeredModel:
+class LayeredModel(_Variant):
     """Layer i+1 sees the original features plus layer i's state posteriors."""
 
     name = "LayeredHMMModel"
@@ -100,53 +123,69 @@ class LayeredModel:
                  splitter: Splitter | None = None):
         self.cols, self.params, self.splitter = list(feature_cols), params, splitter
         self.metric = metric or H.entropy_score(params.fit.entropy_weight)
+        self.layers = [f"regime_layer{i}" for i in range(len(params.layers))]
 
-    def fit(self, features: DataFrame) -> RegimeResult:
-        base = cut_lineage(_split(H.sequences(features, self.cols, self.params.fit), self.splitter))
+    def config(self) -> dict:
+        return {"variant": self.name, "cols": self.cols, "params": self.params}
+
+    def run(self, features: DataFrame, models: DataFrame | None = None) -> RegimeResult:
+        base = cut_lineage(_split(H.sequences(features, self.cols, self.params.fit), self.splitter), "seq")
         seq = base
         all_fits, all_models, all_states, all_trans = [], [], [], []
-        n_layers = len(self.params.layers)
         for i, layer in enumerate(self.params.layers):
-            fit = _layer_fit(self.params.fit, layer)
-            fits, best = _fit_select(seq, fit, self.metric, ["entity"])
-            last = i == n_layers - 1
-            decoded = cut_lineage(H.decode(seq, best, with_posterior=not last))
-            name = f"regime_layer{i}"
+            name = self.layers[i]
+            last = i == len(self.params.layers) - 1
+            if models is None:
+                fits, best = _fit_select(seq, _layer_fit(self.params.fit, layer), self.metric, ["entity"])
+                all_fits.append(_tag(fits, name))
+            else:
+                best = _layer_models(models, name)
+            decoded = cut_lineage(H.decode(seq, best, with_posterior=not last), "decoded")
             labels = H.relabel(decoded, seq, best).select("entity", "ts", "raw_state", "state")
-            all_fits.append(_tag(fits, name))
             all_models.append(_tag(best, name))
             all_states.append(_tag(labels, name))
             all_trans.append(_tag(H.transitions(best), name))
             if not last:
                 # original features ++ posterior of this layer (not accumulated across layers)
                 nxt = base.join(decoded.select("entity", "t", "posterior"), ["entity", "t"])
-                seq = cut_lineage(nxt.withColumn("x", F.concat("x", "posterior")).drop("posterior"))
-        return RegimeResult(
-            self.name, _union(all_fits), _union(all_models), _union(all_states), _union(all_trans)
-        )
+                seq = cut_lineage(nxt.withColumn("x", F.concat("x", "posterior")).drop("posterior"), "seq")
+        fits = _union(all_fits) if all_fits else None
+        return RegimeResult(self.name, fits, _union(all_models), _union(all_states), _union(all_trans))
 
 
-class HierarchicalModel:
+class HierarchicalModel(_Variant):
     """Top HMM; one sub-HMM per top state on its rows; sub state decoded row by row."""
 
     name = "HierarchicalHMMModel"
+    layers = ["top_level_state", "sub_level_state"]
 
     def __init__(self, feature_cols: list[str], params: HierarchicalParams = HierarchicalParams(), metric=None,
                  splitter: Splitter | None = None):
         self.cols, self.params, self.splitter = list(feature_cols), params, splitter
         self.metric = metric or H.entropy_score(params.fit.entropy_weight)
 
-    def fit(self, features: DataFrame) -> RegimeResult:
+    def config(self) -> dict:
+        return {"variant": self.name, "cols": self.cols, "params": self.params}
+
+    def run(self, features: DataFrame, models: DataFrame | None = None) -> RegimeResult:
         p = self.params
-        seq = cut_lineage(_split(H.sequences(features, self.cols, p.fit), self.splitter))
-        top_fit = _layer_fit(p.fit, p.top)
-        top_fits, top_best = _fit_select(seq, top_fit, self.metric, ["entity"])
-        top_states = cut_lineage(H.decode(seq, top_best, with_posterior=False).select("entity", "ts", "t", "raw_state"))
+        seq = cut_lineage(_split(H.sequences(features, self.cols, p.fit), self.splitter), "seq")
+        top_fits = sub_fits = None
+        if models is None:
+            top_fits, top_best = _fit_select(seq, _layer_fit(p.fit, p.top), self.metric, ["entity"])
+        else:
+            top_best = _layer_models(models, "top_level_state").drop("top_state")
+        top_states = cut_lineage(
+            H.decode(seq, top_best, with_posterior=False).select("entity", "ts", "t", "raw_state"), "decoded"
+        )
         # Rows of each top state, in time order, form one (non-contiguous) training sequence
         rows = top_states.withColumnRenamed("raw_state", "top_state").join(seq.select("entity", "t", "x"), ["entity", "t"])
-        sub_fit = replace(_layer_fit(p.fit, p.sub), split="all", min_rows=p.min_sub_rows)
-        sub_seq = cut_lineage(H.sequences(rows, [], sub_fit, keys=["entity", "top_state"], x_col="x"))
-        sub_fits, sub_best = _fit_select(sub_seq, sub_fit, self.metric, ["entity", "top_state"])
+        if models is None:
+            sub_fit = replace(_layer_fit(p.fit, p.sub), split="all", min_rows=p.min_sub_rows)
+            sub_seq = cut_lineage(H.sequences(rows, [], sub_fit, keys=["entity", "top_state"], x_col="x"), "seq")
+            sub_fits, sub_best = _fit_select(sub_seq, sub_fit, self.metric, ["entity", "top_state"])
+        else:
+            sub_best = _layer_models(models, "sub_level_state")
         # Sub state = argmax_k(log pi_k + log b_k(x)) per row; NULL without a sub-model
         sub_models = HX.with_precision(sub_best.select("entity", "top_state", "startprob", "means", "covars"))
         labelled = rows.join(sub_models, ["entity", "top_state"], "left").select(
@@ -165,15 +204,17 @@ class HierarchicalModel:
                                 F.lit("sub_level_state").alias("layer")),
             ]
         )
-        fits = _union([
-            _tag(top_fits, "top_level_state").withColumn("top_state", F.lit(None).cast("int")),
-            _tag(sub_fits, "sub_level_state"),
-        ])
-        models = _union([
+        fits = None
+        if top_fits is not None:
+            fits = _union([
+                _tag(top_fits, "top_level_state").withColumn("top_state", F.lit(None).cast("int")),
+                _tag(sub_fits, "sub_level_state"),
+            ])
+        chosen = _union([
             _tag(top_best, "top_level_state").withColumn("top_state", F.lit(None).cast("int")),
             _tag(sub_best, "sub_level_state"),
         ])
-        return RegimeResult(self.name, fits, models, states, _tag(H.transitions(top_best), "top_level_state"))
+        return RegimeResult(self.name, fits, chosen, states, _tag(H.transitions(top_best), "top_level_state"))
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:

@@ -180,3 +180,25 @@ def test_fit_unchanged_by_other_entities_in_the_batch(spark):
         assert np.allclose(a["train_loglik"], b["train_loglik"], rtol=0, atol=1e-8)
         assert np.allclose(a["val_loglik"], b["val_loglik"], rtol=0, atol=1e-8)
         assert np.allclose(np.stack([np.stack(m) for m in a["means"]]), np.stack([np.stack(m) for m in b["means"]]), atol=1e-10)
+
+
+def test_manager_reuses_saved_models(spark, tmp_dir):
+    import os
+
+    from regimekit.plans.manager import RegimeManager
+
+    df = _synthetic(spark, n_entities=2, T=200, seed=21).drop("truth")
+    store, out = os.path.join(tmp_dir, "models"), os.path.join(tmp_dir, "out")
+    lp = LayeredParams(layers=(LayerParams(2, 2), LayerParams(2, 2)), fit=FAST)
+    first = RegimeManager(LayeredModel(["f1", "f2"], lp), store, out).train_all(df)
+    assert first.fits is not None
+    again = RegimeManager(LayeredModel(["f1", "f2"], lp), store).train_all(df)
+    assert again.fits is None  # loaded, not refitted
+    a = first.states.orderBy("entity", "layer", "ts").select("state").collect()
+    b = again.states.orderBy("entity", "layer", "ts").select("state").collect()
+    assert a == b
+    other = RegimeManager(LayeredModel(["f1", "f2"], lp), store).train_all(df.where("entity = 'E0'"))
+    assert other.fits is not None  # different data -> different key -> fitted
+    back = spark.read.option("header", True).csv(os.path.join(out, "transition_matrices"))
+    assert back.select("layer_idx").distinct().count() == 2
+    assert spark.read.parquet(os.path.join(out, "state_labeled")).columns.count("regime_layer1") == 1
