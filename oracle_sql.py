@@ -587,3 +587,74 @@ ORACLES["hmm_em_step"] = _em_step_sql()
 ORACLES["hmm_viterbi_chunked"] = ORACLES["hmm_viterbi"]
 ORACLES["hmm_posterior_chunked"] = ORACLES["hmm_posterior"]
 ORACLES["hmm_score_chunked"] = ORACLES["hmm_score"]
+
+
+# Layer-1 model of the layered decode (same values as the Spark catalog).
+L1_PI = (0.5, 0.5)
+L1_A = ((0.9, 0.1), (0.1, 0.9))
+L1_MU = ((0.0, 0.8, 0.2), (1.0, 0.2, 0.8))
+L1_VAR = ((1.0, 0.1, 0.1), (2.0, 0.1, 0.1))
+
+
+def layered_decode_sql() -> str:
+    xs = ["x0", "x1", "x2"]
+    lb = []
+    for k in range(2):
+        logdet = " + ".join(f"ln({D(v)})" for v in L1_VAR[k])
+        quad = " + ".join(f"({x} - {D(m)}) * ({x} - {D(m)}) / {D(v)}" for x, m, v in zip(xs, L1_MU[k], L1_VAR[k]))
+        lb.append(f"-0.5 * (3 * ln(2 * pi()) + ({logdet}) + ({quad}))")
+    la = [[f"ln({D(L1_A[i][j])})" for j in range(2)] for i in range(2)]
+    lp = [f"ln({D(L1_PI[k])})" for k in range(2)]
+    extra = [
+        (
+            "in1",
+            "SELECT e.entity, e.ts, e.t, e.n, e.x AS x0, f.a0 * b.z0 / (f.a0 * b.z0 + f.a1 * b.z1) AS x1, "
+            "f.a1 * b.z1 / (f.a0 * b.z0 + f.a1 * b.z1) AS x2 FROM em e "
+            "JOIN fwd f ON e.entity = f.entity AND e.t = f.t JOIN bwd b ON e.entity = b.entity AND e.t = b.t",
+        ),
+        ("em1", f"SELECT *, {lb[0]} AS lb0, {lb[1]} AS lb1 FROM in1"),
+        (
+            "vit1",
+            f"SELECT entity, t, {lp[0]} + lb0 AS d0, {lp[1]} + lb1 AS d1, 0 AS bp0, 0 AS bp1 FROM em1 WHERE t = 1 "
+            "UNION ALL SELECT e.entity, e.t, "
+            f"greatest(v.d0 + {la[0][0]}, v.d1 + {la[1][0]}) + e.lb0, "
+            f"greatest(v.d0 + {la[0][1]}, v.d1 + {la[1][1]}) + e.lb1, "
+            f"CASE WHEN v.d0 + {la[0][0]} >= v.d1 + {la[1][0]} THEN 0 ELSE 1 END, "
+            f"CASE WHEN v.d0 + {la[0][1]} >= v.d1 + {la[1][1]} THEN 0 ELSE 1 END "
+            "FROM vit1 v JOIN em1 e ON e.entity = v.entity AND e.t = v.t + 1",
+        ),
+        (
+            "path1",
+            "SELECT v.entity, v.t, CASE WHEN v.d0 >= v.d1 THEN 0 ELSE 1 END AS s FROM vit1 v "
+            "JOIN (SELECT DISTINCT entity, n FROM em1) l ON v.entity = l.entity AND v.t = l.n "
+            "UNION ALL SELECT p.entity, p.t - 1, CASE WHEN p.s = 0 THEN v.bp0 ELSE v.bp1 END "
+            "FROM path1 p JOIN vit1 v ON v.entity = p.entity AND v.t = p.t WHERE p.t > 1",
+        ),
+        (
+            "st1",
+            "SELECT e.*, CAST(p.s AS INTEGER) AS raw_state FROM em1 e JOIN path1 p ON e.entity = p.entity AND e.t = p.t",
+        ),
+        (
+            "rvol1",
+            "SELECT entity, raw_state, stddev_pop(v) AS vol FROM ("
+            + " UNION ALL ".join(f"SELECT entity, raw_state, {x} AS v FROM st1" for x in xs)
+            + ") GROUP BY 1, 2",
+        ),
+        (
+            "rmap1",
+            "SELECT a.entity, a.raw_state, CAST(row_number() OVER (PARTITION BY a.entity "
+            "ORDER BY r.vol ASC NULLS LAST, a.raw_state) - 1 AS INTEGER) AS state "
+            "FROM allst a LEFT JOIN rvol1 r ON a.entity = r.entity AND a.raw_state = r.raw_state",
+        ),
+    ]
+    final = (
+        "SELECT s.entity, s.ts, 'regime_layer0' AS layer, s.raw_state, m.state FROM states s "
+        "JOIN rmap m ON s.entity = m.entity AND s.raw_state = m.raw_state "
+        "UNION ALL SELECT s.entity, s.ts, 'regime_layer1' AS layer, s.raw_state, m.state FROM st1 s "
+        "JOIN rmap1 m ON s.entity = m.entity AND s.raw_state = m.raw_state"
+    )
+    return with_ctes(_pipe(MAIN) + given_ctes() + extra, final, recursive=True)
+
+
+MATERIALIZE.update({"in1", "em1", "vit1", "path1", "st1"})
+ORACLES["layered_decode"] = layered_decode_sql()

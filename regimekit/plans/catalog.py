@@ -621,3 +621,26 @@ def q_score_chunked(spark, sf_dir):
     return st.groupBy("entity").agg(
         F.round(F.first("loglik"), LL_DIGITS).alias("loglik"), F.count("*").cast("bigint").alias("n")
     )
+
+
+# Layer-1 model of the oracle-checked layered decode: input [vol_5, posterior_0, posterior_1].
+GIVEN_LAYER1 = GivenModel(
+    startprob=(0.5, 0.5),
+    transmat=((0.9, 0.1), (0.1, 0.9)),
+    means=((0.0, 0.8, 0.2), (1.0, 0.2, 0.8)),
+    covars=(((1.0, 0.0, 0.0), (0.0, 0.1, 0.0), (0.0, 0.0, 0.1)), ((2.0, 0.0, 0.0), (0.0, 0.1, 0.0), (0.0, 0.0, 0.1))),
+)
+
+
+@query("layered_decode")
+def q_layered_decode(spark, sf_dir):
+    """Decode both layers with given models (layer 1 sees vol_5 ++ layer-0 posterior), relabel each."""
+    from regimekit.params import LayerParams
+    from regimekit.session import cut_lineage
+
+    feats = cut_lineage(features(spark, sf_dir), "features")
+    models = attach_model(feats, GIVEN).withColumn("layer", F.lit("regime_layer0")).unionByName(
+        attach_model(feats, GIVEN_LAYER1).withColumn("layer", F.lit("regime_layer1"))
+    )
+    lm = LayeredModel([GIVEN_FEATURE], LayeredParams(layers=(LayerParams(2, 2), LayerParams(2, 2))))
+    return lm.decode(feats, models).states.select("entity", "ts", "layer", "raw_state", "state")
