@@ -658,3 +658,25 @@ def layered_decode_sql() -> str:
 
 MATERIALIZE.update({"in1", "em1", "vit1", "path1", "st1"})
 ORACLES["layered_decode"] = layered_decode_sql()
+
+
+# Sub-model of top state 0 (same values as the Spark catalog).
+S0_PI = (0.3, 0.7)
+S0_MU = (-0.8, 0.0)
+S0_VAR = (0.2, 0.6)
+
+
+def hierarchical_decode_sql() -> str:
+    score = [
+        f"ln({D(S0_PI[k])}) + -0.5 * (ln(2 * pi()) + ln({D(S0_VAR[k])}) + (x - {D(S0_MU[k])}) * (x - {D(S0_MU[k])}) / {D(S0_VAR[k])})"
+        for k in range(2)
+    ]
+    sub = f"CASE WHEN raw_state = 0 THEN (CASE WHEN {score[0]} >= {score[1]} THEN 0 ELSE 1 END) END"
+    final = (
+        "SELECT entity, ts, 'top_level_state' AS layer, raw_state AS state FROM states "
+        f"UNION ALL SELECT entity, ts, 'sub_level_state' AS layer, CAST({sub} AS INTEGER) AS state FROM states"
+    )
+    return _given(final)
+
+
+ORACLES["hierarchical_decode"] = hierarchical_decode_sql()

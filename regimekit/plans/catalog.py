@@ -644,3 +644,28 @@ def q_layered_decode(spark, sf_dir):
     )
     lm = LayeredModel([GIVEN_FEATURE], LayeredParams(layers=(LayerParams(2, 2), LayerParams(2, 2))))
     return lm.decode(feats, models).states.select("entity", "ts", "layer", "raw_state", "state")
+
+
+# Sub-model of top state 0 for the oracle-checked hierarchical decode (top state 1 gets none -> NULL).
+GIVEN_SUB0 = GivenModel(
+    startprob=(0.3, 0.7),
+    transmat=((0.5, 0.5), (0.5, 0.5)),
+    means=((-0.8,), (0.0,)),
+    covars=(((0.2,),), ((0.6,),)),
+)
+
+
+@query("hierarchical_decode")
+def q_hierarchical_decode(spark, sf_dir):
+    """Top Viterbi with the given model, then row-wise sub states; NULL where no sub-model."""
+    from regimekit.session import cut_lineage
+
+    feats = cut_lineage(features(spark, sf_dir), "features")
+    top = attach_model(feats, GIVEN).withColumn("layer", F.lit("top_level_state")).withColumn(
+        "top_state", F.lit(None).cast("int")
+    )
+    sub = attach_model(feats, GIVEN_SUB0).withColumn("layer", F.lit("sub_level_state")).withColumn(
+        "top_state", F.lit(0)
+    )
+    hm = HierarchicalModel([GIVEN_FEATURE])
+    return hm.decode(feats, top.unionByName(sub)).states.select("entity", "ts", "layer", "state")
