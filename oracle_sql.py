@@ -680,3 +680,74 @@ def hierarchical_decode_sql() -> str:
 
 
 ORACLES["hierarchical_decode"] = hierarchical_decode_sql()
+
+
+# Second candidate (seed 1) of the selection query (same values as the Spark catalog).
+B_PI = (0.5, 0.5)
+B_A = ((0.9, 0.1), (0.1, 0.9))
+B_MU = (-1.0, 0.5)
+B_VAR = (0.3, 3.0)
+
+
+def candidate_ctes(p: str, pi, A, mu, var) -> list[tuple[str, str]]:
+    """Viterbi usage entropy, forward log-likelihood and entropy score of one given 2-state model."""
+    lb = [f"-0.5 * (ln(2 * pi()) + ln({D(var[k])}) + (x - {D(mu[k])}) * (x - {D(mu[k])}) / {D(var[k])})" for k in range(2)]
+    la = [[f"ln({D(A[i][j])})" for j in range(2)] for i in range(2)]
+    a = [[D(A[i][j]) for j in range(2)] for i in range(2)]
+    q = [D(pi[k]) for k in range(2)]
+    return [
+        (f"{p}em", f"SELECT entity, t, n, {lb[0]} AS lb0, {lb[1]} AS lb1 FROM seq"),
+        (
+            f"{p}vit",
+            f"SELECT entity, t, ln({q[0]}) + lb0 AS d0, ln({q[1]}) + lb1 AS d1, 0 AS bp0, 0 AS bp1 FROM {p}em WHERE t = 1 "
+            "UNION ALL SELECT e.entity, e.t, "
+            f"greatest(v.d0 + {la[0][0]}, v.d1 + {la[1][0]}) + e.lb0, greatest(v.d0 + {la[0][1]}, v.d1 + {la[1][1]}) + e.lb1, "
+            f"CASE WHEN v.d0 + {la[0][0]} >= v.d1 + {la[1][0]} THEN 0 ELSE 1 END, "
+            f"CASE WHEN v.d0 + {la[0][1]} >= v.d1 + {la[1][1]} THEN 0 ELSE 1 END "
+            f"FROM {p}vit v JOIN {p}em e ON e.entity = v.entity AND e.t = v.t + 1",
+        ),
+        (
+            f"{p}path",
+            f"SELECT v.entity, v.t, CASE WHEN v.d0 >= v.d1 THEN 0 ELSE 1 END AS s FROM {p}vit v "
+            f"JOIN (SELECT DISTINCT entity, n FROM {p}em) l ON v.entity = l.entity AND v.t = l.n "
+            "UNION ALL SELECT p.entity, p.t - 1, CASE WHEN p.s = 0 THEN v.bp0 ELSE v.bp1 END "
+            f"FROM {p}path p JOIN {p}vit v ON v.entity = p.entity AND v.t = p.t WHERE p.t > 1",
+        ),
+        (
+            f"{p}emx",
+            f"SELECT *, greatest(lb0, lb1) AS m, exp(lb0 - greatest(lb0, lb1)) AS b0, exp(lb1 - greatest(lb0, lb1)) AS b1 FROM {p}em",
+        ),
+        (
+            f"{p}fwd",
+            f"SELECT entity, t, {q[0]} * b0 / ({q[0]} * b0 + {q[1]} * b1) AS a0, {q[1]} * b1 / ({q[0]} * b0 + {q[1]} * b1) AS a1, "
+            f"ln({q[0]} * b0 + {q[1]} * b1) + m AS lc FROM {p}emx WHERE t = 1 "
+            "UNION ALL SELECT entity, t, u0 / (u0 + u1), u1 / (u0 + u1), lc + ln(u0 + u1) + m FROM ("
+            f"SELECT e.entity, e.t, e.m, f.lc, (f.a0 * {a[0][0]} + f.a1 * {a[1][0]}) * e.b0 AS u0, "
+            f"(f.a0 * {a[0][1]} + f.a1 * {a[1][1]}) * e.b1 AS u1 FROM {p}fwd f JOIN {p}emx e ON e.entity = f.entity AND e.t = f.t + 1)",
+        ),
+        (
+            f"{p}score",
+            "SELECT l.entity, l.lc / l.n + CAST(4 AS DOUBLE) * u.entropy AS score FROM "
+            f"(SELECT f.entity, f.lc, e.n FROM {p}fwd f JOIN (SELECT DISTINCT entity, n FROM {p}em) e "
+            "ON f.entity = e.entity AND f.t = e.n) l JOIN "
+            "(SELECT entity, sum(-share * ln(share + 1e-10)) AS entropy FROM (SELECT entity, cnt / sum(cnt) OVER "
+            "(PARTITION BY entity) AS share FROM (SELECT a.entity, coalesce(c.cnt, 0) AS cnt FROM "
+            "(SELECT DISTINCT entity FROM seq) a0 CROSS JOIN (VALUES (0), (1)) v(s) "
+            "JOIN (SELECT DISTINCT entity FROM seq) a ON a.entity = a0.entity "
+            f"LEFT JOIN (SELECT entity, s, count(*) AS cnt FROM {p}path GROUP BY 1, 2) c "
+            "ON a.entity = c.entity AND v.s = c.s)) GROUP BY entity) u ON l.entity = u.entity",
+        ),
+    ]
+
+
+MATERIALIZE.update({"ca_em", "ca_vit", "ca_path", "ca_fwd", "cb_em", "cb_vit", "cb_path", "cb_fwd"})
+ORACLES["select_best_given"] = with_ctes(
+    _pipe(MAIN)
+    + given_ctes()[:1]
+    + candidate_ctes("ca_", G_PI, G_A, G_MU, G_VAR)
+    + candidate_ctes("cb_", B_PI, B_A, B_MU, B_VAR),
+    "SELECT entity, k, seed, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY entity "
+    "ORDER BY score DESC, k ASC, seed ASC) AS rn FROM (SELECT entity, 2 AS k, 0 AS seed, score FROM ca_score "
+    "UNION ALL SELECT entity, 2 AS k, 1 AS seed, score FROM cb_score)) WHERE rn = 1",
+    recursive=True,
+)

@@ -669,3 +669,36 @@ def q_hierarchical_decode(spark, sf_dir):
     )
     hm = HierarchicalModel([GIVEN_FEATURE])
     return hm.decode(feats, top.unionByName(sub)).states.select("entity", "ts", "layer", "state")
+
+
+# Second candidate of the oracle-checked selection (seed 1); the first is GIVEN (seed 0).
+GIVEN_B = GivenModel(
+    startprob=(0.5, 0.5),
+    transmat=((0.9, 0.1), (0.1, 0.9)),
+    means=((-1.0,), (0.5,)),
+    covars=(((0.3,),), ((3.0,),)),
+)
+
+
+@query("select_best_given")
+def q_select_best_given(spark, sf_dir):
+    """A17 + E1: score candidate models (log-likelihood per step + 4 x usage entropy) and pick the best."""
+    from regimekit.session import cut_lineage
+
+    feats = cut_lineage(features(spark, sf_dir), "features")
+    seq = H.sequences(feats, [GIVEN_FEATURE])
+    frames = []
+    for seed, model in ((0, GIVEN), (1, GIVEN_B)):
+        models = attach_model(feats, model).withColumn("seed", F.lit(seed))
+        states = H.decode(seq, models)
+        ent = H.state_entropy(H.state_usage(states, models, state_col="raw_state"))
+        ll = states.groupBy("entity").agg(F.first("loglik").alias("val_loglik"), F.count("*").alias("n_val"))
+        frames.append(
+            ll.join(ent, "entity").select(
+                "entity", "val_loglik", "n_val", F.col("entropy").alias("val_entropy"),
+                F.lit(model.k).alias("k"), F.lit(seed).alias("seed"), F.lit(1).alias("d"),
+                F.lit("converged").alias("status"),
+            )
+        )
+    fits = H.with_score(frames[0].unionByName(frames[1]), H.entropy_score(4.0))
+    return rounded(H.select_best(fits).select("entity", F.col("k").cast("int"), F.col("seed").cast("int"), "score"))
