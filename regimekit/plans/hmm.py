@@ -106,16 +106,21 @@ def sequence_stats(seq: DataFrame, keys: list[str]) -> tuple[int, int, int]:
 def sequence_buckets(seq: DataFrame, keys: list[str], n_buckets: int) -> DataFrame:
     """``(keys, bucket)``: sequences dealt round-robin into ``n_buckets`` equal buckets.
 
-    A dense index from ``zipWithIndex`` (per-partition counts + offsets; no
-    single-partition window) gives buckets whose sizes differ by at most one,
-    so the CPU-heavy fit tasks are balanced.
+    A dense index from ``zipWithIndex`` over the *sorted* keys (per-partition
+    counts + offsets; no single-partition window) gives buckets whose sizes
+    differ by at most one, so the CPU-heavy fit tasks are balanced.  Sorting
+    makes the numbering independent of shuffle order, and the small table is
+    written once, so both co-grouped sides and any task retry see the same
+    assignment.
     """
     from pyspark.sql import types as T
 
-    distinct = seq.select(*keys).distinct()
+    from regimekit.session import cut_lineage
+
+    distinct = seq.select(*keys).distinct().orderBy(*keys)
     schema = T.StructType([*distinct.schema.fields, T.StructField("bucket", T.IntegerType())])
     rdd = distinct.rdd.zipWithIndex().map(lambda r: (*r[0], int(r[1] % n_buckets)))
-    return seq.sparkSession.createDataFrame(rdd, schema)
+    return cut_lineage(seq.sparkSession.createDataFrame(rdd, schema), "buckets")
 
 
 def task_partitions(spark, n_groups: int) -> int:
