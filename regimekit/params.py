@@ -52,6 +52,8 @@ class FitParams:
     max_iter: int = 100
     tol: float = 1e-4
     covariance_type: str = "full"  # full | diag
+    # letters of the parameters EM estimates: s(tart), t(ransitions), m(eans), c(ovariances);
+    # the others keep their deterministic start values
     init_params: str = "stmc"
     min_covar: float = 1e-3
     train_ratio: float = 0.8
