@@ -1,7 +1,8 @@
 """Benchmark the headline queries; prints one JSON line.
 
 Env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
-BENCH_QUERIES (comma list to run a subset).
+BENCH_QUERIES (comma list to run a subset), BENCH_EVENT_LOG (a folder: write
+Spark's event log there; summarise it with tools/stage_times.py).
 Each query is forced with a no-op write (full computation, nothing collected).
 """
 
@@ -70,11 +71,10 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     wanted = [q for q in os.environ.get("BENCH_QUERIES", "").split(",") if q] or list(QUERIES)
-    spark = get_spark(
-        f"local[{cpus}]",
-        app="regimekit-bench",
-        **{"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g"},
-    )
+    conf = {"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g"}
+    if os.environ.get("BENCH_EVENT_LOG"):
+        conf.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENT_LOG"]})
+    spark = get_spark(f"local[{cpus}]", app="regimekit-bench", **conf)
     spark.sparkContext.setLogLevel("ERROR")
     # warm-up: JVM, parquet footers and Python workers (not timed)
     src.price_panel(spark, sf_dir, "flag_week").write.format("noop").mode("overwrite").save()

@@ -123,6 +123,28 @@ def sequence_buckets(seq: DataFrame, keys: list[str], n_buckets: int) -> DataFra
     return cut_lineage(seq.sparkSession.createDataFrame(rdd, schema), "buckets")
 
 
+def one_group_per_partition(spark, n_groups: int, max_factor: int = 64) -> int | None:
+    """Smallest partition count ``P`` for which ``pmod(hash(g), P)`` differs for every ``g`` in ``0..n_groups-1``.
+
+    Hash partitioning of a handful of CPU-heavy groups puts two groups in one
+    task now and then, and that task sets the stage time.  Spark's own hash is
+    evaluated for all candidate counts in one small job.
+    """
+    if n_groups <= 1:
+        return 1
+    candidates = F.sequence(F.lit(n_groups), F.lit(n_groups * max_factor))
+    rows = (
+        spark.range(n_groups)
+        .select(F.transform(candidates, lambda p: F.pmod(F.hash(F.col("id").cast("int")), p)).alias("slots"))
+        .collect()  # n_groups small arrays
+    )
+    slots = [r["slots"] for r in rows]
+    for i in range(len(slots[0])):
+        if len({s[i] for s in slots}) == n_groups:
+            return n_groups + i
+    return None
+
+
 def task_partitions(spark, n_groups: int) -> int:
     """Partitions for a compute-bound grouped stage: about two per group, capped.
 
@@ -404,13 +426,21 @@ def fit_from_init(
         n_buckets = max(-(-n_seq // max(1, seqs_per_task)), -(-2 * cores // max(1, len(kc))))
     n_buckets = int(max(1, min(n_seq, n_buckets)))
     buckets = sequence_buckets(seq, keys, n_buckets)
-    rep = rep.join(buckets, keys)
-    init = init.join(buckets, keys)
-    gk = ["bucket", "k", "chunk"]
+    # dense group id g = bucket * cells + cell, one co-group per g
+    cells = sorted(kc)
+    cell = F.lit(None).cast("int")
+    for i, (k, c) in enumerate(cells):
+        cell = F.when((F.col("k") == k) & (F.col("chunk") == c), F.lit(i)).otherwise(cell)
+    gid = (F.col("bucket") * F.lit(len(cells)) + cell).cast("int").alias("g")
+    rep = rep.join(buckets, keys).withColumn("g", gid)
+    init = init.join(buckets, keys).withColumn("g", gid)
     # both sides descend from ``seq``: fresh column identities keep the co-group unambiguous
     rep, init = rep.toDF(*rep.columns).alias("seq_side"), init.toDF(*init.columns).alias("init_side")
-    parts = task_partitions(spark, n_buckets * len(kc))
-    rep, init = rep.repartition(parts, *gk), init.repartition(parts, *gk)
+    n_groups = n_buckets * len(cells)
+    parts = one_group_per_partition(spark, n_groups) if n_groups <= 4 * cores else None
+    parts = parts or task_partitions(spark, n_groups)
+    rep, init = rep.repartition(parts, "g"), init.repartition(parts, "g")
+    gk = ["g"]
     return rep.groupBy(*gk).cogroup(init.groupBy(*gk)).applyInPandas(_fit_group(keys, fit), schema)
 
 
