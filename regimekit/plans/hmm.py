@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from regimekit.plans import hmm_kernels as K
 from regimekit.params import FitParams
-from regimekit.session import ship_package
+from regimekit.session import cut_lineage, ship_package
 
 PARAM_DDL = (
     "startprob ARRAY<DOUBLE>, transmat ARRAY<ARRAY<DOUBLE>>, "
@@ -537,7 +537,8 @@ def decode(seq: DataFrame, models: DataFrame, keys: list[str] = ("entity",), wit
     """M2-M4 on the whole sequence: Viterbi state, posterior and log-likelihood per step.
 
     The model table (one row per sequence) is co-grouped with the sequence, so
-    both sides shuffle on the sequence key and no side is broadcast.  When a
+    both sides shuffle on the sequence key and no side is broadcast.  The
+    result is written once as a stage table (it is read several times).  When a
     sequence is longer than ``LONG_SEQUENCE`` steps the decode runs over time
     chunks in separate tasks instead (same results).
     """
@@ -547,14 +548,16 @@ def decode(seq: DataFrame, models: DataFrame, keys: list[str] = ("entity",), wit
     if max_n > LONG_SEQUENCE:
         from regimekit.plans.chunked import decode_chunked
 
-        return decode_chunked(seq, models, keys, DECODE_CHUNK)
+        return cut_lineage(decode_chunked(seq, models, keys, DECODE_CHUNK), "decoded")
     schema = f"{_key_ddl(keys, seq)}, ts TIMESTAMP_NTZ, t INT, raw_state INT, posterior ARRAY<DOUBLE>, loglik DOUBLE"
     m = models.select(*keys, "startprob", "transmat", "means", "covars")
     s = seq.select(*keys, "ts", "t", "x")
     m, s = m.toDF(*m.columns).alias("model_side"), s.toDF(*s.columns).alias("seq_side")
     parts = task_partitions(seq.sparkSession, n_seq)
     m, s = m.repartition(parts, *keys), s.repartition(parts, *keys)
-    return s.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInPandas(_decode_group(keys, with_posterior), schema)
+    out = s.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInPandas(_decode_group(keys, with_posterior), schema)
+    # written once: relabelling and joins read it several times, the Python stage must not rerun
+    return cut_lineage(out, "decoded")
 
 
 # ---------------------------------------------------------------- relabel

@@ -140,7 +140,7 @@ class LayeredModel(_Variant):
                 all_fits.append(_tag(fits, name))
             else:
                 best = _layer_models(models, name)
-            decoded = cut_lineage(H.decode(seq, best, with_posterior=not last), "decoded")
+            decoded = H.decode(seq, best, with_posterior=not last)
             labels = H.relabel(decoded, seq, best).select("entity", "ts", "raw_state", "state")
             all_models.append(_tag(best, name))
             all_states.append(_tag(labels, name))
@@ -175,9 +175,7 @@ class HierarchicalModel(_Variant):
             top_fits, top_best = _fit_select(seq, _layer_fit(p.fit, p.top), self.metric, ["entity"])
         else:
             top_best = _layer_models(models, "top_level_state").drop("top_state")
-        top_states = cut_lineage(
-            H.decode(seq, top_best, with_posterior=False).select("entity", "ts", "t", "raw_state"), "decoded"
-        )
+        top_states = H.decode(seq, top_best, with_posterior=False).select("entity", "ts", "t", "raw_state")
         # Rows of each top state, in time order, form one (non-contiguous) training sequence
         rows = top_states.withColumnRenamed("raw_state", "top_state").join(seq.select("entity", "t", "x"), ["entity", "t"])
         if models is None:
