@@ -569,8 +569,6 @@ def q_sub_partition(spark, sf_dir):
 @query("hmm_em_step")
 def q_em_step(spark, sf_dir):
     """M5: one Baum-Welch step from the given model on each whole sequence."""
-    from regimekit.plans import hmm_kernels as KN
-
     feats, seq, models, _ = given_decode(spark, sf_dir)
     one = FitParams(max_iter=1, split="all", min_rows=1, tol=-1.0)
     init = models.select("entity", "k", "seed", F.lit(0).alias("chunk"), "startprob", "transmat", "means", "covars")
