@@ -24,7 +24,7 @@ from regimekit.operators import panel as pnl  # noqa: E402
 from regimekit.params import FeatureParams, FitParams  # noqa: E402
 from regimekit.plans import catalog as C  # noqa: E402
 from regimekit.plans.variants import PlainModel  # noqa: E402
-from regimekit.session import get_spark  # noqa: E402
+from regimekit.session import drop_stage_tables, get_spark  # noqa: E402
 from regimekit.sources import panels as src  # noqa: E402
 
 BENCH_PANEL = "brand_day"  # 25 brands + proxy, daily, lineitem joined with part
@@ -83,6 +83,7 @@ def main() -> None:
         t0 = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
+        drop_stage_tables(spark)  # results consumed: free the stage tables of this query
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(
         json.dumps(

@@ -114,9 +114,34 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = checkpoint_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    _stage_tables(spark).append(path)
     return spark.read.parquet(path)
 
 
+def _stage_tables(spark: SparkSession) -> list:
+    sc = spark.sparkContext
+    if not hasattr(sc, "_regimekit_stage_tables"):
+        sc._regimekit_stage_tables = []
+    return sc._regimekit_stage_tables
+
+
+def drop_stage_tables(spark: SparkSession) -> int:
+    """Delete the stage tables ``cut_lineage`` wrote in this session (not the folder itself).
+
+    Call it once the results that read them are consumed.  Uses the Hadoop
+    FileSystem of each path, so it works for local, HDFS and object-store
+    checkpoint folders.  Returns the number of tables removed.
+    """
+    tables = _stage_tables(spark)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    removed = 0
+    while tables:
+        path = jvm.org.apache.hadoop.fs.Path(tables.pop())
+        if path.getFileSystem(conf).delete(path, True):
+            removed += 1
+    return removed
+
+
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for written tables."""
     base = ensure_checkpoint_dir(spark)

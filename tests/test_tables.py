@@ -88,3 +88,16 @@ def test_panel_and_model_round_trip(spark, tmp_dir):
     loaded = TB.load_models(spark, path, key)
     assert loaded is not None and loaded.count() == 1
     assert TB.load_models(spark, path, TB.fingerprint({"k": 3}, "panel-v1")) is None
+
+
+def test_stage_tables_are_dropped(spark):
+    from regimekit.session import _stage_tables, cut_lineage, drop_stage_tables
+
+    drop_stage_tables(spark)
+    df = cut_lineage(spark.range(10), "probe")
+    assert df.count() == 10
+    paths = list(_stage_tables(spark))
+    assert len(paths) == 1 and os.path.isdir(paths[0].replace("file:", ""))
+    assert drop_stage_tables(spark) == 1
+    assert not os.path.exists(paths[0].replace("file:", ""))
+    assert _stage_tables(spark) == []
