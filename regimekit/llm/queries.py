@@ -1,4 +1,4 @@
-"""Registered queries of the numbered operators."""
+"""Registered queries of the numbered operators, and the SQL that checks them."""
 
 from __future__ import annotations
 
@@ -6,14 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regimekit.llm import common as C
+from regimekit.llm import chat, minhash, packing
+from regimekit.llm.common import table
 
 
-def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from regimekit.llm.minhash import near_duplicates
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
-    return near_duplicates(C.table(spark, sf_dir, "documents"))
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), capacity=2048)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_minhash": op7_minhash}
-ORACLES: dict[str, str] = {}
+
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.read_back(chat.examples(rows))
+
+
+# RE2 has no look-ahead: count the control strings instead of inserting the backslashes
+_CONTROLS = r"<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|<\|endoftext\|>|<\|system\|>|<\|user\|>|<\|assistant\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>"
+
+ORACLES: dict[str, str] = {
+    "op9_chat_formatting": rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), t AS (
+  SELECT *, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY conv_id) AS n,
+    32 + length(role) + length(text) + (length(role) - length(replace(role, '\', ''))) + (length(text) - length(replace(text, '\', '')))
+    + len(regexp_extract_all(role, '{_CONTROLS}')) + len(regexp_extract_all(text, '{_CONTROLS}')) AS chars
+  FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), s AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY p) AS upto FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY p)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY p) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(upto) FILTER (role = 'assistant' OR p = n - 1))::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id
+""",
+}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op7_minhash": op7_minhash,
+    "op9_chat_formatting": op9_chat_formatting,
+}
