@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from regimekit.llm import chat, minhash, packing
-from regimekit.llm.common import table
+from regimekit.llm import chat, minhash, packing, simhash
+from regimekit.llm.common import stage, table
 
 
 def _tokenizer(name: str) -> str:
@@ -20,6 +21,15 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), capacity=2048)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints, and for rows whose doc_id is divisible by 20 how many others lie within 6 bits."""
+    prints = stage(simhash.fingerprint_edits(table(spark, sf_dir, "documents")), "simhash-edits")
+    near = simhash.count_within(prints, "doc_id % 20 = 0").withColumnRenamed("fp", "fingerprint")
+    asked = prints.where("doc_id % 20 = 0").join(near, "fingerprint", "left")
+    rest = prints.where("doc_id is null or doc_id % 20 != 0").withColumn("n_near", F.lit(None).cast("long"))
+    return asked.select(*prints.columns, "n_near").unionByName(rest)
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -57,6 +67,7 @@ FROM s GROUP BY conv_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_simhash": op2_simhash,
     "op7_minhash": op7_minhash,
     "op9_chat_formatting": op9_chat_formatting,
 }
