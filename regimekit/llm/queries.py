@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimekit.llm import chat, minhash, packing, simhash
+from regimekit.llm import chat, minhash, mixing, packing, simhash, vecdedup
 from regimekit.llm.common import stage, table
 
 
@@ -30,6 +30,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select(*prints.columns, "n_near").unionByName(rest)
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vecdedup.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -68,6 +76,8 @@ FROM s GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash": op2_simhash,
+    "op5_mixing": op5_mixing,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_minhash": op7_minhash,
     "op9_chat_formatting": op9_chat_formatting,
 }
