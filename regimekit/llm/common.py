@@ -137,3 +137,28 @@ def number_in_group(df: DataFrame, group: list[str], order: list[Column], row_ha
     df = df.withColumn("_nr", F.row_number().over(inner) - 1)
     joined = df.join(shift.select(*[F.col(c).alias(f"_g_{c}") for c in group], F.col("_nb").alias("_g_nb"), "_ns"), [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group] + [F.col("_nb") == F.col("_g_nb")])
     return joined.withColumn(out, (F.col("_nr") + F.col("_ns")).cast("long")).drop("_nb", "_nr", "_ns", "_g_nb", *[f"_g_{c}" for c in group])
+
+
+def kth_largest(df: DataFrame, key: str, k: int, bins: int = 1024, small: int = 20_000) -> float | None:
+    """The k-th largest value of a double column without nulls, exactly; None where k < 1.
+
+    Histograms of ``bins`` counts narrow the range down until at most ``small`` values are left.
+    """
+    if k < 1:
+        return None
+    low, high, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
+    if n == 0 or k >= n:
+        return low
+    while True:
+        inside = df.where((F.col(key) >= F.lit(low)) & (F.col(key) <= F.lit(high)))
+        if n <= small:
+            return inside.select(key).orderBy(F.col(key).desc()).limit(k).agg(F.min(key)).first()[0]
+        if low == high:
+            return low
+        at = F.least(F.floor((F.col(key) - F.lit(low)) / F.lit((high - low) / bins)), F.lit(bins - 1))
+        rows = inside.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min(key).alias("low"), F.max(key).alias("high")).collect()
+        for r in sorted(rows, key=lambda r: -r["bin"]):
+            if k <= r["n"]:
+                low, high, n = r["low"], r["high"], r["n"]
+                break
+            k -= r["n"]

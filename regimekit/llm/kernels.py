@@ -173,3 +173,25 @@ def segment(ufunc: np.ufunc, values: np.ndarray, first: np.ndarray, empty) -> np
     if len(full):
         out[full] = ufunc.reduceat(values, first[full], axis=0)
     return out
+
+
+def lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and number of words of each line that has words, and n+1 positions of each document's first line.
+
+    Lines end at ``\\n``; equal word sequences (A-Z in any case, any white space) give equal hashes.
+    """
+    starts, ends, first = word_spans(raw, offsets)
+    if len(starts) == 0:
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    h = span_hashes(raw, starts, ends)
+    breaks = np.searchsorted(np.flatnonzero(raw == 10), starts)
+    new = np.ones(len(starts), dtype=bool)
+    new[1:] = breaks[1:] != breaks[:-1]
+    new[first[:-1][first[:-1] < len(starts)]] = True
+    at = np.flatnonzero(new)
+    count = np.diff(np.append(at, len(starts)))
+    inside = np.arange(len(starts)) - np.repeat(at, count)
+    up, _ = _power_tables(int(count.max()))
+    with np.errstate(over="ignore"):
+        sums = np.add.reduceat(h * up[inside], at)
+        return mix64(sums + count.astype(U64) * _NGRAM[14]), count, np.searchsorted(at, first)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimekit.llm import chat, minhash, mixing, packing, simhash, vecdedup
+from regimekit.llm import chat, linedup, minhash, mixing, packing, quality, simhash, vecdedup
 from regimekit.llm.common import stage, table
 
 
@@ -42,12 +42,22 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its repeated blocks deleted: the text left, and how many lines went."""
+    done = linedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "text", F.col("_deleted_lines").cast("long").alias("deleted_lines"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return chat.read_back(chat.examples(rows))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
 # RE2 has no look-ahead: count the control strings instead of inserting the backslashes
 _CONTROLS = r"<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|<\|endoftext\|>|<\|system\|>|<\|user\|>|<\|assistant\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>"
 
@@ -79,5 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_minhash": op7_minhash,
+    "op8_line_dedup": op8_line_dedup,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_quality": op10_quality,
 }
