@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimekit.llm import chat, linedup, minhash, mixing, packing, quality, simhash, vecdedup
+from regimekit.llm import chat, langid, linedup, minhash, mixing, packing, quality, simhash, vecdedup
 from regimekit.llm.common import stage, table
 
 
@@ -30,6 +30,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select(*prints.columns, "n_near").unionByName(rest)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from the rows whose crc32(doc_id) mod 4 is not 2; the others are held out."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    samples = langid.learn(docs.where(~held_out))
+    return langid.identify(docs, samples).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
 
@@ -86,6 +94,7 @@ FROM s GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash": op2_simhash,
+    "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
     "op6_embedding_dedup": op6_embedding_dedup,
     "op7_minhash": op7_minhash,
