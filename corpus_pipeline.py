@@ -1,4 +1,7 @@
-"""A corpus pipeline of the numbered operators: each stage maps documents to documents."""
+"""A corpus pipeline of the numbered operators: each stage maps documents to documents.
+
+Every stage but the last returns the columns of ``documents``; the last returns packed pieces.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +10,63 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimekit.llm import minhash
+from regimekit.llm import linedup, minhash, mixing, packing, quality
 from regimekit.session import checkpoint_path
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampling of operator 10 rejects go; nothing else changes."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated blocks of lines go from the later documents, and documents of which no word is left.
+
+    ``n_chars`` follows the text where the column exists.  Documents without repeated blocks stay as they are.
+    """
+    done = linedup.dedup_lines(docs).where("_left_words is null or _left_words > 0")
+    if "n_chars" in docs.columns:
+        kind = dict(docs.dtypes)["n_chars"]
+        done = done.withColumn("n_chars", F.when(F.col("_deleted_lines") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return done.select(*docs.columns)
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the least doc_id.
 
-    Documents without words, and rows with a null doc_id, stay.  Of repeated rows of one doc_id
+    Documents without words and rows with a null doc_id stay.  Of repeated rows of one doc_id
     each stays if that doc_id stays.
     """
-    found = minhash.near_duplicates(docs).where(F.col("kept") & F.col("doc_id").isNotNull())
-    keep = found.select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    gone = minhash.near_duplicates(docs, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    Documents without words are not taken.  Copies of a document are equal rows.
+    """
+    mixed = mixing.mix(docs)
+    copies = mixed.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source_size").alias("_ss"), F.expr("cast(taken div size as int)").alias("_copies"))
+    copies = copies.groupBy("_id").agg(F.max("_copies").alias("_copies"))
+    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left and their places in sequences of 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")), capacity=2048)
 
 
-STAGES = [("minhash near-dedup", near_duplicate_stage)]
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("line dedup", line_stage),
+    ("minhash near-dedup", near_duplicate_stage),
+    ("mixing to target weights", mixing_stage),
+    ("best-fit packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimekit.llm import chat, langid, linedup, minhash, mixing, packing, quality, simhash, vecdedup
+from regimekit.llm import chat, htmltext, langid, linedup, minhash, mixing, packing, quality, simhash, vecdedup
 from regimekit.llm.common import stage, table
 
 
@@ -30,6 +30,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select(*prints.columns, "n_near").unionByName(rest)
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from the rows whose crc32(doc_id) mod 4 is not 2; the others are held out."""
     docs = table(spark, sf_dir, "documents")
@@ -94,6 +98,7 @@ FROM s GROUP BY conv_id
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash": op2_simhash,
+    "op3_html_extraction": op3_html_extraction,
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
     "op6_embedding_dedup": op6_embedding_dedup,
