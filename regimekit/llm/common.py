@@ -17,9 +17,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ARROW_BYTES = "16m"  # input of a Python worker at once, unless the session sets its own
+
+
 def prepare(spark: SparkSession) -> None:
-    """Make the package importable in Python workers (needed by every Arrow function)."""
+    """Make the package importable in Python workers and bound their batches by bytes, not only by rows."""
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # Spark's default
+        spark.conf.set(key, ARROW_BYTES)
+
+
+FILTER_BITS = 1 << 25  # 4 MB whatever the input's size
+
+
+def likely_in(ids: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A boolean column function that is true for all values of a long ``column`` of ``ids``, and for few others.
+
+    A bitmap of fixed size filled by a hash; when very many ids fill it up, it only lets
+    more rows pass.  An exact join follows it.
+    """
+    slot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("int")
+    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, s % 32))").alias("m"))
+    bits = np.zeros(FILTER_BITS >> 5, dtype=np.uint32)  # at most as many rows reach the driver
+    rows = words.toPandas()
+    bits[rows["w"].to_numpy()] = rows["m"].to_numpy().astype(np.uint32)
+
+    def test(s: pa.Array) -> pa.Array:
+        x = s.to_numpy(zero_copy_only=False)
+        return pa.array((bits[x >> 5] >> (x & 31).astype(np.uint32)) & 1 == 1)
+
+    return lambda c: F.arrow_udf(test, "boolean")(F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int"))
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from regimekit.llm import common as C
 from regimekit.llm import kernels as K
 
-MISS = 1e-7  # chance that a link at exactly the threshold is lost by the coordinates
+MISS = 1e-7  # chance that a link at exactly the threshold is lost by the k coordinates
+MISS2 = 1e-6  # and by the k2 coordinates
 BLOCK = 512  # classes of one list compared at once in a task
 
 
@@ -44,13 +45,16 @@ def match_threshold(k: int, similarity: float, miss: float = MISS) -> int:
     return t
 
 
-def _signature(shingles: np.ndarray, first: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k x documents: least 32-bit value of each coordinate's hash of the shingles."""
-    out = np.empty((k, len(first) - 1), dtype=np.uint32)
+def _signature(shingles: np.ndarray, first: np.ndarray, k: int, seed: int, dtype: type) -> np.ndarray:
+    """k x documents: least value of each coordinate's hash (a random linear permutation) of the shingles."""
+    shift = K.U64(64 - np.dtype(dtype).itemsize * 8)
+    x = (shingles >> shift).astype(dtype)
+    out = np.empty((k, len(first) - 1), dtype=dtype)
     with np.errstate(over="ignore"):
         for i, (a, b) in enumerate(zip(K.seeds(k, seed), K.seeds(k, seed + 1))):
-            v = ((shingles ^ b) * a) >> K.U64(32)
-            out[i] = K.segment(np.minimum, v.astype(np.uint32), first, 0xFFFFFFFF)
+            v = x ^ dtype(b >> shift)
+            v *= dtype(a >> shift) | dtype(1)
+            out[i] = K.segment(np.minimum, v, first, np.iinfo(dtype).max)
     return out
 
 
@@ -100,7 +104,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
                 s, first = _distinct(g, gf)
                 n = np.diff(first)
                 with np.errstate(over="ignore"):
-                    keys = K.mix64(_signature(s, first, k, 21).astype(K.U64) + salt).T[n > 0]
+                    keys = K.mix64(_signature(s, first, k, 21, np.uint64) + salt).T[n > 0]
                 sizes = np.where(n > 0, k, 0)
                 node = _binary(_nodes(s, first))
                 node = pa.array([None if x == 0 else y for x, y in zip(n.tolist(), node.to_pylist())], type=pa.binary())
@@ -118,7 +122,7 @@ def shingle_sets(docs: DataFrame, shingle: int, k2: int) -> DataFrame:
             for _, _, raw, offsets in K.chunks(batch.column(0)):
                 g, gf = K.ngrams(*K.words(raw, offsets), shingle, whole_if_short=True)
                 s, first = _distinct(g, gf)
-                sig = (K.mix64(_signature(s, first, k2, 41).astype(K.U64)) & K.U64(255)).astype(np.uint8).T
+                sig = (K.mix64(_signature(s, first, k2, 41, np.uint32).astype(K.U64)) & K.U64(255)).astype(np.uint8).T
                 yield pa.RecordBatch.from_arrays([_binary(_nodes(s, first)), _lists(s, first), _binary(sig)], names=["node", "shingles", "sig"])
 
     return docs.select("text").mapInArrow(run, "node binary, shingles array<long>, sig binary")
@@ -188,7 +192,7 @@ def _pairs_of_cell(cell: pa.Table, threshold: int) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(us, type=pa.binary()), pa.array(vs, type=pa.binary())], names=["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 85, k: int = 32, k2: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 5, percent: int = 85, k: int = 32, k2: int = 1024) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row for each row of ``docs``.
 
     Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; the set holds the distinct shingles of
@@ -201,25 +205,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     spark = docs.sparkSession
     C.prepare(spark)
     t = match_threshold(k, percent / 100)
-    t2 = match_threshold(k2, percent / 100)
+    t2 = match_threshold(k2, percent / 100, MISS2)
     prints = C.stage(fingerprints(docs, text, doc_id, shingle, k), "mh-prints")
 
     linked = prints.where("node is not null and doc_id is not null")
     reps = linked.groupBy("node").agg(F.min(F.struct("doc_id", "keys")).alias("r")).select("node", F.col("r.doc_id").alias("rep"), F.col("r.keys").alias("keys"))
-    postings = reps.select("node", "rep", F.explode("keys").alias("key"))
+    postings = reps.select("node", F.explode("keys").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
     prefixes = (
         postings.join(shared, "key")
-        .groupBy("node", "rep")
+        .groupBy("node")
         .agg(F.array_sort(F.collect_list(F.struct("cnt", "key"))).alias("lists"), F.sum("cnt").alias("weight"))
         .where(F.size("lists") >= t)
         .withColumn("prefix", F.expr(f"slice(lists, 1, size(lists) - {t} + 1)"))
-        .select("node", "rep", "weight", "prefix")
+        .select("node", "weight", "prefix")
     )
-    prefixes = C.stage(prefixes, "mh-prefixes")
+    prefixes = C.stage(prefixes.join(reps.select("node", "rep"), "node"), "mh-prefixes")
 
     wanted = prefixes.select(F.col("rep").alias("_rep")).distinct()
     texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text"))
+    texts = texts.where(C.likely_in(wanted, "_rep")(F.col("_id")))
     sets = shingle_sets(texts.join(wanted, F.col("_id") == F.col("_rep"), "left_semi"), shingle, k2)
     sets = C.stage(sets.dropDuplicates(["node"]), "mh-sets")
 
@@ -239,7 +244,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     cells = C.block_cells(members, "key", "cnt", F.xxhash64("node"), BLOCK)
     rest = C.map_groups(cells, "cell", _cell_pairs(t2), "u binary, v binary")
     more = C.stage(confirmed(rest, sets, percent), "mh-more")
-    roots = C.components(links.unionByName(more), "mh-all")
+    joined = roots.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = C.components(joined.unionByName(more), "mh-all")
 
     least = reps.select("node", "rep").join(roots, "node").groupBy("root").agg(F.min("rep").alias("component"))
     grouped = roots.join(least, "root").select("node", "component")
