@@ -9,37 +9,53 @@ SELECT whose column names match the Spark DataFrame.
 
 from __future__ import annotations
 
-from regimekit.params import FeatureParams, PanelSpec
-from regimekit.sources.panels import PANELS
+from dataclasses import dataclass
 
 R = 6  # decimals kept on both sides for double columns
+NUDGE = 1e-9  # added before rounding on both sides, so that a mean such as 0.0003125 is no tie
+
+
+@dataclass(frozen=True)
+class FeatureParams:
+    """Parameters of a feature query, written out here so that the package's own defaults are checked too."""
+
+    vol_windows: tuple[int, ...] = (5, 10, 20)
+    vol_norm: str = "zscore"
+    proxy_mode: str = "zscore"
+    proxy_window: int = 5
+    start: str | None = None
+    end: str | None = None
+    model_proxy: bool = True
+
+    @property
+    def feature_columns(self) -> list[str]:
+        return ["normalized_returns", *(f"vol_{w}" for w in self.vol_windows), "market_vola"]
+
+
+#: Observations of each panel (entity, raw_ts, value) and its period.
+PANELS = {
+    "flag_week": ("SELECT l_returnflag AS entity, l_shipdate AS raw_ts, CAST(l_extendedprice AS DOUBLE) AS value FROM lineitem", "week"),
+    "flag_day": ("SELECT l_returnflag AS entity, l_shipdate AS raw_ts, CAST(l_extendedprice AS DOUBLE) AS value FROM lineitem", "day"),
+    "event_hour": ("SELECT event_type AS entity, ts AS raw_ts, CAST(value AS DOUBLE) AS value FROM events", "hour"),
+    "priority_week": ("SELECT o_orderpriority AS entity, o_orderdate AS raw_ts, CAST(o_totalprice AS DOUBLE) AS value FROM orders", "week"),
+}
+PROXY = "^MKT"
 
 
 def rnd(expr: str, alias: str, digits: int = R) -> str:
-    return f"round(CAST({expr} AS DOUBLE), {digits}) AS {alias}"
+    return f"round(CAST({expr} AS DOUBLE) + {NUDGE!r}, {digits}) AS {alias}"
 
 
-def panel_ctes(spec: PanelSpec) -> list[tuple[str, str]]:
-    if spec.dim:
-        dim_table, fact_key, dim_key = spec.dim
-        src = (
-            f"SELECT d.{spec.entity} AS entity, f.{spec.ts} AS raw_ts, CAST(f.{spec.value} AS DOUBLE) AS value "
-            f"FROM {spec.table} f JOIN {dim_table} d ON f.{fact_key} = d.{dim_key}"
-        )
-    else:
-        src = (
-            f"SELECT {spec.entity} AS entity, {spec.ts} AS raw_ts, CAST({spec.value} AS DOUBLE) AS value "
-            f"FROM {spec.table}"
-        )
-    bucket = f"CAST(date_trunc('{spec.period}', raw_ts) AS TIMESTAMP)"
-    # exact decimal sums (values carry 2 decimals), then one double division
-    mean = f"CAST(sum(CAST(value AS DECIMAL(18,{spec.value_scale}))) AS DOUBLE) / count(value)"
+def panel_ctes(spec: tuple[str, str]) -> list[tuple[str, str]]:
+    src, period = spec
+    bucket = f"CAST(date_trunc('{period}', raw_ts) AS TIMESTAMP)"
+    mean = "avg(value)"
     return [
         ("obs", f"SELECT * FROM ({src}) WHERE entity IS NOT NULL AND raw_ts IS NOT NULL"),
         (
             "prices",
             f"SELECT entity, {bucket} AS ts, {mean} AS price FROM obs GROUP BY 1, 2 "
-            f"UNION ALL SELECT '{spec.proxy}' AS entity, {bucket} AS ts, {mean} AS price FROM obs GROUP BY 2",
+            f"UNION ALL SELECT '{PROXY}' AS entity, {bucket} AS ts, {mean} AS price FROM obs GROUP BY 2",
         ),
     ]
 
@@ -56,9 +72,8 @@ def date_filter_cte(params: FeatureParams) -> list[tuple[str, str]]:
 
 def returns_ctes() -> list[tuple[str, str]]:
     return [
-        ("valid", "SELECT * FROM fprices WHERE price > 0"),
         ("nent", "SELECT count(DISTINCT entity) AS n FROM fprices"),
-        ("cal0", "SELECT ts, count(*) AS n_present FROM valid GROUP BY ts"),
+        ("cal0", "SELECT ts, count(*) FILTER (price > 0) AS n_present FROM fprices GROUP BY ts"),
         (
             "cal",
             "SELECT ts, n_present, n_present = (SELECT n FROM nent) AS complete, "
@@ -68,7 +83,8 @@ def returns_ctes() -> list[tuple[str, str]]:
         ("kept", "SELECT ts FROM cal WHERE complete AND coalesce(prev_complete, false)"),
         (
             "rets",
-            "SELECT entity, ts, ln(price / lag(price) OVER (PARTITION BY entity ORDER BY ts)) AS ret FROM valid",
+            "SELECT entity, ts, CASE WHEN price > 0 AND before > 0 THEN ln(price / before) END AS ret FROM "
+            "(SELECT entity, ts, price, lag(price) OVER (PARTITION BY entity ORDER BY ts) AS before FROM fprices)",
         ),
         ("returns", "SELECT entity, ts, ret FROM rets WHERE ts IN (SELECT ts FROM kept)"),
     ]
@@ -150,7 +166,7 @@ def with_ctes(ctes: list[tuple[str, str]], final: str, recursive: bool = False)
 
 def feature_pipeline(panel: str, params: FeatureParams = FeatureParams()) -> list[tuple[str, str]]:
     spec = PANELS[panel]
-    return panel_ctes(spec) + date_filter_cte(params) + returns_ctes() + features_ctes(params, spec.proxy)
+    return panel_ctes(spec) + date_filter_cte(params) + returns_ctes() + features_ctes(params, PROXY)
 
 
 # ---------------------------------------------------------------- registry
@@ -400,7 +416,7 @@ def _init_sql() -> str:
             ("g", f"SELECT * FROM (VALUES {grid}) g(k, seed, j)"),
         ],
         "SELECT s.entity, CAST(g.k AS INTEGER) AS k, CAST(g.seed AS INTEGER) AS seed, CAST(g.j AS INTEGER) AS state, "
-        f"s.d, round({qpick} + {perturb}, 6) AS mean FROM s CROSS JOIN g",
+        f"s.d, round({qpick} + {perturb} + {NUDGE!r}, 6) AS mean FROM s CROSS JOIN g",
     )
 
 
@@ -447,13 +463,13 @@ ORACLES["entropy_score"] = _given(
 )
 ORACLES["bic"] = _given(f"SELECT entity, round(-2 * ll + 7 * ln(n), 4) AS bic FROM ({_SCORE})")
 ORACLES["transition_matrix"] = _given(
-    "SELECT e.entity, 'VS0_' || f.i AS from_label, 'VS0_' || f.j AS to_label, round(f.p, 6) AS prob "
+    "SELECT e.entity, 'VS0_' || f.i AS from_label, 'VS0_' || f.j AS to_label, round(f.p + 1e-9, 6) AS prob "
     "FROM (SELECT DISTINCT entity FROM em) e CROSS JOIN (VALUES "
     + ", ".join(f"({i}, {j}, {D(G_A[i][j])})" for i in range(2) for j in range(2))
     + ") f(i, j, p)"
 )
 ORACLES["expected_steps"] = _given(
-    "SELECT e.entity, 'VS0_' || f.i AS state_label, round(1 / (1 - f.p + CAST(1e-10 AS DOUBLE)), 6) AS expected_steps "
+    "SELECT e.entity, 'VS0_' || f.i AS state_label, round(1 / (1 - f.p + CAST(1e-10 AS DOUBLE)) + 1e-9, 6) AS expected_steps "
     "FROM (SELECT DISTINCT entity FROM em) e CROSS JOIN (VALUES "
     + ", ".join(f"({i}, {D(G_A[i][i])})" for i in range(2))
     + ") f(i, p)"
@@ -466,7 +482,7 @@ ORACLES["feature_means"] = _given(
     "GROUP BY 1, 2, 3"
 )
 ORACLES["regime_capture"] = _given(
-    "SELECT g.entity, g.measure, g.state, round(coalesce(s.share, 0), 6) AS share FROM ("
+    "SELECT g.entity, g.measure, g.state, round(coalesce(s.share, 0) + 1e-9, 6) AS share FROM ("
     "SELECT DISTINCT a.entity, a.state, b.measure FROM sh a JOIN sh b ON a.entity = b.entity) g "
     "LEFT JOIN sh s ON g.entity = s.entity AND g.measure = s.measure AND g.state = s.state"
 ).replace(
@@ -746,7 +762,7 @@ ORACLES["select_best_given"] = with_ctes(
     + given_ctes()[:1]
     + candidate_ctes("ca_", G_PI, G_A, G_MU, G_VAR)
     + candidate_ctes("cb_", B_PI, B_A, B_MU, B_VAR),
-    "SELECT entity, k, seed, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY entity "
+    "SELECT entity, k, seed, round(score + 1e-9, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY entity "
     "ORDER BY score DESC, k ASC, seed ASC) AS rn FROM (SELECT entity, 2 AS k, 0 AS seed, score FROM ca_score "
     "UNION ALL SELECT entity, 2 AS k, 1 AS seed, score FROM cb_score)) WHERE rn = 1",
     recursive=True,

@@ -7,17 +7,12 @@ from pyspark.sql import functions as F
 
 from regimekit.functions.scalar import safe_log_ratio
 
-# Kept calendars up to this many periods are broadcast (about 16 bytes a row);
-# beyond it the semi-join is left to the planner (shuffle on ts / AQE).
-CALENDAR_BROADCAST_ROWS = 2_000_000
-
-
 def date_filter(df: DataFrame, start: str | None = None, end: str | None = None, ts: str = "ts") -> DataFrame:
     """Inclusive ``start <= ts <= end``; either end optional.  Pushed into the parquet scan."""
     if start:
-        df = df.where(F.col(ts) >= F.to_timestamp(F.lit(start)).cast("timestamp_ntz"))
+        df = df.where(F.col(ts) >= F.to_timestamp_ntz(F.lit(start)))
     if end:
-        df = df.where(F.col(ts) <= F.to_timestamp(F.lit(end)).cast("timestamp_ntz"))
+        df = df.where(F.col(ts) <= F.to_timestamp_ntz(F.lit(end)))
     return df
 
 
@@ -26,78 +21,70 @@ def entity_count(prices: DataFrame) -> "F.Column":
     return prices.agg(F.count_distinct("entity")).scalar()
 
 
+def valid_price(price: str = "price") -> "F.Column":
+    """A price that has a logarithm; everything else counts as missing."""
+    return F.coalesce(F.col(price) > 0, F.lit(False)) & ~F.isnan(F.coalesce(F.col(price), F.lit(0.0)))
+
+
 def with_prev(prices: DataFrame) -> DataFrame:
-    """Add each entity's previous timestamp and the log return from it (one window on entity)."""
+    """Add each entity's previous row (its timestamp and whether both prices are valid) and the log return.
+
+    The lag runs over all rows, also those without a valid price: such a row is a calendar date all the same.
+    """
     w = Window.partitionBy("entity").orderBy("ts")
-    return prices.where(F.col("price") > 0).select(
+    return prices.select("entity", "ts", "price", valid_price().alias("valid")).select(
         "entity",
         "ts",
         "price",
+        "valid",
         F.lag("ts").over(w).alias("prev_ts"),
-        safe_log_ratio(F.col("price"), F.lag("price").over(w)).alias("ret"),
+        F.lag("valid").over(w).alias("prev_valid"),
+        F.when(F.col("valid") & F.lag("valid").over(w), safe_log_ratio(F.col("price"), F.lag("price").over(w))).alias("ret"),
     )
 
 
 def kept_calendar(prices: DataFrame) -> DataFrame:
     """Timestamps that survive the reference's wide ``shift(1)`` + ``dropna()``.
 
-    A timestamp ``t`` is kept when every entity has a valid price at ``t`` and
-    at the previous timestamp of the *union* calendar.  Without pivoting or a
-    global calendar window this is: all N entities are present at ``t`` and
-    they all share the same previous timestamp ``p`` (then every entity is
-    present at ``p`` and no calendar date lies between ``p`` and ``t``).
-    One aggregate keyed by ``ts``; no single-partition window.
+    A timestamp ``t`` is kept when every entity has a valid price at ``t`` and at the previous timestamp of
+    the *union* calendar, which holds every row, with or without a valid price.  Without pivoting or a global
+    calendar window this is: all N entities are valid at ``t`` and on their own previous row, and they all
+    share the same previous timestamp (then no calendar date lies between).  One aggregate keyed by ``ts``.
     """
     n = entity_count(prices)
     stats = with_prev(prices).groupBy("ts").agg(
-        F.count("*").alias("n_present"),
-        F.count("prev_ts").alias("n_prev"),
+        F.count_if("valid").alias("n_valid"),
+        F.count_if(F.col("valid") & F.col("prev_valid")).alias("n_both"),
         F.min("prev_ts").alias("min_prev"),
         F.max("prev_ts").alias("max_prev"),
     )
     return stats.where(
-        (F.col("n_present") == n) & (F.col("n_prev") == n) & (F.col("min_prev") == F.col("max_prev"))
+        (F.col("n_valid") == n) & (F.col("n_both") == n) & (F.col("min_prev") == F.col("max_prev"))
     ).select("ts")
 
 
 def complete_calendar(prices: DataFrame) -> DataFrame:
-    """Per timestamp: number of entities present, whether complete, previous calendar ts, kept flag.
+    """Per timestamp: number of entities with a valid price, whether complete, previous calendar ts, kept flag.
 
-    Reporting form of P2 (one row per period).  Uses a window over the calendar
-    ordered by ts, which is one row per period (bounded by the calendar, not by
-    the raw data volume).
+    The previous calendar date is a lag inside the calendar's year; only the first date of each year looks
+    at the last one of the year before, so no window holds the whole calendar.
     """
     n = entity_count(prices)
-    per_ts = prices.where(F.col("price") > 0).groupBy("ts").agg(F.count("*").alias("n_present"))
-    w = Window.orderBy("ts")
-    cal = per_ts.select(
-        "ts",
-        F.col("n_present").cast("bigint").alias("n_present"),
-        (F.col("n_present") == n).alias("complete"),
-        F.lag("ts").over(w).alias("prev_ts"),
-        F.lag(F.col("n_present") == n).over(w).alias("_prev_complete"),
-    )
+    per_ts = prices.groupBy("ts").agg(F.count_if(valid_price()).alias("n_present"))
+    per_ts = per_ts.withColumn("complete", F.col("n_present") == n).withColumn("y", F.year("ts"))
+    last = per_ts.groupBy("y").agg(F.max(F.struct("ts", "complete")).alias("last"))
+    before = last.select("y", F.lag("last").over(Window.orderBy("y")).alias("before"))  # one row a year
+    w = Window.partitionBy("y").orderBy("ts")
+    cal = per_ts.join(before, "y").withColumn("prev", F.coalesce(F.lag(F.struct("ts", "complete")).over(w), F.col("before")))
     return cal.select(
         "ts",
-        "n_present",
+        F.col("n_present").cast("bigint").alias("n_present"),
         "complete",
-        "prev_ts",
-        (F.col("complete") & F.coalesce(F.col("_prev_complete"), F.lit(False))).alias("kept"),
+        F.col("prev.ts").alias("prev_ts"),
+        (F.col("complete") & F.coalesce(F.col("prev.complete"), F.lit(False))).alias("kept"),
     )
 
 
-def semi_join_calendar(df: DataFrame, calendar: DataFrame, max_rows: int = CALENDAR_BROADCAST_ROWS) -> DataFrame:
-    """Semi-join ``df`` to a calendar of timestamps, broadcasting it only after checking its size.
-
-    The calendar is counted first (cheap: one row per period of an already
-    aggregated panel).  Small calendars are broadcast, which also keeps the
-    entity partitioning of ``df`` so later entity windows need no new shuffle.
-    """
-    n_rows = calendar.count()
-    side = F.broadcast(calendar) if n_rows <= max_rows else calendar
-    return df.join(side, "ts", "left_semi")
-
-
 def materialize_panel(prices: DataFrame) -> DataFrame:
     """Write the (small) panel once to the shared checkpoint folder and read it back.
 
@@ -110,17 +97,14 @@ def materialize_panel(prices: DataFrame) -> DataFrame:
     return cut_lineage(prices, "panel")
 
 
-def log_returns(prices: DataFrame, check_size: bool = True, materialize: bool = True) -> DataFrame:
-    """W1 + P2: ``(entity, ts, ret)`` on kept timestamps only."""
+def log_returns(prices: DataFrame, materialize: bool = True) -> DataFrame:
+    """W1 + P2: ``(entity, ts, ret)`` on kept timestamps only.
+
+    The kept calendar joins as it is; its measured size decides at run time how.
+    """
     if materialize:
         prices = materialize_panel(prices)
-    base = with_prev(prices)
-    kept = kept_calendar(prices)
-    if check_size:
-        base = semi_join_calendar(base, kept)
-    else:
-        base = base.join(kept, "ts", "left_semi")
-    return base.select("entity", "ts", "ret")
+    return with_prev(prices).join(kept_calendar(prices), "ts", "left_semi").select("entity", "ts", "ret")
 
 
 def entity_universe(*entity_sets: DataFrame) -> DataFrame:

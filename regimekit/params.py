@@ -20,9 +20,6 @@ class PanelSpec:
     period: str
     dim: tuple[str, str, str] | None = None
     proxy: str = "^MKT"
-    # Decimal places of ``value``: sums are exact decimals, so a bar's average is
-    # the correctly rounded quotient whatever the partitioning; None = double sums.
-    value_scale: int | None = 2
 
 
 @dataclass(frozen=True)
@@ -61,7 +58,7 @@ class FitParams:
     split_seed: int = 13
     entropy_weight: float = 4.0
     min_rows: int = 20
-    seeds_per_task: int = 25  # restarts batched per task (lowered to fit the task memory budget)
+    seeds_per_task: int = 25  # restarts of one sequence and K that share a task
     split: str = "chronological"  # chronological | all (in-sample, used by sub-models)
 
 

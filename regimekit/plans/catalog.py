@@ -25,6 +25,7 @@ from regimekit.plans.variants import HierarchicalModel, LayeredModel, PlainModel
 from regimekit.sources import panels as src
 
 R = 6
+NUDGE = 1e-9  # added before rounding (as in the oracle), so that a mean such as 0.0003125 is no tie
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 # Fixed query parameters shared with the oracle SQL.
@@ -37,7 +38,7 @@ def rounded(df: DataFrame, digits: int = R) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f.name), digits).alias(f.name))
+            cols.append(F.round(F.col(f.name) + F.lit(NUDGE), digits).alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

@@ -1,4 +1,4 @@
-"""Decode of long sequences across many tasks (time chunks), equal to the one-task decode.
+"""Decode of sequences of any length across many tasks (time chunks).
 
 A sequence is cut into chunks of ``chunk_len`` steps.
 
@@ -150,7 +150,7 @@ def _boundaries(keys: list[str]):
     return run
 
 
-def _replay(keys: list[str]):
+def _replay(keys: list[str], with_posterior: bool):
     """Stage 3: per-step posteriors and Viterbi states of one chunk."""
 
     def run(seq_pdf: pd.DataFrame, b_pdf: pd.DataFrame) -> pd.DataFrame:
@@ -198,7 +198,7 @@ def _replay(keys: list[str]):
                 "ts": seq_pdf["ts"].to_numpy(),
                 "t": seq_pdf["t"].to_numpy().astype(np.int32),
                 "raw_state": path.astype(np.int32),
-                "posterior": list(gamma.tolist()),
+                "posterior": list(gamma.tolist()) if with_posterior else [None] * L,
                 "loglik": np.full(L, float(row["loglik"])),
             }
         )
@@ -209,8 +209,8 @@ def _replay(keys: list[str]):
     return run
 
 
-def decode_chunked(seq: DataFrame, models: DataFrame, keys: list[str] = ("entity",), chunk_len: int = 10_000) -> DataFrame:
-    """Same output as ``hmm.decode`` (Viterbi state, posterior, log-likelihood per step), chunk-parallel."""
+def decode_chunked(seq: DataFrame, models: DataFrame, keys: list[str] = ("entity",), chunk_len: int = 10_000, with_posterior: bool = True) -> DataFrame:
+    """``keys, ts, t, raw_state, posterior, loglik`` of every step; a null posterior without ``with_posterior``."""
     keys = list(keys)
     spark = seq.sparkSession
     ship_package(spark)
@@ -240,4 +240,4 @@ def decode_chunked(seq: DataFrame, models: DataFrame, keys: list[str] = ("entity
     b_side = b_m.toDF(*b_m.columns).repartition(parts, *gk)
     s_side2 = seq_c.toDF(*seq_c.columns).repartition(parts, *gk)
     out_schema = f"{_key_ddl(keys, seq)}, ts TIMESTAMP_NTZ, t INT, raw_state INT, posterior ARRAY<DOUBLE>, loglik DOUBLE"
-    return s_side2.groupBy(*gk).cogroup(b_side.groupBy(*gk)).applyInPandas(_replay(keys), out_schema)
+    return s_side2.groupBy(*gk).cogroup(b_side.groupBy(*gk)).applyInPandas(_replay(keys, with_posterior), out_schema)

@@ -58,23 +58,45 @@ def sequences(
     """Order each sequence, number its steps and mark the train/validate split.
 
     Chronological split keeps the first ``floor(ratio * n)`` steps for training;
-    the shuffled split orders by a seeded hash instead.  ``split='all'`` (used
+    the shuffled split orders by the MD5 of seed and time instead.  ``split='all'`` (used
     by hierarchical sub-models) trains and scores on every step.
     """
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy("ts")
     x = F.col(x_col) if x_col else F.array(*[F.col(c).cast("double") for c in feature_cols])
-    seq = features.select(*keys, "ts", x.alias("x")).withColumn("t", F.row_number().over(w))
-    seq = seq.withColumn("n", F.count("*").over(Window.partitionBy(*keys)))
+    seq = features.select(*keys, "ts", x.alias("x"))
+    seq = numbered(seq, keys, F.trunc(F.col("ts").cast("date"), "month"), [F.col("ts")], "t", "n")
     n_train = F.floor(F.col("n") * F.lit(float(fit.train_ratio))).cast("int")
     if fit.split == "all":
         split = F.lit("all")
     elif fit.shuffle:
-        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(fit.split_seed), "ts"), "ts"))
-        split = F.when(rank <= n_train, "train").otherwise("validate")
+        seq = seq.withColumn("_h", F.md5(F.concat(F.lit(f"{fit.split_seed}:"), F.col("ts").cast("string"))))
+        seq = numbered(seq, keys, F.substring("_h", 1, 2), [F.col("_h"), F.col("ts")], "_rank").drop("_h")
+        split = F.when(F.col("_rank") <= n_train, "train").otherwise("validate")
     else:
         split = F.when(F.col("t") <= n_train, "train").otherwise("validate")
-    return seq.withColumn("split", split)
+    return seq.withColumn("split", split).drop("_rank")
+
+
+def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], out: str, total: str | None = None) -> DataFrame:
+    """Number the rows of each key 1, 2, … in ``order`` (and add their ``total``), bucket by bucket.
+
+    ``bucket`` is a prefix of the order (a month of the time, the head of a hash).  Rows are numbered inside a
+    bucket and shifted by the counts of the key's earlier buckets, so no window holds a whole sequence.
+    """
+    df = df.withColumn("_b", bucket)
+    counts = df.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    all_of_key = Window.partitionBy(*keys)
+    shift = counts.select(
+        *keys,
+        "_b",
+        F.coalesce(F.sum("_c").over(all_of_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"),
+        F.sum("_c").over(all_of_key).alias("_n"),
+    )
+    inside = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
+    df = df.withColumn("_r", inside).join(shift, [*keys, "_b"]).withColumn(out, (F.col("_r") + F.col("_s")).cast("int"))
+    if total:
+        df = df.withColumn(total, F.col("_n"))
+    return df.drop("_b", "_r", "_s", "_n")
 
 
 def length_guard(seq: DataFrame, min_rows: int, keys: list[str] = ("entity",)) -> DataFrame:
@@ -89,10 +111,6 @@ def train_rows(seq: DataFrame) -> DataFrame:
     return seq.where(F.col("split").isin("train", "all"))
 
 
-# Memory budget for the per-task EM arrays (models x states x steps x dims doubles).
-TASK_BYTES = 512 * 1024 * 1024
-
-
 def sequence_stats(seq: DataFrame, keys: list[str]) -> tuple[int, int, int]:
     """(number of sequences, longest sequence, widest observation): one small aggregate."""
     row = seq.agg(
@@ -103,70 +121,16 @@ def sequence_stats(seq: DataFrame, keys: list[str]) -> tuple[int, int, int]:
     return int(row["n_seq"] or 0), int(row["max_n"] or 0), int(row["max_d"] or 0)
 
 
-def sequence_buckets(seq: DataFrame, keys: list[str], n_buckets: int) -> DataFrame:
-    """``(keys, bucket)``: sequences dealt round-robin into ``n_buckets`` equal buckets.
-
-    A dense index from ``zipWithIndex`` over the *sorted* keys (per-partition
-    counts + offsets; no single-partition window) gives buckets whose sizes
-    differ by at most one, so the CPU-heavy fit tasks are balanced.  Sorting
-    makes the numbering independent of shuffle order, and the small table is
-    written once, so both co-grouped sides and any task retry see the same
-    assignment.
-    """
-    from pyspark.sql import types as T
-
-    from regimekit.session import cut_lineage
-
-    distinct = seq.select(*keys).distinct().orderBy(*keys)
-    schema = T.StructType([*distinct.schema.fields, T.StructField("bucket", T.IntegerType())])
-    rdd = distinct.rdd.zipWithIndex().map(lambda r: (*r[0], int(r[1] % n_buckets)))
-    return cut_lineage(seq.sparkSession.createDataFrame(rdd, schema), "buckets")
-
-
-def one_group_per_partition(spark, n_groups: int, max_factor: int = 64) -> int | None:
-    """Smallest partition count ``P`` for which ``pmod(hash(g), P)`` differs for every ``g`` in ``0..n_groups-1``.
-
-    Hash partitioning of a handful of CPU-heavy groups puts two groups in one
-    task now and then, and that task sets the stage time.  Spark's own hash is
-    evaluated for all candidate counts in one small job.
-    """
-    if n_groups <= 1:
-        return 1
-    candidates = F.sequence(F.lit(n_groups), F.lit(n_groups * max_factor))
-    rows = (
-        spark.range(n_groups)
-        .select(F.transform(candidates, lambda p: F.pmod(F.hash(F.col("id").cast("int")), p)).alias("slots"))
-        .collect()  # n_groups small arrays
-    )
-    slots = [r["slots"] for r in rows]
-    for i in range(len(slots[0])):
-        if len({s[i] for s in slots}) == n_groups:
-            return n_groups + i
-    return None
-
-
 def task_partitions(spark, n_groups: int) -> int:
-    """Partitions for a compute-bound grouped stage: about two per group, capped.
+    """Partitions for a compute-bound grouped stage: two per group, up to 64 per core, then one per 16 groups.
 
     The rows feeding model fits are few but each group costs seconds of CPU,
     so the stage must not be coalesced into a handful of tasks (AQE would do
     that from the shuffle size).  An explicit count on both co-grouped sides
-    keeps them co-partitioned and is left as is by AQE.  The cap keeps the
-    task count sane when there are millions of sequences.
+    keeps them co-partitioned and is left as is by AQE.
     """
     base = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return int(max(1, min(2 * n_groups, 64 * base)))
-
-
-def models_per_task(max_n: int, max_k: int, max_d: int) -> int:
-    """How many models (restarts x sequences) one task can fit within ``TASK_BYTES``.
-
-    Batched models share the EM time loop, so packing them is cheap in CPU;
-    memory (steps x states x dims per model) is what bounds the batch.
-    """
-    d = max(1, max_d)
-    per_model = 8 * max(1, max_n) * (max(1, max_k) * (d + 4) * 6 + d * d)
-    return int(max(1, TASK_BYTES // per_model))
+    return int(max(1, min(2 * n_groups, max(64 * base, n_groups // 16))))
 
 
 # ---------------------------------------------------------------- init (M6)
@@ -267,49 +231,25 @@ def _to_diag(cov: np.ndarray) -> np.ndarray:
 
 
 def _fit_group(keys: list[str], fit: FitParams):
-    """Arrow task: EM for every (sequence, seed) of one bucket and one (K, seed chunk) cell.
-
-    Several sequences may share the task; they are padded to a common length
-    and masked, so all their restarts advance through one time loop.
-    """
+    """Arrow task: EM for every seed of one sequence and one (K, seed chunk) cell."""
     cov_type = fit.covariance_type
 
     def run(seq_pdf: pd.DataFrame, init_pdf: pd.DataFrame) -> pd.DataFrame:
         if seq_pdf.empty or init_pdf.empty:
             return pd.DataFrame(columns=[*keys, "k", "seed"])
-        seq_pdf = seq_pdf.sort_values([*keys, "t"])
-        data = {}
-        for key, g in seq_pdf.groupby(keys, sort=False):
-            key = key if isinstance(key, tuple) else (key,)
-            X = np.stack(g["x"].to_numpy()).astype(float)
-            split = g["split"].to_numpy()
-            data[key] = (X[np.isin(split, ["train", "all"])], X[np.isin(split, ["validate", "all"])])
-        init_pdf = init_pdf.sort_values([*keys, "seed"]).reset_index(drop=True)
-        init_keys = [tuple(r) for r in init_pdf[keys].itertuples(index=False, name=None)]
-        init_pdf = init_pdf[[k in data for k in init_keys]].reset_index(drop=True)
-        init_keys = [k for k in init_keys if k in data]
-        widths = np.array([data[k][0].shape[1] for k in init_keys])
-        frames = []
-        for d in sorted(set(widths.tolist())):
-            rows = np.flatnonzero(widths == d)
-            frames.append(_fit_batch(init_pdf.iloc[rows], [init_keys[i] for i in rows], data, keys, fit, cov_type))
-        return pd.concat(frames, ignore_index=True)
+        seq_pdf = seq_pdf.sort_values("t")
+        X = np.stack(seq_pdf["x"].to_numpy()).astype(float)
+        split = seq_pdf["split"].to_numpy()
+        train, valid = X[np.isin(split, ["train", "all"])], X[np.isin(split, ["validate", "all"])]
+        out = _fit_batch(init_pdf.sort_values("seed"), train, valid, fit, cov_type)
+        for pos, key in enumerate(keys):
+            out.insert(pos, key, seq_pdf[key].iloc[0])
+        return out
 
     return run
 
 
-def _pad(seqs: list[np.ndarray]):
-    """Stack sequences as (S, T_max, D) with their lengths; a shared one stays 2-D (no copy)."""
-    lengths = np.array([len(x) for x in seqs])
-    if all(x is seqs[0] for x in seqs):
-        return seqs[0], None, lengths
-    out = np.zeros((len(seqs), int(lengths.max()), seqs[0].shape[1]))
-    for i, x in enumerate(seqs):
-        out[i, : len(x)] = x
-    return out, lengths, lengths
-
-
-def _fit_batch(init_pdf, model_keys, data, keys, fit: FitParams, cov_type: str) -> pd.DataFrame:
+def _fit_batch(init_pdf, train: np.ndarray, valid: np.ndarray, fit: FitParams, cov_type: str) -> pd.DataFrame:
     sp = _stack(init_pdf["startprob"])
     tm = _stack(init_pdf["transmat"])
     mu = _stack(init_pdf["means"])
@@ -317,42 +257,32 @@ def _fit_batch(init_pdf, model_keys, data, keys, fit: FitParams, cov_type: str)
     if cov_type == "diag":
         cv = _to_diag(cv)
     S, k = sp.shape
-    X_tr, len_tr, _ = _pad([data[key][0] for key in model_keys])
-    X_va, len_va, n_va = _pad([data[key][1] for key in model_keys])
-    d = X_tr.shape[-1]
+    centre = train.mean(axis=0)  # squares are expanded around the data, not around 0
+    n_va = len(valid)
     with np.errstate(all="ignore"):
         sp, tm, mu, cv, ll, n_iter, status, error = K.em_fit(
-            X_tr, sp, tm, mu, cv, fit.max_iter, fit.tol, fit.min_covar, cov_type, fit.init_params, lengths=len_tr
+            train - centre, sp, tm, mu - centre, cv, fit.max_iter, fit.tol, fit.min_covar, cov_type, fit.init_params
         )
         val_ll = np.full(S, np.nan)
         entropy = np.full(S, np.nan)
-        good = np.flatnonzero(status != "failed")
-        if good.size and n_va.max() > 0:
+        for g in np.flatnonzero(status != "failed") if n_va else []:
             try:
-                Xg = X_va if X_va.ndim == 2 else X_va[good]
-                logB = K.log_density(Xg, mu[good], cv[good], cov_type)
-                valid = None
-                if len_va is not None:
-                    valid = np.arange(X_va.shape[1])[None, :] < len_va[good][:, None]
-                    logB = np.where(valid[:, :, None], logB, 0.0)
-                val_ll[good] = K.forward(logB, sp[good], tm[good])[0]
-                path, _ = K.viterbi(logB, sp[good], tm[good], valid)
-                for i, g in enumerate(good):
-                    n = int(n_va[g])
-                    p = np.bincount(path[i, :n], minlength=k) / max(n, 1)
-                    entropy[g] = float(-np.sum(p * np.log(p + 1e-10)))
-            except np.linalg.LinAlgError as exc:
-                status[good] = "failed"
-                error[good] = str(exc)
+                logB = K.log_density(valid - centre, mu[g : g + 1], cv[g : g + 1], cov_type)
+            except np.linalg.LinAlgError as exc:  # this restart only
+                status[g], error[g] = "failed", str(exc)
+                continue
+            val_ll[g] = K.forward(logB, sp[g : g + 1], tm[g : g + 1])[0][0]
+            p = np.bincount(K.viterbi(logB, sp[g : g + 1], tm[g : g + 1])[0][0], minlength=k) / n_va
+            entropy[g] = K.usage_entropy(p)
     cv_full = K.full_covars(cv, cov_type)
-    out = pd.DataFrame(
+    return pd.DataFrame(
         {
             "k": np.full(S, k, dtype=np.int32),
             "seed": init_pdf["seed"].to_numpy().astype(np.int32),
-            "d": np.full(S, d, dtype=np.int32),
+            "d": np.full(S, train.shape[1], dtype=np.int32),
             "startprob": list(sp.tolist()),
             "transmat": list(tm.tolist()),
-            "means": list(mu.tolist()),
+            "means": list((mu + centre).tolist()),
             "covars": list(cv_full.tolist()),
             "cov_type": cov_type,
             "train_loglik": ll,
@@ -360,13 +290,10 @@ def _fit_batch(init_pdf, model_keys, data, keys, fit: FitParams, cov_type: str)
             "status": status.astype(str),
             "error": error.astype(str),
             "val_loglik": val_ll,
-            "n_val": n_va.astype(np.int32),
+            "n_val": np.full(S, n_va, dtype=np.int32),
             "val_entropy": entropy,
         }
     )
-    for pos, key in enumerate(keys):
-        out.insert(pos, key, [mk[pos] for mk in model_keys])
-    return out
 
 
 def fit_grid(seq: DataFrame, fit: FitParams = FitParams(), keys: list[str] = ("entity",), ks=None, seeds=None) -> DataFrame:
@@ -380,14 +307,10 @@ def fit_grid(seq: DataFrame, fit: FitParams = FitParams(), keys: list[str] = ("e
     ks = list(ks) if ks is not None else list(range(fit.min_k, fit.max_k + 1))
     seeds = list(seeds) if seeds is not None else list(range(fit.n_restarts))
     seq = seq.where(F.col("n") >= fit.min_rows)
-    n_seq, max_n, max_d = sequence_stats(seq, keys)
-    budget = models_per_task(max_n, max(ks), max_d)
-    per_task = min(fit.seeds_per_task, budget, len(seeds))
-    fit = replace(fit, seeds_per_task=per_task)
-    chunks = sorted({s // per_task for s in seeds})
+    fit = replace(fit, seeds_per_task=min(fit.seeds_per_task, len(seeds)))
+    chunks = sorted({s // fit.seeds_per_task for s in seeds})
     cells = [(k, c) for k in ks for c in chunks]
-    init = init_models(seq, fit, keys, ks, seeds)
-    return fit_from_init(seq, init, fit, keys, n_seq=n_seq, cells=cells, seqs_per_task=max(1, budget // per_task))
+    return fit_from_init(seq, init_models(seq, fit, keys, ks, seeds), fit, keys, cells=cells)
 
 
 def fit_from_init(
@@ -395,22 +318,15 @@ def fit_from_init(
     init: DataFrame,
     fit: FitParams,
     keys: list[str] = ("entity",),
-    n_seq: int | None = None,
     cells: list[tuple[int, int]] | None = None,
-    seqs_per_task: int = 1,
-    n_buckets: int | None = None,
 ) -> DataFrame:
     """M5: run EM from given start parameters ``init`` (keys, k, seed, chunk, parameters).
 
     ``cells`` lists the (K, seed chunk) pairs; each sequence is replicated once
-    per cell.  Sequences are dealt round-robin into buckets of about
-    ``seqs_per_task`` (fewer when that would leave cores idle); one task fits
-    one (bucket, K, chunk) group.
+    per cell, and one group fits one (sequence, K, chunk).
     """
     keys = list(keys)
     ship_package(seq.sparkSession)
-    if n_seq is None:
-        n_seq = sequence_stats(seq, keys)[0]
     kc = cells if cells is not None else [
         (r["k"], r["chunk"]) for r in init.select("k", "chunk").distinct().collect()  # a handful of cells
     ]
@@ -420,27 +336,11 @@ def fit_from_init(
         f"{_key_ddl(keys, seq)}, k INT, seed INT, d INT, {PARAM_DDL}, cov_type STRING, train_loglik DOUBLE, "
         "n_iter INT, status STRING, error STRING, val_loglik DOUBLE, n_val INT, val_entropy DOUBLE"
     )
-    spark = seq.sparkSession
-    cores = max(1, spark.sparkContext.defaultParallelism)
-    if n_buckets is None:
-        n_buckets = max(-(-n_seq // max(1, seqs_per_task)), -(-2 * cores // max(1, len(kc))))
-    n_buckets = int(max(1, min(n_seq, n_buckets)))
-    buckets = sequence_buckets(seq, keys, n_buckets)
-    # dense group id g = bucket * cells + cell, one co-group per g
-    cells = sorted(kc)
-    cell = F.lit(None).cast("int")
-    for i, (k, c) in enumerate(cells):
-        cell = F.when((F.col("k") == k) & (F.col("chunk") == c), F.lit(i)).otherwise(cell)
-    gid = (F.col("bucket") * F.lit(len(cells)) + cell).cast("int").alias("g")
-    rep = rep.join(buckets, keys).withColumn("g", gid)
-    init = init.join(buckets, keys).withColumn("g", gid)
     # both sides descend from ``seq``: fresh column identities keep the co-group unambiguous
     rep, init = rep.toDF(*rep.columns).alias("seq_side"), init.toDF(*init.columns).alias("init_side")
-    n_groups = n_buckets * len(cells)
-    parts = one_group_per_partition(spark, n_groups) if n_groups <= 4 * cores else None
-    parts = parts or task_partitions(spark, n_groups)
-    rep, init = rep.repartition(parts, "g"), init.repartition(parts, "g")
-    gk = ["g"]
+    parts = task_partitions(seq.sparkSession, sequence_stats(seq, keys)[0] * len(kc))
+    gk = [*keys, "k", "chunk"]
+    rep, init = rep.repartition(parts, *gk), init.repartition(parts, *gk)
     return rep.groupBy(*gk).cogroup(init.groupBy(*gk)).applyInPandas(_fit_group(keys, fit), schema)
 
 
@@ -496,68 +396,19 @@ def _model_arrays(row: pd.Series):
     return sp, tm, mu, cv
 
 
-def _decode_group(keys: list[str], with_posterior: bool):
-    def run(seq_pdf: pd.DataFrame, model_pdf: pd.DataFrame) -> pd.DataFrame:
-        if seq_pdf.empty or model_pdf.empty:
-            return pd.DataFrame(columns=[*keys, "ts", "t", "raw_state", "posterior", "loglik"])
-        seq_pdf = seq_pdf.sort_values("t")
-        X = np.stack(seq_pdf["x"].to_numpy()).astype(float)
-        sp, tm, mu, cv = _model_arrays(model_pdf.iloc[0])
-        with np.errstate(all="ignore"):
-            logB = K.log_density(X, mu, cv, "full")
-            path, _ = K.viterbi(logB, sp, tm)
-            if with_posterior:
-                gamma, ll = K.posterior(logB, sp, tm)
-                post = list(gamma[0].tolist())
-            else:
-                ll = K.forward(logB, sp, tm)[0]
-                post = [None] * len(X)
-        out = pd.DataFrame(
-            {
-                "ts": seq_pdf["ts"].to_numpy(),
-                "t": seq_pdf["t"].to_numpy().astype(np.int32),
-                "raw_state": path[0].astype(np.int32),
-                "posterior": post,
-                "loglik": np.full(len(X), float(ll[0])),
-            }
-        )
-        for key in reversed(keys):
-            out.insert(0, key, seq_pdf[key].iloc[0])
-        return out
-
-    return run
-
-
-# Sequences longer than this are decoded chunk-parallel (plans/chunked.py).
-LONG_SEQUENCE = 100_000
 DECODE_CHUNK = 10_000
 
 
 def decode(seq: DataFrame, models: DataFrame, keys: list[str] = ("entity",), with_posterior: bool = True) -> DataFrame:
     """M2-M4 on the whole sequence: Viterbi state, posterior and log-likelihood per step.
 
-    The model table (one row per sequence) is co-grouped with the sequence, so
-    both sides shuffle on the sequence key and no side is broadcast.  The
-    result is written once as a stage table (it is read several times).  When a
-    sequence is longer than ``LONG_SEQUENCE`` steps the decode runs over time
-    chunks in separate tasks instead (same results).
+    Every sequence is decoded over time chunks in separate tasks (``plans/chunked.py``), whatever its length; the
+    result is written once as a stage table (it is read several times).
     """
-    keys = list(keys)
-    ship_package(seq.sparkSession)
-    n_seq, max_n, _ = sequence_stats(seq, keys)
-    if max_n > LONG_SEQUENCE:
-        from regimekit.plans.chunked import decode_chunked
-
-        return cut_lineage(decode_chunked(seq, models, keys, DECODE_CHUNK), "decoded")
-    schema = f"{_key_ddl(keys, seq)}, ts TIMESTAMP_NTZ, t INT, raw_state INT, posterior ARRAY<DOUBLE>, loglik DOUBLE"
-    m = models.select(*keys, "startprob", "transmat", "means", "covars")
-    s = seq.select(*keys, "ts", "t", "x")
-    m, s = m.toDF(*m.columns).alias("model_side"), s.toDF(*s.columns).alias("seq_side")
-    parts = task_partitions(seq.sparkSession, n_seq)
-    m, s = m.repartition(parts, *keys), s.repartition(parts, *keys)
-    out = s.groupBy(*keys).cogroup(m.groupBy(*keys)).applyInPandas(_decode_group(keys, with_posterior), schema)
-    # written once: relabelling and joins read it several times, the Python stage must not rerun
-    return cut_lineage(out, "decoded")
+    from regimekit.plans.chunked import decode_chunked
+
+    # written once: relabelling and joins read it several times, the Python stages must not rerun
+    return cut_lineage(decode_chunked(seq, models, list(keys), DECODE_CHUNK, with_posterior), "decoded")
 
 
 # ---------------------------------------------------------------- relabel

@@ -66,12 +66,9 @@ def log_density_gemm(X: np.ndarray, XX: np.ndarray, means: np.ndarray, covars: n
     logdet = 2.0 * np.sum(np.log(np.diagonal(chol, axis1=-2, axis2=-1)), axis=-1)
     pm = np.matmul(prec, means[..., None])[..., 0]  # (S, K, D)
     const = np.sum(means * pm, axis=-1)  # (S, K)
-    if X.ndim == 2:
-        t1 = (XX @ prec.reshape(S * K, D * D).T).reshape(-1, S, K).transpose(1, 0, 2)
-        t2 = (X @ pm.reshape(S * K, D).T).reshape(-1, S, K).transpose(1, 0, 2)
-    else:
-        t1 = np.matmul(XX, prec.reshape(S, K, D * D).transpose(0, 2, 1))
-        t2 = np.matmul(X, pm.transpose(0, 2, 1))
+    # one product per model, so a model's numbers do not depend on how many are in the batch
+    t1 = np.matmul(XX, prec.reshape(S, K, D * D).transpose(0, 2, 1))
+    t2 = np.matmul(X, pm.transpose(0, 2, 1))
     quad = t1 - 2.0 * t2 + const[:, None, :]
     return -0.5 * (D * LOG_2PI + logdet[:, None, :] + quad)
 
@@ -148,10 +145,6 @@ def viterbi(logB: np.ndarray, startprob: np.ndarray, transmat: np.ndarray, valid
     return path, best
 
 
-# Below this many restarts in a batch the blocked E-step is faster than the plain time loop.
-BLOCKED_BELOW = 16
-
-
 def e_step(logB: np.ndarray, startprob: np.ndarray, transmat: np.ndarray, valid: np.ndarray | None = None):
     """Log-likelihood, posteriors ``(S,T,K)`` and summed pairwise posteriors ``(S,K,K)``.
 
@@ -161,17 +154,7 @@ def e_step(logB: np.ndarray, startprob: np.ndarray, transmat: np.ndarray, valid:
     """
     if valid is not None:
         logB = np.where(valid[:, :, None], logB, 0.0)
-    if logB.shape[0] < BLOCKED_BELOW:
-        loglik, gamma, xi = forward_backward_blocked(logB, startprob, transmat, valid)
-    else:
-        loglik, alpha, scale, B = forward(logB, startprob, transmat)
-        beta = backward(B, scale, transmat)
-        gamma = alpha * beta
-        gamma /= np.maximum(gamma.sum(axis=2, keepdims=True), TINY)
-        nxt = B[:, 1:] * beta[:, 1:] / scale[:, 1:, None]
-        if valid is not None:
-            nxt = nxt * valid[:, 1:, None]
-        xi = transmat * np.matmul(np.swapaxes(alpha[:, :-1], 1, 2), nxt)
+    loglik, gamma, xi = forward_backward_blocked(logB, startprob, transmat, valid)
     if valid is not None:
         gamma = gamma * valid[:, :, None]
     return loglik, gamma, xi
@@ -182,13 +165,38 @@ def _floor_covars(cov: np.ndarray, min_covar: float, cov_type: str) -> np.ndarra
     if cov_type == "diag":
         return np.maximum(cov, min_covar)
     cov = 0.5 * (cov + np.swapaxes(cov, -1, -2))
-    low = np.linalg.eigvalsh(cov)[..., 0] < min_covar
+    low = np.zeros(cov.shape[:-2], dtype=bool)
+    whole = np.isfinite(cov).all(axis=(-2, -1))  # a broken one is left for the caller to reject
+    low[whole] = np.linalg.eigvalsh(cov[whole])[..., 0] < min_covar
     if np.any(low):
         cov = cov.copy()
         cov[low] += min_covar * np.eye(cov.shape[-1])
     return cov
 
 
+def usable(covars: np.ndarray, cov_type: str) -> np.ndarray:
+    """Which models have finite, positive definite covariances in all states."""
+    rest = tuple(range(1, covars.ndim))
+    good = np.isfinite(covars).all(axis=rest)
+    if cov_type == "diag":
+        return good & (covars > 0).all(axis=rest)
+    try:
+        np.linalg.cholesky(covars[good])
+        return good
+    except np.linalg.LinAlgError:
+        for i in np.flatnonzero(good):  # find the ones to blame
+            try:
+                np.linalg.cholesky(covars[i])
+            except np.linalg.LinAlgError:
+                good[i] = False
+        return good
+
+
+def usage_entropy(p: np.ndarray) -> float:
+    """Shannon entropy of a state-usage distribution (natural log, 1e-10 inside it)."""
+    return float(-np.sum(p * np.log(p + 1e-10)))
+
+
 def em_fit(
     X: np.ndarray,
     startprob: np.ndarray,
@@ -227,25 +235,24 @@ def em_fit(
     error = np.array([""] * S, dtype=object)
     for _ in range(max_iter):
         idx = np.flatnonzero(status == "running")
+        broken = idx[~usable(cv[idx], cov_type)]
+        status[broken] = "failed"
+        error[broken] = "covariance is not positive definite"
+        idx = np.setdiff1d(idx, broken)
         if idx.size == 0:
             break
         Xi = X[idx] if per_model else X
         XXi = None if XX is None else (XX[idx] if per_model else XX)
         vi = valid_all[idx] if valid_all is not None else None
-        try:
-            if cov_type == "full":
-                logB = log_density_gemm(Xi, XXi, mu[idx], cv[idx])
-            else:
-                logB = log_density(Xi, mu[idx], cv[idx], cov_type)
-            ll, gamma_all, xi_all = e_step(logB, sp[idx], tm[idx], vi)
-        except np.linalg.LinAlgError as exc:  # isolate per restart below
-            ll = np.full(idx.size, np.nan)
-            gamma_all = xi_all = None
-            error[idx] = str(exc)
+        if cov_type == "full":
+            logB = log_density_gemm(Xi, XXi, mu[idx], cv[idx])
+        else:
+            logB = log_density(Xi, mu[idx], cv[idx], cov_type)
+        ll, gamma_all, xi_all = e_step(logB, sp[idx], tm[idx], vi)
         bad = ~np.isfinite(ll)
         if bad.any():
             status[idx[bad]] = "failed"
-            error[idx[bad]] = np.where(error[idx[bad]] == "", "non-finite log-likelihood", error[idx[bad]])
+            error[idx[bad]] = "non-finite log-likelihood"
         ok = ~bad
         if not ok.any():
             continue
@@ -288,12 +295,6 @@ def em_fit(
     return sp, tm, mu, cv, loglik, n_iter, status, error
 
 
-def n_parameters(k: int, d: int, cov_type: str = "full") -> float:
-    """Free parameters: means, covariances, transitions, start probabilities."""
-    cov = k * d * (d + 1) / 2 if cov_type == "full" else k * d
-    return k * d + cov + k * (k - 1) + (k - 1)
-
-
 def forward_backward_blocked(logB: np.ndarray, startprob: np.ndarray, transmat: np.ndarray, valid: np.ndarray | None = None):
     """E-step in about 6*sqrt(T) vectorised steps instead of 2*T.
 

@@ -38,8 +38,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def period_start(ts: Column | str, period: str) -> Column:
-    """Start of the period containing ``ts`` (Monday for weeks), kept time-zone free."""
-    return F.date_trunc(period, F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
+    """Start of the period containing ``ts`` (Monday for weeks).
+
+    Date arithmetic on the zone-free type only: ``date_trunc`` would go through the
+    session's time zone and move hours at a clock change.
+    """
+    t = (F.col(ts) if isinstance(ts, str) else ts).cast("timestamp_ntz")
+    day = t.cast("date")
+    if period == "day":
+        return day.cast("timestamp_ntz")
+    if period == "week":
+        return F.date_sub(day, F.weekday(day)).cast("timestamp_ntz")
+    if period in ("month", "quarter", "year"):
+        return F.trunc(day, period).cast("timestamp_ntz")
+    inside = {"hour": (F.lit(0), F.minute(t)), "minute": (F.lit(0), F.lit(0))}.get(period)
+    if inside is None:
+        raise ValueError(f"unknown period: {period}")
+    return t - F.make_dt_interval(F.lit(0), inside[0], inside[1], F.date_part(F.lit("SECOND"), t))
 
 
 def observations(spark: SparkSession, sf_dir: str, spec: PanelSpec) -> DataFrame:
@@ -86,10 +101,9 @@ def price_panel(spark: SparkSession, sf_dir: str, spec: PanelSpec | str, how: st
     obs = observations(spark, sf_dir, spec)
     bucket = period_start("raw_ts", spec.period).alias("ts")
     if how == "avg":
-        v = F.col("value") if spec.value_scale is None else F.col("value").cast(f"decimal(18,{spec.value_scale})")
-        bars = obs.groupBy("entity", bucket).agg(F.sum(v).alias("_s"), F.count("value").alias("_c"))
-        ent = bars.select("entity", "ts", (F.col("_s").cast("double") / F.col("_c")).alias("price"))
-        proxy = bars.groupBy("ts").agg((F.sum("_s").cast("double") / F.sum("_c")).alias("price"))
+        bars = obs.groupBy("entity", bucket).agg(F.sum("value").alias("_s"), F.count("value").alias("_c"))
+        ent = bars.select("entity", "ts", F.try_divide("_s", "_c").alias("price"))
+        proxy = bars.groupBy("ts").agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("price"))
     elif how == "last":
         last = F.max(F.struct("raw_ts", "value")).alias("_last")
         bars = obs.groupBy("entity", bucket).agg(last)

@@ -169,7 +169,7 @@ def test_fit_unchanged_by_other_entities_in_the_batch(spark):
     short = both.where("entity <> 'E2' OR ts < '2020-06-01'")  # E2 becomes shorter: padding is exercised
     fit = FitParams(n_restarts=3, max_iter=25, seeds_per_task=3)
     seq_all = H.sequences(short, ["f1", "f2"], fit)
-    together = H.fit_from_init(seq_all, H.init_models(seq_all, fit), fit, n_buckets=1).toPandas()
+    together = H.fit_from_init(seq_all, H.init_models(seq_all, fit), fit).toPandas()
     assert together["entity"].nunique() == 3
     for e in ("E0", "E2"):
         seq_one = H.sequences(short.where(F.col("entity") == e), ["f1", "f2"], fit)
@@ -202,12 +202,3 @@ def test_manager_reuses_saved_models(spark, tmp_dir):
     back = spark.read.option("header", True).csv(os.path.join(out, "transition_matrices"))
     assert back.select("layer_idx").distinct().count() == 2
     assert spark.read.parquet(os.path.join(out, "state_labeled")).columns.count("regime_layer1") == 1
-
-
-@pytest.mark.parametrize("n_groups", [1, 2, 7, 16])
-def test_one_group_per_partition(spark, n_groups):
-    p = H.one_group_per_partition(spark, n_groups)
-    assert p is not None and p >= n_groups
-    ids = spark.range(n_groups).select(F.col("id").cast("int").alias("g")).repartition(p, "g")
-    per_partition = ids.rdd.glom().map(len).collect()
-    assert max(per_partition) == 1 and sum(per_partition) == n_groups

@@ -123,12 +123,6 @@ def test_em_failure_is_isolated():
     assert set(out[6]) == {"failed"}
 
 
-def test_bic_parameter_count():
-    # means K*D + full covariances K*D(D+1)/2 + transitions K(K-1) + start K-1
-    assert K.n_parameters(2, 5) == 2 * 5 + 2 * 15 + 2 + 1
-    assert K.n_parameters(3, 1, "diag") == 3 + 3 + 6 + 2
-
-
 def test_gemm_density_equals_direct():
     rng = np.random.default_rng(4)
     X = rng.normal(size=(300, 4))
