@@ -9,6 +9,7 @@ SELECT whose column names match the Spark DataFrame.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 R = 6  # decimals kept on both sides for double columns
@@ -462,17 +463,19 @@ ORACLES["entropy_score"] = _given(
     f"{rnd('ll / n + CAST(4 AS DOUBLE) * entropy', 'score')} FROM ({_SCORE})"
 )
 ORACLES["bic"] = _given(f"SELECT entity, round(-2 * ll + 7 * ln(n), 4) AS bic FROM ({_SCORE})")
+_PATH = (
+    "SELECT g.entity, g.i, g.j, coalesce(c.n, 0) / nullif(sum(coalesce(c.n, 0)) OVER (PARTITION BY g.entity, g.i), 0) AS p FROM "
+    "(SELECT a.entity, a.raw_state AS i, b.raw_state AS j FROM (SELECT DISTINCT entity, raw_state FROM states) a "
+    "JOIN (SELECT DISTINCT entity, raw_state FROM states) b ON a.entity = b.entity) g LEFT JOIN "
+    "(SELECT entity, raw_state AS i, nxt AS j, count(*) AS n FROM (SELECT entity, raw_state, "
+    "lead(raw_state) OVER (PARTITION BY entity ORDER BY t) AS nxt FROM states) WHERE nxt IS NOT NULL GROUP BY 1, 2, 3) c "
+    "ON g.entity = c.entity AND g.i = c.i AND g.j = c.j"
+)
 ORACLES["transition_matrix"] = _given(
-    "SELECT e.entity, 'VS0_' || f.i AS from_label, 'VS0_' || f.j AS to_label, round(f.p + 1e-9, 6) AS prob "
-    "FROM (SELECT DISTINCT entity FROM em) e CROSS JOIN (VALUES "
-    + ", ".join(f"({i}, {j}, {D(G_A[i][j])})" for i in range(2) for j in range(2))
-    + ") f(i, j, p)"
+    f"SELECT entity, 'VS0_' || i AS from_label, 'VS0_' || j AS to_label, {rnd('p', 'prob')} FROM ({_PATH})"
 )
 ORACLES["expected_steps"] = _given(
-    "SELECT e.entity, 'VS0_' || f.i AS state_label, round(1 / (1 - f.p + CAST(1e-10 AS DOUBLE)) + 1e-9, 6) AS expected_steps "
-    "FROM (SELECT DISTINCT entity FROM em) e CROSS JOIN (VALUES "
-    + ", ".join(f"({i}, {D(G_A[i][i])})" for i in range(2))
-    + ") f(i, p)"
+    f"SELECT entity, 'VS0_' || i AS state_label, {rnd('1 / (1 - p + CAST(1e-10 AS DOUBLE))', 'expected_steps')} FROM ({_PATH}) WHERE i = j"
 )
 ORACLES["regime_return_means"] = _given(
     f"SELECT entity, state, {rnd('avg(normalized_returns)', 'mean_return')} FROM labeled GROUP BY 1, 2"
@@ -767,3 +770,143 @@ ORACLES["select_best_given"] = with_ctes(
     "UNION ALL SELECT entity, 2 AS k, 1 AS seed, score FROM cb_score)) WHERE rn = 1",
     recursive=True,
 )
+
+
+# ---------------------------------------------------------------- F-test, shuffled split, layers, sinks, failures
+
+ORACLES["train_val_split_shuffled"] = with_ctes(
+    _pipe(MAIN) + given_ctes()[:1],
+    "SELECT entity, ts, CAST(t AS INTEGER) AS t, CAST(n AS BIGINT) AS n, CASE WHEN row_number() OVER (PARTITION BY entity "
+    "ORDER BY md5('13:' || CAST(ts AS VARCHAR)), ts) <= floor(n * CAST(0.8 AS DOUBLE)) THEN 'train' ELSE 'validate' END AS split FROM seq",
+)
+
+
+def _anova_ctes() -> list[tuple[str, str]]:
+    """F test per entity; the p-value is a regularised incomplete beta by a continued fraction, 200 terms."""
+    return [
+        ("ag", "SELECT entity, state, count(*) AS n, avg(normalized_returns) AS m, sum(normalized_returns) AS s, var_pop(normalized_returns) * count(*) AS w FROM labeled WHERE state IS NOT NULL GROUP BY 1, 2"),
+        ("atot", "SELECT entity, count(*) AS k, sum(n) AS n, sum(s) / sum(n) AS g, sum(w) AS ssw FROM ag GROUP BY 1"),
+        ("af", "SELECT t.entity, (sum(a.n * (a.m - t.g) * (a.m - t.g)) / (any_value(t.k) - 1)) / (any_value(t.ssw) / (any_value(t.n) - any_value(t.k))) AS f, CAST(any_value(t.k) - 1 AS DOUBLE) AS d1, CAST(any_value(t.n) - any_value(t.k) AS DOUBLE) AS d2 FROM atot t JOIN ag a ON a.entity = t.entity GROUP BY t.entity"),
+        ("ax", "SELECT *, d2 / (d2 + d1 * f) AS x0, d2 / (d2 + d1 * f) >= (d2 / 2 + 1) / (d2 / 2 + d1 / 2 + 2) AS sw FROM af"),
+        ("ab", "SELECT *, CASE WHEN sw THEN d1 / 2 ELSE d2 / 2 END AS a, CASE WHEN sw THEN d2 / 2 ELSE d1 / 2 END AS b, CASE WHEN sw THEN 1 - x0 ELSE x0 END AS x FROM ax"),
+        (
+            "cf",
+            "SELECT entity, 0 AS m, a, b, x, CAST(1 AS DOUBLE) AS c, 1 / (1 - (a + b) * x / (a + 1)) AS d, 1 / (1 - (a + b) * x / (a + 1)) AS h FROM ab "
+            "UNION ALL SELECT entity, m, a, b, x, 1 + e2 / c1 AS c, 1 / (1 + e2 * d1) AS d, h1 * (1 / (1 + e2 * d1)) * (1 + e2 / c1) AS h FROM ("
+            "SELECT entity, m, a, b, x, e2, 1 + e1 / c AS c1, 1 / (1 + e1 * d) AS d1, h * (1 / (1 + e1 * d)) * (1 + e1 / c) AS h1 FROM ("
+            "SELECT entity, m + 1 AS m, a, b, x, c, d, h, (m + 1) * (b - (m + 1)) * x / ((a - 1 + 2 * (m + 1)) * (a + 2 * (m + 1))) AS e1, "
+            "-(a + m + 1) * (a + b + m + 1) * x / ((a + 2 * (m + 1)) * (a + 1 + 2 * (m + 1))) AS e2 FROM cf WHERE m < 200))",
+        ),
+        ("bt", "SELECT c.entity, exp(lgamma(c.a + c.b) - lgamma(c.a) - lgamma(c.b) + c.a * ln(c.x) + c.b * ln(1 - c.x)) * c.h / c.a AS i FROM cf c WHERE m = 200"),
+        ("pv", "SELECT ab.entity, ab.f, CASE WHEN ab.sw THEN 1 - bt.i ELSE bt.i END AS p FROM ab JOIN bt ON ab.entity = bt.entity"),
+    ]
+
+
+MATERIALIZE.update({"cf", "ab"})
+
+
+def _given_more(ctes: list[tuple[str, str]], final: str) -> str:
+    return with_ctes(_pipe(MAIN) + given_ctes() + ctes, final, recursive=True)
+
+
+ORACLES["anova_pvalue"] = _given_more(_anova_ctes(), f"SELECT entity, {rnd('f', 'f_stat')}, {rnd('p', 'p_value')} FROM pv")
+ORACLES["anova_report"] = _given_more(
+    _anova_ctes(),
+    "SELECT entity, 'Layer 0, returns by regime: p = ' || printf('%.4f', p) || '; ' || CASE WHEN p < 0.01 THEN 'mean returns clearly differ between regimes (1% level)' "
+    "WHEN p < 0.05 THEN 'mean returns differ between regimes (5% level)' WHEN p < 0.1 THEN 'mean returns may differ between regimes (10% level)' "
+    "ELSE 'no difference of mean returns between regimes is shown' END AS report FROM pv",
+)
+
+
+def _density_2d(k: int) -> str:
+    (a, b), (_, c) = (((0.5, 0.2), (0.2, 1.0)), ((2.0, -0.3), (-0.3, 1.5)))[k]
+    m = ((-0.5, 0.0), (1.0, 0.5))[k]
+    det = f"({D(a)} * {D(c)} - {D(b)} * {D(b)})"
+    u, v = f"(vol_5 - {D(m[0])})", f"(market_vola - {D(m[1])})"
+    return f"-0.5 * (2 * ln(2 * pi()) + ln({det}) + ({D(c)} * {u} * {u} - 2 * {D(b)} * {u} * {v} + {D(a)} * {v} * {v}) / {det})"
+
+
+ORACLES["emission_logpdf_2d"] = with_ctes(
+    _pipe(MAIN), f"SELECT entity, ts, {rnd(_density_2d(0), 'lb_0')}, {rnd(_density_2d(1), 'lb_1')} FROM features"
+)
+
+_LAYERS = [
+    (
+        "lay",
+        "SELECT *, 'regime_layer0' AS layer FROM labeled UNION ALL SELECT f.*, CASE WHEN "
+        f"ln({D(G_PI[0])}) + e.lb0 >= ln({D(G_PI[1])}) + e.lb1 THEN 0 ELSE 1 END AS state, 'sub_level_state' AS layer "
+        "FROM features f JOIN em e ON f.entity = e.entity AND f.ts = e.ts",
+    )
+]
+MATERIALIZE.add("lay")
+ORACLES["layer_return_means"] = _given_more(
+    _LAYERS, f"SELECT entity, layer, CAST(state AS INTEGER) AS state, {rnd('avg(normalized_returns)', 'mean_return')} FROM lay GROUP BY 1, 2, 3"
+)
+ORACLES["layer_feature_means"] = _given_more(
+    _LAYERS, f"SELECT entity, layer, measure, CAST(state AS INTEGER) AS state, {rnd('avg(value)', 'mean_value')} FROM ({_unpivot('lay', 'entity, layer, state')}) GROUP BY 1, 2, 3, 4"
+)
+ORACLES["layer_regime_capture"] = _given_more(
+    _LAYERS
+    + [
+        ("lthr", f"SELECT *, quantile_cont(value, 0.95) OVER (PARTITION BY entity, layer, measure) AS threshold FROM ({_unpivot('lay', 'entity, layer, state')})"),
+        ("lhigh", "SELECT entity, layer, measure, state, count(*) AS cnt FROM lthr WHERE value >= threshold GROUP BY 1, 2, 3, 4"),
+        ("lsh", "SELECT *, cnt / sum(cnt) OVER (PARTITION BY entity, layer, measure) AS share FROM lhigh"),
+    ],
+    f"SELECT g.entity, g.layer, g.measure, CAST(g.state AS INTEGER) AS state, {rnd('coalesce(s.share, 0)', 'share')} FROM (SELECT DISTINCT a.entity, a.layer, a.state, b.measure "
+    "FROM lsh a JOIN lsh b ON a.entity = b.entity AND a.layer = b.layer) g LEFT JOIN lsh s ON g.entity = s.entity AND g.layer = s.layer AND g.measure = s.measure AND g.state = s.state",
+)
+
+_P37 = FeatureParams(vol_windows=(3, 7))
+_M37 = ("vol_3", "vol_7", "market_vola")
+_COLS37 = ", ".join(rnd(c, c) for c in _P37.feature_columns)
+ORACLES["features_windows_3_7"] = with_ctes(_pipe(MAIN, _P37), f"SELECT entity, ts, {_COLS37} FROM features")
+ORACLES["vol_quantiles_windows_3_7"] = with_ctes(
+    _pipe(MAIN, _P37), f"SELECT entity, measure, {rnd('quantile_cont(value, 0.95)', 'threshold')} FROM ({_unpivot('features', 'entity', _M37)}) GROUP BY 1, 2"
+)
+ORACLES["series_with_spikes"] = with_ctes(
+    _pipe(MAIN),
+    f"SELECT entity, ts, measure, {rnd('value', 'value')}, measure <> 'normalized_returns' AND value > quantile_cont(value, 0.95) OVER (PARTITION BY entity, measure) AS spike "
+    f"FROM ({_unpivot('features', 'entity, ts', ('normalized_returns', 'vol_5', 'vol_10', 'vol_20', 'market_vola'))})",
+)
+ORACLES["roundtrip_panel"] = ORACLES["entity_filter"]
+
+def _roundtrip_sql() -> str:
+    """The features with windows (3, 7) beside the path decoded on the usual ones."""
+    other = []
+    for name, body in features_ctes(_P37, PROXY):
+        for old in ("f1", "f2", "proxy", "features"):
+            body = re.sub(rf"\b(FROM|JOIN) {old}\b", rf"\1 {old}_37", body)
+        other.append((f"{name}_37", body.replace("f2.", "f2_37.")))
+    return with_ctes(
+        _pipe(MAIN) + given_ctes() + other,
+        f"SELECT f.entity, f.ts, {', '.join(rnd(f'f.{c}', c) for c in _P37.feature_columns)}, s.raw_state AS regime_layer0 "
+        "FROM features_37 f LEFT JOIN states s ON f.entity = s.entity AND f.ts = s.ts",
+        recursive=True,
+    )
+
+
+ORACLES["roundtrip_state_labeled"] = _roundtrip_sql()
+ORACLES["roundtrip_models"] = with_ctes(
+    _pipe(MAIN),
+    "SELECT e.entity, CAST(f.l AS INTEGER) AS layer_idx, CAST(f.i AS INTEGER) AS from_state, CAST(f.j AS INTEGER) AS to_state, round(f.p + 1e-9, 6) AS prob "
+    "FROM (SELECT DISTINCT entity FROM features) e CROSS JOIN (VALUES "
+    + ", ".join(f"({layer}, {i}, {j}, {D(a[i][j])})" for layer, a in ((0, G_A), (1, L1_A)) for i in range(2) for j in range(2))
+    + ") f(l, i, j, p)",
+)
+ORACLES["fit_failures"] = with_ctes(
+    _pipe(MAIN), "SELECT e.entity, CAST(s.s AS INTEGER) AS seed, s.s = 1 AS failed, s.s = 1 AS no_loglik FROM (SELECT DISTINCT entity FROM features) e CROSS JOIN (VALUES (0), (1)) s(s)"
+)
+_CANDIDATES = _pipe(MAIN) + given_ctes()[:1] + candidate_ctes("ca_", G_PI, G_A, G_MU, G_VAR) + candidate_ctes("cb_", B_PI, B_A, B_MU, B_VAR)
+ORACLES["best_score_given"] = with_ctes(
+    _CANDIDATES, f"SELECT a.entity, {rnd('greatest(a.score, b.score)', 'best_score')} FROM ca_score a JOIN cb_score b ON a.entity = b.entity", recursive=True
+)
+ORACLES["select_best_neg_bic"] = with_ctes(
+    _CANDIDATES,
+    "SELECT entity, seed, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, seed) AS rn FROM ("
+    + " UNION ALL ".join(
+        f"SELECT f.entity, {seed} AS seed, 2 * f.lc - 7 * ln(e.n) AS score FROM {p}fwd f JOIN (SELECT DISTINCT entity, n FROM {p}em) e ON f.entity = e.entity AND f.t = e.n"
+        for seed, p in ((0, "ca_"), (1, "cb_"))
+    )
+    + ")) WHERE rn = 1",
+    recursive=True,
+)

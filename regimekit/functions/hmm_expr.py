@@ -71,23 +71,6 @@ def emission_logpdf(x: Column, means: Column, inv_chol: Column, logdet: Column)
     return F.transform(means, per_state)
 
 
-def emission_logpdf_diag(x: Column, means: Column, variances: Column) -> Column:
-    """Array of K log-densities with diagonal covariance (``variances`` K x D)."""
-    d = F.size(x).cast("double")
-
-    def per_state(mu: Column, k: Column) -> Column:
-        var = F.element_at(variances, k + 1)
-        logdet = F.aggregate(var, F.lit(0.0), lambda acc, v: acc + F.log(v))
-        quad = F.aggregate(
-            F.zip_with(F.zip_with(x, mu, lambda a, b: a - b), var, lambda u, v: u * u / v),
-            F.lit(0.0),
-            lambda acc, q: acc + q,
-        )
-        return F.lit(-0.5) * (d * F.lit(LOG_2PI) + logdet + quad)
-
-    return F.transform(means, per_state)
-
-
 def argmax(arr: Column) -> Column:
     """0-based position of the first maximum of an array."""
     return (F.array_position(arr, F.array_max(arr)) - 1).cast("int")

@@ -31,11 +31,6 @@ def expected_steps(p_stay: Column | str) -> Column:
     return F.lit(1.0) / (F.lit(1.0) - _c(p_stay) + F.lit(1e-10))
 
 
-def entropy_term(p: Column | str) -> Column:
-    """F9 summand: ``-p * ln(p + 1e-10)`` (natural log; sum over states gives the entropy)."""
-    return -_c(p) * F.log(_c(p) + F.lit(1e-10))
-
-
 def palette_index(state: Column | str) -> Column:
     """colour slot of a state, ``state mod 10``."""
     return F.pmod(_c(state), F.lit(10))

@@ -1,101 +1,137 @@
 """Per-regime analytics on a state-labelled table.
 
-Input ``labeled``: ``entity, ts, normalized_returns, vol_*, market_vola, state``.
-Every analytic is keyed by entity (and measure), so it stays one aggregate
-or window per key; quantiles are exact per (entity, measure) group, whose
-size is one entity's calendar.
+Input ``labeled``: ``entity, ts, normalized_returns, vol_*, market_vola, state`` and, for results of several
+layers, ``layer``.  The volatility measures are those of the table's schema, whatever its windows.
+Every analytic is keyed by entity (and layer, and measure); quantiles are exact, from a bracket of a few rows.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regimekit.functions.scalar import palette_index
 from regimekit.functions.stats import f_pvalue
 
-VOL_MEASURES = ("vol_5", "vol_10", "vol_20", "market_vola")
 N_BINS = 50
-APPROX_ACCURACY = 10_000
+BRACKET_ACCURACY = 1_000  # a quantile's bracket holds about 4 / BRACKET_ACCURACY of a group
+
+
+def measures_of(df: DataFrame) -> list[str]:
+    """The volatility measures of a table, by its schema: ``vol_<window>`` in window order, then ``market_vola``."""
+    vols = sorted((c for c in df.columns if re.fullmatch(r"vol_\d+", c)), key=lambda c: int(c[4:]))
+    return [*vols, *(c for c in ("market_vola",) if c in df.columns)]
 
 
-def quantile(col: str, q: float, exact: bool = True) -> Column:
-    """A4: exact linear-interpolation quantile (NumPy's default), or the bounded-memory
-    ``percentile_approx`` (relative rank error 1/accuracy) for very long groups."""
-    if exact:
-        return F.percentile(col, q)
-    return F.percentile_approx(col, q, APPROX_ACCURACY)
+def series_keys(df: DataFrame) -> list[str]:
+    """What tells one series of regimes from another: the entity, and the layer where the table has several."""
+    return ["entity", *(c for c in ("layer",) if c in df.columns)]
 
 
-def unpivot_measures(df: DataFrame, measures=VOL_MEASURES, keep=("entity", "ts", "state")) -> DataFrame:
+def unpivot_measures(df: DataFrame, measures=None, keep=("entity", "layer", "ts", "state")) -> DataFrame:
     """Long form ``(keep..., measure, value)``; one pass, no union of per-measure frames."""
     keep = [c for c in keep if c in df.columns]
-    return df.unpivot(keep, list(measures), "measure", "value")
+    return df.unpivot(keep, list(measures or measures_of(df)), "measure", "value")
 
 
-def vol_quantiles(labeled: DataFrame, q: float = 0.95, measures=VOL_MEASURES, exact: bool = True) -> DataFrame:
-    """A4: quantile per (entity, measure)."""
-    return (
-        unpivot_measures(labeled, measures, ("entity",))
-        .groupBy("entity", "measure")
-        .agg(quantile("value", q, exact).alias("threshold"))
+def exact_quantiles(long: DataFrame, keys: list[str], q: float, value: str = "value") -> DataFrame:
+    """A4: ``keys, threshold``: the exact linear-interpolation quantile (NumPy's default) of each group.
+
+    An approximate quantile a little below and one a little above bracket the two order statistics; rows
+    below the bracket are counted, and only the rows inside it are ranked.  Nulls are ignored.
+    """
+    x = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    eps, accuracy = 2.0 / BRACKET_ACCURACY, 2 * BRACKET_ACCURACY
+    around = F.percentile_approx("_v", F.array(F.lit(max(0.0, q - eps)), F.lit(min(1.0, q + eps))), accuracy)
+    brackets = x.groupBy(*keys).agg(around.alias("_a"), F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
+    # the next order statistic may be a little beyond a short group's bracket
+    wide = F.col("_n") < F.lit(4 * BRACKET_ACCURACY)
+    brackets = brackets.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.when(wide, F.col("_min")).otherwise(F.col("_a")[0]).alias("_lo"),
+        F.when(wide, F.col("_max")).otherwise(F.col("_a")[1]).alias("_hi"),
+        ((F.col("_n") - 1) * F.lit(float(q))).alias("_h"),
     )
+    near = x.join(brackets, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).where(F.col("_v") <= F.col("_hi"))
+    counted = near.groupBy(*keys, "_h", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()))
+    placed = counted.withColumn("_upto", upto).where("_v is not null")
+    low, high = F.floor("_h") + 1, F.ceil("_h") + 1  # 1-based ranks
+    pick = placed.groupBy(*keys).agg(
+        F.min(F.when(F.col("_upto") >= low, F.col("_v"))).alias("_l"), F.min(F.when(F.col("_upto") >= high, F.col("_v"))).alias("_u"), F.first("_h").alias("_h")
+    )
+    return pick.select(*keys, (F.col("_l") + (F.col("_u") - F.col("_l")) * (F.col("_h") - F.floor("_h"))).alias("threshold"))
+
 
+def vol_quantiles(labeled: DataFrame, q: float = 0.95, measures=None) -> DataFrame:
+    """A4: quantile per (entity, measure)."""
+    return exact_quantiles(unpivot_measures(labeled, measures, ("entity",)), ["entity", "measure"], q)
 
-def _with_threshold(long: DataFrame, q: float, exact: bool = True) -> DataFrame:
-    w = Window.partitionBy("entity", "measure")
-    return long.withColumn("threshold", quantile("value", q, exact).over(w))
 
+def _with_threshold(long: DataFrame, keys: list[str], q: float) -> DataFrame:
+    thresholds = exact_quantiles(long, [*keys, "measure"], q)
+    return long.join(thresholds, [*keys, "measure"])  # one row a group
 
-def vol_spikes(features: DataFrame, percentile: float = 95.0, measures=VOL_MEASURES, exact: bool = True) -> DataFrame:
+
+def vol_spikes(features: DataFrame, percentile: float = 95.0, measures=None) -> DataFrame:
     """Rows whose measure is strictly above its per-entity percentile (NULLs ignored)."""
     long = unpivot_measures(features, measures, ("entity", "ts")).where(F.col("value").isNotNull())
-    return _with_threshold(long, percentile / 100.0, exact).where(F.col("value") > F.col("threshold"))
+    return _with_threshold(long, ["entity"], percentile / 100.0).where(F.col("value") > F.col("threshold"))
+
+
+def series_with_spikes(features: DataFrame, percentile: float = 95.0, measures=None) -> DataFrame:
+    """C4: returns and all volatilities as one long series, with a mark on the spikes of each measure."""
+    measures = list(measures or measures_of(features))
+    long = unpivot_measures(features, ["normalized_returns", *measures], ("entity", "ts"))
+    thresholds = exact_quantiles(long.where(F.col("measure") != "normalized_returns"), ["entity", "measure"], percentile / 100.0)
+    joined = long.join(thresholds, ["entity", "measure"], "left")
+    return joined.select("entity", "ts", "measure", "value", F.coalesce(F.col("value") > F.col("threshold"), F.lit(False)).alias("spike"))
 
 
 def regime_return_means(labeled: DataFrame) -> DataFrame:
     """A5: mean normalised return per regime."""
-    return labeled.groupBy("entity", "state").agg(F.avg("normalized_returns").alias("mean_return"))
+    return labeled.groupBy(*series_keys(labeled), "state").agg(F.avg("normalized_returns").alias("mean_return"))
 
 
-def feature_means(labeled: DataFrame, measures=VOL_MEASURES) -> DataFrame:
+def feature_means(labeled: DataFrame, measures=None) -> DataFrame:
     """Mean of every feature except returns per regime, long (feature, state, mean)."""
-    long = unpivot_measures(labeled, measures, ("entity", "state"))
-    return long.groupBy("entity", "measure", "state").agg(F.avg("value").alias("mean_value"))
+    long = unpivot_measures(labeled, measures)
+    return long.groupBy(*series_keys(labeled), "measure", "state").agg(F.avg("value").alias("mean_value"))
 
 
-def regime_capture(labeled: DataFrame, q: float = 0.95, measures=VOL_MEASURES, exact: bool = True) -> DataFrame:
+def regime_capture(labeled: DataFrame, q: float = 0.95, measures=None) -> DataFrame:
     """A9 (+P8): share of each regime among rows at or above the measure's q-quantile.
 
     The grid is every regime captured by some measure of the entity; a regime
     a measure does not capture gets share 0 (the reference's ``fillna(0)``).
     """
-    long = _with_threshold(unpivot_measures(labeled, measures, ("entity", "state")), q, exact)
-    high = long.where(F.col("value") >= F.col("threshold"))
-    counts = high.groupBy("entity", "measure", "state").agg(F.count("*").alias("cnt"))
-    shares = counts.withColumn("share", F.col("cnt") / F.sum("cnt").over(Window.partitionBy("entity", "measure")))
-    states = shares.select("entity", "state").distinct()
-    meas = shares.select("entity", "measure").distinct()
-    grid = states.join(meas, "entity")  # per entity: captured regimes x measures (both tiny)
-    return grid.join(shares.select("entity", "measure", "state", "share"), ["entity", "measure", "state"], "left").select(
-        "entity", "measure", "state", F.coalesce("share", F.lit(0.0)).alias("share")
-    )
+    keys = series_keys(labeled)
+    long = _with_threshold(unpivot_measures(labeled, measures), keys, q)
+    counts = long.groupBy(*keys, "measure", "state").agg(F.count_if(F.col("value") >= F.col("threshold")).alias("cnt"))
+    # from here on one row per key, measure and regime
+    captured = F.max("cnt").over(Window.partitionBy(*keys, "state")) > 0
+    share = F.try_divide("cnt", F.sum("cnt").over(Window.partitionBy(*keys, "measure")))
+    grid = counts.withColumn("_captured", captured).withColumn("share", share)
+    return grid.where(F.col("_captured") & F.col("share").isNotNull()).select(*keys, "measure", "state", "share")
 
 
-def state_vol_corr(labeled: DataFrame, measures=VOL_MEASURES) -> DataFrame:
+def state_vol_corr(labeled: DataFrame, measures=None) -> DataFrame:
     """A10: Pearson correlation of each measure with the regime number (pairwise NULL drop)."""
-    long = unpivot_measures(labeled, measures, ("entity", "state"))
-    return long.groupBy("entity", "measure").agg(F.corr("value", F.col("state").cast("double")).alias("corr"))
+    long = unpivot_measures(labeled, measures)
+    return long.groupBy(*series_keys(labeled), "measure").agg(F.corr("value", F.col("state").cast("double")).alias("corr"))
 
 
-def vol_trend_by_state(labeled: DataFrame, measures=VOL_MEASURES, window: int = 3) -> DataFrame:
+def vol_trend_by_state(labeled: DataFrame, measures=None, window: int = 3) -> DataFrame:
     """A11 (W5, W6): mean first difference of the 3-step moving average per regime."""
-    long = unpivot_measures(labeled, measures, ("entity", "ts", "state"))
-    w = Window.partitionBy("entity", "measure").orderBy("ts")
+    keys = series_keys(labeled)
+    long = unpivot_measures(labeled, measures)
+    w = Window.partitionBy(*keys, "measure").orderBy("ts")
     frame = w.rowsBetween(-(window - 1), 0)
     ma = F.when(F.count("value").over(frame) == window, F.avg("value").over(frame))
     trend = long.withColumn("ma", ma).withColumn("trend", F.col("ma") - F.lag("ma").over(w))
-    return trend.groupBy("entity", "measure", "state").agg(F.avg("trend").alias("avg_trend"))
+    return trend.groupBy(*keys, "measure", "state").agg(F.avg("trend").alias("avg_trend"))
 
 
 def _bins(value: Column, lo: Column, hi: Column, n: int) -> Column:
@@ -120,22 +156,25 @@ def returns_histogram(features: DataFrame, n_bins: int = N_BINS) -> DataFrame:
     )
 
 
-def regime_histograms(labeled: DataFrame, measures=("normalized_returns", *VOL_MEASURES), n_bins: int = N_BINS) -> DataFrame:
+def regime_histograms(labeled: DataFrame, measures=None, n_bins: int = N_BINS) -> DataFrame:
     """Per feature, bins over the feature's range; counts per (bin, regime)."""
-    long = unpivot_measures(labeled, measures, ("entity", "state")).where(F.col("value").isNotNull())
-    w = Window.partitionBy("entity", "measure")
+    keys = series_keys(labeled)
+    measures = list(measures or ["normalized_returns", *measures_of(labeled)])
+    long = unpivot_measures(labeled, measures).where(F.col("value").isNotNull())
+    w = Window.partitionBy(*keys, "measure")
     long = long.withColumn("lo", F.min("value").over(w)).withColumn("hi", F.max("value").over(w))
     b = long.withColumn("bin", _bins(F.col("value"), F.col("lo"), F.col("hi"), n_bins))
-    return b.groupBy("entity", "measure", "state", "bin").agg(F.count("*").cast("bigint").alias("cnt"))
+    return b.groupBy(*keys, "measure", "state", "bin").agg(F.count("*").cast("bigint").alias("cnt"))
 
 
 def anova_returns(labeled: DataFrame, value: str = "normalized_returns") -> DataFrame:
     """One-way ANOVA of ``value`` by regime: two-level aggregate -> F, dfs, p-value."""
-    g = labeled.where(F.col(value).isNotNull() & F.col("state").isNotNull()).groupBy("entity", "state").agg(
+    keys = series_keys(labeled)
+    g = labeled.where(F.col(value).isNotNull() & F.col("state").isNotNull()).groupBy(*keys, "state").agg(
         F.count(value).alias("n"), F.sum(value).alias("s"), F.avg(value).alias("m"),
         (F.var_pop(value) * F.count(value)).alias("ssw_g"),
     )
-    tot = g.groupBy("entity").agg(
+    tot = g.groupBy(*keys).agg(
         F.count("*").alias("k"),
         F.sum("n").alias("n"),
         (F.sum("s") / F.sum("n")).alias("grand"),
@@ -146,7 +185,7 @@ def anova_returns(labeled: DataFrame, value: str = "normalized_returns") -> Data
         "groups", F.lit(0.0), lambda acc, e: acc + e["n"] * (e["m"] - F.col("grand")) * (e["m"] - F.col("grand"))
     )
     out = tot.select(
-        "entity",
+        *keys,
         (F.col("k") - 1).cast("bigint").alias("df_between"),
         (F.col("n") - F.col("k")).cast("bigint").alias("df_within"),
         ssb.alias("ssb"),
@@ -164,35 +203,42 @@ def anova_returns(labeled: DataFrame, value: str = "normalized_returns") -> Data
 
 
 def anova_report(anova: DataFrame, layer: str = "0") -> DataFrame:
-    """The reference's interpretation text for the ANOVA p-value."""
+    """A sentence on the ANOVA p-value per entity (and layer): the value and how strong the evidence is.
+
+    A p-value that is undefined (one regime, constant returns) is reported as such.
+    """
     p = F.col("p_value")
-    text = (
-        F.when(p.isNull() | F.isnan(p), F.lit("ANOVA test failed: p-value undefined"))
-        .when(p < 0.01, "Highly significant differences between regime return means (p < 0.01).")
-        .when(p < 0.05, "Statistically significant differences between regime return means (p < 0.05).")
-        .when(p < 0.1, "Weak evidence of differences in regime return means (p < 0.1).")
-        .otherwise("No significant differences found between regime return means.")
-    )
-    head = F.concat(
-        F.lit(f"ANOVA p-value for returns across regimes (Layer {layer}): "), F.format_string("%.4f", p)
-    )
-    return anova.select(
-        "entity",
-        F.when(p.isNull() | F.isnan(p), text).otherwise(F.concat(head, F.lit("\n"), text)).alias("report"),
+    strength = (
+        F.when(p < 0.01, "mean returns clearly differ between regimes (1% level)")
+        .when(p < 0.05, "mean returns differ between regimes (5% level)")
+        .when(p < 0.1, "mean returns may differ between regimes (10% level)")
+        .otherwise("no difference of mean returns between regimes is shown")
     )
+    name = F.col("layer") if "layer" in anova.columns else F.lit(layer)
+    head = F.concat(F.lit("Layer "), name, F.lit(", returns by regime: "))
+    text = F.when(p.isNull() | F.isnan(p), F.lit("the p-value is undefined")).otherwise(F.concat(F.lit("p = "), F.format_string("%.4f", p), F.lit("; "), strength))
+    return anova.select(*series_keys(anova), F.concat(head, text).alias("report"))
+
+
+def anova_report_of(labeled: DataFrame, value: str = "normalized_returns", state: str = "state") -> DataFrame:
+    """A16 on a table that may lack a column: the report, or one sentence that names what is missing."""
+    missing = [c for c in ("entity", value, state) if c not in labeled.columns]
+    if missing:
+        return labeled.sparkSession.sql("SELECT 1").select(F.lit(None).cast("string").alias("entity"), F.lit(f"not computed: the table has no column {', '.join(missing)}").alias("report"))
+    return anova_report(anova_returns(labeled.withColumnRenamed(state, "state"), value))
 
 
 def regime_series(labeled: DataFrame) -> DataFrame:
     """Return series coloured by regime (palette slot = state mod 10)."""
-    return labeled.select("entity", "ts", "normalized_returns", "state", palette_index("state").alias("color_idx"))
+    return labeled.select(*series_keys(labeled), "ts", "normalized_returns", "state", palette_index("state").alias("color_idx"))
 
 
-def states_vs_vol(labeled: DataFrame, q: float = 0.95, measures=VOL_MEASURES, exact: bool = True) -> DataFrame:
+def states_vs_vol(labeled: DataFrame, q: float = 0.95, measures=None) -> DataFrame:
     """C2 (W7): threshold line per measure from the first to the last timestamp of the entity."""
-    long = unpivot_measures(labeled, measures, ("entity", "ts"))
-    return long.groupBy("entity", "measure").agg(
-        quantile("value", q, exact).alias("threshold"), F.min("ts").alias("ts_first"), F.max("ts").alias("ts_last")
-    )
+    keys = series_keys(labeled)
+    long = unpivot_measures(labeled, measures)
+    ends = long.groupBy(*keys, "measure").agg(F.min("ts").alias("ts_first"), F.max("ts").alias("ts_last"))
+    return ends.join(exact_quantiles(long, [*keys, "measure"], q), [*keys, "measure"], "left").select(*keys, "measure", "threshold", "ts_first", "ts_last")
 
 
 def available_layers(states_long: DataFrame) -> DataFrame:
@@ -204,5 +250,5 @@ def select_layer(states_long: DataFrame, layer: str) -> DataFrame:
     """P10: pick one layer; unknown layer -> error listing the available ones."""
     present = [r[0] for r in states_long.select("layer").distinct().collect()]  # a handful of layer names
     if layer not in present:
-        raise ValueError(f"Layer {layer} not found. Available layers: {sorted(present)}")
+        raise ValueError(f"no layer {layer!r}; the table has {sorted(present)}")
     return states_long.where(F.col("layer") == layer)

@@ -63,7 +63,7 @@ def normalize(col: str, method: str, spec: Window | None = None) -> Column:
         return F.log1p(c)
     if method == "none":
         return c
-    raise ValueError(f"Unknown normalization method: {method}")
+    raise ValueError(f"vol_norm is one of {VOL_NORMS}, not {method!r}")
 
 
 def normalize_vols(df: DataFrame, windows=(5, 10, 20), method: str = "zscore") -> DataFrame:
@@ -94,7 +94,7 @@ def proxy_transform(proxy_prices: DataFrame, mode: str = "zscore", window: int =
         std = s.agg(F.stddev_samp("price")).scalar()
         out = s.select("ts", F.try_divide(F.col("price") - mean, std).alias("market_vola"))
     else:
-        raise ValueError(f"Unknown processing type: {mode}")
+        raise ValueError(f"proxy_mode is one of {PROXY_MODES}, not {mode!r}")
     return out
 
 
@@ -124,9 +124,9 @@ def build_features(prices: DataFrame, params: FeatureParams = FeatureParams(), p
     series, left join, null drop.
     """
     if params.vol_norm not in VOL_NORMS:
-        raise ValueError(f"Unknown normalization method: {params.vol_norm}")
+        raise ValueError(f"vol_norm is one of {VOL_NORMS}, not {params.vol_norm!r}")
     if params.proxy_mode not in PROXY_MODES:
-        raise ValueError(f"Unknown processing type: {params.proxy_mode}")
+        raise ValueError(f"proxy_mode is one of {PROXY_MODES}, not {params.proxy_mode!r}")
     prices = materialize_panel(date_filter(prices, params.start, params.end))
     returns = log_returns(prices, materialize=False)
     if not params.model_proxy:

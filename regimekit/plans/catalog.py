@@ -371,8 +371,8 @@ def q_bic(spark, sf_dir):
 
 @query("transition_matrix")
 def q_transitions(spark, sf_dir):
-    models = attach_model(features(spark, sf_dir), GIVEN)
-    t = H.transitions(models)
+    """M17 of the decoded path: the shares of each state's steps that lead to each state."""
+    t = H.path_transitions(given_decode(spark, sf_dir)[3])
     return rounded(
         t.select(
             "entity",
@@ -385,8 +385,7 @@ def q_transitions(spark, sf_dir):
 
 @query("expected_steps")
 def q_expected_steps(spark, sf_dir):
-    models = attach_model(features(spark, sf_dir), GIVEN)
-    e = H.expected_steps(models)
+    e = H.expected_steps_of(H.path_transitions(given_decode(spark, sf_dir)[3]), ["entity"])
     return rounded(e.select("entity", state_label(0, "state").alias("state_label"), "expected_steps"))
 
 
@@ -682,6 +681,135 @@ GIVEN_B = GivenModel(
 @query("select_best_given")
 def q_select_best_given(spark, sf_dir):
     """A17 + E1: score candidate models (log-likelihood per step + 4 x usage entropy) and pick the best."""
+    fits = _candidates(spark, sf_dir, H.entropy_score(4.0))
+    return rounded(H.select_best(fits).select("entity", F.col("k").cast("int"), F.col("seed").cast("int"), "score"))
+
+
+# ---------------------------------------------------------------- two-dimensional emissions, layers, sinks, failures
+
+
+GIVEN_2D = GivenModel(
+    startprob=(0.5, 0.5),
+    transmat=((0.9, 0.1), (0.1, 0.9)),
+    means=((-0.5, 0.0), (1.0, 0.5)),
+    covars=(((0.5, 0.2), (0.2, 1.0)), ((2.0, -0.3), (-0.3, 1.5))),
+)
+
+
+@query("emission_logpdf_2d")
+def q_emission_2d(spark, sf_dir):
+    """M1 with an off-diagonal covariance on (vol_5, market_vola)."""
+    feats = features(spark, sf_dir)
+    j = H.sequences(feats, ["vol_5", "market_vola"]).join(HX.with_precision(attach_model(feats, GIVEN_2D)), "entity")
+    lb = HX.emission_logpdf(F.col("x"), F.col("means"), F.col("inv_chol"), F.col("logdet"))
+    return rounded(j.select("entity", "ts", lb[0].alias("lb_0"), lb[1].alias("lb_1")))
+
+
+def layered_table(spark, sf_dir) -> DataFrame:
+    """The labelled table of two layers in long form: the decoded path, and the row-wise states."""
+    from regimekit.session import cut_lineage
+
+    feats, seq, models, states = given_decode(spark, sf_dir)
+    rel = H.relabel(states, seq, models).select("entity", "ts", "state", F.lit("regime_layer0").alias("layer"))
+    pm = HX.with_precision(models)
+    one = HX.rowwise_state(F.col("x"), F.col("startprob"), F.col("means"), F.col("inv_chol"), F.col("logdet"))
+    row = seq.join(pm, "entity").select("entity", "ts", one.cast("int").alias("state"), F.lit("sub_level_state").alias("layer"))
+    return cut_lineage(feats.join(rel.unionByName(row), ["entity", "ts"]), "layered-table")
+
+
+@query("layer_return_means")
+def q_layer_return_means(spark, sf_dir):
+    return rounded(AN.regime_return_means(layered_table(spark, sf_dir)))
+
+
+@query("layer_regime_capture")
+def q_layer_capture(spark, sf_dir):
+    return rounded(AN.regime_capture(layered_table(spark, sf_dir)))
+
+
+@query("layer_feature_means")
+def q_layer_feature_means(spark, sf_dir):
+    return rounded(AN.feature_means(layered_table(spark, sf_dir)))
+
+
+@query("features_windows_3_7")
+def q_features_windows(spark, sf_dir):
+    return rounded(features(spark, sf_dir, MAIN_PANEL, FeatureParams(vol_windows=(3, 7))))
+
+
+@query("vol_quantiles_windows_3_7")
+def q_quantiles_windows(spark, sf_dir):
+    """A4 over the measures that the table has."""
+    return rounded(AN.vol_quantiles(features(spark, sf_dir, MAIN_PANEL, FeatureParams(vol_windows=(3, 7)))))
+
+
+@query("series_with_spikes")
+def q_series_with_spikes(spark, sf_dir):
+    return rounded(AN.series_with_spikes(features(spark, sf_dir)))
+
+
+def _folder(spark, name: str) -> str:
+    import uuid
+
+    from regimekit.session import checkpoint_path
+
+    return checkpoint_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@query("roundtrip_panel")
+def q_roundtrip_panel(spark, sf_dir):
+    """Write the panel, read two entities back."""
+    from regimekit.sources import tables as TB
+
+    path = _folder(spark, "panel")
+    TB.write_panel(panel(spark, sf_dir), path)
+    return rounded(TB.read_panel(spark, path, ["A", "R"]))
+
+
+@query("roundtrip_state_labeled")
+def q_roundtrip_state_labeled(spark, sf_dir):
+    """The state-labelled table as CSV, with other windows than the usual ones."""
+    from regimekit.sources import tables as TB
+
+    feats = features(spark, sf_dir, MAIN_PANEL, FeatureParams(vol_windows=(3, 7)))
+    states = given_decode(spark, sf_dir)[3].select("entity", "ts", F.col("raw_state").alias("regime_layer0"))
+    path = _folder(spark, "state-labeled")
+    TB.write_state_labeled(feats.join(states, ["entity", "ts"], "left"), path, "csv")
+    return rounded(TB.read_state_labeled(spark, path, "csv").drop("entity_dir"))
+
+
+@query("roundtrip_models")
+def q_roundtrip_models(spark, sf_dir):
+    """Save the given models of both layers under a fingerprint, load them, list their transitions."""
+    from regimekit.functions.scalar import layer_from_label
+    from regimekit.sources import tables as TB
+
+    feats = features(spark, sf_dir)
+    models = attach_model(feats, GIVEN).withColumn("layer", F.lit("regime_layer0")).unionByName(
+        attach_model(feats, GIVEN_LAYER1).withColumn("layer", F.lit("regime_layer1"))
+    )
+    path = _folder(spark, "models")
+    TB.save_models(models, path, "key")
+    back = TB.load_models(spark, path, "key")
+    t = H.transitions(back, ["entity", "layer"])
+    return rounded(t.select("entity", layer_from_label("layer").alias("layer_idx"), "from_state", "to_state", "prob"))
+
+
+@query("fit_failures")
+def q_fit_failures(spark, sf_dir):
+    """M8: of two restarts one starts from an indefinite covariance; only that one fails, for every entity."""
+    feats = features(spark, sf_dir)
+    broken = GivenModel(GIVEN_2D.startprob, GIVEN_2D.transmat, GIVEN_2D.means, (((1.0, 2.0), (2.0, 1.0)), ((1.0, 0.0), (0.0, 1.0))))
+    fit = FitParams(max_iter=3, min_rows=1, n_restarts=2)
+    seq = H.sequences(feats, ["vol_5", "market_vola"], fit)
+    init = attach_model(feats, GIVEN_2D).withColumn("seed", F.lit(0)).unionByName(attach_model(feats, broken).withColumn("seed", F.lit(1)))
+    init = init.select("entity", "k", "seed", F.lit(0).alias("chunk"), "startprob", "transmat", "means", "covars")
+    fits = H.fit_from_init(seq, init, fit)
+    return fits.select("entity", "seed", (F.col("status") == "failed").alias("failed"), F.col("train_loglik").isNull().alias("no_loglik"))
+
+
+def _candidates(spark, sf_dir, metric) -> DataFrame:
+    """The two candidate models of every entity with their score."""
     from regimekit.session import cut_lineage
 
     feats = cut_lineage(features(spark, sf_dir), "features")
@@ -699,5 +827,17 @@ def q_select_best_given(spark, sf_dir):
                 F.lit("converged").alias("status"),
             )
         )
-    fits = H.with_score(frames[0].unionByName(frames[1]), H.entropy_score(4.0))
-    return rounded(H.select_best(fits).select("entity", F.col("k").cast("int"), F.col("seed").cast("int"), "score"))
+    return H.with_score(frames[0].unionByName(frames[1]), metric)
+
+
+@query("best_score_given")
+def q_best_score_given(spark, sf_dir):
+    """The best score over the candidates."""
+    return rounded(H.best_score(_candidates(spark, sf_dir, H.entropy_score(4.0))))
+
+
+@query("select_best_neg_bic")
+def q_select_neg_bic(spark, sf_dir):
+    """Selection by another metric, the negated BIC."""
+    best = H.select_best(_candidates(spark, sf_dir, H.neg_bic))
+    return best.select("entity", F.col("seed").cast("int"), F.round("score", LL_DIGITS).alias("score"))

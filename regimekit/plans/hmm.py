@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regimekit.functions.scalar import expected_steps as expected_run
 from regimekit.plans import hmm_kernels as K
 from regimekit.params import FitParams
 from regimekit.session import cut_lineage, ship_package
@@ -462,12 +463,29 @@ def transitions(models: DataFrame, keys: list[str] = ("entity",)) -> DataFrame:
 def expected_steps(models: DataFrame, keys: list[str] = ("entity",)) -> DataFrame:
     """``1 / (1 - p_ii + 1e-10)`` per state."""
     keys = list(keys)
-    t = transitions(models, keys).where(F.col("from_state") == F.col("to_state"))
-    return t.select(
-        *keys,
-        F.col("from_state").alias("state"),
-        (F.lit(1.0) / (F.lit(1.0) - F.col("prob") + F.lit(1e-10))).alias("expected_steps"),
-    )
+    return expected_steps_of(transitions(models, keys), keys)
+
+
+def expected_steps_of(table: DataFrame, keys: list[str]) -> DataFrame:
+    """M18 on a long transition table."""
+    stay = table.where(F.col("from_state") == F.col("to_state"))
+    return stay.select(*keys, F.col("from_state").alias("state"), expected_run("prob").alias("expected_steps"))
+
+
+def path_transitions(states: DataFrame, keys: list[str] = ("entity",), state_col: str = "raw_state") -> DataFrame:
+    """M17 from a decoded path: ``(keys, from_state, to_state, prob)``, the shares of the steps that leave each state.
+
+    Every pair of states that the entity visits has a row; a step meets its next one by a join on its number.
+    """
+    keys = list(keys)
+    now = states.select(*keys, "t", F.col(state_col).alias("from_state"))
+    after = states.select(*keys, (F.col("t") - 1).alias("t"), F.col(state_col).alias("to_state"))
+    counts = now.join(after, [*keys, "t"]).groupBy(*keys, "from_state", "to_state").agg(F.count("*").alias("_n"))
+    seen = states.groupBy(*keys).agg(F.array_sort(F.collect_set(state_col)).alias("_s"))  # a handful of states
+    grid = seen.select(*keys, F.explode("_s").alias("from_state"), "_s").select(*keys, "from_state", F.explode("_s").alias("to_state"))
+    full = grid.join(counts, [*keys, "from_state", "to_state"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    share = F.try_divide("_n", F.sum("_n").over(Window.partitionBy(*keys, "from_state")))
+    return full.select(*keys, "from_state", "to_state", share.alias("prob"))
 
 
 def state_usage(states: DataFrame, models: DataFrame, state_col: str = "state", keys: list[str] = ("entity",)) -> DataFrame:

@@ -34,12 +34,7 @@ class RegimeResult:
     transitions: DataFrame  # (entity, layer, from_state, to_state, prob), raw state order
 
     def expected_steps(self) -> DataFrame:
-        return self.transitions.where(F.col("from_state") == F.col("to_state")).select(
-            "entity",
-            "layer",
-            F.col("from_state").alias("state"),
-            (F.lit(1.0) / (F.lit(1.0) - F.col("prob") + F.lit(1e-10))).alias("expected_steps"),
-        )
+        return H.expected_steps_of(self.transitions, ["entity", "layer"])
 
     def best_score(self) -> DataFrame:
         """Best score over layers / sub-models per entity."""
@@ -90,7 +85,7 @@ class _Variant:
 class PlainModel(_Variant):
     """M9: one Gaussian HMM per entity chosen over K x restarts; states relabelled by volatility."""
 
-    name = "HMMModel"
+    name = "plain"
     layers = ["regime_layer0"]
 
     def __init__(self, feature_cols: list[str], fit: FitParams = FitParams(), metric=None, splitter: Splitter | None = None):
@@ -117,7 +112,7 @@ class PlainModel(_Variant):
 class LayeredModel(_Variant):
     """Layer i+1 sees the original features plus layer i's state posteriors."""
 
-    name = "LayeredHMMModel"
+    name = "layered"
 
     def __init__(self, feature_cols: list[str], params: LayeredParams = LayeredParams(), metric=None,
                  splitter: Splitter | None = None):
@@ -156,7 +151,7 @@ class LayeredModel(_Variant):
 class HierarchicalModel(_Variant):
     """Top HMM; one sub-HMM per top state on its rows; sub state decoded row by row."""
 
-    name = "HierarchicalHMMModel"
+    name = "hierarchical"
     layers = ["top_level_state", "sub_level_state"]
 
     def __init__(self, feature_cols: list[str], params: HierarchicalParams = HierarchicalParams(), metric=None,

@@ -9,25 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from regimekit.functions.scalar import sanitize_entity, state_label
 
-STATE_LABELED_SCHEMA = T.StructType(
-    [
-        T.StructField("ts", T.TimestampNTZType()),
-        T.StructField("normalized_returns", T.DoubleType()),
-        T.StructField("vol_5", T.DoubleType()),
-        T.StructField("vol_10", T.DoubleType()),
-        T.StructField("vol_20", T.DoubleType()),
-        T.StructField("market_vola", T.DoubleType()),
-    ]
-)
-
-
 # ---------------------------------------------------------------- S4: panel cache
 
 
@@ -59,16 +48,26 @@ def write_state_labeled(labeled: DataFrame, path: str, fmt: str = "parquet") ->
         writer.parquet(path)
 
 
-def read_state_labeled(spark: SparkSession, path: str, fmt: str = "parquet", state_cols=("regime_layer0",)) -> DataFrame:
-    """Read back with explicit types (timestamps parsed, states as INT)."""
-    if fmt == "csv":
-        schema = T.StructType(
-            [T.StructField("entity", T.StringType()), *STATE_LABELED_SCHEMA.fields]
-            + [T.StructField(c, T.IntegerType()) for c in state_cols]
-            + [T.StructField("entity_dir", T.StringType())]
-        )
-        return spark.read.option("header", True).schema(schema).csv(path)
-    return spark.read.parquet(path)
+STATE_COLUMN = r"regime_layer\d+|(top|sub)_level_state|state"
+
+
+def read_state_labeled(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Read back with types: ``ts`` is a timestamp, states are INT, names are strings, all else is DOUBLE.
+
+    The columns are those of the file's header, so any volatility windows and layers come back under their names.
+    """
+    if fmt != "csv":
+        return spark.read.parquet(path)
+    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+
+    def typed(name: str):
+        if name in ("entity", "entity_dir"):
+            return F.col(name).cast("string")
+        if name == "ts":
+            return F.to_timestamp_ntz(name).alias(name)
+        return F.col(name).cast("int" if re.fullmatch(STATE_COLUMN, name) else "double")
+
+    return raw.select(*[typed(c) for c in raw.columns])
 
 
 # ---------------------------------------------------------------- S7/S8: transition matrices
@@ -155,7 +154,10 @@ def save_models(models: DataFrame, path: str, key: str) -> None:
 def load_models(spark: SparkSession, path: str, key: str) -> DataFrame | None:
     """Models saved under ``key``; ``None`` when there are none (the caller fits instead)."""
     try:
-        df = spark.read.parquet(path).where(F.col("fingerprint") == key)
-    except Exception:  # noqa: BLE001 - no table yet
-        return None
+        df = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None  # no table yet; any other error is the caller's to see
+        raise
+    df = df.where(F.col("fingerprint") == key)
     return df if df.limit(1).count() else None

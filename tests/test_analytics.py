@@ -40,7 +40,8 @@ def test_anova_matches_closed_form(labeled):
         assert got[e].f_stat == pytest.approx(f, rel=1e-9)
         assert got[e].p_value == pytest.approx(f_sf(f, k - 1, n - k), rel=1e-9)
     rep = {r.entity: r.report for r in AN.anova_report(AN.anova_returns(df)).collect()}
-    assert rep["A"].startswith("ANOVA p-value for returns across regimes (Layer 0): ")
+    assert rep["A"].startswith("Layer 0, returns by regime: p = ")
+    assert "state" in AN.anova_report_of(df.drop("state")).first()["report"]
 
 
 def test_f_sf_closed_form_two_dof():
@@ -94,14 +95,17 @@ def test_spikes_and_layers(spark, labeled):
         assert len(spikes[(spikes.entity == e) & (spikes.measure == "vol_20")]) == (g["vol_20"] > thr).sum()
     long = df.selectExpr("entity", "ts", "'regime_layer0' AS layer", "state")
     assert [r.layer for r in AN.available_layers(long).select("layer").distinct().collect()] == ["regime_layer0"]
-    with pytest.raises(ValueError, match="Available layers"):
+    with pytest.raises(ValueError, match="the table has"):
         AN.select_layer(long, "regime_layer3")
 
 
-def test_approximate_quantile_close_to_exact(labeled):
-    df, _ = labeled
-    ex = {(r.entity, r.measure): r.threshold for r in AN.vol_quantiles(df).collect()}
-    ap = {(r.entity, r.measure): r.threshold for r in AN.vol_quantiles(df, exact=False).collect()}
-    assert ex.keys() == ap.keys()
-    for key in ex:
-        assert abs(ex[key] - ap[key]) < 0.05 * (1 + abs(ex[key]))
+@pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.95, 1.0])
+def test_bracketed_quantile_is_exact(spark, q):
+    r = np.random.default_rng(3)
+    groups = {"small": r.normal(size=7), "ties": r.integers(0, 4, 9000).astype(float), "wide": r.normal(size=9001) ** 3, "one": np.array([2.5])}
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("small", None)]
+    df = spark.createDataFrame(rows, "g STRING, value DOUBLE")
+    got = {x["g"]: x["threshold"] for x in AN.exact_quantiles(df, ["g"], q).collect()}
+    assert got.keys() == groups.keys()
+    for g, x in groups.items():
+        assert got[g] == pytest.approx(np.quantile(x, q), rel=1e-12)
