@@ -109,6 +109,12 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def word_counts(texts: pa.Array) -> np.ndarray:
+    """Number of words of each text."""
+    parts = [np.diff(word_spans(raw, offsets)[2]) for _, _, raw, offsets in chunks(texts)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hash of each byte span (equal bytes give equal hashes)."""
     if len(starts) == 0:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regimekit.llm import common as C
@@ -25,7 +25,6 @@ from regimekit.llm import kernels as K
 
 RESERVE = 256  # expected documents of a source that wait at the root (at most half of them)
 FAN_IN = 32  # fractional documents that meet in one task group of the upper levels
-WORD = "[^\\x20\\x09-\\x0D]+"
 
 
 def source_targets(sources: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -149,8 +148,13 @@ def _level(rows: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
     return C.stage(C.map_groups(keyed, "cell", run, _ROW), f"mix-level{level}")
 
 
+def size_of(text: Column) -> Column:
+    """Number of words ``[^\\x20\\x09-\\x0D]+``; 0 for null."""
+    return F.arrow_udf(lambda t: pa.array(K.word_counts(t)), "long")(text.cast("string"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 3, bucket_rows: int = 4096, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
-    """``doc_id, size, source_size, target, taken``: how many of each document's words the mix takes.
+    """``doc_id, source, size, source_size, target, taken``: how many of each document's words the mix takes.
 
     ``size`` is the number of words, ``taken`` a whole multiple of it, at most ``ceil(most)`` times.  Reruns agree:
     draws depend on doc_id, size and seed only.  A null text has size 0 and is not taken; a
@@ -160,7 +164,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     """
     spark = docs.sparkSession
     C.prepare(spark)
-    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    sized = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size_of(F.col(text)).alias("size"))
     sized = C.stage(sized, "mix-sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = C.stage(source_targets(sources.select("source", "source_size"), weights, share, most), "mix-targets")
@@ -194,4 +198,4 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     result = done[0]
     for d in done[1:]:
         result = result.unionByName(d)
-    return result.select("doc_id", "size", "source_size", "target", ((F.col("whole") + F.col("p").cast("long")) * F.col("size")).alias("taken"))
+    return result.select("doc_id", "source", "size", "source_size", "target", ((F.col("whole") + F.col("p").cast("long")) * F.col("size")).alias("taken"))

@@ -43,7 +43,8 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, most=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its repeated blocks deleted: the text left, and how many lines went."""
     done = linedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "text", F.col("_deleted_lines").cast("long").alias("deleted_lines"))
+    return done.select("doc_id", "text", F.col("__deleted_lines").cast("long").alias("deleted_lines"))
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
