@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from regimekit.llm import linedup, minhash, mixing, packing, quality
+from regimekit.llm import common, linedup, minhash, mixing, packing, quality
 from regimekit.session import checkpoint_path
 
 
@@ -24,10 +24,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     ``n_chars`` follows the text where the column exists.  Documents without repeated blocks stay as they are.
     """
-    done = linedup.dedup_lines(docs).where("_left_words is null or _left_words > 0")
+    done = linedup.dedup_lines(docs).where("__left_words is null or __left_words > 0")
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]
-        done = done.withColumn("n_chars", F.when(F.col("_deleted_lines") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(F.col("__deleted_lines") > 0, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
 
 
@@ -37,20 +37,29 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without words and rows with a null doc_id stay.  Of repeated rows of one doc_id
     each stays if that doc_id stays.
     """
-    gone = minhash.near_duplicates(docs, percent=80).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    found = minhash.near_duplicates(docs, percent=80)
+    gone = common.stage(found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct(), "pipeline-gone")
+    # texts that surely stay pass by; only the others, and a few more, are looked up
+    likely = common.likely_in(gone, "__gone")(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    looked_up = docs.where(likely).join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return docs.where(~likely).unionByName(looked_up)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice.
 
-    Documents without words are not taken.  Copies of a document are equal rows.
+    Documents without words are not taken.  Copies of a document are equal rows.  Rows that repeat a doc_id
+    are told apart by size and source, and equal ones take the numbers of copies in turn.
     """
-    mixed = mixing.mix(docs)
-    copies = mixed.where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source_size").alias("_ss"), F.expr("cast(taken div size as int)").alias("_copies"))
-    copies = copies.groupBy("_id").agg(F.max("_copies").alias("_copies"))
-    joined = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    mixed = mixing.mix(docs).where("taken > 0")
+    names = ["__id", "__size", "__source", "__nth"]
+    nth = F.row_number().over(Window.partitionBy("doc_id", "size", "source").orderBy(F.col("taken").desc()))
+    copies = mixed.select(F.col("doc_id").alias("__i"), F.col("size").alias("__s"), F.col("source").alias("__so"), nth.alias("__n"), F.expr("cast(taken div size as int)").alias("__copies"))
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__size": mixing.size_of(F.col("text")), "__source": F.col("source").cast("string")})
+    keyed = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("__id", "__size", "__source").orderBy(F.xxhash64("text"))))
+    on = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(names, ["__i", "__s", "__so", "__n"])]
+    joined = keyed.join(copies, on[0] & on[1] & on[2] & on[3])
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
