@@ -910,3 +910,78 @@ ORACLES["select_best_neg_bic"] = with_ctes(
     + ")) WHERE rn = 1",
     recursive=True,
 )
+
+
+def _em_steps_sql(rounds: int) -> str:
+    """Unrolled Baum-Welch: per round the densities, forward and backward recursions, and the new parameters."""
+    mu, var = ((-0.5, 0.0), (1.0, 0.5)), ((0.5, 0.2, 1.0), (2.0, -0.3, 1.5))
+    start = {"pi0": 0.5, "pi1": 0.5, "a00": 0.9, "a01": 0.1, "a10": 0.1, "a11": 0.9}
+    for k in range(2):
+        start |= {f"m{k}u": mu[k][0], f"m{k}v": mu[k][1], f"s{k}uu": var[k][0], f"s{k}uv": var[k][1], f"s{k}vv": var[k][2]}
+    ctes = [
+        ("es", "SELECT entity, vol_5 AS u, market_vola AS v, row_number() OVER (PARTITION BY entity ORDER BY ts) AS t, count(*) OVER (PARTITION BY entity) AS n FROM features"),
+        ("par0", "SELECT entity, " + ", ".join(f"{D(x)} AS {c}" for c, x in start.items()) + " FROM (SELECT DISTINCT entity FROM es)"),
+    ]
+    for r in range(rounds):
+        lb = []
+        for k in range(2):
+            det = f"(p.s{k}uu * p.s{k}vv - p.s{k}uv * p.s{k}uv)"
+            u, v = f"(e.u - p.m{k}u)", f"(e.v - p.m{k}v)"
+            lb.append(f"-0.5 * (2 * ln(2 * pi()) + ln({det}) + (p.s{k}vv * {u} * {u} - 2 * p.s{k}uv * {u} * {v} + p.s{k}uu * {v} * {v}) / {det}) AS l{k}")
+        ctes += [
+            (
+                f"ed{r}",
+                "SELECT *, exp(l0 - greatest(l0, l1)) AS b0, exp(l1 - greatest(l0, l1)) AS b1 FROM "
+                f"(SELECT e.entity, e.t, e.n, e.u, e.v, p.pi0, p.pi1, p.a00, p.a01, p.a10, p.a11, {', '.join(lb)} FROM es e JOIN par{r} p ON e.entity = p.entity)",
+            ),
+            (
+                f"ef{r}",
+                f"SELECT entity, t, pi0 * b0 / (pi0 * b0 + pi1 * b1) AS f0, pi1 * b1 / (pi0 * b0 + pi1 * b1) AS f1 FROM ed{r} WHERE t = 1 "
+                "UNION ALL SELECT entity, t, w0 / (w0 + w1), w1 / (w0 + w1) FROM (SELECT e.entity, e.t, (f.f0 * e.a00 + f.f1 * e.a10) * e.b0 AS w0, "
+                f"(f.f0 * e.a01 + f.f1 * e.a11) * e.b1 AS w1 FROM ef{r} f JOIN ed{r} e ON e.entity = f.entity AND e.t = f.t + 1)",
+            ),
+            (
+                f"eb{r}",
+                f"SELECT entity, t, CAST(1 AS DOUBLE) AS z0, CAST(1 AS DOUBLE) AS z1 FROM ed{r} WHERE t = n "
+                "UNION ALL SELECT entity, t, y0 / greatest(y0, y1), y1 / greatest(y0, y1) FROM (SELECT e.entity, e.t - 1 AS t, "
+                f"e.a00 * e.b0 * z.z0 + e.a01 * e.b1 * z.z1 AS y0, e.a10 * e.b0 * z.z0 + e.a11 * e.b1 * z.z1 AS y1 "
+                f"FROM eb{r} z JOIN ed{r} e ON e.entity = z.entity AND e.t = z.t WHERE z.t > 1)",
+            ),
+            (
+                f"eg{r}",
+                f"SELECT e.entity, e.t, e.u, e.v, f.f0 * z.z0 / (f.f0 * z.z0 + f.f1 * z.z1) AS g0, f.f1 * z.z1 / (f.f0 * z.z0 + f.f1 * z.z1) AS g1 "
+                f"FROM ed{r} e JOIN ef{r} f ON e.entity = f.entity AND e.t = f.t JOIN eb{r} z ON e.entity = z.entity AND e.t = z.t",
+            ),
+            (
+                f"ex{r}",
+                "SELECT entity, " + ", ".join(f"sum(x{i}{j} / (x00 + x01 + x10 + x11)) AS x{i}{j}" for i in range(2) for j in range(2)) + " FROM (SELECT e.entity, "
+                + ", ".join(f"f.f{i} * e.a{i}{j} * e.b{j} * z.z{j} AS x{i}{j}" for i in range(2) for j in range(2))
+                + f" FROM ed{r} e JOIN ef{r} f ON f.entity = e.entity AND f.t = e.t - 1 JOIN eb{r} z ON z.entity = e.entity AND z.t = e.t) GROUP BY entity",
+            ),
+            (
+                f"em{r}_",
+                "SELECT entity, max(CASE WHEN t = 1 THEN g0 END) AS pi0, max(CASE WHEN t = 1 THEN g1 END) AS pi1, "
+                + ", ".join(f"sum(g{k} * {c}) / sum(g{k}) AS m{k}{c}" for k in range(2) for c in "uv")
+                + f" FROM eg{r} GROUP BY entity",
+            ),
+            (
+                f"par{r + 1}",
+                "SELECT m.entity, any_value(m.pi0) AS pi0, any_value(m.pi1) AS pi1, "
+                + ", ".join(f"any_value(x.x{i}{j} / (x.x{i}0 + x.x{i}1)) AS a{i}{j}" for i in range(2) for j in range(2))
+                + ", "
+                + ", ".join(f"any_value(m.m{k}{c}) AS m{k}{c}" for k in range(2) for c in "uv")
+                + ", "
+                + ", ".join(f"sum(g.g{k} * (g.{c[0]} - m.m{k}{c[0]}) * (g.{c[1]} - m.m{k}{c[1]})) / sum(g.g{k}) AS s{k}{c}" for k in range(2) for c in ("uu", "uv", "vv"))
+                + f" FROM eg{r} g JOIN em{r}_ m ON g.entity = m.entity JOIN ex{r} x ON x.entity = m.entity GROUP BY m.entity",
+            ),
+        ]
+        MATERIALIZE.update({f"ed{r}", f"ef{r}", f"eb{r}", f"eg{r}", f"par{r + 1}"})
+    names = {"u": "0", "v": "1"}
+    columns = [rnd(f"pi{k}", f"pi_{k}") for k in range(2)] + [rnd(f"a{i}{j}", f"a_{i}{j}") for i in range(2) for j in range(2)]
+    columns += [rnd(f"m{k}{c}", f"mu_{k}_{names[c]}") for k in range(2) for c in "uv"]
+    columns += [rnd(f"s{k}{c}", f"var_{k}_{names[c[0]]}{names[c[1]]}") for k in range(2) for c in ("uu", "uv", "vv")]
+    return with_ctes(_pipe(MAIN) + ctes, f"SELECT entity, {', '.join(columns)} FROM par{rounds}", recursive=True)
+
+
+MATERIALIZE.add("es")
+ORACLES["hmm_em_steps_3"] = _em_steps_sql(3)

@@ -59,6 +59,10 @@ class FitParams:
     entropy_weight: float = 4.0
     min_rows: int = 20
     seeds_per_task: int = 25  # restarts of one sequence and K that share a task
+    # "grouped": one task fits one sequence, for many sequences that each fit a task;
+    # "stages": every EM round is a Spark pass over time chunks (plans/em.py), for sequences of any length
+    engine: str = "grouped"
+    chunk_len: int = 10_000  # steps a task holds with "stages"
     split: str = "chronological"  # chronological | all (in-sample, used by sub-models)
 
 

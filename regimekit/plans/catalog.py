@@ -566,24 +566,40 @@ def q_sub_partition(spark, sf_dir):
     return seq.withColumn("fit_sub", F.col("n_rows") >= 10)
 
 
-@query("hmm_em_step")
-def q_em_step(spark, sf_dir):
-    """M5: one Baum-Welch step from the given model on each whole sequence."""
-    feats, seq, models, _ = given_decode(spark, sf_dir)
-    one = FitParams(max_iter=1, split="all", min_rows=1, tol=-1.0)
-    init = models.select("entity", "k", "seed", F.lit(0).alias("chunk"), "startprob", "transmat", "means", "covars")
-    fits = H.fit_from_init(seq.withColumn("split", F.lit("all")), init, one, ["entity"])
+def _em_columns(models: DataFrame, d: int) -> DataFrame:
     return rounded(
-        fits.select(
+        models.select(
             "entity",
             *[F.col("startprob")[i].alias(f"pi_{i}") for i in range(2)],
             *[F.col("transmat")[i][j].alias(f"a_{i}{j}") for i in range(2) for j in range(2)],
-            *[F.col("means")[i][0].alias(f"mu_{i}") for i in range(2)],
-            *[F.col("covars")[i][0][0].alias(f"var_{i}") for i in range(2)],
+            *[F.col("means")[i][x].alias(f"mu_{i}" + (f"_{x}" if d > 1 else "")) for i in range(2) for x in range(d)],
+            *[F.col("covars")[i][x][y].alias(f"var_{i}" + (f"_{x}{y}" if d > 1 else "")) for i in range(2) for x in range(d) for y in range(x, d)],
         )
     )
 
 
+def _em_from(feats: DataFrame, model: GivenModel, columns: list[str], rounds: int) -> DataFrame:
+    from regimekit.plans.em import em_stages
+
+    fit = FitParams(max_iter=rounds, split="all", min_rows=1, tol=-1.0)
+    return em_stages(H.sequences(feats, columns, fit), attach_model(feats, model), fit, chunk_len=EM_CHUNK)
+
+
+EM_CHUNK = 700  # several chunks a sequence
+
+
+@query("hmm_em_step")
+def q_em_step(spark, sf_dir):
+    """M5: one Baum-Welch step from the given model on each whole sequence, as Spark stages over time chunks."""
+    return _em_columns(_em_from(features(spark, sf_dir), GIVEN, [GIVEN_FEATURE], 1), 1)
+
+
+@query("hmm_em_steps_3")
+def q_em_steps_3(spark, sf_dir):
+    """M5: three steps with two features and full covariances."""
+    return _em_columns(_em_from(features(spark, sf_dir), GIVEN_2D, ["vol_5", "market_vola"], 3), 2)
+
+
 @query("best_score")
 def q_best_score(spark, sf_dir):
     return rounded(plain_result(spark, sf_dir).best_score())

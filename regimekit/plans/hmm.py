@@ -298,7 +298,10 @@ def _fit_batch(init_pdf, train: np.ndarray, valid: np.ndarray, fit: FitParams, c
 
 
 def fit_grid(seq: DataFrame, fit: FitParams = FitParams(), keys: list[str] = ("entity",), ks=None, seeds=None) -> DataFrame:
-    """M7: fit every (sequence, K, seed) of the grid; one Arrow task per (sequence, K, seed chunk).
+    """M7: fit every (sequence, K, seed) of the grid.
+
+    ``fit.engine`` says how: one Arrow task per (sequence, K, seed chunk), or all models together in rounds of
+    Spark stages over time chunks.  Both give the same rows.
 
     Sequences shorter than ``fit.min_rows`` are not fitted (P5).  Failed
     restarts stay in the output with ``status = 'failed'`` (M8).
@@ -311,7 +314,14 @@ def fit_grid(seq: DataFrame, fit: FitParams = FitParams(), keys: list[str] = ("e
     fit = replace(fit, seeds_per_task=min(fit.seeds_per_task, len(seeds)))
     chunks = sorted({s // fit.seeds_per_task for s in seeds})
     cells = [(k, c) for k in ks for c in chunks]
-    return fit_from_init(seq, init_models(seq, fit, keys, ks, seeds), fit, keys, cells=cells)
+    init = init_models(seq, fit, keys, ks, seeds)
+    if fit.engine == "stages":
+        from regimekit.plans.em import fit_stages
+
+        return fit_stages(seq, init, fit, keys)
+    if fit.engine != "grouped":
+        raise ValueError(f"engine is 'grouped' or 'stages', not {fit.engine!r}")
+    return fit_from_init(seq, init, fit, keys, cells=cells)
 
 
 def fit_from_init(
