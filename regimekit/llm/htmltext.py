@@ -401,7 +401,7 @@ def generated_page(r: np.random.Generator) -> str:
 
 
 @functools.lru_cache(maxsize=2)
-def trained(pages: int = 900, epochs: int = 6, batch: int = 24, rate: float = 0.01, seed: int = 4) -> Labeller:
+def trained(pages: int = 1500, epochs: int = 6, batch: int = 24, rate: float = 0.01, seed: int = 4) -> Labeller:
     """The labeller, fitted on ``pages`` generated pages by Adam; the same weights in every run."""
     r = np.random.default_rng(seed)
     made = [p for p in (blocks(generated_page(r)) for _ in range(pages)) if p]
