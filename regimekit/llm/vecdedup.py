@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from regimekit.llm import common as C
 from regimekit.llm import kernels as K
 
-BUCKET = 64  # classes a bucket has on average; the number of signs follows from it
+BUCKET = 512  # classes a bucket has on average; the number of signs follows from it
 BLOCK = 1024  # vectors of one bucket compared at once in a task
 
 
