@@ -43,7 +43,7 @@ class WordTokens:
         """All ids of the documents in order, and n+1 positions of each document's first id."""
         starts, ends, first = K.word_spans(raw, offsets)
         h = K.span_hashes(raw, starts, ends, lower=False)
-        keys, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+        keys, seen, inverse = np.unique(h, return_index=True, return_inverse=True)
         if len(self.ids) > CACHE_IDS:
             self.clear()
         place = np.searchsorted(self.keys, keys)
@@ -52,15 +52,14 @@ class WordTokens:
         new = np.flatnonzero(~known)
         if len(new):
             data = raw.tobytes()
-            texts = [data[a:b].decode("utf-8") for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())]
-            found = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            texts = [data[a:b].decode("utf-8") for a, b in zip(starts[seen[new]].tolist(), ends[seen[new]].tolist())]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             count = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
             ids = np.fromiter((x for y in found for x in y), dtype=np.uint32, count=int(count.sum()))
             start = len(self.ids) + np.concatenate([[0], np.cumsum(count)[:-1]])
             self.ids = np.concatenate([self.ids, ids])
-            merged = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(merged, kind="stable")
-            self.keys, self.start, self.count = merged[order], np.concatenate([self.start, start])[order], np.concatenate([self.count, count])[order]
+            at = place[new]
+            self.keys, self.start, self.count = np.insert(self.keys, at, keys[new]), np.insert(self.start, at, start), np.insert(self.count, at, count)
             place = np.searchsorted(self.keys, keys)
         start, count = self.start[place][inverse], self.count[place][inverse]
         total = np.concatenate([[0], np.cumsum(count)])
