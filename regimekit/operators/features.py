@@ -72,21 +72,34 @@ def normalize_vols(df: DataFrame, windows=(5, 10, 20), method: str = "zscore") -
     return df
 
 
+def _in_order(series: DataFrame) -> DataFrame:
+    """Add ``i``: 1, 2, … in time order."""
+    from regimekit.plans.hmm import numbered
+
+    one = series.withColumn("_series", F.lit(1))
+    return numbered(one, ["_series"], F.trunc(F.col("ts").cast("date"), "month"), [F.col("ts")], "i").drop("_series")
+
+
 def proxy_transform(proxy_prices: DataFrame, mode: str = "zscore", window: int = 5) -> DataFrame:
     """processed proxy ``(ts, market_vola)`` from the proxy's own non-null price series.
 
-    ``smoothed`` and ``returns`` need the series in time order: one window over
-    the proxy's calendar (one row per period).  ``raw`` and ``zscore`` need no
-    ordering.
+    ``smoothed`` and ``returns`` need neighbours in time: the rows are numbered month by month and meet their
+    neighbours by number, so no window holds the whole series.  ``raw`` and ``zscore`` need no ordering.
     """
     s = proxy_prices.where(F.col("price").isNotNull()).select("ts", "price")
-    w_ord = Window.partitionBy(F.lit(1)).orderBy("ts")
     if mode == "raw":
         out = s.select("ts", F.col("price").alias("market_vola"))
     elif mode == "smoothed":
-        out = s.select("ts", rolling("price", window, F.avg, w_ord).alias("market_vola"))
+        # row i takes part in the averages of rows i to i + window - 1
+        part = _in_order(s).select("ts", "price", "i", F.explode(F.sequence(F.lit(0), F.lit(window - 1))).alias("o"))
+        mean = part.groupBy((F.col("i") + F.col("o")).alias("i")).agg(
+            F.max(F.when(F.col("o") == 0, F.col("ts"))).alias("ts"), F.when(F.count("*") == window, F.avg("price")).alias("market_vola")
+        )
+        out = mean.where(F.col("ts").isNotNull()).select("ts", "market_vola")
     elif mode == "returns":
-        out = s.select("ts", safe_log_ratio(F.col("price"), F.lag("price").over(w_ord)).alias("market_vola"))
+        rows = _in_order(s)
+        before = rows.select((F.col("i") + 1).alias("i"), F.col("price").alias("before"))
+        out = rows.join(before, "i").select("ts", safe_log_ratio(F.col("price"), F.col("before")).alias("market_vola"))
         out = out.where(F.col("market_vola").isNotNull())
     elif mode == "zscore":
         # order-free: mean and std are scalar subqueries, not a single-partition window
