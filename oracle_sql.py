@@ -985,3 +985,14 @@ def _em_steps_sql(rounds: int) -> str:
 
 MATERIALIZE.add("es")
 ORACLES["hmm_em_steps_3"] = _em_steps_sql(3)
+ORACLES["train_val_split_custom"] = with_ctes(
+    _pipe(MAIN) + given_ctes()[:1],
+    "SELECT entity, CASE WHEN t % 10 = 0 THEN 'validate' ELSE 'train' END AS split, count(*) AS n, min(ts) AS first_ts FROM seq GROUP BY 1, 2",
+)
+_LAYERED = ORACLES["layered_decode"]
+ORACLES["manager_reuse"] = (
+    _LAYERED[: _LAYERED.rindex("\nSELECT s.entity, s.ts")]
+    + f"\nSELECT f.entity, f.ts, {rnd('f.normalized_returns', 'normalized_returns')}, a.state AS regime_layer0, b.state AS regime_layer1 FROM features f "
+    "LEFT JOIN (SELECT s.entity, s.ts, m.state FROM states s JOIN rmap m ON s.entity = m.entity AND s.raw_state = m.raw_state) a ON f.entity = a.entity AND f.ts = a.ts "
+    "LEFT JOIN (SELECT s.entity, s.ts, m.state FROM st1 s JOIN rmap1 m ON s.entity = m.entity AND s.raw_state = m.raw_state) b ON f.entity = b.entity AND f.ts = b.ts"
+)

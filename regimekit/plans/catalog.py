@@ -857,3 +857,36 @@ def q_select_neg_bic(spark, sf_dir):
     """Selection by another metric, the negated BIC."""
     best = H.select_best(_candidates(spark, sf_dir, H.neg_bic))
     return best.select("entity", F.col("seed").cast("int"), F.round("score", LL_DIGITS).alias("score"))
+
+
+@query("manager_reuse")
+def q_manager_reuse(spark, sf_dir):
+    """The multi-entity driver finds models saved for these data, labels every entity and writes the table."""
+    from regimekit.params import LayerParams
+    from regimekit.plans.manager import RegimeManager
+    from regimekit.session import cut_lineage
+    from regimekit.sources import tables as TB
+
+    feats = cut_lineage(features(spark, sf_dir), "features")
+    models = attach_model(feats, GIVEN).withColumn("layer", F.lit("regime_layer0")).unionByName(
+        attach_model(feats, GIVEN_LAYER1).withColumn("layer", F.lit("regime_layer1"))
+    )
+    store, out = _folder(spark, "store"), _folder(spark, "results")
+    variant = LayeredModel([GIVEN_FEATURE], LayeredParams(layers=(LayerParams(2, 2), LayerParams(2, 2))))
+    manager = RegimeManager(variant, store, out)
+    TB.save_models(models, store, manager.model_key(feats))
+    manager.train_all(feats)
+    back = TB.read_state_labeled(spark, f"{out}/state_labeled")
+    return rounded(back.select("entity", "ts", "normalized_returns", "regime_layer0", "regime_layer1"))
+
+
+@query("train_val_split_custom")
+def q_split_custom(spark, sf_dir):
+    """A splitter of the user's own in place of the default one: every tenth step is held out."""
+    from regimekit.plans.variants import _split
+
+    def tenth(seq: DataFrame) -> DataFrame:
+        return seq.withColumn("split", F.when(F.col("t") % 10 == 0, "validate").otherwise("train"))
+
+    seq = _split(H.sequences(features(spark, sf_dir), [GIVEN_FEATURE]), tenth)
+    return seq.groupBy("entity", "split").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
