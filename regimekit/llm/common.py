@@ -117,6 +117,16 @@ def block_cells(df: DataFrame, key: str, count: str, row_hash: Column, block: in
     return df.drop("_o")
 
 
+def dealt_again(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with its key under a new ``name`` that Spark does not take for the same partitioning.
+
+    A join of rows with a per-key aggregate of the same rows would otherwise run on the aggregate's
+    shuffle, which adaptive execution can't split; so both sides get a shuffle of their own and a hot key's rows are
+    dealt over several tasks.
+    """
+    return df.withColumn(name, F.least(key, key)).drop(key)
+
+
 def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of an undirected graph: ``(node, root)``, root the least node.
 
@@ -131,7 +141,7 @@ def components(edges: DataFrame, name: str = "cc") -> DataFrame:
         return tuple(r)
 
     def by_min(e: DataFrame) -> DataFrame:
-        return e.join(e.groupBy("u").agg(F.min("v").alias("m")), "u")
+        return e.join(dealt_again(e.groupBy("u").agg(F.min("v").alias("m")), "u", "w"), F.col("u") == F.col("w")).drop("w")
 
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     e = stage(e, f"{name}-edges")

@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     postings = reps.select("node", F.explode("keys").alias("key"))
     shared = postings.groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
     prefixes = (
-        postings.join(shared, "key")
+        postings.join(C.dealt_again(shared, "key", "listed"), F.col("key") == F.col("listed"))
         .groupBy("node")
         .agg(F.array_sort(F.collect_list(F.struct("cnt", "key"))).alias("lists"), F.sum("cnt").alias("weight"))
         .where(F.size("lists") >= t)
@@ -231,7 +231,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     # each class against the heaviest class of each of its lists
     rows = prefixes.select("node", "weight", F.explode("prefix").alias("p")).select("node", "weight", "p.key")
     centre = rows.groupBy("key").agg(F.max(F.struct("weight", "node")).getField("node").alias("centre"))
-    star = rows.join(centre, "key").where("node != centre").select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct()
+    star = rows.join(C.dealt_again(centre, "key", "listed"), F.col("key") == F.col("listed")).where("node != centre").select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct()
     links = C.stage(confirmed(star, sets, percent), "mh-links")
     roots = C.components(links, "mh-star")
 
@@ -240,7 +240,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     labelled = C.stage(labelled.join(sets.select("node", "sig"), "node"), "mh-labelled")
     flat = labelled.select(F.explode("prefix").alias("key"), "node", "root")
     mixed = flat.groupBy("key").agg(F.count("*").alias("cnt"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "cnt")
-    members = labelled.withColumn("key", F.explode("prefix")).join(mixed, "key")
+    members = labelled.withColumn("key", F.explode("prefix")).join(C.dealt_again(mixed, "key", "listed"), F.col("key") == F.col("listed")).drop("listed")
     cells = C.block_cells(members, "key", "cnt", F.xxhash64("node"), BLOCK)
     rest = C.map_groups(cells, "cell", _cell_pairs(t2), "u binary, v binary")
     more = C.stage(confirmed(rest, sets, percent), "mh-more")
