@@ -141,8 +141,14 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(lang).cast("string").alias("_lang"), F.col(text).cast("string").alias("_text")).where("_id is not null and _lang is not null and _text is not null")
     ids = rows.select("_id", "_lang", F.pmod(F.xxhash64("_id", F.lit(seed)), F.lit(1 << 40)).alias("h"))
-    counts = ids.groupBy("_lang").agg(F.count("*").alias("n"))
-    near = ids.join(counts, "_lang").where(F.col("h") < F.least(F.lit(1.0), F.lit(4.0 * docs_per_language) / F.col("n")) * float(1 << 40))
+    counts = ids.groupBy("_lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; a worker holds the automata of all")
+    if not counts:
+        return ()
+    # about four times the rows wanted of each label pass, so the window below sees a bounded number
+    rates = F.create_map(*[F.lit(x) for r in counts for x in (r["_lang"], min(1.0, 4.0 * docs_per_language / r["n"]))])
+    near = ids.where(F.col("h") < rates[F.col("_lang")] * float(1 << 40))
     nth = F.row_number().over(Window.partitionBy("_lang").orderBy("h", "_id"))
     chosen = near.withColumn("r", nth).where(F.col("r") <= docs_per_language).select("_id", "_lang", "r")
     # docs_per_language rows a label: bounded
@@ -150,8 +156,6 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     by: dict[str, list[tuple[int, str]]] = {}
     for r in found:
         by.setdefault(r["_lang"], []).append((r["r"], r["t"]))
-    if len(by) > MAX_LANGUAGES:
-        raise ValueError(f"{len(by)} languages; at most {MAX_LANGUAGES} can be held by a worker")
     return tuple((k, "\n".join(t for _, t in sorted(by[k]))) for k in sorted(by))
 
 
