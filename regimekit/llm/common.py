@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-ARROW_BYTES = "16m"  # input of a Python worker at once, unless the session sets its own
+ARROW_BYTES = "8m"  # input of a Python worker at once, unless the session sets its own
 
 
 def prepare(spark: SparkSession) -> None:

@@ -456,4 +456,4 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             texts = extract_pages([x or "" for x in batch.column(2).to_pylist()], model)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, type=pa.string()), pa.array([len(t) for t in texts], type=pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).mapInArrow(K.tidy(run), "page_id long, url string, text string, n_chars long")

@@ -8,6 +8,7 @@ equal in every task and every run.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 from collections.abc import Iterator
 
@@ -16,7 +17,31 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-MAX_CHUNK_BYTES = 2 << 20  # text bytes handled at once; a longer single text is a chunk of its own
+
+
+def give_back() -> None:
+    """Return freed memory to the system; Spark keeps idle Python workers for later tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not on every platform
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """``run`` (batches -> batches) that gives its memory back when the task ends."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
+MAX_CHUNK_BYTES = 1 << 19  # text bytes handled at once; a longer single text is a chunk of its own
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -23,6 +23,7 @@ from regimekit.llm import common as C
 from regimekit.llm import kernels as K
 
 BLOCK = 1024
+PARSE_BYTES = 2 << 20  # text parsed together: many blocks keep a step of all of them cheap
 MAX_LANGUAGES = 256  # the automata of all languages are held by every worker
 UNKNOWN = "und"
 _LETTERS, _ALPHABET = 2, 250  # first class of a known letter; most known letters
@@ -173,7 +174,7 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(samples) if samples else None
         for batch in batches:
-            for i, j, raw, offsets in K.chunks(batch.column(1)):
+            for i, j, raw, offsets in K.chunks(batch.column(1), PARSE_BYTES):
                 pred, score = [UNKNOWN] * (j - i), np.zeros(j - i)
                 if p:
                     flat, first = p.classes(raw, offsets)
@@ -184,4 +185,4 @@ def identify(docs: DataFrame, samples: tuple[tuple[str, str], ...], text: str =
                     pred = [names[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(pred, type=pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(K.tidy(run), "doc_id long, lang_pred string, score double")

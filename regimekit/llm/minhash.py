@@ -111,7 +111,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
                 keys = _lists(np.ascontiguousarray(keys).reshape(-1), np.concatenate([[0], np.cumsum(sizes)]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, type=pa.int64()), node, keys], names=["doc_id", "n_shingles", "node", "keys"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node binary, keys array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(K.tidy(run), "doc_id long, n_shingles long, node binary, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, shingle: int, k2: int) -> DataFrame:
@@ -125,7 +125,7 @@ def shingle_sets(docs: DataFrame, shingle: int, k2: int) -> DataFrame:
                 sig = (K.mix64(_signature(s, first, k2, 41, np.uint32).astype(K.U64)) & K.U64(255)).astype(np.uint8).T
                 yield pa.RecordBatch.from_arrays([_binary(_nodes(s, first)), _lists(s, first), _binary(sig)], names=["node", "shingles", "sig"])
 
-    return docs.select("text").mapInArrow(run, "node binary, shingles array<long>, sig binary")
+    return docs.select("text").mapInArrow(K.tidy(run), "node binary, shingles array<long>, sig binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -148,7 +148,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[r] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(run, "u binary, v binary")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(K.tidy(run), "u binary, v binary")
 
 
 def _list_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,6 +28,10 @@ from regimekit.llm import kernels as K
 CACHE_IDS = 6_000_000  # token ids of distinct words a Python worker remembers; only memory depends on it
 
 
+GROUP = 256  # plain words encoded as one text
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+")  # letters that stay one letter in lower case
+
+
 class WordTokens:
     """Token ids by word.  The tokenizer never joins text across ASCII white space, so a text's
     ids are those of its words in order.  Words are told apart by 64-bit hashes of their bytes."""
@@ -34,11 +40,38 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.start, self.count, self.ids = np.zeros(0, K.U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in order, and how many each has.
+
+        A word of plain letters is one piece of the pre-tokenizer, whose last id alone ends a word in the
+        vocabulary; so many such words are encoded as one text and cut apart at those ids.
+        """
+        plain = [k for k, t in enumerate(texts) if _PLAIN.fullmatch(t)]
+        parts: list[list[int] | np.ndarray] = [None] * len(texts)
+        groups = [plain[a : a + GROUP] for a in range(0, len(plain), GROUP)]
+        joined = self.tokenizer.encode_batch_fast([" ".join(texts[k] for k in g) for g in groups], add_special_tokens=False)
+        alone = [k for k in range(len(texts)) if not _PLAIN.fullmatch(texts[k])]
+        for g, e in zip(groups, joined):
+            ids = np.array(e.ids, dtype=np.uint32)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(g) or cuts[-1] != len(ids):  # another kind of vocabulary
+                alone.extend(g)
+                continue
+            for k, p in zip(g, np.split(ids, cuts[:-1])):
+                parts[k] = p
+        for k, e in zip(alone, self.tokenizer.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False)):
+            parts[k] = e.ids
+        count = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        return np.fromiter(itertools.chain.from_iterable(parts), dtype=np.uint32, count=int(count.sum())), count
+
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the documents in order, and n+1 positions of each document's first id."""
         starts, ends, first = K.word_spans(raw, offsets)
@@ -53,9 +86,7 @@ class WordTokens:
         if len(new):
             data = raw.tobytes()
             texts = [data[a:b].decode("utf-8") for a, b in zip(starts[seen[new]].tolist(), ends[seen[new]].tolist())]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            count = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            ids = np.fromiter((x for y in found for x in y), dtype=np.uint32, count=int(count.sum()))
+            ids, count = self.encode_words(texts)
             start = len(self.ids) + np.concatenate([[0], np.cumsum(count)[:-1]])
             self.ids = np.concatenate([self.ids, ids])
             at = place[new]
@@ -80,6 +111,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, text: str = "tex
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokens = word_tokens(tokenizer_path)
+        tokens.clear()  # an idle worker keeps the tokenizer, not the words of its last task
         for batch in batches:
             for i, j, raw, offsets in K.chunks(batch.column(1)):
                 ids, first = tokens.encode(raw, offsets)
@@ -99,9 +131,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, text: str = "tex
                     out.append(pa.array([x.astype(np.int64) for x in parts], type=pa.list_(pa.int64())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names=names)
+        tokens.clear()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(K.tidy(run), schema)
 
 
 def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:

@@ -82,7 +82,7 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
         at = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[0][at]), pa.array(counts[1][at])], names=["bucket", "raw", "target"])
 
-    rows = docs.select("text", "good").mapInArrow(run, "bucket int, raw long, target long")
+    rows = docs.select("text", "good").mapInArrow(K.tidy(run), "bucket int, raw long, target long")
     return rows.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 

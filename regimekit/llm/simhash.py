@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bi
             f = fingerprints_of(batch.column(1), bits)
             yield pa.RecordBatch.from_arrays([batch.column(0), _hex(f)], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(K.tidy(run), "doc_id long, fingerprint string")
 
 
 def _hex(rows: np.ndarray) -> pa.Array:
@@ -121,7 +121,7 @@ def fingerprint_edits(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     ranged = rows.repartitionByRange(C.shuffle_width(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    done = C.stage(ranged.withColumn("part", F.spark_partition_id()).mapInArrow(run, f"{_OUT}, kind int, part int, text string"), "simhash-ranges")
+    done = C.stage(ranged.withColumn("part", F.spark_partition_id()).mapInArrow(K.tidy(run), f"{_OUT}, kind int, part int, text string"), "simhash-ranges")
     edges = done.where("kind > 0").groupBy("part").agg(
         F.max(F.when(F.col("kind") == 2, F.struct(F.lit(1), F.coalesce("text", F.lit(""))))).alias("first"),
         F.max(F.when(F.col("kind") == 1, F.struct(F.lit(1), "doc_id", "text"))).alias("last"),
@@ -206,7 +206,7 @@ def count_within(prints: DataFrame, queries: str, radius: int = 6, blocks: int =
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * m, m, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "keys"])
 
-    rows = classes.mapInArrow(run, "fp string, copies long, query boolean, keys array<long>").select("fp", "copies", "query", F.posexplode("keys").alias("t", "key"))
+    rows = classes.mapInArrow(K.tidy(run), "fp string, copies long, query boolean, keys array<long>").select("fp", "copies", "query", F.posexplode("keys").alias("t", "key"))
     wanted = rows.groupBy("key").agg(F.count("*").alias("cnt"), F.max("query").alias("q")).where("q and cnt > 1").select("key", "cnt")
     cells = C.block_cells(rows.join(wanted, "key"), "key", "cnt", F.xxhash64("fp"), BLOCK)
     near = C.map_groups(cells, "cell", functools.partial(_near_of_cell, radius=radius, blocks=blocks), "fp string, n long").groupBy("fp").agg(F.sum("n").alias("n"))
