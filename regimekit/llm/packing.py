@@ -29,7 +29,8 @@ CACHE_IDS = 6_000_000  # token ids of distinct words a Python worker remembers;
 
 
 GROUP = 256  # plain words encoded as one text
-_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+")  # letters that stay one letter in lower case
+# letters that stay one letter in lower case, and punctuation (no apostrophe) after them
+_PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f]+([-.,:;!?*#$%&()/]+)?").fullmatch
 
 
 class WordTokens:
@@ -51,22 +52,31 @@ class WordTokens:
     def encode_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in order, and how many each has.
 
-        A word of plain letters is one piece of the pre-tokenizer, whose last id alone ends a word in the
-        vocabulary; so many such words are encoded as one text and cut apart at those ids.
+        Plain letters are one piece of the pre-tokenizer and punctuation after them another; the last id of a
+        piece, and no other, ends a word in the vocabulary.  So many such words are encoded as one text and
+        cut apart at those ids.
         """
-        plain = [k for k, t in enumerate(texts) if _PLAIN.fullmatch(t)]
-        parts: list[list[int] | np.ndarray] = [None] * len(texts)
+        plain, alone, pieces_of = [], [], []
+        for k, t in enumerate(texts):
+            if m := _PLAIN(t):
+                plain.append(k)
+                pieces_of.append(2 if m[1] else 1)
+            else:
+                alone.append(k)
+        parts: list[list[int]] = [[]] * len(texts)
         groups = [plain[a : a + GROUP] for a in range(0, len(plain), GROUP)]
         joined = self.tokenizer.encode_batch_fast([" ".join(texts[k] for k in g) for g in groups], add_special_tokens=False)
-        alone = [k for k in range(len(texts)) if not _PLAIN.fullmatch(texts[k])]
-        for g, e in zip(groups, joined):
-            ids = np.array(e.ids, dtype=np.uint32)
+        for at, (g, e) in enumerate(zip(groups, joined)):
+            ids = e.ids
+            last = np.cumsum(pieces_of[at * GROUP : at * GROUP + len(g)]) - 1
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(g) or cuts[-1] != len(ids):  # another kind of vocabulary
+            if len(cuts) != last[-1] + 1 or cuts[-1] != len(ids):  # another kind of vocabulary
                 alone.extend(g)
                 continue
-            for k, p in zip(g, np.split(ids, cuts[:-1])):
-                parts[k] = p
+            a = 0
+            for k, b in zip(g, cuts[last].tolist()):
+                parts[k] = ids[a:b]
+                a = b
         for k, e in zip(alone, self.tokenizer.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False)):
             parts[k] = e.ids
         count = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
