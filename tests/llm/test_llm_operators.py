@@ -427,6 +427,52 @@ def test_lines_of_the_documents(spark):
     assert left < 0.03 * repeated
 
 
+def shared_blocks(later, earlier, least=5):
+    """Numbers of the later document's lines that lie in a stretch of `least` words which the earlier one has too."""
+    out = set()
+    for i in range(len(later)):
+        for j in range(len(earlier)):
+            k = 0
+            while i + k < len(later) and j + k < len(earlier) and later[i + k] == earlier[j + k]:
+                k += 1
+            if sum(map(len, later[i : i + k])) >= least:
+                out.update(range(i, i + k))
+    return out
+
+
+def lines_left(spark, texts):
+    return [r["text"] for r in linedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING")).orderBy("doc_id").collect()]
+
+
+def test_lines_meet_every_earlier_holder_in_any_order(spark):
+    a, b, c, d = ("the %s line has five words" % x for x in ("first", "second", "third", "fourth"))
+    texts = [f"{a}\n{b}\n{c}", f"{c}\nown\n{d}", f"{b}\n{c}\n{a}", f"{c}\nown"]
+    assert lines_left(spark, texts) == [texts[0], f"own\n{d}", "", ""]
+
+
+def test_lines_as_every_pair_says(spark):
+    r = np.random.default_rng(8)
+    pool = [["a"], ["b"], ["a", "b"], ["c", "d", "e"], ["f"] * 4, list("ghijk"), list("lmnopqr")]
+    docs = [[pool[i] for i in r.integers(0, len(pool), int(n))] for n in r.integers(0, 14, 120)]
+    rows = [(i, "\n".join(" ".join(x) + "\n" * int(r.integers(0, 2)) for x in d)) for i, d in enumerate(docs)]
+    got = {x["doc_id"]: [w for w in (words(y) for y in x["text"].split("\n")) if w] for x in linedup.dedup_lines(spark.createDataFrame(rows, "doc_id LONG, text STRING")).collect()}
+    for i, later in enumerate(docs):
+        gone = set().union(*(shared_blocks(later, docs[j]) for j in range(i)))
+        for j in range(i):
+            for x, _, n in linedup.aligned_blocks([str(y) for y in later], [str(y) for y in docs[j]]):
+                assert sum(map(len, later[x : x + n])) < 5 or gone.issuperset(range(x, x + n))
+        assert got[i] == [y for k, y in enumerate(later) if k not in gone]
+
+
+def test_no_later_document_keeps_a_long_line(spark):
+    got = queries.op8_line_dedup(spark, SF_ORACLE).toPandas().set_index("doc_id").text
+    docs, first = table("documents", SF_ORACLE), {}
+    for d, t in zip(docs.doc_id, docs.text):
+        after = {tuple(words(x)) for x in (got[d] or "").split("\n")}
+        for line in {tuple(words(x)) for x in (t or "").split("\n")}:
+            assert len(line) < 5 or (first.setdefault(line, d) == d) == (line in after)
+
+
 # ---------------------------------------------------------------- 9 chat
 
 
