@@ -1,15 +1,15 @@
-"""SimHash fingerprints and search within a Hamming radius by permuted block tables."""
+"""SimHash fingerprints and search within a Hamming radius by block tables that are probed around each query."""
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regimekit.llm import common as C
@@ -17,6 +17,7 @@ from regimekit.llm import kernels as K
 
 WORD_WEIGHT, PAIR_WEIGHT = 1, 4  # votes of a word and of two adjacent words
 BLOCK = 4096  # fingerprints of one table key compared at once in a task
+SIMILAR = 18  # bits of 128 within which texts of 5-word Jaccard 0.8 or more lie, but for a few (see README)
 _SIGNS = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1).astype(np.float32)
 
 
@@ -139,19 +140,25 @@ def block_bounds(bits: int, blocks: int) -> list[tuple[int, int]]:
     return [(i * bits // blocks, (i + 1) * bits // blocks) for i in range(blocks)]
 
 
+def block_values(rows: np.ndarray, blocks: int) -> list[np.ndarray]:
+    """The bits of each block as a uint64."""
+    bits = np.unpackbits(rows, axis=1)
+    values = []
+    for a, b in block_bounds(rows.shape[1] * 8, blocks):
+        v = np.zeros(len(rows), dtype=K.U64)
+        for c in range(a, b):
+            v = (v << K.U64(1)) | bits[:, c]
+        values.append(v)
+    return values
+
+
 def table_keys(rows: np.ndarray, radius: int, blocks: int) -> np.ndarray:
     """n x tables uint64: one table for each choice of ``blocks - radius`` blocks.
 
     Fingerprints within ``radius`` differ in at most that many blocks, so they agree in all
     blocks of at least one table, whose key is the hash of those blocks' bits.
     """
-    bits = np.unpackbits(rows, axis=1)
-    words = []
-    for a, b in block_bounds(rows.shape[1] * 8, blocks):
-        v = np.zeros(len(rows), dtype=K.U64)
-        for c in range(a, b):
-            v = (v << K.U64(1)) | bits[:, c]
-        words.append(v)
+    words = block_values(rows, blocks)
     keys = []
     with np.errstate(over="ignore"):
         for t, chosen in enumerate(itertools.combinations(range(blocks), blocks - radius)):
@@ -162,52 +169,155 @@ def table_keys(rows: np.ndarray, radius: int, blocks: int) -> np.ndarray:
     return np.stack(keys, axis=1) if len(rows) else np.zeros((0, len(keys)), K.U64)
 
 
+def block_radii(radius: int, blocks: int) -> list[int]:
+    """How many bits of each block a probe flips: of two fingerprints within ``radius`` some block is as near as that.
+
+    Were every block farther apart, they would differ in sum(radii + 1) = radius + 1 bits.
+    """
+    return [(radius + 1) // blocks - 1 + (t < (radius + 1) % blocks) for t in range(blocks)]
+
+
+def _n_probes(bits: int, radius: int, blocks: int) -> list[tuple[int, int]]:
+    """Bits and number of probes of each block."""
+    widths = [b - a for a, b in block_bounds(bits, blocks)]
+    return [(w, sum(math.comb(w, k) for k in range(r + 1))) for w, r in zip(widths, block_radii(radius, blocks))]
+
+
+def block_count(rows: int, queries: int, bits: int, radius: int) -> int:
+    """The number of blocks with the least work for rows in tables, probes, and pairs that meet by chance; none loses a pair."""
+
+    def work(blocks: int) -> float:
+        probes = _n_probes(bits, radius, blocks)
+        return 150 * (rows * blocks + queries * sum(n for _, n in probes)) + rows * queries * sum(n / 2.0**w for w, n in probes)
+
+    least = -(-bits // 48)  # a key has room for 48 bits of a block; blocks beyond radius + 1 get no probes
+    return min(range(least, max(min(radius + 1, bits), least) + 1), key=work)
+
+
+def probe_keys(rows: np.ndarray, radius: int, blocks: int) -> np.ndarray:
+    """n x probes int64 keys: each block's number and its bits with up to its radius of them flipped."""
+    keys = []
+    for t, ((width, _), r, v) in enumerate(zip(_n_probes(rows.shape[1] * 8, radius, blocks), block_radii(radius, blocks), block_values(rows, blocks))):
+        flips = np.array([sum(1 << c for c in chosen) for k in range(r + 1) for chosen in itertools.combinations(range(width), k)], dtype=K.U64)
+        keys.append(K.U64(t << 48) | (v[:, None] ^ flips))
+    return np.concatenate(keys, axis=1).view(np.int64)
+
+
 def _bytes(hexes: list[str]) -> np.ndarray:
     return np.frombuffer(bytes.fromhex("".join(hexes)), dtype=np.uint8).reshape(len(hexes), -1)
 
 
-def _near_of_cell(cell: pa.Table, radius: int, blocks: int) -> pa.RecordBatch | None:
-    """For each query fingerprint of the cell, how many rows lie within the radius and met here first."""
-    query = cell["query"].to_numpy(zero_copy_only=False).astype(bool)
-    if cell.num_rows < 2 or not query.any():
-        return None
-    hexes = cell["fp"].to_pylist()
-    rows, copies, block = _bytes(hexes), cell["copies"].to_numpy(), cell["b"].to_numpy()
-    keys, table, cross = table_keys(rows, radius, blocks), cell["t"][0].as_py(), cell["cross"][0].as_py()
-    found = []
-    for i in np.flatnonzero(query).tolist():
-        near = np.bitwise_count(rows ^ rows[i]).sum(axis=1) <= radius
-        near[i] = False
-        near &= ~(keys[:, :table] == keys[i, :table]).any(axis=1)
-        if cross:
-            near &= block != block[i]
-        found.append((hexes[i], int(copies[near].sum())))
-    found = [x for x in found if x[1]]
-    if not found:
-        return None
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found]), pa.array([x[1] for x in found], type=pa.int64())], names=["fp", "n"])
-
-
-def count_within(prints: DataFrame, queries: str, radius: int = 6, blocks: int = 7) -> DataFrame:
-    """``fp, n_near``: for each distinct fingerprint of a query row, how many other rows lie within ``radius``.
-
-    ``prints`` has a hex column ``fingerprint``; ``queries`` is a boolean SQL condition on its columns.  The
-    search covers all rows: ``blocks`` choose ``radius`` tables hold every distinct fingerprint once.
-    Large table keys are split into pairs of blocks; pairs are counted in the first table they meet
-    in and never leave the task.
+def _met(cells: pa.Table, words: list[str], radius: int, blocks: int) -> Iterator[pa.RecordBatch]:
+    """For each probe of whole cells, sorted by cell with the table's rows first, what lies within the radius and met here first."""
+    key, part, probe = (cells[c].to_numpy() for c in ("key", "part", "probe"))
+    f = np.stack([cells[c].to_numpy() for c in words], axis=1).view(K.U64)
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+    cell = np.cumsum(np.bincount(new, minlength=len(key))) - 1
+    n_rows = np.add.reduceat(1 - probe, new)[cell]  # of the table in each row's cell
+    asked = np.flatnonzero((probe == 1) & (n_rows > 0))
+    bounds = np.array([a for a, _ in block_bounds(64 * len(words), blocks)])
+    radii = np.array(block_radii(radius, blocks))
+    upto = np.cumsum(n_rows[asked])
+    while len(asked):
+        k = max(1, int(np.searchsorted(upto - (upto[0] - n_rows[asked[0]]), 1 << 19)))  # probes handled at once
+        q, n = asked[:k], n_rows[asked[:k]]
+        at = np.repeat(q, n)
+        other = np.repeat(new[cell[q]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        distance = np.bitwise_count(f[at] ^ f[other]).sum(axis=1)
+        near = np.flatnonzero((distance <= radius) & (distance > 0))
+        at, other, distance = at[near], other[near], distance[near]
+        if len(at):
+            apart = np.add.reduceat(np.unpackbits((f[at] ^ f[other]).view(np.uint8), axis=1), bounds, axis=1, dtype=np.int64)
+            first = (apart <= radii).argmax(axis=1) == (key[at] >> 48)
+            at, other, distance = at[first], other[first], distance[first]
+        if len(at):
+            starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            near = pa.StructArray.from_arrays(
+                [cells["rep"].take(pa.array(other)).combine_chunks(), _hex(f[other].view(np.uint8)), pa.array(distance.astype(np.int32)), cells["copies"].take(pa.array(other)).combine_chunks()],
+                names=["doc_id", "fingerprint", "distance", "copies"],
+            )
+            offsets = pa.array(np.append(starts, len(at)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([_hex(f[at[starts]].view(np.uint8)), pa.ListArray.from_arrays(offsets, near)], names=["fp", "near"])
+        asked, upto = asked[k:], upto[k:]
+
+
+_NEAR = "array<struct<doc_id: long, fingerprint: string, distance: int, copies: long>>"
+
+
+def near_fingerprints(prints: DataFrame, queries: str, radius: int = SIMILAR, blocks: int | None = None) -> DataFrame:
+    """``fp, copies, near``: for each distinct fingerprint of a query row, all other fingerprints within ``radius``.
+
+    ``prints`` has columns ``doc_id`` and ``fingerprint`` (hex, a multiple of 64 bits); ``queries`` is a boolean SQL
+    condition on its columns.  ``near`` has one entry for each other distinct fingerprint: its least doc_id, itself,
+    the distance in bits and the number of rows that have it; ``copies`` counts the rows of ``fp`` itself.
+
+    The search covers all rows and misses none.  Every distinct fingerprint lies once in a table for each block of its
+    bits, and a query looks up all values of a block that are as near as ``block_radii`` says.  Table keys with many rows are
+    split into blocks; pairs count in the first table they meet in.
     """
-    classes = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.count("*").alias("copies"), F.max(F.coalesce(F.expr(queries), F.lit(False))).alias("query"))
+    spark = prints.sparkSession
+    classes = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.count("*").alias("copies"), F.max(F.coalesce(F.expr(queries), F.lit(False))).alias("query"), F.min("doc_id").alias("rep"))
     classes = C.stage(classes, "simhash-classes")
+    rows, asked, digits = classes.agg(F.count("*"), F.count_if("query"), F.max(F.length("fp"))).first()
+    bits = 4 * (digits or 32)
+    blocks = blocks or block_count(rows, asked, bits, radius)
+    words = [f"f{i}" for i in range(bits // 64)]
+    n_probes = sum(n for _, n in _n_probes(bits, radius, blocks))
+
+    def keyed(batch: pa.RecordBatch, keys: np.ndarray, probe: int) -> pa.RecordBatch:
+        n, m = keys.shape
+        f = np.repeat(_bytes(batch.column(0).to_pylist()).view(np.int64), m, axis=0)
+        at = pa.array(np.repeat(np.arange(n), m))
+        rest = [pa.nulls(n * m, pa.int64())] * 2 if probe else [batch.column(c).take(at) for c in (1, 3)]
+        return pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(np.full(n * m, probe, np.int32)), *(pa.array(np.ascontiguousarray(f[:, i])) for i in range(len(words))), *rest], names=["key", "probe", *words, "copies", "rep"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = table_keys(_bytes(batch.column(0).to_pylist()), radius, blocks)
-            n, m = keys.shape
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (n + 1) * m, m, dtype=np.int32)), pa.array(keys.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, "keys"])
-
-    rows = classes.mapInArrow(K.tidy(run), "fp string, copies long, query boolean, keys array<long>").select("fp", "copies", "query", F.posexplode("keys").alias("t", "key"))
-    wanted = rows.groupBy("key").agg(F.count("*").alias("cnt"), F.max("query").alias("q")).where("q and cnt > 1").select("key", "cnt")
-    cells = C.block_cells(rows.join(wanted, "key"), "key", "cnt", F.xxhash64("fp"), BLOCK)
-    near = C.map_groups(cells, "cell", functools.partial(_near_of_cell, radius=radius, blocks=blocks), "fp string, n long").groupBy("fp").agg(F.sum("n").alias("n"))
-    return classes.where("query").join(near, "fp", "left").select("fp", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_near"))
+            values = block_values(_bytes(batch.column(0).to_pylist()), blocks) if batch.num_rows else []
+            if values:
+                yield keyed(batch, np.stack([K.U64(t << 48) | v for t, v in enumerate(values)], axis=1).view(np.int64), 0)
+            queries = batch.filter(batch.column(2))
+            step = max(1, (1 << 17) // n_probes)
+            for a in range(0, queries.num_rows, step):
+                some = queries.slice(a, step)
+                yield keyed(some, probe_keys(_bytes(some.column(0).to_pylist()), radius, blocks), 1)
+
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # rows of a cell that may go on
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            key, part = table["key"].to_numpy(), table["part"].to_numpy()
+            last = np.flatnonzero((key != key[-1]) | (part != part[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield from _met(table.slice(0, cut), words, radius, blocks)
+            held = table.slice(cut).combine_chunks().to_batches()
+        if held:
+            yield from _met(pa.Table.from_batches(held), words, radius, blocks)
+
+    schema = ", ".join(["key long, probe int", *(f"{w} long" for w in words), "copies long, rep long"])
+    met = classes.mapInArrow(K.tidy(run), schema)
+    # counted on one fingerprint in 16: the sizes only say how a key's rows are dealt
+    some = met.where(F.pmod(F.xxhash64(*words), F.lit(16)) == 3).groupBy("key").agg((16 * F.count_if(F.col("probe") == 0)).alias("n0"), (16 * F.count_if(F.col("probe") == 1)).alias("n1"))
+    large = some.select(F.col("key").alias("large"), F.ceil(F.col("n0") / BLOCK).cast("int").alias("b0"), F.ceil(F.col("n1") / BLOCK).cast("int").alias("b1")).where("b0 > 1 or b1 > 1")
+    large = large.withColumns({"b0": F.greatest("b0", F.lit(1)), "b1": F.greatest("b1", F.lit(1))})
+    dealt = met.join(F.broadcast(C.stage(large, "simhash-large")), F.col("key") == F.col("large"), "left")
+    # cell (i, j) of a key holds the i-th block of its rows and the j-th of its probes
+    own = F.pmod(F.xxhash64(*words, F.lit(7)), F.when(F.col("probe") == 0, F.col("b0")).otherwise(F.col("b1"))).cast("int")
+    parts = F.when(F.col("probe") == 0, F.transform(F.sequence(F.lit(0), F.col("b1") - 1), lambda j: own * F.col("b1") + j)).otherwise(F.transform(F.sequence(F.lit(0), F.col("b0") - 1), lambda i: i * F.col("b1") + own))
+    dealt = dealt.withColumn("part", F.explode(F.coalesce(parts, F.array(F.lit(0))))).drop("large", "b0", "b1")
+    sorted_cells = dealt.repartition(C.shuffle_width(spark), "key", "part").sortWithinPartitions("key", "part", "probe")
+    found = sorted_cells.mapInArrow(K.tidy(cells), f"fp string, near {_NEAR}").groupBy("fp").agg(F.flatten(F.collect_list("near")).alias("near"))
+    return classes.where("query").select("fp", "copies").join(found, "fp", "left").withColumn("near", F.coalesce("near", F.array().cast(_NEAR)))
+
+
+def rows_within(near: str, copies: str, radius: int) -> Column:
+    """How many other rows lie within ``radius`` (at most that of the search) of a fingerprint of ``copies`` rows."""
+    return F.expr(f"aggregate({near}, {copies} - 1L, (n, x) -> n + if(x.distance <= {radius}, x.copies, 0L))")
+
+
+def count_within(prints: DataFrame, queries: str, radius: int = 6, blocks: int | None = None) -> DataFrame:
+    """``fp, n_near``: for each distinct fingerprint of a query row, how many other rows lie within ``radius``."""
+    return near_fingerprints(prints, queries, radius, blocks).select("fp", rows_within("near", "copies", radius).alias("n_near"))

@@ -158,6 +158,69 @@ def test_block_tables_miss_nothing_within_the_radius(blocks):
     assert (keys[0] == keys[1]).any(axis=1).all()
 
 
+def distances(hexes):
+    f = np.array([np.frombuffer(bytes.fromhex(x), np.uint64) for x in hexes])
+    return np.bitwise_count(f[:, None] ^ f[None]).sum(2)
+
+
+def test_similar_texts_lie_within_the_radius(spark):
+    got = queries.op2_simhash(spark, SF_ORACLE).toPandas().sort_values("doc_id").reset_index(drop=True)
+    far, sets = distances(got.fingerprint), [shingles(t) for t in table("documents", SF_ORACLE).text]
+    asked = np.flatnonzero(got.doc_id % 20 == 0)
+    assert list(got.n_similar[asked]) == list((far[asked] <= simhash.SIMILAR).sum(1) - 1)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] != sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert pairs and all(far[p] <= simhash.SIMILAR for p in pairs)
+
+
+def test_search_finds_edited_copies(spark):
+    """Recall by 5-word Jaccard, not by distance."""
+    r, texts = np.random.default_rng(0), [w for w in map(words, table("documents", SF_ORACLE).text) if 25 <= len(w) <= 3000][:300]
+    pool, rows = [w for t in texts for w in t], []
+    for i, t in enumerate(texts):
+        e = list(t)
+        for k in r.choice(len(t), max(1, round(0.015 * len(t))), False):
+            e[k] = pool[r.integers(len(pool))]
+        a, b = shingles(" ".join(t)), shingles(" ".join(e))
+        if 0.8 * len(a | b) <= len(a & b) < len(a | b):
+            rows += [(20 * i, " ".join(t)), (20 * i + 1, " ".join(e))]
+    prints = simhash.fingerprints(spark.createDataFrame(rows, "doc_id LONG, text STRING"))
+    of = {x["doc_id"]: x["fingerprint"] for x in prints.collect()}
+    near = {x["fp"]: {y["fingerprint"] for y in x["near"]} | {x["fp"]} for x in simhash.near_fingerprints(prints, "doc_id % 20 = 0").collect()}
+    found = np.mean([of[d + 1] in near[of[d]] for d, _ in rows[::2]])
+    assert len(rows) > 300 and found > 0.99, (len(rows), found)
+
+
+@pytest.mark.parametrize("blocks", [3, 8, 10, 17])
+def test_probes_miss_nothing_within_the_radius(blocks):
+    r = np.random.default_rng(1)
+    a = r.integers(0, 256, (40, 16), dtype=np.uint8)
+    b = np.unpackbits(a, axis=1)
+    for row in b:
+        row[r.permutation(128)[:16]] ^= 1
+    radii = simhash.block_radii(16, blocks)
+    apart = np.stack([np.bitwise_count(x ^ y) for x, y in zip(simhash.block_values(a, blocks), simhash.block_values(np.packbits(b, axis=1), blocks))], axis=1)
+    assert sum(radii) + blocks == 17 and (apart <= radii).any(axis=1).all()
+
+
+@pytest.mark.parametrize("radius,blocks", [(16, None), (16, 9), (6, None), (0, None)])
+def test_near_fingerprints_as_brute_force(spark, radius, blocks, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)  # split the keys of the large group
+    r = np.random.default_rng(radius)
+    base = r.integers(0, 256, (60, 16), dtype=np.uint8)
+    rows = np.unpackbits(base[np.minimum(r.integers(0, 120, 900), 59)], axis=1)
+    for row in rows:
+        row[r.permutation(128)[: r.integers(0, 12)]] ^= 1
+    hexes = [x.tobytes().hex() for x in np.packbits(rows, axis=1)]
+    hexes += hexes[:40]
+    prints = spark.createDataFrame(list(enumerate(hexes)), "doc_id LONG, fingerprint STRING")
+    far = distances(hexes)
+    for x in simhash.near_fingerprints(prints, "doc_id % 20 = 0", radius, blocks).collect():
+        i = hexes.index(x["fp"])
+        want = {hexes[j]: (hexes.index(hexes[j]), far[i, j], hexes.count(hexes[j])) for j in np.flatnonzero((far[i] <= radius) & (far[i] > 0))}
+        assert {y["fingerprint"]: (y["doc_id"], y["distance"], y["copies"]) for y in x["near"]} == want
+        assert len(x["near"]) == len(want) and x["copies"] == hexes.count(x["fp"])
+
+
 # ---------------------------------------------------------------- 3 html
 
 
