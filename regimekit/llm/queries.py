@@ -25,13 +25,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprints, and for rows whose doc_id is divisible by 20 the others that are near.
 
     ``n_near`` counts the other rows within 6 bits (hardly more than exact copies), ``n_similar`` those within 18 (5-word Jaccard of about 0.8).
+    ``similar`` names the latter: the other fingerprints, each with its least doc_id, distance and number of rows.  The rows of
+    a fingerprint, its own included, are those of the result that have it.
     """
     prints = stage(simhash.fingerprint_edits(table(spark, sf_dir, "documents")), "simhash-edits")
     near = simhash.near_fingerprints(prints, "doc_id % 20 = 0", simhash.SIMILAR)
-    near = near.select(F.col("fp").alias("fingerprint"), simhash.rows_within("near", "copies", 6).alias("n_near"), simhash.rows_within("near", "copies", simhash.SIMILAR).alias("n_similar"))
+    near = near.select(F.col("fp").alias("fingerprint"), simhash.rows_within("near", "copies", 6).alias("n_near"), simhash.rows_within("near", "copies", simhash.SIMILAR).alias("n_similar"), F.sort_array("near").alias("similar"))
     asked = prints.where("doc_id % 20 = 0").join(near, "fingerprint", "left")
-    rest = prints.where("doc_id is null or doc_id % 20 != 0").withColumns({"n_near": F.lit(None).cast("long"), "n_similar": F.lit(None).cast("long")})
-    return asked.select(*prints.columns, "n_near", "n_similar").unionByName(rest)
+    rest = prints.where("doc_id is null or doc_id % 20 != 0").withColumns({"n_near": F.lit(None).cast("long"), "n_similar": F.lit(None).cast("long"), "similar": F.lit(None).cast(simhash.NEAR)})
+    return asked.select(*prints.columns, "n_near", "n_similar", "similar").unionByName(rest)
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

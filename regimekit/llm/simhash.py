@@ -241,7 +241,7 @@ def _met(cells: pa.Table, words: list[str], radius: int, blocks: int) -> Iterato
         asked, upto = asked[k:], upto[k:]
 
 
-_NEAR = "array<struct<doc_id: long, fingerprint: string, distance: int, copies: long>>"
+NEAR = "array<struct<doc_id: long, fingerprint: string, distance: int, copies: long>>"
 
 
 def near_fingerprints(prints: DataFrame, queries: str, radius: int = SIMILAR, blocks: int | None = None) -> DataFrame:
@@ -309,8 +309,8 @@ def near_fingerprints(prints: DataFrame, queries: str, radius: int = SIMILAR, bl
     parts = F.when(F.col("probe") == 0, F.transform(F.sequence(F.lit(0), F.col("b1") - 1), lambda j: own * F.col("b1") + j)).otherwise(F.transform(F.sequence(F.lit(0), F.col("b0") - 1), lambda i: i * F.col("b1") + own))
     dealt = dealt.withColumn("part", F.explode(F.coalesce(parts, F.array(F.lit(0))))).drop("large", "b0", "b1")
     sorted_cells = dealt.repartition(C.shuffle_width(spark), "key", "part").sortWithinPartitions("key", "part", "probe")
-    found = sorted_cells.mapInArrow(K.tidy(cells), f"fp string, near {_NEAR}").groupBy("fp").agg(F.flatten(F.collect_list("near")).alias("near"))
-    return classes.where("query").select("fp", "copies").join(found, "fp", "left").withColumn("near", F.coalesce("near", F.array().cast(_NEAR)))
+    found = sorted_cells.mapInArrow(K.tidy(cells), f"fp string, near {NEAR}").groupBy("fp").agg(F.flatten(F.collect_list("near")).alias("near"))
+    return classes.where("query").select("fp", "copies").join(found, "fp", "left").withColumn("near", F.coalesce("near", F.array().cast(NEAR)))
 
 
 def rows_within(near: str, copies: str, radius: int) -> Column:

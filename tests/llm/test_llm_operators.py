@@ -172,6 +172,18 @@ def test_similar_texts_lie_within_the_radius(spark):
     assert pairs and all(far[p] <= simhash.SIMILAR for p in pairs)
 
 
+def test_matches_can_be_told_from_the_result(spark):
+    got = queries.op2_simhash(spark, SF_ORACLE).toPandas().sort_values("doc_id").reset_index(drop=True)
+    far, docs = distances(got.fingerprint), got.groupby("fingerprint").doc_id.agg(list)
+    assert got.similar[got.doc_id % 20 != 0].isna().all() and (got.n_near > 0).any()
+    for i in np.flatnonzero(got.doc_id % 20 == 0):
+        for x in got.similar[i]:
+            assert x["doc_id"] == min(docs[x["fingerprint"]]) and x["copies"] == len(docs[x["fingerprint"]])
+            assert x["distance"] == far[i, got.index[got.doc_id == x["doc_id"]][0]]
+        found = [*docs[got.fingerprint[i]], *(d for x in got.similar[i] for d in docs[x["fingerprint"]])]
+        assert sorted(found) == list(got.doc_id[far[i] <= simhash.SIMILAR])
+
+
 def test_search_finds_edited_copies(spark):
     """Recall by 5-word Jaccard, not by distance."""
     r, texts = np.random.default_rng(0), [w for w in map(words, table("documents", SF_ORACLE).text) if 25 <= len(w) <= 3000][:300]
