@@ -525,6 +525,12 @@ def test_lines_meet_every_earlier_holder_in_any_order(spark):
     assert lines_left(spark, texts) == [texts[0], f"own\n{d}", "", ""]
 
 
+def test_short_lines_and_surplus_copies_go(spark):
+    a, verse = "this line has five words", "two words\nthree\nfour\nfive five"
+    texts = [f"{a}\none\n{verse}", f"x\n{verse}\none\ntwo words", f"{a}\n{a}\nnew\n{a}"]
+    assert lines_left(spark, texts) == [texts[0], "x\none\ntwo words", "new"]
+
+
 def test_lines_as_every_pair_says(spark):
     r = np.random.default_rng(8)
     pool = [["a"], ["b"], ["a", "b"], ["c", "d", "e"], ["f"] * 4, list("ghijk"), list("lmnopqr")]
