@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimekit.llm import chat, htmltext, langid, linedup, minhash, mixing, packing, quality, simhash, vecdedup
+from regimekit.llm import chat, htmltext, langid, linedup, minhash, mixing, packing, quality, simhash, spelling, sql, suffixdedup, trie, vecdedup
 from regimekit.llm.common import stage, table
 
 
@@ -77,6 +77,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the rebuilt conversations."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings that an earlier one has."""
+    return suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with the frequent words they are variants of."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 # RE2 has no look-ahead: count the control strings instead of inserting the backslashes
 _CONTROLS = r"<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|<\|endoftext\|>|<\|system\|>|<\|user\|>|<\|assistant\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>"
 
@@ -100,6 +115,9 @@ SELECT conv_id, count(*) AS n_turns,
   (sum(upto) FILTER (role = 'assistant' OR p = n - 1))::BIGINT AS formatted_chars
 FROM s GROUP BY conv_id
 """,
+    "op11_prefix_trie": sql.OP11,
+    "op12_suffix_dedup": sql.OP12,
+    "op13_spelling_variants": sql.OP13,
 }
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -113,4 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_quality": op10_quality,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_suffix_dedup": op12_suffix_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
