@@ -42,12 +42,14 @@ def likely_in(ids: DataFrame, column: str) -> Callable[[Column], Column]:
     bits = np.zeros(FILTER_BITS >> 5, dtype=np.uint32)  # at most as many rows reach the driver
     rows = words.toPandas()
     bits[rows["w"].to_numpy()] = rows["m"].to_numpy().astype(np.uint32)
+    one = pa.ListArray.from_arrays(pa.array([0, len(bits)], pa.int32()), pa.array(bits.view(np.int32)))
+    held = ids.sparkSession.createDataFrame(pa.table({"bits": one})).scalar()  # a constant of the plan: no Python worker tests rows
 
-    def test(s: pa.Array) -> pa.Array:
-        x = s.to_numpy(zero_copy_only=False)
-        return pa.array((bits[x >> 5] >> (x & 31).astype(np.uint32)) & 1 == 1)
+    def test(c: Column) -> Column:
+        at = F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
+        return F.getbit(F.get(held, F.shiftright(at, 5)), at.bitwiseAND(F.lit(31))) == 1
 
-    return lambda c: F.arrow_udf(test, "boolean")(F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int"))
+    return test
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
