@@ -292,6 +292,8 @@ def _search_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 words.append(w)
                 own.append(n)
                 continue
+            if not words:  # a part of a leaf that no word fell in
+                continue
             if cell is None:
                 cell = Cell(words, np.array(own, dtype=np.int64))
             wait.append(w)
