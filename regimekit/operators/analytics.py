@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from regimekit.functions.scalar import palette_index
 from regimekit.functions.stats import f_pvalue
+from regimekit.operators.chunks import known, moments, with_halo, with_rows_of, without_halo
+from regimekit.session import cut_lineage
 
 N_BINS = 50
 BRACKET_ACCURACY = 1_000  # a quantile's bracket holds about 4 / BRACKET_ACCURACY of a group
@@ -36,58 +38,69 @@ def unpivot_measures(df: DataFrame, measures=None, keep=("entity", "layer", "ts"
     return df.unpivot(keep, list(measures or measures_of(df)), "measure", "value")
 
 
-def exact_quantiles(long: DataFrame, keys: list[str], q: float, value: str = "value") -> DataFrame:
-    """A4: ``keys, threshold``: the exact linear-interpolation quantile (NumPy's default) of each group.
+def bracket_counts(df: DataFrame, keys: list[str], measures: list[str], q: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """The rows around the ``q``-quantile of every measure, from two scans of the wide table: ``keys, by, measure, zone, v, c, h``.
 
-    An approximate quantile a little below and one a little above bracket the two order statistics; rows
-    below the bracket are counted, and only the rows inside it are ranked.  Nulls are ignored.
+    The first scan takes, for all measures at once, an approximate quantile a little below and one a little above,
+    which bracket the two order statistics that the exact quantile lies between.  The second counts rows: below the bracket
+    (zone 0) and above it (zone 2) without their values, inside it (zone 1) by value.  ``h`` is the quantile's place
+    among the group's known values.  Nulls and NaN are left out.
     """
-    x = long.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     eps, accuracy = 2.0 / BRACKET_ACCURACY, 2 * BRACKET_ACCURACY
-    around = F.percentile_approx("_v", F.array(F.lit(max(0.0, q - eps)), F.lit(min(1.0, q + eps))), accuracy)
-    brackets = x.groupBy(*keys).agg(around.alias("_a"), F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
-    # the next order statistic may be a little beyond a short group's bracket
-    wide = F.col("_n") < F.lit(4 * BRACKET_ACCURACY)
-    brackets = brackets.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.when(wide, F.col("_min")).otherwise(F.col("_a")[0]).alias("_lo"),
-        F.when(wide, F.col("_max")).otherwise(F.col("_a")[1]).alias("_hi"),
-        ((F.col("_n") - 1) * F.lit(float(q))).alias("_h"),
+    around = F.array(F.lit(max(0.0, q - eps)), F.lit(min(1.0, q + eps)))
+    first = []
+    for i, m in enumerate(measures):
+        v = known(F.col(m).cast("double"))
+        first += [F.percentile_approx(v, around, accuracy).alias(f"_a{i}"), F.count(v).alias(f"_n{i}"), F.min(v).alias(f"_min{i}"), F.max(v).alias(f"_max{i}")]
+    brackets = df.groupBy(*keys).agg(*first)
+    cells = []
+    for i, m in enumerate(measures):
+        # the next order statistic may be a little beyond a short group's bracket
+        wide = F.col(f"_n{i}") < F.lit(4 * BRACKET_ACCURACY)
+        lo, hi = F.when(wide, F.col(f"_min{i}")).otherwise(F.col(f"_a{i}")[0]), F.when(wide, F.col(f"_max{i}")).otherwise(F.col(f"_a{i}")[1])
+        v = known(F.col(m).cast("double"))
+        zone = F.when(v < lo, 0).when(v > hi, 2).when(v.isNotNull(), 1)
+        cells.append(F.struct(F.lit(m).alias("measure"), zone.alias("zone"), F.when(zone == 1, v).alias("v"), ((F.col(f"_n{i}") - 1) * F.lit(float(q))).alias("h")))
+    rows = with_rows_of(df.select(*keys, *[b for b in by if b not in keys], *measures), brackets, keys)
+    long = rows.select(*keys, *by, F.explode(F.array(*cells)).alias("x")).select(*keys, *by, "x.*").where("zone is not null")
+    return long.groupBy(*keys, *by, "measure", "zone", "v", "h").agg(F.count("*").alias("c"))
+
+
+def quantiles_of(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, measure, threshold`` from ``bracket_counts``: the exact linear-interpolation quantile (NumPy's default)."""
+    group = [*keys, "measure"]
+    near = counts.where("zone < 2").groupBy(*group, "zone", "v", "h").agg(F.sum("c").alias("c"))
+    placed = near.withColumn("_upto", F.sum("c").over(Window.partitionBy(*group).orderBy("zone", "v"))).where("zone = 1")
+    low, high = F.floor("h") + 1, F.ceil("h") + 1  # 1-based ranks
+    pick = placed.groupBy(*group).agg(
+        F.min(F.when(F.col("_upto") >= low, F.col("v"))).alias("_l"), F.min(F.when(F.col("_upto") >= high, F.col("v"))).alias("_u"), F.first("h").alias("_h")
     )
-    near = x.join(brackets, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]).where(F.col("_v") <= F.col("_hi"))
-    counted = near.groupBy(*keys, "_h", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_first()))
-    placed = counted.withColumn("_upto", upto).where("_v is not null")
-    low, high = F.floor("_h") + 1, F.ceil("_h") + 1  # 1-based ranks
-    pick = placed.groupBy(*keys).agg(
-        F.min(F.when(F.col("_upto") >= low, F.col("_v"))).alias("_l"), F.min(F.when(F.col("_upto") >= high, F.col("_v"))).alias("_u"), F.first("_h").alias("_h")
-    )
-    return pick.select(*keys, (F.col("_l") + (F.col("_u") - F.col("_l")) * (F.col("_h") - F.floor("_h"))).alias("threshold"))
+    return pick.select(*group, (F.col("_l") + (F.col("_u") - F.col("_l")) * (F.col("_h") - F.floor("_h"))).alias("threshold"))
 
 
-def vol_quantiles(labeled: DataFrame, q: float = 0.95, measures=None) -> DataFrame:
-    """A4: quantile per (entity, measure)."""
-    return exact_quantiles(unpivot_measures(labeled, measures, ("entity",)), ["entity", "measure"], q)
+def exact_quantiles(df: DataFrame, keys: list[str], measures: list[str], q: float) -> DataFrame:
+    """A4: ``keys, measure, threshold`` of all measures of a wide table."""
+    return quantiles_of(bracket_counts(df, keys, measures, q), keys)
 
 
-def _with_threshold(long: DataFrame, keys: list[str], q: float) -> DataFrame:
-    thresholds = exact_quantiles(long, [*keys, "measure"], q)
-    return long.join(thresholds, [*keys, "measure"])  # one row a group
+def vol_quantiles(labeled: DataFrame, q: float = 0.95, measures=None) -> DataFrame:
+    """A4: quantile per (entity, measure)."""
+    return exact_quantiles(labeled, ["entity"], list(measures or measures_of(labeled)), q)
 
 
 def vol_spikes(features: DataFrame, percentile: float = 95.0, measures=None) -> DataFrame:
     """Rows whose measure is strictly above its per-entity percentile (NULLs ignored)."""
-    long = unpivot_measures(features, measures, ("entity", "ts")).where(F.col("value").isNotNull())
-    return _with_threshold(long, ["entity"], percentile / 100.0).where(F.col("value") > F.col("threshold"))
+    long = unpivot_measures(features, measures, ("entity", "ts")).where(known("value").isNotNull())
+    thresholds = exact_quantiles(features, ["entity"], list(measures or measures_of(features)), percentile / 100.0)
+    return with_rows_of(long, thresholds, ["entity", "measure"], "inner").where(F.col("value") > F.col("threshold"))
 
 
 def series_with_spikes(features: DataFrame, percentile: float = 95.0, measures=None) -> DataFrame:
     """C4: returns and all volatilities as one long series, with a mark on the spikes of each measure."""
     measures = list(measures or measures_of(features))
     long = unpivot_measures(features, ["normalized_returns", *measures], ("entity", "ts"))
-    thresholds = exact_quantiles(long.where(F.col("measure") != "normalized_returns"), ["entity", "measure"], percentile / 100.0)
-    joined = long.join(thresholds, ["entity", "measure"], "left")
-    return joined.select("entity", "ts", "measure", "value", F.coalesce(F.col("value") > F.col("threshold"), F.lit(False)).alias("spike"))
+    joined = with_rows_of(long, exact_quantiles(features, ["entity"], measures, percentile / 100.0), ["entity", "measure"])
+    return joined.select("entity", "ts", "measure", "value", F.coalesce(known("value") > F.col("threshold"), F.lit(False)).alias("spike"))
 
 
 def regime_return_means(labeled: DataFrame) -> DataFrame:
@@ -108,8 +121,10 @@ def regime_capture(labeled: DataFrame, q: float = 0.95, measures=None) -> DataFr
     a measure does not capture gets share 0 (the reference's ``fillna(0)``).
     """
     keys = series_keys(labeled)
-    long = _with_threshold(unpivot_measures(labeled, measures), keys, q)
-    counts = long.groupBy(*keys, "measure", "state").agg(F.count_if(F.col("value") >= F.col("threshold")).alias("cnt"))
+    around = cut_lineage(bracket_counts(labeled, keys, list(measures or measures_of(labeled)), q, ("state",)), "brackets")
+    at = with_rows_of(around, quantiles_of(around, keys), [*keys, "measure"], "inner")
+    high = F.when((F.col("zone") == 2) | ((F.col("zone") == 1) & (F.col("v") >= F.col("threshold"))), F.col("c")).otherwise(0)
+    counts = at.groupBy(*keys, "measure", "state").agg(F.sum(high).alias("cnt"))
     # from here on one row per key, measure and regime
     captured = F.max("cnt").over(Window.partitionBy(*keys, "state")) > 0
     share = F.try_divide("cnt", F.sum("cnt").over(Window.partitionBy(*keys, "measure")))
@@ -123,15 +138,17 @@ def state_vol_corr(labeled: DataFrame, measures=None) -> DataFrame:
     return long.groupBy(*series_keys(labeled), "measure").agg(F.corr("value", F.col("state").cast("double")).alias("corr"))
 
 
-def vol_trend_by_state(labeled: DataFrame, measures=None, window: int = 3) -> DataFrame:
+def vol_trend_by_state(labeled: DataFrame, measures=None, window: int = 3, chunk_rows: int | None = None) -> DataFrame:
     """A11 (W5, W6): mean first difference of the 3-step moving average per regime."""
     keys = series_keys(labeled)
-    long = unpivot_measures(labeled, measures)
-    w = Window.partitionBy(*keys, "measure").orderBy("ts")
-    frame = w.rowsBetween(-(window - 1), 0)
-    ma = F.when(F.count("value").over(frame) == window, F.avg("value").over(frame))
-    trend = long.withColumn("ma", ma).withColumn("trend", F.col("ma") - F.lag("ma").over(w))
-    return trend.groupBy(*keys, "measure", "state").agg(F.avg("trend").alias("avg_trend"))
+    measures = list(measures or measures_of(labeled))
+    rows, spec = with_halo(labeled.select(*keys, "ts", "state", *measures), keys, window, chunk_rows)
+    frame = spec.rowsBetween(-(window - 1), 0)
+    for m in measures:
+        rows = rows.withColumn(f"_{m}", F.when(F.count(m).over(frame) == window, F.avg(m).over(frame)))
+    trends = without_halo(rows.select("*", *[(F.col(f"_{m}") - F.lag(f"_{m}").over(spec)).alias(f"__{m}") for m in measures]))
+    long = trends.select(*keys, "state", *[F.col(f"__{m}").alias(m) for m in measures]).unpivot([*keys, "state"], measures, "measure", "trend")
+    return long.groupBy(*keys, "measure", "state").agg(F.avg("trend").alias("avg_trend"))
 
 
 def _bins(value: Column, lo: Column, hi: Column, n: int) -> Column:
@@ -142,35 +159,26 @@ def _bins(value: Column, lo: Column, hi: Column, n: int) -> Column:
 
 def returns_histogram(features: DataFrame, n_bins: int = N_BINS) -> DataFrame:
     """Counts of normalised returns in ``n_bins`` equal bins between the entity's min and max."""
-    w = Window.partitionBy("entity")
-    x = features.select("entity", F.col("normalized_returns").alias("v")).where(F.col("v").isNotNull())
-    x = x.withColumn("lo", F.min("v").over(w)).withColumn("hi", F.max("v").over(w))
-    b = x.withColumn("bin", _bins(F.col("v"), F.col("lo"), F.col("hi"), n_bins))
-    return b.groupBy("entity", "bin").agg(
-        F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.count("*").cast("bigint").alias("cnt")
-    ).select(
-        "entity",
-        "bin",
-        (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("bin") / F.lit(float(n_bins))).alias("bin_lo"),
-        "cnt",
-    )
+    x = features.select("entity", known("normalized_returns").alias("v")).where("v is not null")
+    x = with_rows_of(x, moments(x, ["entity"], ["v"]), ["entity"])
+    counts = x.groupBy("entity", _bins(F.col("v"), F.col("v_lo"), F.col("v_hi"), n_bins).alias("bin"), "v_lo", "v_hi").agg(F.count("*").cast("bigint").alias("cnt"))
+    return counts.select("entity", "bin", (F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * F.col("bin") / F.lit(float(n_bins))).alias("bin_lo"), "cnt")
 
 
 def regime_histograms(labeled: DataFrame, measures=None, n_bins: int = N_BINS) -> DataFrame:
     """Per feature, bins over the feature's range; counts per (bin, regime)."""
     keys = series_keys(labeled)
     measures = list(measures or ["normalized_returns", *measures_of(labeled)])
-    long = unpivot_measures(labeled, measures).where(F.col("value").isNotNull())
-    w = Window.partitionBy(*keys, "measure")
-    long = long.withColumn("lo", F.min("value").over(w)).withColumn("hi", F.max("value").over(w))
-    b = long.withColumn("bin", _bins(F.col("value"), F.col("lo"), F.col("hi"), n_bins))
-    return b.groupBy(*keys, "measure", "state", "bin").agg(F.count("*").cast("bigint").alias("cnt"))
+    rows = with_rows_of(labeled.select(*keys, "state", *measures), moments(labeled, keys, measures), keys)
+    binned = rows.select(*keys, "state", *[F.when(known(m).isNotNull(), _bins(F.col(m), F.col(f"{m}_lo"), F.col(f"{m}_hi"), n_bins)).alias(m) for m in measures])
+    long = binned.unpivot([*keys, "state"], measures, "measure", "bin").where("bin is not null")
+    return long.groupBy(*keys, "measure", "state", "bin").agg(F.count("*").cast("bigint").alias("cnt"))
 
 
 def anova_returns(labeled: DataFrame, value: str = "normalized_returns") -> DataFrame:
     """One-way ANOVA of ``value`` by regime: two-level aggregate -> F, dfs, p-value."""
     keys = series_keys(labeled)
-    g = labeled.where(F.col(value).isNotNull() & F.col("state").isNotNull()).groupBy(*keys, "state").agg(
+    g = labeled.where(known(value).isNotNull() & F.col("state").isNotNull()).groupBy(*keys, "state").agg(
         F.count(value).alias("n"), F.sum(value).alias("s"), F.avg(value).alias("m"),
         (F.var_pop(value) * F.count(value)).alias("ssw_g"),
     )
@@ -236,9 +244,11 @@ def regime_series(labeled: DataFrame) -> DataFrame:
 def states_vs_vol(labeled: DataFrame, q: float = 0.95, measures=None) -> DataFrame:
     """C2 (W7): threshold line per measure from the first to the last timestamp of the entity."""
     keys = series_keys(labeled)
-    long = unpivot_measures(labeled, measures)
-    ends = long.groupBy(*keys, "measure").agg(F.min("ts").alias("ts_first"), F.max("ts").alias("ts_last"))
-    return ends.join(exact_quantiles(long, [*keys, "measure"], q), [*keys, "measure"], "left").select(*keys, "measure", "threshold", "ts_first", "ts_last")
+    measures = list(measures or measures_of(labeled))
+    ends = labeled.groupBy(*keys).agg(F.min("ts").alias("ts_first"), F.max("ts").alias("ts_last"))
+    lines = ends.select(*keys, "ts_first", "ts_last", F.explode(F.array(*[F.lit(m) for m in measures])).alias("measure"))
+    joined = with_rows_of(lines, exact_quantiles(labeled, keys, measures, q), [*keys, "measure"])
+    return joined.select(*keys, "measure", "threshold", "ts_first", "ts_last")
 
 
 def available_layers(states_long: DataFrame) -> DataFrame:

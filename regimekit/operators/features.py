@@ -1,9 +1,8 @@
 """Feature build: centring (W2), rolling volatility (W3), normalisers (W8, W9, F2, F3),
 market proxy (W4, F4), proxy attach (J1) and the final null drop (P3).
 
-All windows are partitioned by ``entity`` and ordered by ``ts``; Spark evaluates
-them over one exchange.  The per-entity partition holds one row per period,
-so its size is bounded by the calendar, not by the raw data volume.
+Rolling windows run over chunks of consecutive rows with a halo, and means, deviations and extremes
+are one merged row per entity (``operators/chunks.py``), so no task holds an entity's whole history.
 """
 
 from __future__ import annotations
@@ -12,32 +11,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regimekit.functions.scalar import safe_log_ratio
+from regimekit.operators.chunks import moments, with_halo, with_rows_of, without_halo
 from regimekit.operators.panel import date_filter, log_returns, materialize_panel
 from regimekit.params import FeatureParams
-
-
-
-def w_entity() -> Window:
-    return Window.partitionBy("entity")
-
-
-def w_ordered() -> Window:
-    return Window.partitionBy("entity").orderBy("ts")
+from regimekit.session import cut_lineage
 
 
 VOL_NORMS = ("zscore", "minmax", "log", "none")
 PROXY_MODES = ("raw", "smoothed", "returns", "zscore")
 
 
-def rolling(col: str, n: int, fn, spec: Window | None = None) -> Column:
+def rolling(col: str, n: int, fn, spec: Window) -> Column:
     """Count-gated trailing window: NULL until ``n`` non-null values are in the frame (pandas ``rolling(n)``)."""
-    frame = (spec or w_ordered()).rowsBetween(-(n - 1), 0)
+    frame = spec.rowsBetween(-(n - 1), 0)
     return F.when(F.count(col).over(frame) == n, fn(col).over(frame))
 
 
 def normalized_returns(returns: DataFrame) -> DataFrame:
     """``ret - mean(ret)`` per entity over its full history (centred, not scaled)."""
-    return returns.withColumn("normalized_returns", F.col("ret") - F.avg("ret").over(w_entity()))
+    centred = with_rows_of(returns, moments(returns, ["entity"], ["ret"]), ["entity"])
+    return centred.select(*returns.columns, (F.col("ret") - F.col("ret_mean")).alias("normalized_returns"))
 
 
 def mean_returns(returns: DataFrame) -> DataFrame:
@@ -45,20 +38,20 @@ def mean_returns(returns: DataFrame) -> DataFrame:
     return returns.groupBy("entity").agg(F.avg("ret").alias("mu"))
 
 
-def rolling_vol(returns: DataFrame, windows=(5, 10, 20)) -> DataFrame:
+def rolling_vol(returns: DataFrame, windows=(5, 10, 20), chunk_rows: int | None = None) -> DataFrame:
     """Sample std (ddof 1) of raw returns over the last ``w`` rows, NULL until ``w`` rows exist."""
-    return returns.select("*", *[rolling("ret", w, F.stddev_samp).alias(f"vol_{w}") for w in windows])
+    rows, spec = with_halo(returns, ["entity"], max(windows) - 1, chunk_rows)
+    vols = rows.select("*", *[rolling("ret", w, F.stddev_samp, spec).alias(f"vol_{w}") for w in windows])
+    return without_halo(vols).select(*returns.columns, *[f"vol_{w}" for w in windows])
 
 
-def normalize(col: str, method: str, spec: Window | None = None) -> Column:
-    """Normalise a series over the entity's full history (NULLs ignored)."""
+def normalize(col: str, method: str) -> Column:
+    """Normalise a series by the ``moments`` of its entity's full history (NULL and NaN ignored there)."""
     c = F.col(col)
-    spec = spec or w_entity()
     if method == "zscore":
-        return F.try_divide(c - F.avg(c).over(spec), F.stddev_samp(c).over(spec))
+        return F.try_divide(c - F.col(f"{col}_mean"), F.col(f"{col}_sd"))
     if method == "minmax":
-        lo, hi = F.min(c).over(spec), F.max(c).over(spec)
-        return F.try_divide(c - lo, hi - lo)
+        return F.try_divide(c - F.col(f"{col}_lo"), F.col(f"{col}_hi") - F.col(f"{col}_lo"))
     if method == "log":
         return F.log1p(c)
     if method == "none":
@@ -67,9 +60,9 @@ def normalize(col: str, method: str, spec: Window | None = None) -> Column:
 
 
 def normalize_vols(df: DataFrame, windows=(5, 10, 20), method: str = "zscore") -> DataFrame:
-    for w in windows:
-        df = df.withColumn(f"vol_{w}", normalize(f"vol_{w}", method))
-    return df
+    vols = [f"vol_{w}" for w in windows]
+    done = with_rows_of(df, moments(df, ["entity"], vols), ["entity"]) if method in ("zscore", "minmax") else df
+    return done.select(*[normalize(c, method).alias(c) if c in vols else F.col(c) for c in df.columns])
 
 
 def _in_order(series: DataFrame) -> DataFrame:
@@ -144,7 +137,11 @@ def build_features(prices: DataFrame, params: FeatureParams = FeatureParams(), p
     returns = log_returns(prices, materialize=False)
     if not params.model_proxy:
         returns = returns.where(F.col("entity") != proxy_entity)
-    feats = normalize_vols(rolling_vol(normalized_returns(returns), params.vol_windows), params.vol_windows, params.vol_norm)
+    rolled = cut_lineage(rolling_vol(returns, params.vol_windows), "rolled")  # read by the statistics and by the join with them
+    vols = [f"vol_{w}" for w in params.vol_windows]
+    stated = with_rows_of(rolled, moments(rolled, ["entity"], ["ret", *vols]), ["entity"])
+    centred = (F.col("ret") - F.col("ret_mean")).alias("normalized_returns")
+    feats = stated.select("entity", "ts", centred, *[normalize(v, params.vol_norm).alias(v) for v in vols])
     proxy = proxy_transform(prices.where(F.col("entity") == proxy_entity), params.proxy_mode, params.proxy_window)
     cols = params.feature_columns
     out = attach_proxy(feats.select("entity", "ts", *cols[:-1]), proxy)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regimekit.functions.scalar import safe_log_ratio
+from regimekit.operators.chunks import with_previous
 
 def date_filter(df: DataFrame, start: str | None = None, end: str | None = None, ts: str = "ts") -> DataFrame:
     """Inclusive ``start <= ts <= end``; either end optional.  Pushed into the parquet scan."""
@@ -29,17 +30,18 @@ def valid_price(price: str = "price") -> "F.Column":
 def with_prev(prices: DataFrame) -> DataFrame:
     """Add each entity's previous row (its timestamp and whether both prices are valid) and the log return.
 
-    The lag runs over all rows, also those without a valid price: such a row is a calendar date all the same.
+    The row before is looked for among all rows, also those without a valid price: such a row is a calendar date all the same.
     """
-    w = Window.partitionBy("entity").orderBy("ts")
-    return prices.select("entity", "ts", "price", valid_price().alias("valid")).select(
+    rows = with_previous(prices.select("entity", "ts", "price", valid_price().alias("valid")), ["entity"], ["price", "valid"])
+    both = F.col("valid") & F.col("prev.valid")
+    return rows.select(
         "entity",
         "ts",
         "price",
         "valid",
-        F.lag("ts").over(w).alias("prev_ts"),
-        F.lag("valid").over(w).alias("prev_valid"),
-        F.when(F.col("valid") & F.lag("valid").over(w), safe_log_ratio(F.col("price"), F.lag("price").over(w))).alias("ret"),
+        F.col("prev.ts").alias("prev_ts"),
+        F.col("prev.valid").alias("prev_valid"),
+        F.when(both, safe_log_ratio(F.col("price"), F.col("prev.price"))).alias("ret"),
     )
 
 

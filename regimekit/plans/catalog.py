@@ -236,10 +236,12 @@ def given_decode(spark, sf_dir, panel_name: str = MAIN_PANEL):
 
 
 def labeled(spark, sf_dir, panel_name: str = MAIN_PANEL) -> DataFrame:
-    """Features left-joined with the relabelled regime of the given model."""
+    """Features left-joined with the relabelled regime of the given model, written once for the analytics that scan it."""
+    from regimekit.session import cut_lineage
+
     feats, seq, models, states = given_decode(spark, sf_dir, panel_name)
     rel = H.relabel(states, seq, models)
-    return feats.join(rel.select("entity", "ts", "state"), ["entity", "ts"], "left")
+    return cut_lineage(feats.join(rel.select("entity", "ts", "state"), ["entity", "ts"], "left"), "labeled")
 
 
 @query("train_val_split")

@@ -103,9 +103,9 @@ def test_spikes_and_layers(spark, labeled):
 def test_bracketed_quantile_is_exact(spark, q):
     r = np.random.default_rng(3)
     groups = {"small": r.normal(size=7), "ties": r.integers(0, 4, 9000).astype(float), "wide": r.normal(size=9001) ** 3, "one": np.array([2.5])}
-    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("small", None)]
+    rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("small", None), ("wide", float("nan"))]
     df = spark.createDataFrame(rows, "g STRING, value DOUBLE")
-    got = {x["g"]: x["threshold"] for x in AN.exact_quantiles(df, ["g"], q).collect()}
+    got = {x["g"]: x["threshold"] for x in AN.exact_quantiles(df, ["g"], ["value"], q).collect()}
     assert got.keys() == groups.keys()
     for g, x in groups.items():
         assert got[g] == pytest.approx(np.quantile(x, q), rel=1e-12)
