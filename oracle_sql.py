@@ -996,3 +996,49 @@ ORACLES["manager_reuse"] = (
     "LEFT JOIN (SELECT s.entity, s.ts, m.state FROM states s JOIN rmap m ON s.entity = m.entity AND s.raw_state = m.raw_state) a ON f.entity = a.entity AND f.ts = a.ts "
     "LEFT JOIN (SELECT s.entity, s.ts, m.state FROM st1 s JOIN rmap1 m ON s.entity = m.entity AND s.raw_state = m.raw_state) b ON f.entity = b.entity AND f.ts = b.ts"
 )
+
+
+# ---------------------------------------------------------------- transition files, cache, model store, wide source, open registry
+
+
+def _steps(states: str) -> str:
+    """Shares of the steps between the states that a series visits; ``states`` has entity, l, ts, s."""
+    return (
+        "SELECT g.entity, g.l, g.i, g.j, coalesce(c.n, 0) / nullif(sum(coalesce(c.n, 0)) OVER (PARTITION BY g.entity, g.l, g.i), 0) AS p FROM "
+        f"(SELECT DISTINCT a.entity, a.l, a.s AS i, b.s AS j FROM {states} a JOIN {states} b ON a.entity = b.entity AND a.l = b.l) g LEFT JOIN "
+        f"(SELECT entity, l, s AS i, nxt AS j, count(*) AS n FROM (SELECT *, lead(s) OVER (PARTITION BY entity, l ORDER BY ts) AS nxt FROM {states}) "
+        "WHERE nxt IS NOT NULL GROUP BY ALL) c ON g.entity = c.entity AND g.l = c.l AND g.i = c.i AND g.j = c.j"
+    )
+
+
+MATERIALIZE.add("cut")
+_RAGGED = "CASE entity WHEN 'N' THEN (vol_5 >= -0.5)::INT + (vol_5 >= 0.5)::INT WHEN 'R' THEN (vol_5 >= -1)::INT + (vol_5 >= 0)::INT + (vol_5 >= 1)::INT ELSE (vol_5 >= 0)::INT END"
+ORACLES["roundtrip_transitions"] = with_ctes(
+    _pipe(MAIN)
+    + [
+        ("cut", f"SELECT entity, ts, 0 AS l, {_RAGGED} AS s FROM features UNION ALL SELECT entity, ts, 1, (normalized_returns >= 0)::INT FROM features"),
+        ("path", _steps("cut")),
+    ],
+    f"SELECT replace(entity, '^', '') AS entity, CAST(l AS INTEGER) AS layer_idx, CAST(i AS INTEGER) AS from_state, CAST(j AS INTEGER) AS to_state, {rnd('p', 'prob')} FROM path",
+)
+ORACLES["cache_refill"] = with_ctes(
+    panel_ctes(PANELS[MAIN]),
+    f"SELECT entity, ts, {rnd('price', 'price')} FROM prices WHERE (entity IN ('A', 'R') AND ts >= TIMESTAMP '1996-01-01' AND ts < TIMESTAMP '1997-07-01') "
+    "OR (entity IN ('A', 'N', 'R', '^MKT') AND ts >= TIMESTAMP '1996-10-01' AND ts < TIMESTAMP '1998-04-01')",
+)
+_THRESHOLDS = _pipe(MAIN) + [
+    ("q", "SELECT entity, quantile_cont(vol_20, 0.5) AS low, quantile_cont(vol_20, 0.9) AS high FROM features GROUP BY entity"),
+    ("cut", "SELECT f.entity, ts, 0 AS l, (vol_20 >= low)::INT + (vol_20 >= high)::INT AS s FROM features f JOIN q ON f.entity = q.entity"),
+]
+ORACLES["threshold_regimes"] = with_ctes(_THRESHOLDS, "SELECT entity, ts, s AS raw_state, s AS state, 'regime_layer0' AS layer FROM cut")
+ORACLES["threshold_transitions"] = with_ctes(
+    [*_THRESHOLDS, ("path", _steps("cut"))], f"SELECT entity, 'regime_layer0' AS layer, i AS from_state, j AS to_state, {rnd('p', 'prob')} FROM path"
+)
+ORACLES["manager_refresh"] = with_ctes(
+    _pipe(MAIN),
+    f"SELECT entity, CASE WHEN entity IN ('A', 'R') THEN 2 ELSE 1 END::BIGINT AS n_models, {rnd('quantile_cont(v, 0.5)', 'low')}, {rnd('quantile_cont(v, 0.9)', 'high')} "
+    "FROM (SELECT entity, CASE WHEN entity IN ('A', 'R') THEN 2 * vol_5 ELSE vol_5 END AS v FROM features) GROUP BY entity",
+)
+ORACLES["wide_source"] = (
+    f"SELECT 'P' || l_partkey AS entity, CAST(date_trunc('year', l_shipdate) AS TIMESTAMP) AS ts, {rnd('avg(l_extendedprice)', 'price')} FROM lineitem WHERE l_shipdate IS NOT NULL AND l_partkey IS NOT NULL GROUP BY 1, 2"
+)

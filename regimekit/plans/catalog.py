@@ -892,3 +892,89 @@ def q_split_custom(spark, sf_dir):
 
     seq = _split(H.sequences(features(spark, sf_dir), [GIVEN_FEATURE]), tenth)
     return seq.groupBy("entity", "split").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"))
+
+
+# ---------------------------------------------------------------- transition files, cache, model store, wide source, open registry
+
+
+# Regimes cut from vol_5 at these values: matrices of 2, 3 and 4 states side by side.
+RAGGED = {"A": (0.0,), "N": (-0.5, 0.5), "R": (-1.0, 0.0, 1.0), "^MKT": (0.0,)}
+
+
+@query("roundtrip_transitions")
+def q_roundtrip_transitions(spark, sf_dir):
+    """Matrices of different sizes and of two layers, written and read again."""
+    from regimekit.operators.chunks import month
+    from regimekit.sources import tables as TB
+
+    feats = features(spark, sf_dir)
+    state = F.coalesce(*[F.when(F.col("entity") == e, sum((F.col("vol_5") >= c).cast("int") for c in cuts)) for e, cuts in RAGGED.items()])
+    layers = F.array(F.struct(F.lit(0).alias("layer_idx"), state.alias("raw_state")), F.struct(F.lit(1).alias("layer_idx"), (F.col("normalized_returns") >= 0).cast("int").alias("raw_state")))
+    states = feats.select("entity", "ts", F.explode(layers).alias("x")).select("entity", "ts", "x.*")
+    steps = H.numbered(states, ["entity", "layer_idx"], month("ts"), [F.col("ts")], "t")
+    path = _folder(spark, "transitions")
+    TB.write_transition_csv(H.path_transitions(steps, ["entity", "layer_idx"]), path)
+    return rounded(TB.read_transition_csv(spark, path))
+
+
+@query("cache_refill")
+def q_cache_refill(spark, sf_dir):
+    """A cache filled for two entities, then for more entities and months; the second call adds what is missing."""
+    from regimekit.sources import panel_store as PS
+
+    def source(pairs, first, last):
+        return src.price_panel(spark, sf_dir, MAIN_PANEL, between=(first, last))
+
+    path = _folder(spark, "cache")
+    PS.refill(spark, path, PS.months_of(["A", "R"], "1996-01-01", "1997-06-01", spark), source)
+    PS.refill(spark, path, PS.months_of(["A", "N", "R", "X", "^MKT"], "1996-10-01", "1998-03-01", spark), source)
+    return rounded(PS.read(spark, path))
+
+
+@query("threshold_regimes")
+def q_threshold_regimes(spark, sf_dir):
+    """A registered model class without a hidden chain, run by the multi-entity driver."""
+    from regimekit.plans.manager import RegimeManager
+    from regimekit.plans.variants import variant
+
+    return RegimeManager(variant("threshold", feature="vol_20", cuts=(0.5, 0.9))).train_all(features(spark, sf_dir)).states
+
+
+@query("threshold_transitions")
+def q_threshold_transitions(spark, sf_dir):
+    """The transitions of that model class."""
+    from regimekit.plans.variants import variant
+
+    return rounded(variant("threshold", feature="vol_20", cuts=(0.5, 0.9)).fit(features(spark, sf_dir)).transitions)
+
+
+@query("manager_refresh")
+def q_manager_refresh(spark, sf_dir):
+    """The rows of two of four entities change; only these are fitted again, and saving twice adds nothing."""
+    from regimekit.plans.manager import RegimeManager
+    from regimekit.plans.variants import variant
+    from regimekit.session import cut_lineage
+    from regimekit.sources import tables as TB
+
+    before = cut_lineage(features(spark, sf_dir), "features")
+    after = before.withColumn("vol_5", F.when(F.col("entity").isin("A", "R"), 2 * F.col("vol_5")).otherwise(F.col("vol_5")))
+    store = _folder(spark, "store")
+    manager = RegimeManager(variant("threshold", feature="vol_5", cuts=(0.5, 0.9)), store)
+    manager.train_all(before)
+    result = manager.train_all(after)
+    TB.save_models(result.models, store, manager.model_key(after))  # a repeated save
+    valid = TB.load_models(spark, store, manager.model_key(after))
+    fitted = spark.read.parquet(f"{store}/batches").groupBy("entity").agg(F.count("*").alias("n_models"))
+    return rounded(valid.join(fitted, "entity").select("entity", "n_models", F.col("thresholds")[0].alias("low"), F.col("thresholds")[1].alias("high")))
+
+
+@query("wide_source")
+def q_wide_source(spark, sf_dir):
+    """Yearly prices of every part as a CSV with a column per part, read back long."""
+    from regimekit.sources import wide
+
+    obs = src.observations(spark, sf_dir, src.PanelSpec("lineitem", "l_partkey", "l_shipdate", "l_extendedprice", "year"))
+    bars = src.price_bars(obs.withColumn("entity", F.concat(F.lit("P"), F.col("entity").cast("string"))), "year")
+    path = _folder(spark, "wide")
+    wide.write_wide_prices(bars, path)
+    return rounded(wide.read_wide_prices(spark, path))

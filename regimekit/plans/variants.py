@@ -217,7 +217,91 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-VARIANTS = {"plain": PlainModel, "layered": LayeredModel, "hierarchical": HierarchicalModel}
+class ThresholdModel(_Variant):
+    """A model without a hidden chain: regimes cut from one feature at quantiles of each entity's history.
+
+    State 0 lies below the first threshold, state 1 from there up to the second, and so on.  Rows without the feature have no state.
+    An entity with fewer than ``min_rows`` known values is reported in ``fits`` as skipped and has neither model nor states.
+    """
+
+    name = "threshold"
+    layers = ["regime_layer0"]
+
+    def __init__(self, feature: str = "vol_20", cuts: tuple[float, ...] = (0.5, 0.9), min_rows: int = 20):
+        self.feature, self.cuts, self.min_rows = feature, tuple(sorted(cuts)), min_rows
+
+    def config(self) -> dict:
+        return {"variant": self.name, "feature": self.feature, "cuts": self.cuts, "min_rows": self.min_rows}
+
+    def run(self, features: DataFrame, models: DataFrame | None = None) -> RegimeResult:
+        from regimekit.operators.analytics import exact_quantiles
+        from regimekit.operators.chunks import known, month, with_rows_of
+
+        fits, layer = None, self.layers[0]
+        if models is None:
+            fits = features.groupBy("entity").agg(F.count(known(self.feature)).alias("n_rows"))
+            for i, q in enumerate(self.cuts):
+                cut = exact_quantiles(features, ["entity"], [self.feature], q).select("entity", F.col("threshold").alias(f"_q{i}"))
+                fits = with_rows_of(fits, cut, ["entity"])
+            fits = fits.select(
+                "entity",
+                F.lit(layer).alias("layer"),
+                F.lit(len(self.cuts) + 1).alias("k"),
+                F.when(F.col("n_rows") < self.min_rows, "skipped").otherwise("ok").alias("status"),
+                F.lit(None).cast("double").alias("score"),
+                F.array(*[F.col(f"_q{i}") for i in range(len(self.cuts))]).alias("thresholds"),
+            )
+            fits = cut_lineage(fits, "fits")
+            models = fits.where("status = 'ok'").drop("status")
+        best = models.where(F.col("layer") == layer)
+        rows = with_rows_of(features.select("entity", "ts", known(self.feature).alias("_v")), best.select("entity", "thresholds"), ["entity"], "inner")
+        state = F.when(F.col("_v").isNotNull(), F.size(F.filter("thresholds", lambda t: F.col("_v") >= t)))
+        states = rows.select("entity", "ts", state.alias("raw_state"), state.alias("state"), F.lit(layer).alias("layer"))
+        steps = H.numbered(states.where("state is not null"), ["entity"], month("ts"), [F.col("ts")], "t")
+        return RegimeResult(self.name, fits, best, states, _tag(H.path_transitions(steps), layer))
+
+
+VARIANTS: dict[str, type] = {}
+
+#: Columns that the driver, the sinks and the analytics read from a variant's tables.
+CONTRACT = {
+    "models": ("entity", "layer", "k"),
+    "states": ("entity", "ts", "layer", "raw_state", "state"),
+    "transitions": ("entity", "layer", "from_state", "to_state", "prob"),
+}
+
+
+def register_variant(cls: type) -> type:
+    """Add a model class under its ``name``; it must have ``layers``, ``config``, ``fit`` and ``decode``."""
+    lacking = [a for a in ("name", "layers", "config", "fit", "decode") if not hasattr(cls, a)]
+    if lacking or not cls.name:
+        raise TypeError(f"{cls.__name__} lacks {', '.join(lacking) or 'a name'}")
+    if VARIANTS.get(cls.name, cls) is not cls:
+        raise ValueError(f"there is a variant {cls.name!r} already")
+    VARIANTS[cls.name] = cls
+    return cls
+
+
+def variant(name: str, *args, **kwargs):
+    """A registered model class by its name."""
+    if name not in VARIANTS:
+        raise ValueError(f"no variant {name!r}; there are {sorted(VARIANTS)}")
+    return VARIANTS[name](*args, **kwargs)
+
+
+def checked(of, result: RegimeResult) -> RegimeResult:
+    """The result, if its tables have the columns of the contract, and of ``fits`` a ``status`` of each attempt."""
+    for table, columns in CONTRACT.items():
+        lacking = [c for c in columns if c not in getattr(result, table).columns]
+        if lacking:
+            raise ValueError(f"variant {of.name!r}: {table} lacks {', '.join(lacking)}")
+    if result.fits is not None and "status" not in result.fits.columns:
+        raise ValueError(f"variant {of.name!r}: fits lacks status")
+    return result
+
+
+for _cls in (PlainModel, LayeredModel, HierarchicalModel, ThresholdModel):
+    register_variant(_cls)
 
 
 def state_labeled(features: DataFrame, states: DataFrame, layers: list[str]) -> DataFrame:

@@ -57,9 +57,15 @@ def period_start(ts: Column | str, period: str) -> Column:
     return t - F.make_dt_interval(F.lit(0), inside[0], inside[1], F.date_part(F.lit("SECOND"), t))
 
 
-def observations(spark: SparkSession, sf_dir: str, spec: PanelSpec) -> DataFrame:
-    """Raw observations ``(entity, ts, value)``: only the three needed columns are scanned."""
+def observations(spark: SparkSession, sf_dir: str, spec: PanelSpec, between: tuple | None = None) -> DataFrame:
+    """Raw observations ``(entity, ts, value)``: only the three needed columns are scanned.
+
+    ``between`` (first, last month) limits the scan to these months; the bounds reach the Parquet reader.
+    """
     fact = read_table(spark, sf_dir, spec.table)
+    if between is not None:
+        first, last = (F.lit(x).cast("date") for x in between)
+        fact = fact.where((F.col(spec.ts) >= first.cast("timestamp_ntz")) & (F.col(spec.ts) < F.add_months(last, 1).cast("timestamp_ntz")))
     if spec.dim is not None:
         dim_table, fact_key, dim_key = spec.dim
         dim = read_table(spark, sf_dir, dim_table).select(dim_key, spec.entity)
@@ -89,7 +95,7 @@ def price_bars(obs: DataFrame, period: str, how: str = "avg") -> DataFrame:
     return obs.groupBy("entity", bucket).agg(agg.alias("price"))
 
 
-def price_panel(spark: SparkSession, sf_dir: str, spec: PanelSpec | str, how: str = "avg") -> DataFrame:
+def price_panel(spark: SparkSession, sf_dir: str, spec: PanelSpec | str, how: str = "avg", between: tuple | None = None) -> DataFrame:
     """Long panel of all entities plus the market proxy (the same statistic over every row of the period).
 
     One scan and one shuffle: each (entity, period) bar keeps its partial
@@ -98,7 +104,7 @@ def price_panel(spark: SparkSession, sf_dir: str, spec: PanelSpec | str, how: st
     """
     if isinstance(spec, str):
         spec = PANELS[spec]
-    obs = observations(spark, sf_dir, spec)
+    obs = observations(spark, sf_dir, spec, between)
     bucket = period_start("raw_ts", spec.period).alias("ts")
     if how == "avg":
         bars = obs.groupBy("entity", bucket).agg(F.sum("value").alias("_s"), F.count("value").alias("_c"))

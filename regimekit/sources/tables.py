@@ -1,21 +1,19 @@
-"""Result tables: writers and readers.
+"""Result tables: writers and readers of panels and state-labelled tables (S4-S6), and the names of S7-S9.
 
-All sinks are partitioned parquet (CSV where the reference's file layout is
-wanted).  Nothing is collected to the driver: per-entity folders come from
-``partitionBy``, wide transition files from a pivot on a known label list.
+All sinks are partitioned parquet, or CSV; nothing is collected to the driver.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
 import re
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regimekit.functions.scalar import sanitize_entity, state_label
+from regimekit.functions.scalar import sanitize_entity
+from regimekit.operators.chunks import with_rows_of
+from regimekit.sources.model_store import entity_keys, fingerprint, load_models, save_models  # noqa: F401 - S9
+from regimekit.sources.transitions import read_transition_csv, row_sums, write_transition_csv  # noqa: F401 - S7, S8
 
 # ---------------------------------------------------------------- S4: panel cache
 
@@ -38,10 +36,21 @@ def read_panel(spark: SparkSession, path: str, entities: list[str] | None = None
 # ---------------------------------------------------------------- S5/S6: state-labelled table
 
 
-def write_state_labeled(labeled: DataFrame, path: str, fmt: str = "parquet") -> None:
-    """One folder per (sanitised) entity, like the reference's ``csvs/<ticker>/``."""
+ROWS_PER_FILE = 1_000_000
+
+
+def write_state_labeled(labeled: DataFrame, path: str, fmt: str = "parquet", rows_per_file: int = ROWS_PER_FILE) -> None:
+    """One folder per (sanitised) entity, like the reference's ``csvs/<ticker>/``.
+
+    The rows of each entity are counted first: a large entity is dealt over as many files of about ``rows_per_file`` rows as
+    it needs, each a unit of its own in the shuffle; many small ones share a task.
+    """
     out = labeled.withColumn("entity_dir", sanitize_entity("entity"))
-    writer = out.repartition("entity_dir").write.mode("overwrite").partitionBy("entity_dir")
+    parts = out.groupBy("entity_dir").agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("_parts"))
+    out = with_rows_of(out, parts, ["entity_dir"], "inner").withColumn("_part", F.pmod(F.xxhash64("ts"), F.col("_parts")).cast("int"))
+    n = int(out.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = out.repartition(n, "entity_dir", "_part").sortWithinPartitions("entity_dir", "_part", "ts")
+    writer = dealt.drop("_parts", "_part").write.mode("overwrite").option("maxRecordsPerFile", 2 * rows_per_file).partitionBy("entity_dir")
     if fmt == "csv":
         writer.option("header", True).csv(path)
     else:
@@ -68,96 +77,3 @@ def read_state_labeled(spark: SparkSession, path: str, fmt: str = "parquet") ->
         return F.col(name).cast("int" if re.fullmatch(STATE_COLUMN, name) else "double")
 
     return raw.select(*[typed(c) for c in raw.columns])
-
-
-# ---------------------------------------------------------------- S7/S8: transition matrices
-
-
-def transitions_wide(transitions: DataFrame, max_k: int, layer_index: str = "layer_idx") -> DataFrame:
-    """Wide form of the long transition table: one row per from-state, one column per to-state.
-
-    Labels are ``VS{layer}_{i}``; the pivot uses the known label list, so it
-    is a single aggregation pass.
-    """
-    lab = transitions.select(
-        "entity",
-        layer_index,
-        state_label(F.col(layer_index), "from_state").alias("from_label"),
-        F.col("to_state"),
-        "prob",
-    )
-    return lab.groupBy("entity", layer_index, "from_label").pivot("to_state", list(range(max_k))).agg(F.first("prob"))
-
-
-def write_transition_csv(transitions: DataFrame, path: str, max_k: int) -> None:
-    """CSV per (entity, layer) folder with the reference's wide layout."""
-    wide = transitions_wide(transitions, max_k)
-    for k in range(max_k):
-        wide = wide.withColumnRenamed(str(k), f"to_{k}")
-    (
-        wide.withColumn("entity_dir", sanitize_entity("entity"))
-        .repartition("entity_dir", "layer_idx")
-        .sortWithinPartitions("from_label")
-        .write.mode("overwrite")
-        .partitionBy("entity_dir", "layer_idx")
-        .option("header", True)
-        .csv(path)
-    )
-
-
-def read_transition_csv(spark: SparkSession, path_glob: str) -> DataFrame:
-    """Read transition CSVs in the reference's layout into the long table.
-
-    Accepts files named ``{ticker}_transition_matrix_layer{l}.csv`` or the
-    older ``{ticker}_transition_matrix.csv``; row labels ``VS{l}_{i}`` or
-    ``VS{i}``; the first (unnamed) column holds the from-label.
-    """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path_glob)
-    first = raw.columns[0]
-    to_cols = [c for c in raw.columns[1:]]
-    fname = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    base = raw.withColumn("_file", fname)
-    long = base.unpivot([first, "_file"], to_cols, "to_label", "prob_s")
-    label = r"^VS(?:(\d+)_)?(\d+)$"
-    layer_from_file = F.regexp_extract("_file", r"_layer(\d+)\.csv$", 1)
-    return long.select(
-        F.regexp_extract("_file", r"^(.*)_transition_matrix", 1).alias("entity"),
-        F.coalesce(
-            F.nullif(F.regexp_extract(F.col(first), label, 1), F.lit("")),
-            F.nullif(layer_from_file, F.lit("")),
-            F.lit("0"),
-        ).cast("int").alias("layer_idx"),
-        F.regexp_extract(F.col(first), label, 2).cast("int").alias("from_state"),
-        F.regexp_extract(F.col("to_label"), label, 2).cast("int").alias("to_state"),
-        F.col("prob_s").cast("double").alias("prob"),
-    )
-
-
-def row_sums(transitions: DataFrame) -> DataFrame:
-    """Stochasticity check: sum of each row of each matrix."""
-    return transitions.groupBy("entity", "layer_idx", "from_state").agg(F.sum("prob").alias("row_sum"))
-
-
-# ---------------------------------------------------------------- S9: model table
-
-
-def fingerprint(config: object, data_tag: str = "") -> str:
-    """Stable key for (configuration, data) so saved models are only reused for the same inputs."""
-    blob = json.dumps(config, default=lambda o: getattr(o, "__dict__", str(o)), sort_keys=True) + "|" + data_tag
-    return hashlib.sha256(blob.encode()).hexdigest()[:16]
-
-
-def save_models(models: DataFrame, path: str, key: str) -> None:
-    models.withColumn("fingerprint", F.lit(key)).write.mode("append").partitionBy("fingerprint").parquet(path)
-
-
-def load_models(spark: SparkSession, path: str, key: str) -> DataFrame | None:
-    """Models saved under ``key``; ``None`` when there are none (the caller fits instead)."""
-    try:
-        df = spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None  # no table yet; any other error is the caller's to see
-        raise
-    df = df.where(F.col("fingerprint") == key)
-    return df if df.limit(1).count() else None

@@ -199,7 +199,9 @@ def test_manager_reuses_saved_models(spark, tmp_dir):
     b = again.states.orderBy("entity", "layer", "ts").select("state").collect()
     assert a == b
     other = RegimeManager(LayeredModel(["f1", "f2"], lp), store).train_all(df.where("entity = 'E0'"))
-    assert other.fits is not None  # different data -> different key -> fitted
+    assert other.fits is None  # this entity's rows are the same, whatever became of the others
+    changed = df.where("entity = 'E0'").withColumn("f1", F.col("f1") + 1)
+    assert RegimeManager(LayeredModel(["f1", "f2"], lp), store).train_all(changed).models.select("entity").distinct().count() == 1
     back = spark.read.option("header", True).csv(os.path.join(out, "transition_matrices"))
     assert back.select("layer_idx").distinct().count() == 2
     assert spark.read.parquet(os.path.join(out, "state_labeled")).columns.count("regime_layer1") == 1

@@ -13,6 +13,7 @@ TABLES = ["lineitem", "part", "orders", "events"]
 FAST = [
     "price_bars", "complete_panel", "log_returns_gappy", "features", "features_dated", "proxy_smoothed",
     "hmm_viterbi", "hmm_posterior", "hmm_init", "relabel_states", "regime_capture", "anova_returns",
+    "roundtrip_transitions", "cache_refill", "manager_refresh", "wide_source",
 ]
 
 
