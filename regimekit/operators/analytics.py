@@ -55,8 +55,9 @@ def bracket_counts(df: DataFrame, keys: list[str], measures: list[str], q: float
     brackets = df.groupBy(*keys).agg(*first)
     cells = []
     for i, m in enumerate(measures):
-        # the next order statistic may be a little beyond a short group's bracket
-        wide = F.col(f"_n{i}") < F.lit(4 * BRACKET_ACCURACY)
+        # the bracket reaches 1.5 / BRACKET_ACCURACY of the rows to both sides at least: in a short group the next
+        # order statistic may lie beyond it
+        wide = F.col(f"_n{i}") < F.lit(2 * BRACKET_ACCURACY)
         lo, hi = F.when(wide, F.col(f"_min{i}")).otherwise(F.col(f"_a{i}")[0]), F.when(wide, F.col(f"_max{i}")).otherwise(F.col(f"_a{i}")[1])
         v = known(F.col(m).cast("double"))
         zone = F.when(v < lo, 0).when(v > hi, 2).when(v.isNotNull(), 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from regimekit.functions.scalar import safe_log_ratio
 from regimekit.operators.chunks import with_previous
+from regimekit.session import cut_lineage
 
 def date_filter(df: DataFrame, start: str | None = None, end: str | None = None, ts: str = "ts") -> DataFrame:
     """Inclusive ``start <= ts <= end``; either end optional.  Pushed into the parquet scan."""
@@ -45,7 +46,7 @@ def with_prev(prices: DataFrame) -> DataFrame:
     )
 
 
-def kept_calendar(prices: DataFrame) -> DataFrame:
+def kept_calendar(prices: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Timestamps that survive the reference's wide ``shift(1)`` + ``dropna()``.
 
     A timestamp ``t`` is kept when every entity has a valid price at ``t`` and at the previous timestamp of
@@ -54,7 +55,7 @@ def kept_calendar(prices: DataFrame) -> DataFrame:
     share the same previous timestamp (then no calendar date lies between).  One aggregate keyed by ``ts``.
     """
     n = entity_count(prices)
-    stats = with_prev(prices).groupBy("ts").agg(
+    stats = (with_prev(prices) if rows is None else rows).groupBy("ts").agg(
         F.count_if("valid").alias("n_valid"),
         F.count_if(F.col("valid") & F.col("prev_valid")).alias("n_both"),
         F.min("prev_ts").alias("min_prev"),
@@ -94,19 +95,18 @@ def materialize_panel(prices: DataFrame) -> DataFrame:
     returns, proxy, size checks) reads this table instead of re-scanning and
     re-aggregating the raw fact table.
     """
-    from regimekit.session import cut_lineage
-
     return cut_lineage(prices, "panel")
 
 
 def log_returns(prices: DataFrame, materialize: bool = True) -> DataFrame:
     """W1 + P2: ``(entity, ts, ret)`` on kept timestamps only.
 
-    The kept calendar joins as it is; its measured size decides at run time how.
+    The rows with their previous ones are written once; the kept calendar joins as it is, and its measured size decides how.
     """
     if materialize:
         prices = materialize_panel(prices)
-    return with_prev(prices).join(kept_calendar(prices), "ts", "left_semi").select("entity", "ts", "ret")
+    rows = cut_lineage(with_prev(prices), "previous")  # read by the calendar rule and by the join with its dates
+    return rows.join(kept_calendar(prices, rows), "ts", "left_semi").select("entity", "ts", "ret")
 
 
 def entity_universe(*entity_sets: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def test_spikes_and_layers(spark, labeled):
 @pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.95, 1.0])
 def test_bracketed_quantile_is_exact(spark, q):
     r = np.random.default_rng(3)
-    groups = {"small": r.normal(size=7), "ties": r.integers(0, 4, 9000).astype(float), "wide": r.normal(size=9001) ** 3, "one": np.array([2.5])}
+    groups = {"small": r.normal(size=7), "ties": r.integers(0, 4, 9000).astype(float), "wide": r.normal(size=9001) ** 3, "one": np.array([2.5]), "edge": r.normal(size=2000), "odd": r.integers(0, 900, 2003).astype(float)}
     rows = [(g, float(v)) for g, x in groups.items() for v in x] + [("small", None), ("wide", float("nan"))]
     df = spark.createDataFrame(rows, "g STRING, value DOUBLE")
     got = {x["g"]: x["threshold"] for x in AN.exact_quantiles(df, ["g"], ["value"], q).collect()}
