@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regimekit.session import cut_lineage, ship_package
+from regimekit.session import _stage_tables, cut_lineage, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,7 +54,18 @@ def likely_in(ids: DataFrame, column: str) -> Callable[[Column], Column]:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back."""
-    return cut_lineage(df, f"llm-{name}")
+    out = cut_lineage(df, f"llm-{name}")
+    out._stage_path = _stage_tables(df.sparkSession)[-1]
+    return out
+
+
+def release(*stages: DataFrame) -> None:
+    """Delete tables of ``stage`` that nothing reads any more: what came from them is itself written."""
+    for df in stages:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._stage_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _stage_tables(spark).remove(df._stage_path)
 
 
 def shuffle_width(spark: SparkSession) -> int:
