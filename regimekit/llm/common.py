@@ -28,25 +28,29 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(key, ARROW_BYTES)
 
 
-FILTER_BITS = 1 << 25  # 4 MB whatever the input's size
+FILTER_BITS = 1 << 25  # at most 4 MB whatever the input's size
+BITS_PER_ID = 32
 
 
 def likely_in(ids: DataFrame, column: str) -> Callable[[Column], Column]:
     """A boolean column function that is true for all values of a long ``column`` of ``ids``, and for few others.
 
-    A bitmap of fixed size filled by a hash; when very many ids fill it up, it only lets
-    more rows pass.  An exact join follows it.
+    A bitmap filled by a hash, of 32 bits an id up to a fixed size; when very many ids fill it up, it only lets
+    more rows pass.  An exact join follows it.  The bitmap is a constant of the plan, so no Python worker tests rows.
     """
-    slot = F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("int")
+    n = 1 << 16
+    while n < min(FILTER_BITS, BITS_PER_ID * ids.count()):
+        n *= 2
+    slot = F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
     words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 5).alias("w")).agg(F.expr("bit_or(shiftleft(1L, s % 32))").alias("m"))
-    bits = np.zeros(FILTER_BITS >> 5, dtype=np.uint32)  # at most as many rows reach the driver
+    bits = np.zeros(n >> 5, dtype=np.uint32)  # at most as many rows reach the driver
     rows = words.toPandas()
     bits[rows["w"].to_numpy()] = rows["m"].to_numpy().astype(np.uint32)
     one = pa.ListArray.from_arrays(pa.array([0, len(bits)], pa.int32()), pa.array(bits.view(np.int32)))
-    held = ids.sparkSession.createDataFrame(pa.table({"bits": one})).scalar()  # a constant of the plan: no Python worker tests rows
+    held = ids.sparkSession.createDataFrame(pa.table({"bits": one})).scalar()
 
     def test(c: Column) -> Column:
-        at = F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)).cast("int")
+        at = F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
         return F.getbit(F.get(held, F.shiftright(at, 5)), at.bitwiseAND(F.lit(31))) == 1
 
     return test
