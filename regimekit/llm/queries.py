@@ -62,9 +62,9 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with its repeated blocks deleted: the text left, and how many lines went."""
+    """Every document without its aligned blocks: the text left, how many lines went, and the earlier documents it was aligned with."""
     done = linedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return done.select("doc_id", "text", F.col("__deleted_lines").cast("long").alias("deleted_lines"))
+    return done.select("doc_id", "text", F.col("__deleted_lines").cast("long").alias("deleted_lines"), F.sort_array(F.array_distinct("__blocks.earlier")).alias("aligned_with"))
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
