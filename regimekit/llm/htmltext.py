@@ -9,6 +9,7 @@ known, with fixed seeds; nothing of the input table is needed for that.
 
 from __future__ import annotations
 
+import collections
 import functools
 import html as html_lib
 import re
@@ -27,9 +28,11 @@ PATH_DIM, WORD_DIM, EXTRA_DIM, HIDDEN = 192, 48, 7, 24
 INPUT_DIM = 2 * PATH_DIM + WORD_DIM + EXTRA_DIM
 
 #: Elements of HTML by how they shape text.  Fixed values.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr math mfrac mi mn mo mover mrow ms mspace msqrt mroot mstyle msub msubsup msup mtext munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN_TEXT = frozenset("script style noscript template iframe svg math object canvas audio video textarea select".split())
+RAW_TEXT = frozenset("script style textarea iframe".split())
+HIDDEN_TEXT = frozenset("noscript template svg object canvas audio video select".split())
+NO_BLOCKS = frozenset("svg select".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
@@ -59,23 +62,47 @@ def _element(tag: str, attributes: str) -> tuple[tuple[int, ...], str | None]:
 class Block:
     __slots__ = ("parts", "path", "last", "linked", "label")
 
-    def __init__(self, path: list[tuple[int, ...]], label: str | None):
+    def __init__(self, outer: Open):
         self.parts: list[str] = []
-        self.path = [s for slots in path for s in slots]
-        self.last = path[-1] if path else ()
+        self.path, self.last, self.label = outer.path, outer.last, outer.label
         self.linked = 0
-        self.label = label
+
+
+class Open:
+    """An open element with what it inherits, so that a block costs the same at any depth."""
+
+    __slots__ = ("tag", "path", "last", "label", "linked", "hidden")
+
+    def __init__(self, tag: str = "", slots: tuple[int, ...] = (), label: str | None = None, outer: Open | None = None):
+        self.tag = tag
+        block = outer is not None and tag not in INLINE
+        self.path: int = outer.path if outer else 0  # a bit for each slot of the path
+        for s in slots if block else ():
+            self.path |= 1 << s
+        self.last = slots if block else outer.last if outer else ()
+        self.label = label if block and label is not None else outer.label if outer else None
+        self.linked = tag == "a" or (outer is not None and outer.linked)
+        self.hidden = tag in HIDDEN_TEXT or (outer is not None and outer.hidden)
+
+
+@functools.lru_cache(maxsize=20_000)
+def _slots(path: int) -> list[int]:
+    return [s for s in range(PATH_DIM) if path >> s & 1]
 
 
 def blocks(page: str) -> list[tuple[str, Block]]:
     """(text, block) of each leaf block with text, in page order.
 
     Block-level tags end a block, inline ones do not, ``br`` is white space.  An unclosed paragraph ends
-    where the next block-level tag begins; an end tag closes what is open inside its element.
+    where the next block-level tag begins; an end tag closes what is open inside its element.  Only raw text (scripts,
+    styles) runs to the end of the page if it is not closed.  Other elements without visible text end with
+    the element around them, pictures and choices also at a block-level tag, and one that is closed nowhere hides nothing.
     """
     out: list[tuple[str, Block]] = []
-    stack: list[tuple[str, tuple[int, ...], str | None]] = []
+    stack: list[Open] = [Open()]
+    opened: collections.Counter[str] = collections.Counter()
     block: Block | None = None
+    last_end: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal block
@@ -87,26 +114,34 @@ def blocks(page: str) -> list[tuple[str, Block]]:
 
     def add(raw: str) -> None:
         nonlocal block
-        if not raw:
+        inner = stack[-1]
+        if not raw or inner.hidden:
             return
         if block is None:
             if not raw.strip():
                 return
-            outer = [e for e in stack if e[0] not in INLINE]
-            block = Block([e[1] for e in outer], next((e[2] for e in reversed(outer) if e[2] is not None), None))
+            block = Block(inner)
         text = html_lib.unescape(raw) if "&" in raw else raw
         block.parts.append(text)
-        if any(e[0] == "a" for e in stack):
+        if inner.linked:
             block.linked += len(text)
 
-    def close(tags: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
+    def close(tags: tuple[str, ...] | frozenset[str], within: tuple[str, ...] = ()) -> None:
+        if not any(opened[t] for t in tags):
+            return
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag in tags:
+                opened.subtract(e.tag for e in stack[k:])
                 del stack[k:]
                 return
-            if stack[k][0] in within:
+            if stack[k].tag in within:
                 return
 
+    def closed_later(tag: str, at: int) -> bool:
+        if tag not in last_end:
+            last_end[tag] = max((m.start() for m in re.finditer(rf"</{tag}\b", page, re.I)), default=-1)
+        return last_end[tag] >= at
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -122,26 +157,28 @@ def blocks(page: str) -> list[tuple[str, Block]]:
         if m[1] or m[4]:
             if tag not in INLINE:
                 flush()
-            if any(e[0] == tag for e in stack):
-                close((tag,))
+            close((tag,))
+            continue
+        attributes = m[3] or m[6] or ""
+        if tag in RAW_TEXT:
+            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at) if closed_later(tag, at) else None
+            at = end.end() if end else n
             continue
-        if tag in HIDDEN_TEXT:
-            attributes = m[3] or m[6] or ""
-            if tag in ("script", "style", "textarea", "noscript", "template", "iframe") or not attributes.rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+        if tag in HIDDEN_TEXT and (attributes.rstrip().endswith("/") or not closed_later(tag, at)):
             continue
         if tag == "br":
             add(" ")
             continue
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in HIDDEN_TEXT:
             flush()
             if tag in CLOSES_P:
+                close(NO_BLOCKS)
                 close(("p",), ("td", "th", "li", "div", "article", "section", "body"))
             if tag in SAME_LEVEL:
                 close(SAME_LEVEL[tag], ("ul", "ol", "dl", "table"))
         if tag not in VOID:
-            stack.append((tag, *_element(tag, m[3] or m[6] or "")))
+            stack.append(Open(tag, *_element(tag, attributes), stack[-1]))
+            opened[tag] += 1
     flush()
     return out
 
@@ -154,7 +191,7 @@ def vectors(pages: list[list[tuple[str, Block]]]) -> np.ndarray:
     if not n:
         return x
     for r, (_, b) in enumerate(flat):
-        x[r, b.path] = 1.0
+        x[r, _slots(b.path)] = 1.0
         x[r, [PATH_DIM + s for s in b.last]] = 1.0
     texts = pa.array([t for t, _ in flat], type=pa.large_string())
     words = np.zeros((n, WORD_DIM))

@@ -284,9 +284,72 @@ def test_blocks_of_broken_markup():
     assert htmltext.blocks("") == [] and [t for t, _ in htmltext.blocks("x < y <")] == ["x < y <"]
 
 
+@pytest.mark.parametrize("tag", ["select", "svg", "object", "canvas", "noscript"])
+def test_an_unclosed_element_hides_no_article(tag):
+    body = "<article><p>first part</p>{}<p>second part</p></article><p>third part</p>"
+    texts = lambda inner: [t for t, _ in htmltext.blocks(body.format(inner))]
+    want = ["first part", "second part", "third part"]
+    assert texts(f"<{tag}>")[0] == "first part" and texts(f"<{tag}>")[-2:] == want[1:]  # closed nowhere
+    assert texts(f"<{tag}>a<{tag}>b</{tag}>c</{tag}>") == want  # nested
+    assert texts(f"<div><{tag}>a</div>") in (want, [want[0], "a", *want[1:]])
+    assert texts(f"<div><{tag}>a</div><{tag}>b</{tag}>") == want  # ends with the element around it
+
+
+def test_math_is_text_and_deep_pages_are_cheap():
+    assert [t for t, _ in htmltext.blocks("<p>so <math><mi>x</mi></math> it is</p>")] == ["so x it is"]
+    page = "".join(f"<div class=c{k % 50}>text {k}" for k in range(20_000))
+    got = htmltext.blocks(page)
+    assert len(got) == 20_000 and len(htmltext._slots(got[-1][1].path)) <= 51
+    assert htmltext.vectors([got[:10]]).shape == (10, htmltext.INPUT_DIM)
+    assert len(htmltext.blocks("<span>" * 20_000 + "<p>a</p>" * 2_000)) == 2_000
+
+
 # ---------------------------------------------------------------- 4 language
 
 
+def predictions(spark, samples, texts):
+    rows = langid.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id LONG, text STRING"), samples).orderBy("doc_id").collect()
+    return [r["lang_pred"] for r in rows]
+
+
+def invented(r, letters, words, n):
+    """n texts of 30 of the given words' number, made of the given letters."""
+    vocabulary = ["".join(r.choice(letters, int(r.integers(2, 7)))) for _ in range(words)]
+    return [" ".join(r.choice(vocabulary, 30)) for _ in range(n)]
+
+
+def test_every_letter_of_the_samples_counts(spark):
+    """Two languages without a common letter, and more letters than get a symbol of their own."""
+    r = np.random.default_rng(3)
+    han = [chr(0x4E00 + k) for k in range(9_000)]
+    made = {"aa": invented(r, han[:3000], 2000, 60), "en": invented(r, list("etaoinshrdlu"), 500, 60), "zz": invented(r, han[3000:6000], 2000, 60)}
+    samples = tuple((k, "\n".join(v)) for k, v in sorted(made.items()))
+    p = langid.Parser(samples)
+    flat, first = p.classes(*kernels.buffers(pa.array(["".join(han[:2000]), "".join(han[8000:])])))
+    assert len({tuple(flat[k : k + p.digits]) for k in range(0, first[1], p.digits) if flat[k] != 1}) > 1000
+    for name, letters in (("aa", han[:3000]), ("zz", han[3000:6000])):
+        assert predictions(spark, samples, invented(r, letters, 2000, 50)).count(name) == 50
+
+
+@pytest.mark.parametrize("words", [20, 60, 150])
+def test_a_small_sample_is_not_at_a_loss(spark, words):
+    r = np.random.default_rng(words)
+    big, small = (["".join(r.choice(list("abcdefghijklmnopqrst"), int(r.integers(3, 8)))) + e for _ in range(300)] for e in ("u", "v"))
+    text = lambda own, n: " ".join(r.choice(own, n))
+    samples = (("big", text(big, 4000)), ("small", text(small, words)))
+    assert predictions(spark, samples, [text(small, 60) for _ in range(100)]).count("small") >= 95
+    assert predictions(spark, samples, [text(big, 60) for _ in range(100)]).count("big") >= 95
+
+
+def test_labels_beyond_the_bound(spark):
+    rows = [(k, f"l{k % 300:03d}", f"word{chr(97 + k % 26) * 3} of the label {k % 300}") for k in range(600)] + [(1000, "l299", "word")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, lang STRING, text STRING")
+    samples = langid.learn(docs, max_sample=4_000)
+    assert len(samples) == langid.MAX_LANGUAGES and samples[-1][0] == "l299" and samples[-2][0] == "l254"
+    got = langid.identify(docs, samples).collect()
+    assert len(got) == 601 and {r["lang_pred"] for r in got} <= {k for k, _ in samples}
+
+
 def test_languages_of_held_out_documents(spark):
     got = queries.op4_language_id(spark, SF_ORACLE).toPandas().sort_values("doc_id").reset_index(drop=True)
     docs = table("documents", SF_ORACLE)
