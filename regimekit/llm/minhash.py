@@ -7,11 +7,12 @@
    probability of at most ``MISS``.  Values that only one class has are skipped; a class left
    with fewer than ``t`` postings has no partner; of the others only the prefix, the ``k - t + 1``
    rarest coordinates, is merged, since two classes with ``t`` matches share one of those.
-3. Collisions are counted twice.  First each class is held against the heaviest class of its
-   lists (a linear number of pairs), which joins the bulk of large groups of near copies.
-   Then, in lists that still hold several components, pairs of different components are counted
-   inside the tasks, block by block, on ``k2`` one-byte coordinates; only pairs above the match
-   threshold leave the task.
+3. The pairs that meet in a prefix have their collisions counted over all ``k`` posted coordinates, the
+   skipped ones included, and go on with ``t`` or more.  First each class is held against the
+   heaviest class of its lists (a linear number of pairs), which joins the bulk of large groups of
+   near copies.  Then, in lists that still hold several components, pairs of different components
+   are counted inside the tasks, block by block; those with ``t`` collisions are counted once
+   more on ``k2`` one-byte coordinates, and only pairs above both thresholds leave the task.
 4. Every pair is confirmed on the full shingle sets, and confirmed pairs give the components.
 """
 
@@ -114,8 +115,13 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(K.tidy(run), "doc_id long, n_shingles long, node binary, keys array<long>")
 
 
-def shingle_sets(docs: DataFrame, shingle: int, k2: int) -> DataFrame:
-    """``node, shingles`` (sorted, distinct) and ``sig`` (k2 one-byte coordinates) of (doc_id, text) rows."""
+def _posted(values: np.ndarray) -> np.ndarray:
+    """The posted coordinates (k x documents) as rows of k four-byte values: equal postings stay equal."""
+    return np.ascontiguousarray((K.mix64(values) >> K.U64(32)).astype(np.uint32).T).view(np.uint8)
+
+
+def shingle_sets(docs: DataFrame, shingle: int, k: int, k2: int) -> DataFrame:
+    """``node, shingles`` (sorted, distinct), ``posts`` (k four-byte posted coordinates) and ``sig`` (k2 one-byte coordinates) of (doc_id, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,21 +129,26 @@ def shingle_sets(docs: DataFrame, shingle: int, k2: int) -> DataFrame:
                 g, gf = K.ngrams(*K.words(raw, offsets), shingle, whole_if_short=True)
                 s, first = _distinct(g, gf)
                 sig = (K.mix64(_signature(s, first, k2, 41, np.uint32).astype(K.U64)) & K.U64(255)).astype(np.uint8).T
-                yield pa.RecordBatch.from_arrays([_binary(_nodes(s, first)), _lists(s, first), _binary(sig)], names=["node", "shingles", "sig"])
+                posts = _posted(_signature(s, first, k, 21, np.uint64))
+                yield pa.RecordBatch.from_arrays([_binary(_nodes(s, first)), _lists(s, first), _binary(posts), _binary(sig)], names=["node", "shingles", "posts", "sig"])
 
-    return docs.select("text").mapInArrow(K.tidy(run), "node binary, shingles array<long>, sig binary")
+    return docs.select("text").mapInArrow(K.tidy(run), "node binary, shingles array<long>, posts binary, sig binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs ``u, v`` whose full sets have 100 * intersection >= percent * union."""
-    a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"))
-    b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"))
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int, threshold: int = 0) -> DataFrame:
+    """Those of the pairs ``u, v`` that collide in ``threshold`` or more posted coordinates and whose
+    full sets have 100 * intersection >= percent * union."""
+    a = sets.select(F.col("node").alias("u"), F.col("shingles").alias("su"), F.col("posts").alias("pu"))
+    b = sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv"), F.col("posts").alias("pv"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (a_val, a_off), (b_val, b_off) = (_list_parts(batch.column(c)) for c in (2, 3))
             keep = np.zeros(batch.num_rows, dtype=bool)
-            for r in range(batch.num_rows):
+            if not batch.num_rows:
+                continue
+            enough = (_rows(batch.column(4)).view(np.uint32) == _rows(batch.column(5)).view(np.uint32)).sum(axis=1) >= threshold
+            for r in np.flatnonzero(enough).tolist():
                 x, y = a_val[a_off[r] : a_off[r + 1]], b_val[b_off[r] : b_off[r + 1]]
                 small, large = (x, y) if len(x) <= len(y) else (y, x)
                 if 100 * len(small) < percent * len(large) or not len(small):
@@ -148,7 +159,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[r] = 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep))
 
-    return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv").mapInArrow(K.tidy(run), "u binary, v binary")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "su", "sv", "pu", "pv").mapInArrow(K.tidy(run), "u binary, v binary")
 
 
 def _list_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -156,17 +167,17 @@ def _list_parts(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return values, col.offsets.to_numpy()
 
 
-def _cell_pairs(threshold: int) -> functools.partial:
-    return functools.partial(_pairs_of_cell, threshold=threshold)
+def _cell_pairs(threshold: int, threshold2: int) -> functools.partial:
+    return functools.partial(_pairs_of_cell, threshold=threshold, threshold2=threshold2)
 
 
-def _rows(col: pa.ChunkedArray) -> np.ndarray:
+def _rows(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Equal-length binary values as an array of byte rows."""
     return np.frombuffer(b"".join(col.to_pylist()), dtype=np.uint8).reshape(len(col), -1)
 
 
-def _pairs_of_cell(cell: pa.Table, threshold: int) -> pa.RecordBatch | None:
-    """Pairs of different components with at least ``threshold`` equal bytes, in their first common list only."""
+def _pairs_of_cell(cell: pa.Table, threshold: int, threshold2: int) -> pa.RecordBatch | None:
+    """Pairs of different components with ``threshold`` collisions of posted coordinates and ``threshold2`` equal bytes, in their first common list only."""
     n = cell.num_rows
     if n < 2:
         return None
@@ -174,7 +185,7 @@ def _pairs_of_cell(cell: pa.Table, threshold: int) -> pa.RecordBatch | None:
     cross = cell["cross"][0].as_py()
     block = cell["b"].to_numpy()
     root = np.unique(np.array(cell["root"].to_pylist(), dtype=object), return_inverse=True)[1]
-    sig = _rows(cell["sig"])
+    posts, sig = _rows(cell["posts"]).view(np.uint32), _rows(cell["sig"])
     lists = [frozenset(x) for x in cell["prefix"].to_pylist()]
     node = cell["node"].to_pylist()
     us, vs = [], []
@@ -182,7 +193,8 @@ def _pairs_of_cell(cell: pa.Table, threshold: int) -> pa.RecordBatch | None:
         j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & ((block[i + 1 :] != block[i]) if cross else True))
         if not len(j):
             continue
-        j = j[(sig[j] == sig[i]).sum(axis=1) >= threshold]
+        j = j[(posts[j] == posts[i]).sum(axis=1) >= threshold]
+        j = j[(sig[j] == sig[i]).sum(axis=1) >= threshold2]
         for x in j.tolist():
             if min(lists[i] & lists[x]) == key and node[i] != node[x]:
                 us.append(node[i])
@@ -225,34 +237,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     wanted = prefixes.select(F.col("rep").alias("_rep")).distinct()
     texts = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("text"))
     texts = texts.where(C.likely_in(wanted, "_rep")(F.col("_id")))
-    sets = shingle_sets(texts.join(wanted, F.col("_id") == F.col("_rep"), "left_semi"), shingle, k2)
+    sets = shingle_sets(texts.join(wanted, F.col("_id") == F.col("_rep"), "left_semi"), shingle, k, k2)
     sets = C.stage(sets.dropDuplicates(["node"]), "mh-sets")
 
     # each class against the heaviest class of each of its lists
     rows = prefixes.select("node", "weight", F.explode("prefix").alias("p")).select("node", "weight", "p.key")
     centre = rows.groupBy("key").agg(F.max(F.struct("weight", "node")).getField("node").alias("centre"))
     star = rows.join(C.dealt_again(centre, "key", "listed"), F.col("key") == F.col("listed")).where("node != centre").select(F.greatest("node", "centre").alias("u"), F.least("node", "centre").alias("v")).distinct()
-    links = C.stage(confirmed(star, sets, percent), "mh-links")
+    links = C.stage(confirmed(star, sets, percent, t), "mh-links")
     roots = C.components(links, "mh-star")
 
     # what is left: pairs of different components in the same list
     labelled = prefixes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("prefix.key").alias("prefix"))
-    labelled = C.stage(labelled.join(sets.select("node", "sig"), "node"), "mh-labelled")
+    labelled = C.stage(labelled.join(sets.select("node", "posts", "sig"), "node"), "mh-labelled")
     flat = labelled.select(F.explode("prefix").alias("key"), "node", "root")
     mixed = flat.groupBy("key").agg(F.count("*").alias("cnt"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key", "cnt")
     members = labelled.withColumn("key", F.explode("prefix")).join(C.dealt_again(mixed, "key", "listed"), F.col("key") == F.col("listed")).drop("listed")
     cells = C.block_cells(members, "key", "cnt", F.xxhash64("node"), BLOCK)
-    rest = C.map_groups(cells, "cell", _cell_pairs(t2), "u binary, v binary")
-    more = C.stage(confirmed(rest, sets, percent), "mh-more")
+    rest = C.map_groups(cells, "cell", _cell_pairs(t, t2), "u binary, v binary")
+    more = C.stage(confirmed(rest, sets, percent, t), "mh-more")
     joined = roots.where("node != root").select(F.col("node").alias("u"), F.col("root").alias("v"))
     roots = C.components(joined.unionByName(more), "mh-all")
 
     least = reps.select("node", "rep").join(roots, "node").groupBy("root").agg(F.min("rep").alias("component"))
-    grouped = roots.join(least, "root").select("node", "component")
+    grouped = roots.join(C.dealt_again(least, "root", "r"), F.col("root") == F.col("r")).select("node", "component")
     own = reps.select("node", "rep").join(grouped, "node", "left").select("node", F.coalesce("component", "rep").alias("component"))
     return (
         prints.select("doc_id", "n_shingles", "node")
-        .join(own, "node", "left")
+        .join(C.dealt_again(own, "node", "own"), F.col("node") == F.col("own"), "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )

@@ -24,6 +24,7 @@ from regimekit.llm import common as C
 from regimekit.llm import kernels as K
 
 RESERVE = 256  # expected documents of a source that wait at the root (at most half of them)
+ALIKE = 4096  # numbers of equal rows made at once
 FAN_IN = 32  # fractional documents that meet in one task group of the upper levels
 
 
@@ -157,9 +158,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     """``doc_id, source, size, source_size, target, taken``: how many of each document's words the mix takes.
 
     ``size`` is the number of words, ``taken`` a whole multiple of it, at most ``ceil(most)`` times.  Reruns agree:
-    draws depend on doc_id, size and seed only.  A null text has size 0 and is not taken; a
-    null source is a source of its own, ordered last.  Repeated rows are separate documents with
-    the same draws.  Rows with a null doc_id take part.  An empty table gives no rows.  Other
+    draws depend on doc_id, size, source and seed only.  A null text has size 0 and is not taken; a
+    null source is a source of its own, ordered last.  Rows of equal doc_id, size and source are numbered
+    by their count and are separate documents with draws and buckets of their own.  Rows with a null doc_id take part.  An empty table gives no rows.  Other
     columns are not read.
     """
     spark = docs.sparkSession
@@ -170,13 +171,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     targets = C.stage(source_targets(sources.select("source", "source_size"), weights, share, most), "mix-targets")
     targets = targets.join(sources.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), "source_size", "target", "n")
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
+    # rows that agree in all three columns can't be told apart, so their count says all: no window holds them, and their numbers come in blocks
+    alike = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n_alike"))
+    blocks = alike.withColumn("block", F.explode(F.expr(f"sequence(0L, (n_alike - 1) div {ALIKE})")))
+    numbered = blocks.withColumn("nth", F.explode(F.expr(f"sequence(block * {ALIKE}, least((block + 1) * {ALIKE}, n_alike) - 1)"))).select("doc_id", "source", "size", "nth")
     rows = (
-        sized.join(targets, F.col("source").eqNullSafe(F.col("s")))
+        numbered.join(targets, F.col("source").eqNullSafe(F.col("s")))
         .withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(0.0))
         .withColumn("whole", F.floor("rate"))
         .withColumn("p", F.col("rate") - F.col("whole"))
-        .withColumn("tag", F.xxhash64("doc_id", "size", "source"))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.ceil(F.col("n") / bucket_rows)))
+        .withColumn("tag", F.xxhash64("doc_id", "size", "source", "nth"))
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "nth", F.lit(seed)), F.ceil(F.col("n") / bucket_rows)))
         .withColumn("open", (F.col("p") > 0) & (F.col("p") < 1))
         .withColumn("reserve", F.pmod(F.xxhash64("tag", F.lit(seed)), F.lit(1 << 40)) < F.least(F.lit(0.5), F.lit(float(RESERVE)) / F.col("n")) * float(1 << 40))
         .select(*[x.split()[0] for x in _ROW.split(", ")])

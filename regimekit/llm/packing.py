@@ -235,7 +235,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, text: str =
     cut = C.stage(pieces(docs, tokenizer_path, capacity, text, doc_id, end_id), "pack-pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     segments, _ = plan(counts, capacity)
-    ranked = C.number_in_group(cut, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], F.xxhash64("doc_id", "piece"), C.shuffle_width(spark), "rank")
+    ranked = C.number_in_group(cut, ["length"], [F.col("doc_id"), F.col("piece"), F.col("ids_crc32")], F.xxhash64("doc_id", "piece", "ids_crc32"), C.shuffle_width(spark), "rank")
     places = spark.createDataFrame(segments or [(-1, 0, 0, 0, 1, 0)], "s_length long, r0 long, r1 long, b0 long, per long, at long")
     # the plan has a few segments for each length, so its size is bounded by the capacity alone
     joined = ranked.join(F.broadcast(places), (F.col("length") == F.col("s_length")) & (F.col("rank") >= F.col("r0")) & (F.col("rank") < F.col("r1")))

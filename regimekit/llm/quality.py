@@ -2,15 +2,17 @@
 
 The target model counts the n-grams of a bounded sample of documents labelled good, the raw model
 those of all documents.  A document's log weight is the sum over its n-grams of
-log p_target - log p_raw.  Keys are log weight + Gumbel noise, and the k documents with the
+log p_target - log p_raw, tempered for their dependence (below).  Keys are log weight + Gumbel noise, and the k documents with the
 largest keys are a sample without replacement in proportion to the weights.  k is the number of
 documents that the two models do not rule out as target text.
 
 n-grams: three bytes; words and pairs of adjacent words, where a word that repeats the one
 before counts as one fixed pair, and runs of three to five equal words.  They are hashed to a fixed
-number of buckets.  A text's log weight is that of ``EVIDENCE`` of its n-grams on average (of all of
-a shorter text): neighbouring n-grams tell much the same, and a small bias of the sample's mix of
-topics would otherwise grow with the length of the text.
+number of buckets.  The n-grams of a text are not independent draws: neighbours overlap and one text has one
+topic, so the sum of n log ratios carries the evidence of n / (1 + (n - 1) * dependence) independent ones (the
+design effect of n draws that correlate by ``dependence``).  A text's log weight is therefore the sum over its
+n-grams of log p_target - log p_raw, divided by 1 + (n - 1) * dependence, by the same rule at every length; with a
+dependence of 0 it is the plain sum.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from regimekit.llm import kernels as K
 BYTE_BITS, WORD_BITS = 16, 14
 BUCKETS = (1 << BYTE_BITS) + (1 << WORD_BITS)
 RUNS = 3
-EVIDENCE = 32  # n-grams of a text that count as independent
+DEPENDENCE = 1 / 32  # correlation of the log ratios of a text's n-grams
 SCALE = 1 << 16  # log ratios are whole multiples of 1 / SCALE, so sums do not depend on their order
 
 
@@ -99,7 +101,7 @@ def log_ratios(counts: list[tuple[int, int, int]]) -> np.ndarray:
     return np.round(out * SCALE).astype(np.int64)
 
 
-def score_texts(texts: pa.Array, ratios: np.ndarray) -> np.ndarray:
+def score_texts(texts: pa.Array, ratios: np.ndarray, dependence: float = DEPENDENCE) -> np.ndarray:
     """Log importance weight of each text; 0 for a text without n-grams."""
     parts = [np.zeros(0)]
     for _, _, raw, offsets in K.chunks(texts):
@@ -107,27 +109,27 @@ def score_texts(texts: pa.Array, ratios: np.ndarray) -> np.ndarray:
         for x, first in features(raw, offsets):
             total += K.segment(np.add, ratios[x], first, 0)
             n += np.diff(first)
-        parts.append(total / SCALE * np.minimum(1.0, EVIDENCE / np.maximum(n, 1)))
+        parts.append(total / SCALE / (1.0 + np.maximum(n - 1, 0) * dependence))
     return np.concatenate(parts)
 
 
 class Model:
     """Fitted ratios, as a column function; small (one number per bucket) and equal in every task."""
 
-    def __init__(self, ratios: np.ndarray, share: float):
-        self.ratios, self.share = ratios, share
+    def __init__(self, ratios: np.ndarray, share: float, dependence: float = DEPENDENCE):
+        self.ratios, self.share, self.dependence = ratios, share, dependence
 
     def score(self, text):
-        ratios = self.ratios
+        ratios, dependence = self.ratios, self.dependence
 
         @F.arrow_udf("double")
         def log_weight(t: pa.Array) -> pa.Array:
-            return pa.array(score_texts(t, ratios))
+            return pa.array(score_texts(t, ratios, dependence))
 
         return log_weight(text)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_target: int = 20_000, seed: int = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", max_target: int = 20_000, seed: int = 5, dependence: float = DEPENDENCE) -> Model:
     """Fit on all of ``docs`` (raw) and on at most ``max_target`` documents with quality 1 (target).
 
     The sample is the ``max_target`` good labels least by a hash of doc_id.  ``share`` is the share of
@@ -142,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     counts = [tuple(r) for r in count_ngrams(rows).collect()]  # at most BUCKETS rows
     if not good:
         counts = [(b, raw, raw) for b, raw, _ in counts]
-    return Model(log_ratios(counts), good / n if n and good else 1.0)
+    return Model(log_ratios(counts), good / n if n and good else 1.0, dependence)
 
 
 def gumbel(doc_id, seed: int):
@@ -151,7 +153,7 @@ def gumbel(doc_id, seed: int):
     return -F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", min_posterior: float = 0.005, max_target: int = 20_000, seed: int = 5) -> tuple[DataFrame, Model, float | None]:
+def resample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", min_posterior: float = 0.005, max_target: int = 20_000, seed: int = 5, dependence: float = DEPENDENCE) -> tuple[DataFrame, Model, float | None]:
     """``doc_id, log_weight, key, kept`` of every row, the model, and the least key kept (None: none).
 
     k = number of rows whose posterior of being target text, ``share * exp(log_weight)``, is ``min_posterior``
@@ -161,7 +163,7 @@ def resample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
     columns are not read.
     """
     C.prepare(docs.sparkSession)
-    model = fit(docs, labels, text, doc_id, max_target, seed)
+    model = fit(docs, labels, text, doc_id, max_target, seed, dependence)
     scored = docs.select(F.col(doc_id).cast("long").alias("doc_id"), model.score(F.col(text).cast("string")).alias("log_weight"))
     scored = C.stage(scored.withColumn("key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)), "quality-scores")
     floor = float(np.log(min_posterior) - np.log(model.share))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regimekit.llm import chat, htmltext, langid, linedup, minhash, mixing, packing, quality, simhash, spelling, sql, suffixdedup, trie, vecdedup
-from regimekit.llm.common import stage, table
+from regimekit.llm.common import dealt_again, stage, table
 
 
 def _tokenizer(name: str) -> str:
@@ -31,7 +31,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = stage(simhash.fingerprint_edits(table(spark, sf_dir, "documents")), "simhash-edits")
     near = simhash.near_fingerprints(prints, "doc_id % 20 = 0", simhash.SIMILAR)
     near = near.select(F.col("fp").alias("fingerprint"), simhash.rows_within("near", "copies", 6).alias("n_near"), simhash.rows_within("near", "copies", simhash.SIMILAR).alias("n_similar"), F.sort_array("near").alias("similar"))
-    asked = prints.where("doc_id % 20 = 0").join(near, "fingerprint", "left")
+    asked = prints.where("doc_id % 20 = 0").join(dealt_again(near, "fingerprint", "found"), F.col("fingerprint") == F.col("found"), "left")
     rest = prints.where("doc_id is null or doc_id % 20 != 0").withColumns({"n_near": F.lit(None).cast("long"), "n_similar": F.lit(None).cast("long"), "similar": F.lit(None).cast(simhash.NEAR)})
     return asked.select(*prints.columns, "n_near", "n_similar", "similar").unionByName(rest)
 

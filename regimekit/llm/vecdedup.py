@@ -142,7 +142,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     hashed = classes.select("node", "copies", "vec").mapInArrow(keyed, "node binary, copies long, vec array<double>, keys array<long>")
     buckets = hashed.select("node", "copies", F.col("vec").cast("array<float>" if dict(vectors.dtypes)[embedding] == "array<float>" else "array<double>").alias("vec"), F.posexplode("keys").alias("t", "key"))
     counts = hashed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("cnt")).where("cnt > 1")
-    cells = C.block_cells(buckets.join(counts, "key"), "key", "cnt", F.xxhash64("node"), BLOCK)
+    cells = C.block_cells(buckets.join(C.dealt_again(counts, "key", "listed"), F.col("key") == F.col("listed")).drop("listed"), "key", "cnt", F.xxhash64("node"), BLOCK)
     found = C.map_groups(cells, "cell", functools.partial(_cell_links, threshold=threshold, bits=bits, tables=tables, seed=seed), "u binary, v binary, n long")
     found = C.stage(found.groupBy("u", "v").agg(F.sum("n").alias("n")), "vec-links")
     links = found.where("v is null").select(F.col("u").alias("node"), "n")
@@ -151,12 +151,12 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     of_class = (
         classes.select("node", "rep", "copies")
         .join(links, "node", "left")
-        .join(roots.join(least, "root").select("node", "component"), "node", "left")
+        .join(roots.join(C.dealt_again(least, "root", "r"), F.col("root") == F.col("r")).select("node", "component"), "node", "left")
         .select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     )
     linked = F.col("vec_id").isNotNull()
     return (
-        rows.select("vec_id", "node").join(of_class, "node", "left")
+        rows.select("vec_id", "node").join(C.dealt_again(of_class, "node", "own"), F.col("node") == F.col("own"), "left")
         .select("vec_id", F.when(linked, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), F.when(linked, F.coalesce("component", "vec_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
     )
