@@ -5,17 +5,19 @@ Every stage but the last returns the columns of ``documents``; the last returns
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from regimekit.llm import common, linedup, minhash, mixing, packing, quality
-from regimekit.session import checkpoint_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance resampling of operator 10 rejects go; nothing else changes."""
+    """Documents that the importance resampling of operator 10 rejects go; nothing else changes.
+
+    A null, empty or very short text has no n-grams, so its weight is 1 and it goes by its draw alone.  Repeated rows
+    have equal keys and stay or go together, as do rows that tie with the last one kept.  Rows with a null doc_id
+    share one draw.  Without good labels every document stays; an empty table stays empty.
+    """
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -63,7 +65,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left and their places in sequences of 2048 tokens."""
+    """The pieces of all documents that are left and their places in sequences of 2048 tokens.
+
+    A null or empty text is one piece that holds the end token only; a long one is cut into pieces.  Every row is
+    packed, repeated ones and those with a null doc_id too.  An empty table gives no rows.
+    """
     import public_tokenizers
 
     return packing.pack(docs, str(public_tokenizers.path("word_bpe_49k.json")), capacity=2048)
@@ -82,9 +88,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = checkpoint_path(spark, f"pipeline-{name.replace(' ', '-')}-{uuid.uuid4().hex}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = common.stage(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs
 
 
