@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from regimekit.llm import kernels as K
 from regimekit.session import _stage_tables, cut_lineage, ship_package
 
 
@@ -115,7 +116,7 @@ def map_groups(df: DataFrame, key: str, fn: Callable[[pa.Table], pa.RecordBatch
             if out is not None and out.num_rows:
                 yield out
 
-    return df.repartition(n, key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return df.repartition(n, key).sortWithinPartitions(key).mapInArrow(K.tidy(run), schema)
 
 
 def block_cells(df: DataFrame, key: str, count: str, row_hash: Column, block: int) -> DataFrame:

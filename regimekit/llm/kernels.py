@@ -20,9 +20,10 @@ U64 = np.uint64
 
 
 def give_back() -> None:
-    """Return freed memory to the system; Spark keeps idle Python workers for later tasks."""
+    """Return freed memory and the power tables to the system; Spark keeps idle Python workers for later tasks."""
     import ctypes
 
+    _powers.cache_clear()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not on every platform
         ctypes.CDLL("libc.so.6").malloc_trim(0)

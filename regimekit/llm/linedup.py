@@ -217,7 +217,10 @@ def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
             words += count
         texts.append("\n".join(kept))
         left.append(words)
-    return pa.StructArray.from_arrays([pa.array(texts, type=pa.string()), pa.array(left, type=pa.int64())], names=["text", "n_words"])
+    out = pa.StructArray.from_arrays([pa.array(texts, type=pa.string()), pa.array(left, type=pa.int64())], names=["text", "n_words"])
+    texts.clear()
+    K.give_back()
+    return out
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_words: int = 5) -> DataFrame:

@@ -151,7 +151,13 @@ def _level(rows: DataFrame, level: int, last: bool, seed: int) -> DataFrame:
 
 def size_of(text: Column) -> Column:
     """Number of words ``[^\\x20\\x09-\\x0D]+``; 0 for null."""
-    return F.arrow_udf(lambda t: pa.array(K.word_counts(t)), "long")(text.cast("string"))
+
+    def count(t: pa.Array) -> pa.Array:
+        out = pa.array(K.word_counts(t))
+        K.give_back()
+        return out
+
+    return F.arrow_udf(count, "long")(text.cast("string"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 3, bucket_rows: int = 4096, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:

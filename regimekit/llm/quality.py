@@ -124,7 +124,9 @@ class Model:
 
         @F.arrow_udf("double")
         def log_weight(t: pa.Array) -> pa.Array:
-            return pa.array(score_texts(t, ratios, dependence))
+            out = pa.array(score_texts(t, ratios, dependence))
+            K.give_back()
+            return out
 
         return log_weight(text)
 
