@@ -1,8 +1,10 @@
 """Stores and files that grow or repeat: transition files of any size, panel cache, model store, sinks, wide prices, registry."""
 
 import datetime as dt
+import glob
 import os
 import random
+import time
 
 import pandas as pd
 import pytest
@@ -228,3 +230,34 @@ def test_a_wide_plan_does_not_grow_with_the_tickers(spark, tmp_dir):
         assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
         plans.append(len(back._jdf.queryExecution().optimizedPlan().toString()))
     assert plans[1] - plans[0] < 50
+
+
+def test_the_time_of_a_wide_file_grows_with_its_cells_not_with_their_square(spark, tmp_dir):
+    rows = spark.range(20_000 * 8).selectExpr("concat('T', id % 20000) entity", "timestamp_ntz '2024-01-01' + make_dt_interval(cast(id div 20000 as int)) ts", "sqrt(id) price").where("hash(price) % 9 <> 0")
+    began = time.monotonic()
+    wide.write_wide_prices(rows, f"{tmp_dir}/many")
+    back = wide.read_wide_prices(spark, f"{tmp_dir}/many")
+    assert back.exceptAll(rows).isEmpty() and back.count() == rows.count()
+    assert time.monotonic() - began < 60
+
+
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_wide_lines_are_put_together_and_taken_apart_by_pieces(spark, tmp_dir, monkeypatch, block):
+    monkeypatch.setattr(wide, "BLOCK", block)
+    cells = {"A": {5: 1.5}, "B": {2: None}, "C": {2: 2.5, 3: float("nan"), 5: 3.5}, "D": {}, "E": {1: 4.5}, "F": {}, "G": {4: 5.5}, "H": {1: None}}
+    rows = [(e, dt.datetime(2024, 1, d), v) for e, days in cells.items() for d, v in days.items()]
+    wide.write_wide_prices(spark.createDataFrame(rows, PRICES), f"{tmp_dir}/w")
+    (file,) = glob.glob(f"{tmp_dir}/w/part-*")
+    with open(file) as f:
+        assert f.read().splitlines() == [
+            "Date,A,B,C,E,G,H",
+            "2024-01-01 00:00:00,,,,4.5,,",
+            "2024-01-02 00:00:00,,,2.5,,,",
+            "2024-01-03 00:00:00,,,NaN,,,",
+            "2024-01-04 00:00:00,,,,,5.5,",
+            "2024-01-05 00:00:00,1.5,,3.5,,,",
+        ]
+    got = {(r.entity, r.ts.day): r.price for r in wide.read_wide_prices(spark, f"{tmp_dir}/w").collect()}
+    assert got == {("E", 1): 4.5, ("C", 2): 2.5, ("G", 4): 5.5, ("A", 5): 1.5, ("C", 5): 3.5}
+    with pytest.raises(Exception, match="occurs twice"):
+        wide.write_wide_prices(spark.createDataFrame([rows[0], rows[0]], PRICES), f"{tmp_dir}/twice")
