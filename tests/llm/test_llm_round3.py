@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,6 +84,16 @@ def test_repeats_of_nothing_and_clashing_columns(spark):
     assert [r[:4] for r in repeats(spark, odd)] == [(1, 60, 0, 0), (2, 61, 60, 1)]
 
 
+def test_pieces_spread_evenly_over_the_buckets():
+    rnd = random.Random(8)
+    texts = pa.array(["".join(rnd.choice("abcdefgh ") for _ in range(20_000)) for _ in range(20)])
+    h = np.concatenate([p[0] for _, _, _, _, p in suffixdedup.pieces(texts)])
+    dealt = suffixdedup._chunk_rows(0, 64, h, np.zeros((3, 1), "<i8")).to_pylist()
+    sizes = [len(r["nos"]) // 4 for r in dealt if r["bucket"] is not None]
+    assert sum(sizes) == len(np.unique(h)) and sorted({r["bucket"] for r in dealt[:-1]}) == list(range(64))
+    assert max(sizes) < 1.5 * sum(sizes) / 64  # the least of 35 hashes is a small number
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 4), st.lists(st.sampled_from(["ab" * 13, "ba" * 12, "abc" * 9, "x", "yz" * 14]), max_size=6).map("".join)), min_size=1, max_size=8))
 def test_the_sort_of_a_cell(docs):
